@@ -146,3 +146,51 @@ EXTRACTED = ",\n".join([SRC, X_MODULE, X_FUNC_VAR, X_ANNOTATION, X_UNANNOTATED,
 
 def with_extracted(body: str) -> str:
     return f"WITH {EXTRACTED}\n{body}"
+
+
+# ------------------------------------------------------------------ search snapshots
+SNAP = """snap_t AS (
+  SELECT CAST(2013 + c_custkey % 10 AS INTEGER) AS year,
+         CAST(it AS INTEGER) AS iteration,
+         CAST(c_custkey * 2 + dup AS BIGINT) AS pos,
+         CASE WHEN c_custkey % 97 = 0 THEN concat('u', CAST(c_nationkey AS VARCHAR), '/x/', c_name)
+              ELSE concat('u', CAST(c_nationkey AS VARCHAR), '/', c_name) END AS name,
+         concat('https://example.com/',
+                CASE WHEN c_custkey % 97 = 0 THEN concat('u', CAST(c_nationkey AS VARCHAR), '/x/', c_name)
+                     ELSE concat('u', CAST(c_nationkey AS VARCHAR), '/', c_name) END, '.git') AS url,
+         CAST(floor(c_acctbal) + (c_custkey * it) % 3 - dup AS INTEGER) AS stars,
+         concat('20', CAST(13 + c_custkey % 10 AS VARCHAR), '-10-',
+                CASE WHEN it = 4 AND c_custkey % 13 = 0 THEN '29' ELSE '28' END, 'T13:19:39Z') AS created_at
+  FROM (SELECT *, unnest(generate_series(0, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END)) AS dup
+        FROM (SELECT *, unnest(generate_series(0, 4)) AS it FROM customer) a
+        WHERE (c_custkey + it) % 7 <> 0) b)"""
+
+SNAP_DEDUP = """snap_dedup_t AS (
+  SELECT year, iteration, pos, name, url, stars, created_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY year, iteration, name, created_at
+                                 ORDER BY stars DESC, pos) AS rn FROM snap_t) s WHERE rn = 1)"""
+
+MERGED = """merged_t AS (
+  SELECT year, CAST(rn - 1 AS INTEGER) AS rank, name, url, stars, created_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY year ORDER BY stars DESC, iteration, pos) AS rn FROM (
+      SELECT *, row_number() OVER (PARTITION BY year, name, created_at
+                                   ORDER BY stars DESC, iteration, pos) AS k FROM snap_t) b
+    WHERE k = 1) r WHERE rn <= 1000)"""
+
+REPO_RANKED = """repo_ranked_t AS (
+  SELECT CAST(o.off + m.rank AS INTEGER) AS id,
+         CAST(substr(replace(m.created_at, 'T', ' '), 1, 4) AS INTEGER) AS year,
+         split_part(m.name, '/', 1) AS user_name, split_part(m.name, '/', 2) AS name,
+         substr(replace(m.created_at, 'T', ' '), 1, length(m.created_at) - 1) AS creation_date,
+         m.stars, m.url AS clone_url
+  FROM merged_t m JOIN (
+    SELECT year, CAST(coalesce(sum(n) OVER (ORDER BY year DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           AS INTEGER) AS off
+    FROM (SELECT year, count(*) AS n FROM merged_t GROUP BY year) c) o ON m.year = o.year
+  WHERE len(string_split(m.name, '/')) = 2)"""
+
+RANKING = ",\n".join([SNAP, SNAP_DEDUP, MERGED, REPO_RANKED])
+
+
+def with_ranking(body: str) -> str:
+    return f"WITH {RANKING}\n{body}"

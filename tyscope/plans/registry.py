@@ -267,3 +267,171 @@ LOOKUP_MODULE = (1, "pkg/m4.py", "m4.py")
     f"AND name = '{LOOKUP_MODULE[2]}'"))
 def q_lookup_module(spark, sf):
     return reports.lookup_module(_rel(spark, sf).module, *LOOKUP_MODULE)
+
+
+# ====================================================================== ranking (L1)
+from tyscope.operators import ranking  # noqa: E402
+from tyscope.session import scratch_path  # noqa: E402
+from tyscope.sources import repos_json  # noqa: E402
+
+
+def _snap(spark, sf):
+    return standins.snapshots(spark, sf)
+
+
+def _merged(spark, sf):
+    return ranking.merge_snapshots(_snap(spark, sf))
+
+
+@register("dedupe_snapshot", O.with_ranking("SELECT * FROM snap_dedup_t"))
+def q_dedupe_snapshot(spark, sf):
+    return ranking.dedupe_snapshot(_snap(spark, sf))
+
+
+@register("sort_stars_desc", O.with_ranking(
+    "SELECT * FROM snap_dedup_t ORDER BY year, iteration, stars DESC, pos"))
+def q_sort_stars_desc(spark, sf):
+    return ranking.sort_stars_desc(ranking.dedupe_snapshot(_snap(spark, sf)))
+
+
+@register("validate_duplicates", O.with_ranking(
+    "SELECT year, iteration, count(*) AS n_rows, count(DISTINCT (name, created_at)) AS n_valid, "
+    "count(*) - count(DISTINCT (name, created_at)) AS n_duplicates FROM snap_t GROUP BY year, iteration"))
+def q_validate_duplicates(spark, sf):
+    return ranking.validate_duplicates(_snap(spark, sf))
+
+
+@register("order_errors", O.with_ranking(
+    "SELECT year, iteration, CAST(sum(CASE WHEN stars > coalesce(prev, 1000000) THEN 1 ELSE 0 END) AS BIGINT) "
+    "AS n_order_errors FROM (SELECT *, lag(stars) OVER (PARTITION BY year, iteration ORDER BY pos) AS prev "
+    "FROM snap_t) s GROUP BY year, iteration"))
+def q_order_errors(spark, sf):
+    return ranking.order_errors(_snap(spark, sf))
+
+
+@register("order_errors_sorted", O.with_ranking(
+    "SELECT year, iteration, CAST(sum(CASE WHEN stars > coalesce(prev, 1000000) THEN 1 ELSE 0 END) AS BIGINT) "
+    "AS n_order_errors FROM (SELECT *, lag(stars) OVER (PARTITION BY year, iteration ORDER BY p2) AS prev "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY year, iteration ORDER BY stars DESC, pos) AS p2 "
+    "FROM snap_dedup_t) d) s GROUP BY year, iteration"),
+    note="W1 on corrected snapshots: expected 0 per file")
+def q_order_errors_sorted(spark, sf):
+    d = ranking.dedupe_snapshot(_snap(spark, sf))
+    # positions after the star-descending rewrite: rank inside each snapshot file
+    from pyspark.sql import Window
+    w = Window.partitionBy("year", "iteration").orderBy(F.desc("stars"), "pos")
+    return ranking.order_errors(d.withColumn("pos", F.row_number().over(w)))
+
+
+@register("key_conflicts", O.with_ranking(
+    "SELECT 'same_name' AS conflict, name AS value, count(DISTINCT created_at) AS n_distinct FROM snap_t "
+    "GROUP BY name HAVING count(DISTINCT created_at) > 1 UNION ALL "
+    "SELECT 'same_date', created_at, count(DISTINCT name) FROM snap_t GROUP BY created_at "
+    "HAVING count(DISTINCT name) > 1"))
+def q_key_conflicts(spark, sf):
+    return ranking.key_conflicts(_snap(spark, sf))
+
+
+@register("merge_snapshots", O.with_ranking("SELECT * FROM merged_t"))
+def q_merge_snapshots(spark, sf):
+    return _merged(spark, sf)
+
+
+@register("snapshot_match", O.with_ranking(
+    "SELECT * FROM snap_t s WHERE EXISTS (SELECT 1 FROM merged_t m WHERE m.year = s.year "
+    "AND m.name = s.name AND m.created_at = s.created_at)"))
+def q_snapshot_match(spark, sf):
+    return ranking.snapshot_match(_snap(spark, sf), _merged(spark, sf))
+
+
+@register("paginate", O.with_ranking(
+    "SELECT *, CAST(floor(rank / 100) + 1 AS INTEGER) AS page FROM merged_t "
+    "WHERE floor(rank / 100) + 1 BETWEEN 1 AND 10"))
+def q_paginate(spark, sf):
+    return ranking.paginate(_merged(spark, sf))
+
+
+@register("filter_search", O.with_ranking(
+    "SELECT * FROM snap_t WHERE stars > 10 AND substr(created_at, 1, 4) = '2016'"))
+def q_filter_search(spark, sf):
+    return ranking.filter_search(_snap(spark, sf), 2016)
+
+
+@register("repository_rows", O.with_ranking("SELECT * FROM repo_ranked_t"))
+def q_repository_rows(spark, sf):
+    return ranking.repository_rows(_merged(spark, sf))
+
+
+@register("rejected_names", O.with_ranking(
+    "SELECT * FROM merged_t WHERE len(string_split(name, '/')) <> 2"))
+def q_rejected_names(spark, sf):
+    return ranking.rejected_names(_merged(spark, sf))
+
+
+@register("lookup_repo_id", O.with_ranking(
+    "SELECT p.year, p.user_name, p.name, coalesce(r.id, -1) AS id FROM "
+    "(SELECT DISTINCT CAST(2013 + c_custkey % 10 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) "
+    "AS year, concat('u', CAST(c_nationkey AS VARCHAR)) AS user_name, c_name AS name FROM customer) p "
+    "LEFT JOIN repo_ranked_t r ON p.year = r.year AND p.user_name = r.user_name AND p.name = r.name"))
+def q_lookup_repo_id(spark, sf):
+    c = read_table(spark, sf, "customer")
+    ck = F.col("c_custkey")
+    # every customer is probed; every 5th with a wrong year (absent -> -1)
+    probes = c.select((F.lit(2013) + ck % 10 + F.when(ck % 5 == 0, 1).otherwise(0)).cast("int").alias("year"),
+                      F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("user_name"),
+                      F.col("c_name").alias("name")).distinct()
+    return ranking.lookup_repo_id(ranking.repository_rows(_merged(spark, sf)), probes)
+
+
+@register("lookup_repo_by_name", O.with_ranking(
+    "SELECT n.name, r.id, r.year, r.user_name, r.stars, r.clone_url FROM "
+    "(SELECT DISTINCT c_name AS name FROM customer) n LEFT JOIN "
+    "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM repo_ranked_t) x "
+    "WHERE k = 1) r ON n.name = r.name"))
+def q_lookup_repo_by_name(spark, sf):
+    names_df = read_table(spark, sf, "customer").select(F.col("c_name").alias("name")).distinct()
+    return ranking.lookup_repo_by_name(ranking.repository_rows(_merged(spark, sf)), names_df)
+
+
+@register("longest_repo_name", O.with_ranking(
+    "SELECT coalesce(max(year), 0) AS year, coalesce(max(length), 0) AS length, coalesce(max(value), '') "
+    "AS value FROM (SELECT year, length(name) AS length, name AS value FROM repo_ranked_t "
+    "ORDER BY length(name) DESC, id LIMIT 1) t"))
+def q_longest_repo_name(spark, sf):
+    return ranking.longest_repo_name(ranking.repository_rows(_merged(spark, sf)))
+
+
+@register("longest_clone_url", O.with_ranking(
+    "SELECT coalesce(max(year), 0) AS year, coalesce(max(length), 0) AS length, coalesce(max(value), '') "
+    "AS value FROM (SELECT year, length(clone_url) AS length, clone_url AS value FROM repo_ranked_t "
+    "ORDER BY length(clone_url) DESC, id LIMIT 1) t"))
+def q_longest_clone_url(spark, sf):
+    return ranking.longest_clone_url(ranking.repository_rows(_merged(spark, sf)))
+
+
+@register("clone_plan", O.with_ranking(
+    "SELECT year, rank + 1 AS index, name, url, created_at, "
+    "concat('../../repos/', CAST(year AS VARCHAR), '/', name) AS target_dir FROM merged_t"))
+def q_clone_plan(spark, sf):
+    return ranking.clone_plan(_merged(spark, sf), "../../repos")
+
+
+@register("scan_snapshots", O.with_ranking("SELECT * FROM snap_t"))
+def q_scan_snapshots(spark, sf):
+    path = scratch_path(spark, "snapshots")
+    repos_json.write_snapshots(_snap(spark, sf), path)
+    return repos_json.read_snapshots(spark, path)
+
+
+@register("scan_api_pages", O.with_ranking("SELECT * FROM snap_t"))
+def q_scan_api_pages(spark, sf):
+    path = scratch_path(spark, "api-pages")
+    repos_json.write_api_pages(_snap(spark, sf), path)
+    return repos_json.read_api_pages(spark, path)
+
+
+@register("scan_year_files", O.with_ranking("SELECT * FROM merged_t"))
+def q_scan_year_files(spark, sf):
+    path = scratch_path(spark, "ranked")
+    repos_json.write_ranked(_merged(spark, sf), path)
+    return repos_json.read_ranked(spark, path)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 # ``getOrCreate`` keeps an existing session untouched.
 _LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

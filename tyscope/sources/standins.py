@@ -152,3 +152,34 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(sz.cast("int").alias("repo_id"),
                     F.concat(F.lit("pkg/p"), pk, F.lit(".py")).alias("path_rel"),
                     content.alias("content"))
+
+
+# ------------------------------------------------------------------ search snapshots
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five overlapping snapshots per year with slightly moving stars.
+
+    Every 11th customer appears twice inside a snapshot (second copy: one star
+    less, next position); every 13th changes its creation day in the last
+    snapshot (a name seen with two dates); every 97th has a malformed full
+    name (two slashes).
+    ``year, iteration, pos, name, url, stars, created_at``
+    """
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal")
+    ck = F.col("c_custkey")
+    x = (c.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(4))))
+         .where((ck + F.col("iteration")) % 7 != 0)
+         .withColumn("dup", F.explode(F.sequence(F.lit(0), F.when(ck % 11 == 0, 1).otherwise(0)))))
+    user = F.concat(F.lit("u"), _s(F.col("c_nationkey")))
+    name = (F.when(ck % 97 == 0, F.concat(user, F.lit("/x/"), F.col("c_name")))
+            .otherwise(F.concat(user, F.lit("/"), F.col("c_name"))))
+    day = F.when((F.col("iteration") == 4) & (ck % 13 == 0), F.lit("29")).otherwise(F.lit("28"))
+    return x.select(
+        (F.lit(2013) + ck % 10).cast("int").alias("year"),
+        F.col("iteration").cast("int").alias("iteration"),
+        (ck * 2 + F.col("dup")).cast("long").alias("pos"),
+        name.alias("name"),
+        F.concat(F.lit("https://example.com/"), name, F.lit(".git")).alias("url"),
+        (F.floor("c_acctbal") + (ck * F.col("iteration")) % 3 - F.col("dup")).cast("int").alias("stars"),
+        F.concat(F.lit("20"), _s(F.lit(13) + ck % 10), F.lit("-10-"), day, F.lit("T13:19:39Z"))
+        .alias("created_at"),
+    )
