@@ -194,3 +194,103 @@ RANKING = ",\n".join([SNAP, SNAP_DEDUP, MERGED, REPO_RANKED])
 
 def with_ranking(body: str) -> str:
     return f"WITH {RANKING}\n{body}"
+
+
+# ------------------------------------------------------------------ triage module (expected rows)
+from tyscope.sources.standins import (  # noqa: E402
+    TRIAGE_A, TRIAGE_B, TRIAGE_CASES, TRIAGE_EXTRA_EVERY, TRIAGE_R,
+)
+from tyscope.operators.triage import PROBE_VALUES  # noqa: E402
+
+
+def _lit(v):
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v)
+    return _q(v)
+
+
+_CASE_ROWS = ",\n    ".join(
+    f"({i}, {_lit(u)}, {_lit(tag)}, {_lit(val)}, {_lit(rk)}, {_lit(iss)}, {_lit(cst)}, {cnt})"
+    for i, (_, u, tag, val, rk, iss, cst, cnt) in enumerate(TRIAGE_CASES))
+
+_PV = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in PROBE_VALUES.items())
+
+CASES = f"""cases_t AS (
+  SELECT i, unparsed, tag, val, root_kind, issue, is_constant, type_count,
+         CASE WHEN tag = 'str' THEN (CASE val {_PV} END)
+              WHEN tag = 'none' THEN 'None' WHEN tag = 'error' THEN NULL ELSE val END AS pv
+  FROM (VALUES
+    {_CASE_ROWS}) v(i, unparsed, tag, val, root_kind, issue, is_constant, type_count))"""
+
+_NC = len(TRIAGE_CASES)
+
+TRI_SRC = f"""tri_src_t AS (
+  SELECT CAST(p_size AS INTEGER) AS repo_id, concat('tri/t', CAST(p_partkey AS VARCHAR), '.py') AS path_rel,
+         concat('t', CAST(p_partkey AS VARCHAR)) AS name,
+         CAST((p_partkey * {TRIAGE_A[0]} + {TRIAGE_A[1]}) % {_NC} AS INTEGER) AS ia,
+         CAST((p_partkey * {TRIAGE_B[0]} + {TRIAGE_B[1]}) % {_NC} AS INTEGER) AS ib,
+         CAST((p_partkey * {TRIAGE_R[0]} + {TRIAGE_R[1]}) % {_NC} AS INTEGER) AS ir,
+         p_partkey % {TRIAGE_EXTRA_EVERY} = 0 AS extra
+  FROM part)"""
+
+TRI_DEFS = """tri_defs_t AS (
+  SELECT s.repo_id, s.path_rel, s.name, 1 AS lineno,
+         CASE WHEN a.pv IS NOT NULL AND b.pv IS NOT NULL THEN concat('a=', a.pv, ';b=', b.pv) END AS probe_call,
+         CASE WHEN a.pv IS NULL OR b.pv IS NULL THEN 'Arguments could not be created'
+              WHEN s.extra THEN 'Missing'
+              WHEN r.tag = 'error' THEN 'ERROR!' ELSE 'checkable' END AS status,
+         s.extra
+  FROM tri_src_t s JOIN cases_t a ON a.i = s.ia JOIN cases_t b ON b.i = s.ib JOIN cases_t r ON r.i = s.ir)"""
+
+TRI_ANN = """tri_ann_t AS (
+  SELECT s.repo_id, c.root_kind, c.issue, c.is_constant
+  FROM tri_src_t s JOIN cases_t c ON c.i = s.ia
+  UNION ALL SELECT s.repo_id, c.root_kind, c.issue, c.is_constant FROM tri_src_t s JOIN cases_t c ON c.i = s.ib
+  UNION ALL SELECT s.repo_id, c.root_kind, c.issue, c.is_constant FROM tri_src_t s JOIN cases_t c ON c.i = s.ir)"""
+
+TRI_FULL = """tri_full_t AS (
+  SELECT repo_id, path_rel, name, CAST(9 AS BIGINT) AS sum_num_var, CAST(9 AS BIGINT) AS sum_num_var_annotated
+  FROM tri_src_t WHERE NOT extra)"""
+
+DIAG = """diag_t AS (
+  SELECT CAST(user_id AS INTEGER) AS repo_id, concat('tri/t', CAST(event_id % 97 AS VARCHAR), '.py') AS path,
+         CAST(floor(value) AS INTEGER) AS line, event_type AS code
+  FROM events WHERE event_type = 'error' AND user_id % 3 = 0)"""
+
+VERDICT = """verdict_t AS (
+  SELECT r.repo_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_diagnostics, coalesce(d.n, 0) = 0 AS clean
+  FROM (SELECT DISTINCT repo_id FROM tri_src_t) r
+  LEFT JOIN (SELECT repo_id, count(*) AS n FROM diag_t GROUP BY repo_id) d ON r.repo_id = d.repo_id)"""
+
+OUTCOME = """outcome_t AS (
+  SELECT event_id, CAST(user_id AS INTEGER) AS repo_id,
+         concat('/srv/repos/u', CAST(user_id AS VARCHAR), '/r', CAST(user_id AS VARCHAR), '/tri/t',
+                CAST(event_id % 97 AS VARCHAR), '.py') AS file_path,
+         concat('t', CAST(event_id % 97 AS VARCHAR)) AS name,
+         CASE WHEN event_type = 'error' THEN 'TypeError' WHEN event_type = 'click' THEN 'KeyError'
+              WHEN event_type = 'signup' THEN 'RecursionError'
+              WHEN event_type = 'purchase' AND value > 30 THEN 'OSError' END AS exc_type,
+         CASE WHEN value > 25 THEN 't() missing 1 required positional argument: ''c''' ELSE
+              'unsupported operand type(s)' END AS message,
+         event_type = 'view' AND value < 10 AS return_error,
+         value > 10 AS matched
+  FROM events)"""
+
+LABELLED = """labelled_t AS (
+  SELECT *, CASE WHEN exc_type = 'TypeError' AND contains(message, 'missing') THEN 'Missing'
+                 WHEN exc_type = 'TypeError' THEN 'MeinTypeError!'
+                 WHEN exc_type IN ('KeyError', 'RecursionError', 'ZeroDivisionError') THEN 'BadError!'
+                 WHEN exc_type IS NOT NULL THEN 'Unhandled'
+                 WHEN return_error THEN 'ERROR!'
+                 WHEN matched THEN 'True' ELSE 'False' END AS label
+  FROM outcome_t)"""
+
+TRIAGE = ",\n".join([CASES, TRI_SRC, TRI_DEFS, TRI_ANN, TRI_FULL, DIAG, VERDICT, OUTCOME, LABELLED])
+
+
+def with_triage(body: str) -> str:
+    return f"WITH {TRIAGE}\n{body}"

@@ -435,3 +435,149 @@ def q_scan_year_files(spark, sf):
     path = scratch_path(spark, "ranked")
     repos_json.write_ranked(_merged(spark, sf), path)
     return repos_json.read_ranked(spark, path)
+
+
+# ====================================================================== triage (L3)
+from tyscope.operators import triage  # noqa: E402
+
+
+def _tri_extracted(spark, sf):
+    return X.extract(standins.triage_files(spark, sf))
+
+
+def _tri_full(spark, sf, ext=None):
+    ext = ext if ext is not None else _tri_extracted(spark, sf)
+    return reports.full_annot(facts.func_var_rows(ext), facts.annotation_rows(ext))
+
+
+def _tri_verdicts(spark, sf, ext=None):
+    ext = ext if ext is not None else _tri_extracted(spark, sf)
+    return triage.repo_verdict(facts.module_rows(ext), standins.diagnostics(spark, sf))
+
+
+@register("probe_status", O.with_triage("SELECT repo_id, path_rel, name, lineno, probe_call, status FROM tri_defs_t"))
+def q_probe_status(spark, sf):
+    defs = triage.function_definitions(_tri_extracted(spark, sf))
+    return (triage.probe_status(triage.probe_arguments(defs))
+            .select("repo_id", "path_rel", "name", "lineno", "probe_call", "status"))
+
+
+@register("annotation_kinds", O.with_triage(
+    "SELECT root_kind, is_constant, count(*) AS n FROM tri_ann_t GROUP BY root_kind, is_constant"))
+def q_annotation_kinds(spark, sf):
+    ext = _tri_extracted(spark, sf)
+    return (ext.where(F.col("kind") == "annotation").groupBy("root_kind", "is_constant")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("annotation_issues", O.with_triage(
+    "SELECT issue, count(*) AS n FROM tri_ann_t WHERE issue IS NOT NULL GROUP BY issue"))
+def q_annotation_issues(spark, sf):
+    ext = _tri_extracted(spark, sf)
+    return (ext.where(F.col("kind") == "annotation").select(F.explode("issues").alias("issue"))
+            .groupBy("issue").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("full_annot_triage", O.with_triage("SELECT * FROM tri_full_t"))
+def q_full_annot_triage(spark, sf):
+    return _tri_full(spark, sf)
+
+
+@register("attach_function_definition", O.with_triage(
+    "SELECT f.*, d.lineno FROM tri_full_t f JOIN tri_defs_t d ON f.repo_id = d.repo_id "
+    "AND f.path_rel = d.path_rel AND f.name = d.name"))
+def q_attach_function_definition(spark, sf):
+    ext = _tri_extracted(spark, sf)
+    att = triage.attach_function_definition(_tri_full(spark, sf, ext), triage.function_definitions(ext))
+    return att.select("repo_id", "path_rel", "name", "sum_num_var", "sum_num_var_annotated", "lineno")
+
+
+@register("repo_verdict", O.with_triage("SELECT * FROM verdict_t"))
+def q_repo_verdict(spark, sf):
+    return _tri_verdicts(spark, sf)
+
+
+@register("clean_repo_functions", O.with_triage(
+    "SELECT * FROM tri_full_t f WHERE f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
+def q_clean_repo_functions(spark, sf):
+    ext = _tri_extracted(spark, sf)
+    return triage.clean_repo_functions(_tri_full(spark, sf, ext), _tri_verdicts(spark, sf, ext))
+
+
+@register("exclude_repos", O.with_triage(
+    "SELECT * FROM tri_full_t WHERE repo_id NOT IN (" + ", ".join(str(i) for i in triage.DENYLIST) + ")"))
+def q_exclude_repos(spark, sf):
+    return triage.exclude_repos(_tri_full(spark, sf))
+
+
+_DENY_SQL = "SELECT DISTINCT CAST(user_id AS INTEGER) AS repo_id FROM events WHERE event_type = 'signup' AND user_id % 4 = 0"
+
+
+@register("exclude_repos_table", O.with_triage(
+    f"SELECT * FROM tri_full_t WHERE repo_id NOT IN ({_DENY_SQL})"))
+def q_exclude_repos_table(spark, sf):
+    e = read_table(spark, sf, "events")
+    deny = (e.where((F.col("event_type") == "signup") & (F.col("user_id") % 4 == 0))
+            .select(F.col("user_id").cast("int").alias("repo_id")).distinct())
+    return triage.exclude_repos(_tri_full(spark, sf), deny)
+
+
+@register("focus_function", O.with_triage(
+    "SELECT * FROM tri_full_t f WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 50 = 1 "
+    "AND CAST(p.p_size AS INTEGER) = f.repo_id AND concat('t', CAST(p.p_partkey AS VARCHAR)) = f.name)"))
+def q_focus_function(spark, sf):
+    keys = (read_table(spark, sf, "part").where(F.col("p_partkey") % 50 == 1)
+            .select(F.col("p_size").cast("int").alias("repo_id"),
+                    F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name")))
+    return triage.focus_functions(_tri_full(spark, sf), keys)
+
+
+@register("resume_after", O.with_triage(
+    "SELECT * FROM tri_full_t WHERE repo_id > 25 AND repo_id NOT IN (SELECT repo_id FROM verdict_t WHERE NOT clean)"))
+def q_resume_after(spark, sf):
+    ext = _tri_extracted(spark, sf)
+    done = _tri_verdicts(spark, sf, ext).where(~F.col("clean"))
+    return triage.resume_after(_tri_full(spark, sf, ext), last_done=25, done=done)
+
+
+@register("triage_candidates", O.with_triage(
+    "SELECT d.repo_id, d.path_rel, d.name, d.lineno, d.probe_call, d.status FROM tri_full_t f "
+    "JOIN tri_defs_t d ON f.repo_id = d.repo_id AND f.path_rel = d.path_rel AND f.name = d.name "
+    "WHERE f.repo_id NOT IN (" + ", ".join(str(i) for i in triage.DENYLIST) + ") "
+    "AND f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
+def q_triage_candidates(spark, sf):
+    ext = _tri_extracted(spark, sf)
+    full = triage.exclude_repos(_tri_full(spark, sf, ext))
+    full = triage.clean_repo_functions(full, _tri_verdicts(spark, sf, ext))
+    att = triage.attach_function_definition(full, triage.function_definitions(ext))
+    return (triage.probe_status(triage.probe_arguments(att))
+            .select("repo_id", "path_rel", "name", "lineno", "probe_call", "status"))
+
+
+@register("distinct_repos_consecutive", O.with_triage(
+    "SELECT repo_id, min(concat('/srv/repos/u', CAST(repo_id AS VARCHAR), '/r', CAST(repo_id AS VARCHAR))) "
+    "AS repo_path FROM tri_full_t GROUP BY repo_id"))
+def q_distinct_repos_consecutive(spark, sf):
+    full = _tri_full(spark, sf).withColumn(
+        "file_path", F.concat(F.lit("/srv/repos/u"), F.col("repo_id").cast("string"), F.lit("/r"),
+                              F.col("repo_id").cast("string"), F.lit("/"), F.col("path_rel")))
+    return triage.distinct_repos(full, "file_path", 5)
+
+
+@register("classify_outcome", O.with_triage("SELECT * FROM labelled_t"))
+def q_classify_outcome(spark, sf):
+    return triage.classify_outcome(standins.outcomes(spark, sf))
+
+
+@register("filter_outcomes", O.with_triage(
+    "SELECT * FROM labelled_t WHERE label = 'False' OR contains(label, 'MeinTypeError!')"))
+def q_filter_outcomes(spark, sf):
+    return triage.filter_outcomes(triage.classify_outcome(standins.outcomes(spark, sf)))
+
+
+@register("distinct_repo_paths", O.with_triage(
+    "SELECT DISTINCT array_to_string(list_slice(string_split(file_path, '/'), 1, 5), '/') AS repo_path "
+    "FROM labelled_t WHERE label = 'False' OR contains(label, 'MeinTypeError!')"))
+def q_distinct_repo_paths(spark, sf):
+    findings = triage.filter_outcomes(triage.classify_outcome(standins.outcomes(spark, sf)))
+    return triage.distinct_repo_paths(findings, "file_path", 5)

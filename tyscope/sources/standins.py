@@ -183,3 +183,105 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("20"), _s(F.lit(13) + ck % 10), F.lit("-10-"), day, F.lit("T13:19:39Z"))
         .alias("created_at"),
     )
+
+
+# ------------------------------------------------------------------ triage module (one shape per rule)
+# Annotation text, its canonical text, the probe (tag, value) it
+# resolves to, its shape class, its shape issue, whether it is a constant and
+# its type count. Arguments a, b and the return take cases by p_partkey.
+TRIAGE_CASES = [
+    ("int", "int", "str", "int", "accepted", None, False, 1),
+    ("float", "float", "str", "float", "accepted", None, False, 1),
+    ("Optional[str]", "Optional[str]", "str", "str", "accepted", None, False, 2),
+    ("Union[int, str]", "Union[int, str]", "str", "int", "accepted", None, False, 3),
+    ("Union[List[int], bool]", "Union[List[int], bool]", "str", "bool", "accepted", None, False, 4),
+    ("Union[List[int], Dict[str, int]]", "Union[List[int], Dict[str, int]]", "none", None, "accepted", None,
+     False, 6),
+    ("Literal[3]", "Literal[3]", "int", "3", "accepted", None, False, 2),
+    ('Literal["int"]', "Literal['int']", "str", "int", "accepted", None, False, 2),
+    ('"dict[str, int]"', "'dict[str, int]'", "error", None, "accepted", None, True, 1),
+    ('"str"', "'str'", "str", "str", "accepted", None, True, 1),
+    ("typing.Optional[int]", "typing.Optional[int]", "error", None, "accepted", None, False, 2),
+    ("int | None", "int | None", "error", None, "accepted", None, False, 2),
+    ("List[int]", "List[int]", "error", None, "accepted", None, False, 2),
+    ("None", "None", "none", None, "accepted", None, True, 1),
+    ("0", "0", "int", "0", "accepted", None, True, 1),
+    ("3j", "3j", "error", None, "accepted", "constant:complex", True, 1),
+    ("-1", "-1", "error", None, "accepted", None, True, 1),
+    ("not int", "not int", "error", None, "accepted", "unary:Not", False, 1),
+    ("int or str", "int or str", "error", None, "incorrect", None, False, 0),
+    ("{str: int}", "{str: int}", "error", None, "incorrect", None, False, 0),
+    ("[x for x in y]", "[x for x in y]", "error", None, "unexpected", "unexpected:ListComp", False, 0),
+    ("complex", "complex", "str", "complex", "accepted", None, False, 1),
+    ("bool", "bool", "str", "bool", "accepted", None, False, 1),
+    ("Literal[True]", "Literal[True]", "bool", "True", "accepted", None, False, 2),
+    ('Literal[b"x"]', "Literal[b'x']", "bytes", "b'x'", "accepted", None, False, 2),
+    ('"ERROR"', "'ERROR'", "error", None, "accepted", None, True, 1),
+    ('""', "''", "str", "", "accepted", None, True, 1),
+    ("int if x else str", "int if x else str", "error", None, "incorrect", None, False, 0),
+    ('"None"', "'None'", "str", "None", "accepted", None, True, 1),
+]
+
+# case index of each slot, as a function of p_partkey
+TRIAGE_A = (1, 0)    # a: (pk * 1 + 0) % n
+TRIAGE_B = (7, 3)    # b: (pk * 7 + 3) % n
+TRIAGE_R = (5, 1)    # return: (pk * 5 + 1) % n
+TRIAGE_EXTRA_EVERY = 5  # pk % 5 == 0: one more required, unannotated argument ``c``
+
+
+def triage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One module per part with a fully annotated function whose annotations cycle
+    through ``TRIAGE_CASES``; a method of the same name follows it.
+    ``(repo_id int, path_rel string, content string)``"""
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    pk = F.col("p_partkey")
+    n = len(TRIAGE_CASES)
+    texts = F.array(*[F.lit(c[0]) for c in TRIAGE_CASES])
+
+    def pick(mul_add):
+        mul, add = mul_add
+        return F.element_at(texts, ((pk * mul + add) % n).cast("int") + 1)
+
+    extra = F.when(pk % TRIAGE_EXTRA_EVERY == 0, F.lit(", c")).otherwise(F.lit(""))
+    content = F.concat(
+        F.lit("def t"), _s(pk), F.lit("(a: "), pick(TRIAGE_A), extra, F.lit(", b: "), pick(TRIAGE_B),
+        F.lit(" = None) -> "), pick(TRIAGE_R), F.lit(":\n"),
+        F.lit("    return a\n"),
+        F.lit("class K"), _s(pk), F.lit(":\n"),
+        F.lit("    def t"), _s(pk), F.lit("(self):\n"),
+        F.lit("        return 1\n"),
+    )
+    return p.select(F.col("p_size").cast("int").alias("repo_id"),
+                    F.concat(F.lit("tri/t"), _s(pk), F.lit(".py")).alias("path_rel"),
+                    content.alias("content"))
+
+
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checker findings: error events of every third user, the user being the repository."""
+    e = read_table(spark, sf_dir, "events")
+    return (e.where((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0))
+            .select(F.col("user_id").cast("int").alias("repo_id"),
+                    F.concat(F.lit("tri/t"), _s(F.col("event_id") % 97), F.lit(".py")).alias("path"),
+                    F.floor("value").cast("int").alias("line"),
+                    F.col("event_type").alias("code")))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded probe outcomes, one per event."""
+    e = read_table(spark, sf_dir, "events")
+    et, v = F.col("event_type"), F.col("value")
+    exc = (F.when(et == "error", F.lit("TypeError"))
+           .when(et == "click", F.lit("KeyError"))
+           .when(et == "signup", F.lit("RecursionError"))
+           .when((et == "purchase") & (v > 30), F.lit("OSError")))
+    msg = F.when(v > 25, F.lit("t() missing 1 required positional argument: 'c'")) \
+        .otherwise(F.lit("unsupported operand type(s)"))
+    return e.select(
+        F.col("event_id"),
+        F.col("user_id").cast("int").alias("repo_id"),
+        F.concat(F.lit("/srv/repos/u"), _s(F.col("user_id")), F.lit("/r"), _s(F.col("user_id")),
+                 F.lit("/tri/t"), _s(F.col("event_id") % 97), F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("t"), _s(F.col("event_id") % 97)).alias("name"),
+        exc.alias("exc_type"), msg.alias("message"),
+        ((et == "view") & (v < 10)).alias("return_error"),
+        (v > 10).alias("matched"))
