@@ -294,3 +294,27 @@ TRIAGE = ",\n".join([CASES, TRI_SRC, TRI_DEFS, TRI_ANN, TRI_FULL, DIAG, VERDICT,
 
 def with_triage(body: str) -> str:
     return f"WITH {TRIAGE}\n{body}"
+
+
+# ------------------------------------------------------------------ source tree (expected rows)
+from tyscope.sources.standins import TREE_UNKNOWN_EVERY  # noqa: E402
+
+TREE_MODULE = f"""tree_module_t AS (
+  SELECT CAST(p_size * 100 AS INTEGER) AS repo_id, rel AS path_rel, regexp_extract(rel, '[^/]*$', 0) AS name,
+         CAST(5 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END
+              AS INTEGER) AS num_annotations
+  FROM (SELECT p_size, unnest(CASE p_partkey % 6
+          WHEN 0 THEN [concat('pkg/p', CAST(p_partkey AS VARCHAR), '.py')]
+          WHEN 3 THEN [concat('pkg/p', CAST(p_partkey AS VARCHAR), '.py'), concat('pkg/p', CAST(p_partkey AS VARCHAR), '.pyi')]
+          WHEN 5 THEN [concat('pkg/p', CAST(p_partkey AS VARCHAR), '/mypy.py')]
+          ELSE CAST([] AS VARCHAR[]) END) AS rel
+        FROM part WHERE p_size % {BROKEN_EVERY} <> 0 AND p_size % {TREE_UNKNOWN_EVERY} <> 0) t)"""
+
+TREE_MISSING = f"""tree_missing_t AS (
+  SELECT DISTINCT CAST(2013 + p_size % 10 AS INTEGER) AS year, concat('u', CAST(p_size % 7 AS VARCHAR)) AS user_name,
+         concat('r', CAST(p_size AS VARCHAR)) AS repo
+  FROM part WHERE p_size % {TREE_UNKNOWN_EVERY} = 0)"""
+
+
+def with_tree(body: str) -> str:
+    return f"WITH {TREE_MODULE},\n{TREE_MISSING}\n{body}"

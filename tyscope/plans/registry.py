@@ -581,3 +581,26 @@ def q_filter_outcomes(spark, sf):
 def q_distinct_repo_paths(spark, sf):
     findings = triage.filter_outcomes(triage.classify_outcome(standins.outcomes(spark, sf)))
     return triage.distinct_repo_paths(findings, "file_path", 5)
+
+
+# ====================================================================== source tree
+from tyscope.sources import files as source_tree  # noqa: E402
+
+
+def _tree_root(spark, sf):
+    root = scratch_path(spark, "tree")
+    source_tree.write_tree(standins.source_tree_files(spark, sf), root)
+    return root
+
+
+@register("scan_source_tree", O.with_tree("SELECT * FROM tree_module_t"))
+def q_scan_source_tree(spark, sf):
+    root = _tree_root(spark, sf)
+    files = source_tree.source_files(spark, root, standins.tree_repository(spark, sf))
+    return facts.module_rows(X.extract(files))
+
+
+@register("tree_missing_repos", O.with_tree("SELECT * FROM tree_missing_t"))
+def q_tree_missing_repos(spark, sf):
+    root = _tree_root(spark, sf)
+    return source_tree.missing_repos(source_tree.listing(spark, root), standins.tree_repository(spark, sf))

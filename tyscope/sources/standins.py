@@ -118,40 +118,90 @@ class Relational:
 
 
 # ------------------------------------------------------------------ templated source files
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Python module per part; its expected rows depend on p_size only.
-
-    ``(repo_id int, path_rel string, content string)``
-    """
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    pk = _s(F.col("p_partkey"))
-    sz = F.col("p_size")
+def template_content(pk: F.Column, sz: F.Column) -> F.Column:
+    """Text of the templated module for one part (see ``source_files``)."""
+    pks = _s(pk)
     ann = F.element_at(F.array(*[F.lit(src) for src, _, _ in TEMPLATE_ANNOTATIONS]),
                        (sz % len(TEMPLATE_ANNOTATIONS)).cast("int") + 1)
     p_ann = F.when(sz % 2 == 0, F.lit(": str")).otherwise(F.lit(""))
     ret = F.when(sz % 3 == 0, F.lit(" -> int")).otherwise(F.lit(""))
     broken = F.when(sz % BROKEN_EVERY == 0, F.lit("def broken(:\n")).otherwise(F.lit(""))
-    content = F.concat(
+    return F.concat(
         F.lit("import typing\n"),
-        F.lit("X"), pk, F.lit(" = "), _s(sz), F.lit("\n"),
+        F.lit("X"), pks, F.lit(" = "), _s(sz), F.lit("\n"),
         F.lit("a, b.c, d[0] = 1, 2, 3\n"),
         F.lit("y: "), ann, F.lit(" = None\n"),
-        F.lit("class C"), pk, F.lit(":\n"),
+        F.lit("class C"), pks, F.lit(":\n"),
         F.lit("    z: int\n"),
         F.lit("    def m(self, p"), p_ann, F.lit(", *args, k: int = 1, **kw)"), ret, F.lit(":\n"),
         F.lit("        def inner(q: float) -> None:\n"),
         F.lit("            pass\n"),
         F.lit("        return p\n"),
-        F.lit("async def g"), pk, F.lit("(u: int):\n"),
+        F.lit("async def g"), pks, F.lit("(u: int):\n"),
         F.lit("    def h(v, w: str):\n"),
         F.lit("        return v\n"),
         F.lit("    return u\n"),
         F.lit("[e, f] = g = 0, 1\n"),
         broken,
     )
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Python module per part; its expected rows depend on p_size only.
+
+    ``(repo_id int, path_rel string, content string)``
+    """
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    pk, sz = F.col("p_partkey"), F.col("p_size")
     return p.select(sz.cast("int").alias("repo_id"),
-                    F.concat(F.lit("pkg/p"), pk, F.lit(".py")).alias("path_rel"),
-                    content.alias("content"))
+                    F.concat(F.lit("pkg/p"), _s(pk), F.lit(".py")).alias("path_rel"),
+                    template_content(pk, sz).alias("content"))
+
+
+# Repositories whose folder has no repository row: p_size % TREE_UNKNOWN_EVERY == 0.
+TREE_UNKNOWN_EVERY = 11
+
+
+def _tree_folder(sz: F.Column) -> tuple[F.Column, F.Column, F.Column]:
+    return ((F.lit(2013) + sz % 10).cast("int"),
+            F.concat(F.lit("u"), _s(sz % 7)),
+            F.concat(F.lit("r"), _s(sz)))
+
+
+def source_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a source tree ``<year>/<user>/<repo>/...`` built from part rows.
+
+    By ``p_partkey % 6``: a module plus a non-Python file; a module below a
+    ``mypy`` folder; a module below ``python2.6``; a module with its stub; an
+    orphan stub; a module named ``mypy.py`` in an ordinary folder.
+    ``(rel_path string, content string)``
+    """
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    pk, sz = F.col("p_partkey"), F.col("p_size")
+    pks = _s(pk)
+    year, user, repo = _tree_folder(sz)
+    v = pk % 6
+    rels = (F.when(v == 0, F.array(F.concat(F.lit("pkg/p"), pks, F.lit(".py")),
+                                   F.concat(F.lit("pkg/p"), pks, F.lit(".txt"))))
+            .when(v == 1, F.array(F.concat(F.lit("pkg/mypy/p"), pks, F.lit(".py"))))
+            .when(v == 2, F.array(F.concat(F.lit("python2.6/p"), pks, F.lit(".py"))))
+            .when(v == 3, F.array(F.concat(F.lit("pkg/p"), pks, F.lit(".py")),
+                                  F.concat(F.lit("pkg/p"), pks, F.lit(".pyi"))))
+            .when(v == 4, F.array(F.concat(F.lit("pkg/s"), pks, F.lit(".pyi"))))
+            .otherwise(F.array(F.concat(F.lit("pkg/p"), pks, F.lit("/mypy.py")))))
+    return (p.select(F.concat_ws("/", _s(year), user, repo).alias("folder"), F.explode(rels).alias("rel"),
+                     template_content(pk, sz).alias("content"))
+            .select(F.concat_ws("/", "folder", "rel").alias("rel_path"), "content"))
+
+
+def tree_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository rows for the tree's folders (one per p_size), some folders left out."""
+    sz = F.col("p_size")
+    year, user, repo = _tree_folder(sz)
+    p = read_table(spark, sf_dir, "part").select("p_size").distinct()
+    return (p.where(sz % TREE_UNKNOWN_EVERY != 0)
+            .select((sz * 100).cast("int").alias("id"), year.alias("year"), user.alias("user_name"),
+                    repo.alias("name")))
 
 
 # ------------------------------------------------------------------ search snapshots
