@@ -604,3 +604,111 @@ def q_scan_source_tree(spark, sf):
 def q_tree_missing_repos(spark, sf):
     root = _tree_root(spark, sf)
     return source_tree.missing_repos(source_tree.listing(spark, root), standins.tree_repository(spark, sf))
+
+
+# ====================================================================== interchange and loading
+from tyscope.schemas import FUNC_VAR, MODULE  # noqa: E402
+from tyscope.sources import interchange as IO  # noqa: E402
+
+
+@register("count_map_roundtrip",
+          O.with_extracted("SELECT arg_name, count(*) AS n FROM x_unannotated_t GROUP BY arg_name"))
+def q_count_map_roundtrip(spark, sf):
+    path = scratch_path(spark, "name-counts")
+    IO.write_count_map(names.unannotated_name_counts(_extracted(spark, sf)), "arg_name", "n", path)
+    return IO.read_count_map(spark, path)
+
+
+@register("verdict_map_roundtrip", O.with_triage("SELECT repo_id, clean FROM verdict_t"))
+def q_verdict_map_roundtrip(spark, sf):
+    path = scratch_path(spark, "verdicts")
+    IO.write_verdict_map(_tri_verdicts(spark, sf), path)
+    return IO.read_verdict_map(spark, path)
+
+
+@register("findings_roundtrip", O.with_triage(
+    "SELECT repo_id, file_path, name, label AS status, message, 1 AS n_messages FROM labelled_t "
+    "WHERE label = 'False' OR contains(label, 'MeinTypeError!')"))
+def q_findings_roundtrip(spark, sf):
+    path = scratch_path(spark, "findings")
+    IO.write_findings(triage.filter_outcomes(triage.classify_outcome(standins.outcomes(spark, sf))), path)
+    f = IO.read_findings(spark, path)
+    return f.select("repo_id", "file_path", "name", "status",
+                    F.element_at("messages", 1).alias("message"), F.size("messages").alias("n_messages"))
+
+
+def _commit_roundtrip(spark, sf, table, rows):
+    path = scratch_path(spark, f"commit-{table}")
+    IO.write_commit_log(rows, table, path)
+    return IO.read_commit_log(spark, path, table)
+
+
+@register("commit_log_module", O.with_extracted("SELECT * FROM x_module_t"))
+def q_commit_log_module(spark, sf):
+    return _commit_roundtrip(spark, sf, "module", facts.module_rows(_extracted(spark, sf)))
+
+
+@register("commit_log_func_var", O.with_extracted("SELECT * FROM x_func_var_t"))
+def q_commit_log_func_var(spark, sf):
+    return _commit_roundtrip(spark, sf, "func_var", facts.func_var_rows(_extracted(spark, sf)))
+
+
+@register("commit_log_annotation", O.with_extracted("SELECT * FROM x_annotation_t"))
+def q_commit_log_annotation(spark, sf):
+    return _commit_roundtrip(spark, sf, "annotation", facts.annotation_rows(_extracted(spark, sf)))
+
+
+@register("load_fact_table", O.with_extracted("SELECT * FROM x_func_var_t"))
+def q_load_fact_table(spark, sf):
+    """First load: files of even parts; second load: every file twice (all keys repeat)."""
+    from tyscope.schemas import FUNC_VAR_KEY
+    path = scratch_path(spark, "func-var-table")
+    fv = facts.func_var_rows(_extracted(spark, sf))
+    first = fv.where(F.regexp_extract("path_rel", r"p(\d+)\.py$", 1).cast("int") % 2 == 0)
+    IO.load_fact_table(spark, IO.stage_rows(first, FUNC_VAR), path, FUNC_VAR_KEY)
+    again = IO.stage_rows(fv.unionByName(fv), FUNC_VAR)
+    return IO.load_fact_table(spark, again, path, FUNC_VAR_KEY)
+
+
+@register("clear_table",
+          "SELECT CAST(NULL AS INTEGER) AS repo_id, CAST(NULL AS VARCHAR) AS path_rel, "
+          "CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS num_annotations FROM part WHERE false")
+def q_clear_table(spark, sf):
+    path = scratch_path(spark, "module-table")
+    IO.stage_rows(facts.module_rows(_extracted(spark, sf)), MODULE).write.parquet(path)
+    return IO.clear_table(spark, path, MODULE)
+
+
+@register("load_repository_table", O.with_ranking("SELECT * FROM repo_ranked_t"))
+def q_load_repository_table(spark, sf):
+    from tyscope.schemas import REPOSITORY
+    path = scratch_path(spark, "repository-table")
+    IO.stage_rows(ranking.repository_rows(_merged(spark, sf)), REPOSITORY).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("full_annot_materialized", O.with_relational(
+    "SELECT f.repo_id, f.path_rel, f.name, CAST(sum(f.num_var) AS BIGINT) AS sum_num_var, "
+    "CAST(sum(f.num_var_annotated) AS BIGINT) AS sum_num_var_annotated "
+    "FROM func_var_t f JOIN annotation_t a ON f.repo_id = a.repo_id AND f.path_rel = a.path_rel "
+    "AND f.name = a.func_var_name AND f.lineno = a.lineno "
+    "WHERE f.num_var_annotated > 1 AND f.num_var = f.num_var_annotated "
+    "GROUP BY f.repo_id, f.path_rel, f.name"))
+def q_full_annot_materialized(spark, sf):
+    from tyscope.session import materialize
+    r = _rel(spark, sf)
+    return materialize(reports.full_annot(r.func_var, r.annotation), "full-annot")
+
+
+@register("partial_annotation_complete_bucketed", O.with_relational(_PAC))
+def q_partial_annotation_complete_bucketed(spark, sf):
+    """H1 over func_var / annotation written bucketed by the join key (no shuffle at join time)."""
+    import uuid
+    r = _rel(spark, sf)
+    tag = uuid.uuid4().hex[:8]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fv = IO.save_bucketed(r.func_var, f"fv_{tag}", scratch_path(spark, "fv-bucketed"),
+                          ["repo_id", "path_rel", "name", "lineno"], n)
+    an = IO.save_bucketed(r.annotation.withColumnRenamed("func_var_name", "name"), f"an_{tag}",
+                          scratch_path(spark, "an-bucketed"), ["repo_id", "path_rel", "name", "lineno"], n)
+    return reports.partial_annotation_complete(fv, an.withColumnRenamed("name", "func_var_name"))
