@@ -90,10 +90,21 @@ def reject_rows(extracted: DataFrame) -> DataFrame:
 
 
 def fact_tables(extracted: DataFrame) -> Facts:
+    """The four tables of an extraction stream (read it from storage: each table reads
+    the stream twice, once for short and once for long paths)."""
     return Facts(module_rows(extracted), func_var_rows(extracted),
                  annotation_rows(extracted), reject_rows(extracted))
 
 
+def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:
+    """Run the extraction job once, write its tagged stream to the shared folder, and
+    return the stream plus the fact tables read from it."""
+    from tyscope.operators.extract import extract
+    from tyscope.session import materialize
+    stream = materialize(extract(files), name)
+    return stream, fact_tables(stream)
+
+
 def annotations_per_module(module: DataFrame, annotation: DataFrame) -> DataFrame:
     """Annotation rows per module, 0 when none, next to the stored count."""
     counted = annotation.groupBy("repo_id", "path_rel").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -38,7 +38,9 @@ def register(name: str, sql: str | None, note: str = ""):
 
 
 def _extracted(spark, sf):
-    return X.extract(standins.source_files(spark, sf))
+    """The templated modules' extraction stream, written once to the shared folder."""
+    stream, _ = facts.extract_tables(standins.source_files(spark, sf))
+    return stream
 
 
 def _rel(spark, sf):
@@ -442,7 +444,11 @@ from tyscope.operators import triage  # noqa: E402
 
 
 def _tri_extracted(spark, sf):
-    return X.extract(standins.triage_files(spark, sf))
+    stream, _ = facts.extract_tables(standins.triage_files(spark, sf), "triage-extracted")
+    return stream
+
+
+_tri_extracted_once = _tri_extracted
 
 
 def _tri_full(spark, sf, ext=None):
@@ -487,7 +493,7 @@ def q_full_annot_triage(spark, sf):
     "SELECT f.*, d.lineno FROM tri_full_t f JOIN tri_defs_t d ON f.repo_id = d.repo_id "
     "AND f.path_rel = d.path_rel AND f.name = d.name"))
 def q_attach_function_definition(spark, sf):
-    ext = _tri_extracted(spark, sf)
+    ext = _tri_extracted_once(spark, sf)
     att = triage.attach_function_definition(_tri_full(spark, sf, ext), triage.function_definitions(ext))
     return att.select("repo_id", "path_rel", "name", "sum_num_var", "sum_num_var_annotated", "lineno")
 
@@ -500,7 +506,7 @@ def q_repo_verdict(spark, sf):
 @register("clean_repo_functions", O.with_triage(
     "SELECT * FROM tri_full_t f WHERE f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
 def q_clean_repo_functions(spark, sf):
-    ext = _tri_extracted(spark, sf)
+    ext = _tri_extracted_once(spark, sf)
     return triage.clean_repo_functions(_tri_full(spark, sf, ext), _tri_verdicts(spark, sf, ext))
 
 
@@ -535,7 +541,7 @@ def q_focus_function(spark, sf):
 @register("resume_after", O.with_triage(
     "SELECT * FROM tri_full_t WHERE repo_id > 25 AND repo_id NOT IN (SELECT repo_id FROM verdict_t WHERE NOT clean)"))
 def q_resume_after(spark, sf):
-    ext = _tri_extracted(spark, sf)
+    ext = _tri_extracted_once(spark, sf)
     done = _tri_verdicts(spark, sf, ext).where(~F.col("clean"))
     return triage.resume_after(_tri_full(spark, sf, ext), last_done=25, done=done)
 
@@ -546,7 +552,7 @@ def q_resume_after(spark, sf):
     "WHERE f.repo_id NOT IN (" + ", ".join(str(i) for i in triage.DENYLIST) + ") "
     "AND f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
 def q_triage_candidates(spark, sf):
-    ext = _tri_extracted(spark, sf)
+    ext = _tri_extracted_once(spark, sf)
     full = triage.exclude_repos(_tri_full(spark, sf, ext))
     full = triage.clean_repo_functions(full, _tri_verdicts(spark, sf, ext))
     att = triage.attach_function_definition(full, triage.function_definitions(ext))
@@ -597,7 +603,8 @@ def _tree_root(spark, sf):
 def q_scan_source_tree(spark, sf):
     root = _tree_root(spark, sf)
     files = source_tree.source_files(spark, root, standins.tree_repository(spark, sf))
-    return facts.module_rows(X.extract(files))
+    _, tables = facts.extract_tables(files, "tree-extracted")
+    return tables.module
 
 
 @register("tree_missing_repos", O.with_tree("SELECT * FROM tree_missing_t"))
