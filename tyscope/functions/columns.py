@@ -53,7 +53,7 @@ def split_full_name(full_name: Column | str) -> tuple[Column, Column, Column]:
     c = F.col(full_name) if isinstance(full_name, str) else full_name
     parts = F.split(c, "/")
     valid = F.size(parts) == 2
-    return parts.getItem(0), parts.getItem(1), valid
+    return F.get(parts, 0), F.get(parts, 1), valid
 
 
 def basename(path: Column | str) -> Column:

@@ -71,9 +71,10 @@ def merge_snapshots(snap: DataFrame, top: int = TOP_PER_YEAR) -> DataFrame:
     best = first_by(snap, ["year", "name", "created_at"],
                     [F.col("stars"), -F.col("iteration"), -F.col("pos")])
     w = Window.partitionBy("year").orderBy(F.desc("stars"), "iteration", "pos")
-    return (best.withColumn("rank", F.row_number().over(w) - 1)
-            .where(F.col("rank") < top)
-            .select("year", "rank", "name", "url", "stars", "created_at"))
+    # the filter must be on row_number() itself for the group limit to be inserted
+    return (best.withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= top)
+            .select("year", (F.col("_rn") - 1).cast("int").alias("rank"), "name", "url", "stars", "created_at"))
 
 
 def snapshot_match(snap: DataFrame, merged: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def stage_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def load_fact_table(spark: SparkSession, new_rows: DataFrame, path: str, key: list[str],
-                    order: list[Column] | None = None) -> DataFrame:
+                    order: list[Column] | None = None, dedupe_batch: bool = True) -> DataFrame:
     """Append rows whose key is not in the table yet; inside the batch the first
     row per key wins (``order``), like inserts that skip duplicate keys.
 
@@ -140,7 +140,7 @@ def load_fact_table(spark: SparkSession, new_rows: DataFrame, path: str, key: li
     if order:
         w = Window.partitionBy(*key).orderBy(*order)
         batch = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    else:
+    elif dedupe_batch:
         batch = batch.dropDuplicates(key)
     try:
         existing = spark.read.parquet(path).select(*key)
