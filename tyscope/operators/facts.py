@@ -34,9 +34,15 @@ class Facts(NamedTuple):
     rejects: DataFrame
 
 
-def _keep_first(rows: DataFrame, key: list[str]) -> DataFrame:
-    """First row per key, ordering by full path then emission order."""
+def _keep_first(rows: DataFrame, key: list[str], long_paths: bool = True) -> DataFrame:
+    """First row per key, ordering by full path then emission order.
+
+    ``long_paths=False`` (no path reaches the truncation length, checked by the
+    caller) leaves only the shuffle-free in-file filter.
+    """
     short = rows.where((F.length("path_full") < MAX_PATH) & ~F.col("dup"))
+    if not long_paths:
+        return short
     long_ = rows.where(F.length("path_full") >= MAX_PATH)
     w = Window.partitionBy(*key).orderBy("path_full", "seq")
     long_first = (long_.withColumn("_rn", F.row_number().over(w))
@@ -44,7 +50,7 @@ def _keep_first(rows: DataFrame, key: list[str]) -> DataFrame:
     return short.unionByName(long_first)
 
 
-def module_rows(extracted: DataFrame, dedupe: bool = True) -> DataFrame:
+def module_rows(extracted: DataFrame, dedupe: bool = True, long_paths: bool = True) -> DataFrame:
     m = (extracted.where(F.col("kind") == "module")
          .select(F.col("repo_id"),
                  truncate("path_rel", MAX_PATH).alias("path_rel"),
@@ -52,11 +58,12 @@ def module_rows(extracted: DataFrame, dedupe: bool = True) -> DataFrame:
                  F.col("num_annotations"),
                  F.col("path_rel").alias("path_full"), "seq", "dup"))
     if dedupe:
-        m = _keep_first(m, MODULE_KEY)
+        m = _keep_first(m, MODULE_KEY, long_paths)
     return m.drop("path_full", "seq", "dup")
 
 
-def func_var_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str] = ()) -> DataFrame:
+def func_var_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str] = (),
+                  long_paths: bool = True) -> DataFrame:
     fv = (extracted.where(F.col("kind") == "func_var")
           .select(F.col("repo_id"),
                   truncate("path_rel", MAX_PATH).alias("path_rel"),
@@ -64,11 +71,12 @@ def func_var_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str] =
                   "lineno", "num_var", "num_var_annotated", *extra,
                   F.col("path_rel").alias("path_full"), "seq", "dup"))
     if dedupe:
-        fv = _keep_first(fv, FUNC_VAR_KEY)
+        fv = _keep_first(fv, FUNC_VAR_KEY, long_paths)
     return fv.drop("path_full", "seq", "dup")
 
 
-def annotation_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str] = ()) -> DataFrame:
+def annotation_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str] = (),
+                    long_paths: bool = True) -> DataFrame:
     an = (extracted.where(F.col("kind") == "annotation")
           .select(F.col("repo_id"),
                   truncate("path_rel", MAX_PATH).alias("path_rel"),
@@ -81,7 +89,7 @@ def annotation_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str]
                   "type_count", *extra,
                   F.col("path_rel").alias("path_full"), "seq", "dup"))
     if dedupe:
-        an = _keep_first(an, ANNOTATION_KEY)
+        an = _keep_first(an, ANNOTATION_KEY, long_paths)
     return an.drop("path_full", "seq", "dup")
 
 
@@ -89,11 +97,18 @@ def reject_rows(extracted: DataFrame) -> DataFrame:
     return extracted.where(F.col("kind") == "reject").select("repo_id", "path_rel", "status")
 
 
-def fact_tables(extracted: DataFrame) -> Facts:
-    """The four tables of an extraction stream (read it from storage: each table reads
-    the stream twice, once for short and once for long paths)."""
-    return Facts(module_rows(extracted), func_var_rows(extracted),
-                 annotation_rows(extracted), reject_rows(extracted))
+def has_long_paths(extracted: DataFrame) -> bool:
+    """Whether any relative path reaches the truncation length (reads one column)."""
+    return extracted.where(F.length("path_rel") >= MAX_PATH).limit(1).count() > 0
+
+
+def fact_tables(extracted: DataFrame, long_paths: bool | None = None) -> Facts:
+    """The four tables of a (stored) extraction stream."""
+    if long_paths is None:
+        long_paths = has_long_paths(extracted)
+    return Facts(module_rows(extracted, long_paths=long_paths),
+                 func_var_rows(extracted, long_paths=long_paths),
+                 annotation_rows(extracted, long_paths=long_paths), reject_rows(extracted))
 
 
 def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:

@@ -37,56 +37,82 @@ def register(name: str, sql: str | None, note: str = ""):
     return deco
 
 
+# Derived base tables are built once per session and sf folder and written to
+# the shared folder (like loading the study's tables once before querying).
+_BUILT: dict = {}
+
+
+def _once(spark, key, build):
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _BUILT:
+        _BUILT[k] = build()
+    return _BUILT[k]
+
+
 def _extracted(spark, sf):
     """The templated modules' extraction stream, written once to the shared folder."""
-    stream, _ = facts.extract_tables(standins.source_files(spark, sf))
-    return stream
+    return _once(spark, ("extracted", sf),
+                 lambda: facts.extract_tables(standins.source_files(spark, sf))[0])
+
+
+def _facts(spark, sf):
+    return _once(spark, ("facts", sf), lambda: facts.fact_tables(_extracted(spark, sf)))
+
+
+class _Stored:
+    def __init__(self, spark, sf):
+        from tyscope.session import materialize
+        r = standins.Relational(spark, sf)
+        self.repository = materialize(r.repository, "repository")
+        self.func_var = materialize(r.func_var, "func-var")
+        self.annotation = materialize(standins.annotation(self.func_var), "annotation")
+        self.module = materialize(standins.module(self.func_var), "module")
 
 
 def _rel(spark, sf):
-    return standins.Relational(spark, sf)
+    return _once(spark, ("relational", sf), lambda: _Stored(spark, sf))
 
 
 # ====================================================================== extraction
 @register("extract_module", O.with_extracted("SELECT * FROM x_module_t"))
 def q_extract_module(spark, sf):
-    return facts.module_rows(_extracted(spark, sf))
+    return _facts(spark, sf).module
 
 
 @register("extract_func_var", O.with_extracted("SELECT * FROM x_func_var_t"))
 def q_extract_func_var(spark, sf):
-    return facts.func_var_rows(_extracted(spark, sf))
+    return _facts(spark, sf).func_var
 
 
 @register("extract_annotation", O.with_extracted("SELECT * FROM x_annotation_t"))
 def q_extract_annotation(spark, sf):
-    return facts.annotation_rows(_extracted(spark, sf))
+    return _facts(spark, sf).annotation
 
 
 @register("extract_rejects",
           f"SELECT CAST(p_size AS INTEGER) AS repo_id, concat('pkg/p', CAST(p_partkey AS VARCHAR), '.py') "
           f"AS path_rel, 'SyntaxError' AS status FROM part WHERE p_size % {standins.BROKEN_EVERY} = 0")
 def q_extract_rejects(spark, sf):
-    return facts.reject_rows(_extracted(spark, sf))
+    return _facts(spark, sf).rejects
 
 
 @register("hist_base_type",
           O.with_extracted("SELECT base_type, count(*) AS total FROM x_annotation_t GROUP BY base_type"))
 def q_hist_base_type(spark, sf):
-    return reports.hist_base_type(facts.annotation_rows(_extracted(spark, sf)))
+    return reports.hist_base_type(_facts(spark, sf).annotation)
 
 
 @register("hist_base_type_functions",
           O.with_extracted("SELECT base_type, count(*) AS total FROM x_annotation_t "
                            "WHERE func_var_type = 'argument' OR func_var_type = 'return' GROUP BY base_type"))
 def q_hist_base_type_functions(spark, sf):
-    return reports.hist_base_type_functions(facts.annotation_rows(_extracted(spark, sf)))
+    return reports.hist_base_type_functions(_facts(spark, sf).annotation)
 
 
 @register("hist_func_var_type",
           O.with_extracted("SELECT func_var_type, count(*) AS total FROM x_annotation_t GROUP BY func_var_type"))
 def q_hist_func_var_type(spark, sf):
-    return reports.hist_func_var_type(facts.annotation_rows(_extracted(spark, sf)))
+    return reports.hist_func_var_type(_facts(spark, sf).annotation)
 
 
 @register("annotations_per_module",
@@ -96,8 +122,8 @@ def q_hist_func_var_type(spark, sf):
               "(SELECT repo_id, path_rel, count(*) AS n FROM x_annotation_t GROUP BY 1, 2) a "
               "ON m.repo_id = a.repo_id AND m.path_rel = a.path_rel"))
 def q_annotations_per_module(spark, sf):
-    ext = _extracted(spark, sf)
-    return facts.annotations_per_module(facts.module_rows(ext), facts.annotation_rows(ext))
+    t = _facts(spark, sf)
+    return facts.annotations_per_module(t.module, t.annotation)
 
 
 @register("reconcile_module",
@@ -278,7 +304,8 @@ from tyscope.sources import repos_json  # noqa: E402
 
 
 def _snap(spark, sf):
-    return standins.snapshots(spark, sf)
+    from tyscope.session import materialize
+    return _once(spark, ("snapshots", sf), lambda: materialize(standins.snapshots(spark, sf), "snapshots"))
 
 
 def _merged(spark, sf):
@@ -444,21 +471,24 @@ from tyscope.operators import triage  # noqa: E402
 
 
 def _tri_extracted(spark, sf):
-    stream, _ = facts.extract_tables(standins.triage_files(spark, sf), "triage-extracted")
-    return stream
+    return _once(spark, ("triage-extracted", sf),
+                 lambda: facts.extract_tables(standins.triage_files(spark, sf), "triage-extracted")[0])
 
 
 _tri_extracted_once = _tri_extracted
 
 
+def _tri_facts(spark, sf):
+    return _once(spark, ("triage-facts", sf), lambda: facts.fact_tables(_tri_extracted(spark, sf)))
+
+
 def _tri_full(spark, sf, ext=None):
-    ext = ext if ext is not None else _tri_extracted(spark, sf)
-    return reports.full_annot(facts.func_var_rows(ext), facts.annotation_rows(ext))
+    t = _tri_facts(spark, sf)
+    return reports.full_annot(t.func_var, t.annotation)
 
 
 def _tri_verdicts(spark, sf, ext=None):
-    ext = ext if ext is not None else _tri_extracted(spark, sf)
-    return triage.repo_verdict(facts.module_rows(ext), standins.diagnostics(spark, sf))
+    return triage.repo_verdict(_tri_facts(spark, sf).module, standins.diagnostics(spark, sf))
 
 
 @register("probe_status", O.with_triage("SELECT repo_id, path_rel, name, lineno, probe_call, status FROM tri_defs_t"))
@@ -652,17 +682,17 @@ def _commit_roundtrip(spark, sf, table, rows):
 
 @register("commit_log_module", O.with_extracted("SELECT * FROM x_module_t"))
 def q_commit_log_module(spark, sf):
-    return _commit_roundtrip(spark, sf, "module", facts.module_rows(_extracted(spark, sf)))
+    return _commit_roundtrip(spark, sf, "module", _facts(spark, sf).module)
 
 
 @register("commit_log_func_var", O.with_extracted("SELECT * FROM x_func_var_t"))
 def q_commit_log_func_var(spark, sf):
-    return _commit_roundtrip(spark, sf, "func_var", facts.func_var_rows(_extracted(spark, sf)))
+    return _commit_roundtrip(spark, sf, "func_var", _facts(spark, sf).func_var)
 
 
 @register("commit_log_annotation", O.with_extracted("SELECT * FROM x_annotation_t"))
 def q_commit_log_annotation(spark, sf):
-    return _commit_roundtrip(spark, sf, "annotation", facts.annotation_rows(_extracted(spark, sf)))
+    return _commit_roundtrip(spark, sf, "annotation", _facts(spark, sf).annotation)
 
 
 @register("load_fact_table", O.with_extracted("SELECT * FROM x_func_var_t"))
@@ -670,7 +700,7 @@ def q_load_fact_table(spark, sf):
     """First load: files of even parts; second load: every file twice (all keys repeat)."""
     from tyscope.schemas import FUNC_VAR_KEY
     path = scratch_path(spark, "func-var-table")
-    fv = facts.func_var_rows(_extracted(spark, sf))
+    fv = _facts(spark, sf).func_var
     first = fv.where(F.regexp_extract("path_rel", r"p(\d+)\.py$", 1).cast("int") % 2 == 0)
     IO.load_fact_table(spark, IO.stage_rows(first, FUNC_VAR), path, FUNC_VAR_KEY)
     again = IO.stage_rows(fv.unionByName(fv), FUNC_VAR)
@@ -682,7 +712,7 @@ def q_load_fact_table(spark, sf):
           "CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INTEGER) AS num_annotations FROM part WHERE false")
 def q_clear_table(spark, sf):
     path = scratch_path(spark, "module-table")
-    IO.stage_rows(facts.module_rows(_extracted(spark, sf)), MODULE).write.parquet(path)
+    IO.stage_rows(_facts(spark, sf).module, MODULE).write.parquet(path)
     return IO.clear_table(spark, path, MODULE)
 
 
