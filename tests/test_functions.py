@@ -41,3 +41,10 @@ def test_repo_root_and_percent(spark):
     df = spark.createDataFrame([("/a/b/c/d/e.py", 1, 8)], "p string, n long, t long")
     r = df.select(repo_root("p", 4).alias("r"), percent_share("n", "t").alias("s")).first()
     assert r.r == "/a/b/c" and r.s == 12.5
+
+
+def test_lookup_default(spark):
+    from tyscope.functions.columns import lookup_default
+    df = spark.createDataFrame([("7066",), ("12",)], "k string").withColumn(
+        "m", F.create_map(F.lit("7066"), F.lit(True)))
+    assert [r[0] for r in df.select(lookup_default("m", "k", False)).collect()] == [True, False]

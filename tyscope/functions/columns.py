@@ -76,3 +76,10 @@ def percent_share(n: Column | str, total: Column | str) -> Column:
     n = F.col(n) if isinstance(n, str) else n
     total = F.col(total) if isinstance(total, str) else total
     return F.round(n / total * 100, 2)
+
+
+def lookup_default(map_col: Column | str, key: Column | str, default) -> Column:
+    """value for ``key`` in a map column, ``default`` when the key is absent."""
+    m = F.col(map_col) if isinstance(map_col, str) else map_col
+    k = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(F.try_element_at(m, k), F.lit(default))

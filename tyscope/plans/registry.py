@@ -156,6 +156,13 @@ def q_unannotated_name_share(spark, sf):
     return names.unannotated_name_share(names.unannotated_name_counts(_extracted(spark, sf)))
 
 
+@register("sort_name_counts",
+          O.with_extracted("SELECT arg_name, count(*) AS n FROM x_unannotated_t GROUP BY arg_name "
+                           "ORDER BY n DESC, arg_name"))
+def q_sort_name_counts(spark, sf):
+    return names.sort_counts(names.unannotated_name_counts(_extracted(spark, sf)))
+
+
 # ====================================================================== relational reports (stand-ins)
 @register("partial_annotations",
           O.with_relational("SELECT * FROM func_var_t WHERE num_var > 1 AND num_var_annotated > 0"))
