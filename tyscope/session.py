@@ -25,12 +25,20 @@ _LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # source files are small and many: pack more of them per scan task
     "spark.sql.files.openCostInBytes": str(64 * 1024),
+    # whole source files travel in Arrow batches: keep batches small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
 
 
 def get_session(master: str | None = None, app: str = "tyscope",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
+    """The active session untouched if there is one (a cluster submitter's settings
+    win); otherwise a new session with the local defaults above."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        checkpoint_dir(active)
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -75,11 +75,17 @@ def not_ignored(dirs_col: str = "dirs"):
 
 
 def keep_stubs_with_twin(stubs: DataFrame, py_paths: DataFrame) -> DataFrame:
-    """H5: a ``.pyi`` stays only if ``<stem>.py`` exists in the same folder."""
+    """H5: a ``.pyi`` stays only if ``<stem>.py`` exists in the same folder.
+
+    Stubs are few and module paths are many: the (size-checked) set of wanted
+    twin paths is broadcast and the module path list streams through it, so the
+    large side is never shuffled.
+    """
     twin = F.expr("substring(path, 1, length(path) - 1)")
-    return (stubs.withColumn("_twin", twin)
-            .join(py_paths.select(F.col("path").alias("_twin")), "_twin", "left_semi")
-            .drop("_twin"))
+    wanted = stubs.select(twin.alias("_twin")).distinct()
+    found = (py_paths.select(F.col("path").alias("_twin"))
+             .join(sized_broadcast(wanted), "_twin", "inner"))
+    return stubs.withColumn("_twin", twin).join(found, "_twin", "left_semi").drop("_twin")
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -108,11 +114,11 @@ def source_files(spark: SparkSession, root: str, repository: DataFrame | None =
 
     Without a repository table the id is -1 (the study's "no database" mode).
     """
-    py = with_layout(_binary(spark, root, "*.py"), root).where(python_file() & not_ignored())
-    py_paths = with_layout(_binary(spark, root, "*.py").select("path"), root) \
-        .where(python_file() & not_ignored()).select("path")
-    stubs = with_layout(_binary(spark, root, "*.pyi"), root).where(python_file() & not_ignored())
-    stubs = keep_stubs_with_twin(stubs, py_paths)
+    # one listing of the tree; the path-only use below reads no content
+    raw = with_layout(_binary(spark, root, "*.{py,pyi}"), root).where(python_file() & not_ignored())
+    py = raw.where(F.col("file").endswith(".py"))
+    py_paths = py.select("path")
+    stubs = keep_stubs_with_twin(raw.where(F.col("file").endswith(".pyi")), py_paths)
     cols = ["year", "user_name", "repo", "path_rel", "content"]
     files = py.select(*cols).unionByName(stubs.select(*cols))
     if repository is None:

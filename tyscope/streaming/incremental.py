@@ -28,10 +28,14 @@ def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
         files = F_.with_layout(batch, root).where(F_.python_file() & F_.not_ignored())
         py = files.where(F.col("file").endswith(".py"))
         stubs = files.where(F.col("file").endswith(".pyi"))
-        # twins may have arrived in an earlier batch: check against the tree listing
-        py_paths = (F_.with_layout(F_._binary(spark, root, "*.py").select("path"), root)
-                    .where(F_.python_file() & F_.not_ignored()).select("path"))
-        stubs = F_.keep_stubs_with_twin(stubs, py_paths)
+        # a twin may have arrived in an earlier batch: list the stubs' own folders only
+        # (their number is bounded by the files per trigger)
+        stub_dirs = [r[0] for r in stubs.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+                     .distinct().collect()]
+        if stub_dirs:
+            listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.py")
+                      .option("ignoreMissingFiles", "true").load(stub_dirs).select("path"))
+            stubs = F_.keep_stubs_with_twin(stubs, listed)
         cols = ["year", "user_name", "repo", "path_rel", "content"]
         chosen = py.select(*cols).unionByName(stubs.select(*cols))
         if repository is None:
@@ -48,7 +52,7 @@ def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
 
 
 def incremental_extraction(spark: SparkSession, root: str, table_root: str, checkpoint: str,
-                           repository: DataFrame | None = None, max_files_per_trigger: int | None = None,
+                           repository: DataFrame | None = None, max_files_per_trigger: int = 100_000,
                            available_now: bool = True) -> StreamingQuery:
     """Start the stream; with ``available_now`` it handles every new file and stops."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
