@@ -75,6 +75,6 @@ def test_incremental_stream_is_idempotent(spark, tmp):
     q.awaitTermination()
     fv = spark.read.parquet(out + "/func_var")
     assert rows(fv, "repo_id", "path_rel", "name", "num_var", "num_var_annotated") == [
-        (7, "a.py", "f", 2, 2), (7, "a.py", "x", 1, 1), (8, "m.py", "g", 2, 0)]
+        (7, "a.py", "f", 2, 2), (7, "a.py", "x", 1, 1), (7, "a.pyi", "x", 1, 1), (8, "m.py", "g", 2, 0)]
     assert spark.read.parquet(out + "/annotation").count() == 4
     assert rows(spark.read.parquet(out + "/module"), "path_rel") == [("a.py",), ("a.pyi",), ("m.py",)]
