@@ -1,0 +1,19 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only after checking it has at most ``max_rows`` rows.
+
+    Beyond the bound the planner keeps a shuffle join, where AQE splits skewed
+    partitions. Used for per-repository / per-year sides joined to large,
+    possibly skewed tables, so the large side is never shuffled by a hot key.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import creation_year, format_created_at, split_full_name
+from tyscope.operators.joins import sized_broadcast
 from tyscope.operators.windows import first_by, previous_in_order
 
 TOP_PER_YEAR = 1000
@@ -79,8 +80,8 @@ def merge_snapshots(snap: DataFrame, top: int = TOP_PER_YEAR) -> DataFrame:
 
 def snapshot_match(snap: DataFrame, merged: DataFrame) -> DataFrame:
     """H6: snapshot records whose repository (name, created_at) is in the merged list."""
-    return snap.join(merged.select("year", "name", "created_at"), ["year", "name", "created_at"],
-                     "left_semi")
+    keys = sized_broadcast(merged.select("year", "name", "created_at"))  # <= top per year
+    return snap.join(keys, ["year", "name", "created_at"], "left_semi")
 
 
 def paginate(merged: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -129,7 +130,7 @@ def rejected_names(merged: DataFrame) -> DataFrame:
 
 def lookup_repo_id(repository: DataFrame, probes: DataFrame) -> DataFrame:
     """C7 (join form): id for each (year, user_name, name) probe, -1 when absent."""
-    r = repository.select("year", "user_name", "name", "id")
+    r = sized_broadcast(repository.select("year", "user_name", "name", "id"))
     return (probes.join(r, ["year", "user_name", "name"], "left")
             .withColumn("id", F.coalesce("id", F.lit(-1))))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import repo_root
+from tyscope.operators.joins import sized_broadcast
 from tyscope.schemas import MAX_NAME, MAX_PATH
 
 # The value each probe type name is instantiated with (as repr).
@@ -108,20 +109,24 @@ def repo_verdict(repos: DataFrame, diagnostics: DataFrame) -> DataFrame:
 
 
 def clean_repo_functions(functions: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """H8: functions of repositories with a clean verdict (no verdict = not clean)."""
-    return functions.join(verdicts.where(F.col("clean")).select("repo_id"), "repo_id", "left_semi")
+    """H8: functions of repositories with a clean verdict (no verdict = not clean).
+
+    One verdict per repository: broadcast after a size check, so a repository
+    with a third of all functions is not funnelled into one task."""
+    clean = verdicts.where(F.col("clean")).select("repo_id")
+    return functions.join(sized_broadcast(clean), "repo_id", "left_semi")
 
 
 def exclude_repos(functions: DataFrame, deny: list[int] | DataFrame = DENYLIST) -> DataFrame:
     """C11: drop denied repositories (a list, or a table of ``repo_id``)."""
     if isinstance(deny, DataFrame):
-        return functions.join(deny.select("repo_id"), "repo_id", "left_anti")
+        return functions.join(sized_broadcast(deny.select("repo_id")), "repo_id", "left_anti")
     return functions.where(~F.col("repo_id").isin(list(deny)))
 
 
 def focus_functions(functions: DataFrame, keys: DataFrame) -> DataFrame:
     """Only the (repo_id, name) pairs in ``keys``."""
-    return functions.join(keys.select("repo_id", "name"), ["repo_id", "name"], "left_semi")
+    return functions.join(sized_broadcast(keys.select("repo_id", "name")), ["repo_id", "name"], "left_semi")
 
 
 def resume_after(functions: DataFrame, last_done: int | None = None,
@@ -132,7 +137,7 @@ def resume_after(functions: DataFrame, last_done: int | None = None,
     if last_done is not None:
         out = out.where(F.col("repo_id") > last_done)
     if done is not None:
-        out = out.join(done.select("repo_id"), "repo_id", "left_anti")
+        out = out.join(sized_broadcast(done.select("repo_id")), "repo_id", "left_anti")
     return out
 
 

@@ -150,7 +150,7 @@ def q_arg_names_of_partial_counts(spark, sf):
 
 @register("unannotated_name_share",
           O.with_extracted(
-              "SELECT arg_name, n, sum(n) OVER () AS total, round(n / sum(n) OVER () * 100, 2) AS share "
+              "SELECT arg_name, n, CAST(sum(n) OVER () AS BIGINT) AS total, round(n / sum(n) OVER () * 100, 2) AS share "
               "FROM (SELECT arg_name, count(*) AS n FROM x_unannotated_t GROUP BY arg_name) c"))
 def q_unannotated_name_share(spark, sf):
     return names.unannotated_name_share(names.unannotated_name_counts(_extracted(spark, sf)))
@@ -430,7 +430,7 @@ def q_lookup_repo_by_name(spark, sf):
 
 
 @register("longest_repo_name", O.with_ranking(
-    "SELECT coalesce(max(year), 0) AS year, coalesce(max(length), 0) AS length, coalesce(max(value), '') "
+    "SELECT coalesce(max(year), 0) AS year, CAST(coalesce(max(length), 0) AS INTEGER) AS length, coalesce(max(value), '') "
     "AS value FROM (SELECT year, length(name) AS length, name AS value FROM repo_ranked_t "
     "ORDER BY length(name) DESC, id LIMIT 1) t"))
 def q_longest_repo_name(spark, sf):
@@ -438,7 +438,7 @@ def q_longest_repo_name(spark, sf):
 
 
 @register("longest_clone_url", O.with_ranking(
-    "SELECT coalesce(max(year), 0) AS year, coalesce(max(length), 0) AS length, coalesce(max(value), '') "
+    "SELECT coalesce(max(year), 0) AS year, CAST(coalesce(max(length), 0) AS INTEGER) AS length, coalesce(max(value), '') "
     "AS value FROM (SELECT year, length(clone_url) AS length, clone_url AS value FROM repo_ranked_t "
     "ORDER BY length(clone_url) DESC, id LIMIT 1) t"))
 def q_longest_clone_url(spark, sf):

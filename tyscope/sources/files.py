@@ -21,10 +21,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tyscope.operators.joins import sized_broadcast
+
 # Folders skipped at any depth below a repository root.
 IGNORED_DIRS = ["mypy", "python2.6"]
 
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -88,13 +89,6 @@ def keep_stubs_with_twin(stubs: DataFrame, py_paths: DataFrame) -> DataFrame:
     return stubs.withColumn("_twin", twin).join(found, "_twin", "left_semi").drop("_twin")
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows;
-    otherwise leave the join strategy to the planner (shuffle join)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_repo_id(files: DataFrame, repository: DataFrame) -> DataFrame:
     """H4: repository id of each file's (year, user, repo) folder (inner: unknown folders drop
     out; ``missing_repos`` lists them)."""
