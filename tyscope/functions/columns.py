@@ -45,7 +45,7 @@ def format_created_at(c: Column | str) -> Column:
 def creation_year(created_at_formatted: Column | str) -> Column:
     """Integer of the first four characters."""
     c = F.col(created_at_formatted) if isinstance(created_at_formatted, str) else created_at_formatted
-    return F.substring(c, 1, 4).cast("int")
+    return F.substring(c, 1, 4).try_cast("int")
 
 
 def split_full_name(full_name: Column | str) -> tuple[Column, Column, Column]:

@@ -56,8 +56,10 @@ def function_definitions(extracted: DataFrame) -> DataFrame:
             .select("repo_id",
                     F.substring("path_rel", 1, MAX_PATH).alias("path_rel"),
                     F.substring("name", 1, MAX_NAME).alias("name"),
+                    F.col("path_rel").alias("path_full"),
                     "seq", "lineno", "probe_args", "probe_return", "n_required_other"))
-    first = F.min_by(F.struct("lineno", "probe_args", "probe_return", "n_required_other"), F.col("seq"))
+    first = F.min_by(F.struct("lineno", "probe_args", "probe_return", "n_required_other"),
+                     F.struct("path_full", "seq"))
     return (defs.groupBy("repo_id", "path_rel", "name").agg(first.alias("d"))
             .select("repo_id", "path_rel", "name", "d.*"))
 

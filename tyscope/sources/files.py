@@ -55,7 +55,7 @@ def with_layout(files: DataFrame, root: str) -> DataFrame:
     n = F.size(parts)
     return (files
             .withColumn("_parts", parts)
-            .withColumn("year", F.element_at("_parts", 1).cast("int"))
+            .withColumn("year", F.element_at("_parts", 1).try_cast("int"))
             .withColumn("user_name", F.element_at("_parts", 2))
             .withColumn("repo", F.element_at("_parts", 3))
             .withColumn("path_rel", F.array_join(F.slice("_parts", 4, n - 3), "/"))

@@ -37,19 +37,19 @@ def _line_schema() -> T.StructType:
 # ------------------------------------------------------------------ study layout (JSON arrays)
 def read_snapshot_arrays(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A1/A3: snapshot arrays -> year, iteration, pos, name, url, stars, created_at."""
-    raw = spark.read.text(paths, wholetext=True).withColumn("_file", F.input_file_name())
+    raw = spark.read.text(paths, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
     recs = raw.select(
-        F.regexp_extract("_file", SNAPSHOT_FILE, 1).cast("int").alias("year"),
-        F.regexp_extract("_file", SNAPSHOT_FILE, 2).cast("int").alias("iteration"),
+        F.regexp_extract("_file", SNAPSHOT_FILE, 1).try_cast("int").alias("year"),
+        F.regexp_extract("_file", SNAPSHOT_FILE, 2).try_cast("int").alias("iteration"),
         F.posexplode(F.from_json("value", T.ArrayType(SNAPSHOT_RECORD))).alias("pos", "r"))
     return recs.select("year", "iteration", F.col("pos").cast("long").alias("pos"), "r.*")
 
 
 def read_year_arrays(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A2/O1: merged yearly arrays -> year, rank, name, url, stars, created_at."""
-    raw = spark.read.text(paths, wholetext=True).withColumn("_file", F.input_file_name())
+    raw = spark.read.text(paths, wholetext=True).withColumn("_file", F.col("_metadata.file_path"))
     recs = raw.select(
-        F.regexp_extract("_file", YEAR_FILE, 1).cast("int").alias("year"),
+        F.regexp_extract("_file", YEAR_FILE, 1).try_cast("int").alias("year"),
         F.posexplode(F.from_json("value", T.ArrayType(SNAPSHOT_RECORD))).alias("rank", "r"))
     return recs.select("year", "rank", "r.*")
 
