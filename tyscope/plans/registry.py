@@ -553,23 +553,24 @@ def q_exclude_repos(spark, sf):
     return triage.exclude_repos(_tri_full(spark, sf))
 
 
-_DENY_SQL = "SELECT DISTINCT CAST(user_id AS INTEGER) AS repo_id FROM events WHERE event_type = 'signup' AND user_id % 4 = 0"
+_DENY_SQL = "SELECT DISTINCT CAST(user_id AS INTEGER) AS repo_id FROM events WHERE event_type = 'signup' AND value > 200"
 
 
 @register("exclude_repos_table", O.with_triage(
     f"SELECT * FROM tri_full_t WHERE repo_id NOT IN ({_DENY_SQL})"))
 def q_exclude_repos_table(spark, sf):
     e = read_table(spark, sf, "events")
-    deny = (e.where((F.col("event_type") == "signup") & (F.col("user_id") % 4 == 0))
+    deny = (e.where((F.col("event_type") == "signup") & (F.col("value") > 200))
             .select(F.col("user_id").cast("int").alias("repo_id")).distinct())
     return triage.exclude_repos(_tri_full(spark, sf), deny)
 
 
 @register("focus_function", O.with_triage(
-    "SELECT * FROM tri_full_t f WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 50 = 1 "
+    "SELECT * FROM tri_full_t f WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_brand = 'Brand#1' "
     "AND CAST(p.p_size AS INTEGER) = f.repo_id AND concat('t', CAST(p.p_partkey AS VARCHAR)) = f.name)"))
 def q_focus_function(spark, sf):
-    keys = (read_table(spark, sf, "part").where(F.col("p_partkey") % 50 == 1)
+    # focus: the functions of one brand's parts
+    keys = (read_table(spark, sf, "part").where(F.col("p_brand") == "Brand#1")
             .select(F.col("p_size").cast("int").alias("repo_id"),
                     F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name")))
     return triage.focus_functions(_tri_full(spark, sf), keys)

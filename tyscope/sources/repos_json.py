@@ -34,6 +34,13 @@ def _line_schema() -> T.StructType:
     ])
 
 
+def snapshot_paths(root: str, year: int, iterations: int = 5, ext: str = "json") -> tuple[str, list[str]]:
+    """A3: the merged list's file name and the snapshot file names of one year."""
+    base = root.rstrip("/")
+    return (f"{base}/github_data_{year}.{ext}",
+            [f"{base}/github_data_{year}_{i}.{ext}" for i in range(iterations)])
+
+
 # ------------------------------------------------------------------ study layout (JSON arrays)
 def read_snapshot_arrays(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A1/A3: snapshot arrays -> year, iteration, pos, name, url, stars, created_at."""
