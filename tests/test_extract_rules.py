@@ -33,21 +33,21 @@ def an(src):
             for r in run(src).get("annotation", [])]
 
 
-# ---- golden fixtures (the two fixture modules, re-typed)
+# ---- golden fixtures (two small modules with hand-derived rows, FIXTURES.md §2)
 FILE1 = "def func1() -> int:\n    return 0\n\ndef func2() -> None:\n    pass\n\ndef func3():\n    pass\n\ndef func4():\n    return 0\n"
 FILE2 = "from typing import Optional\n\n\nx: Optional[int] = None\n"
 
 
 def test_golden_file1():
-    k = run(FILE1, "test_file1.py")
-    assert [(r["name"], r["num_annotations"]) for r in k["module"]] == [("test_file1.py", 2)]
+    k = run(FILE1, "fixture_a.py")
+    assert [(r["name"], r["num_annotations"]) for r in k["module"]] == [("fixture_a.py", 2)]
     assert fv(FILE1) == [("func1", 1, 1, 1), ("func2", 4, 1, 1), ("func3", 7, 0, 0), ("func4", 10, 1, 0)]
     assert an(FILE1) == [("func1", 1, "", "return", "int", 1), ("func2", 4, "", "return", "None", 1)]
 
 
 def test_golden_file2():
-    k = run(FILE2, "test_folder/test_file2.py")
-    assert [(r["name"], r["num_annotations"]) for r in k["module"]] == [("test_file2.py", 1)]
+    k = run(FILE2, "sub/fixture_b.py")
+    assert [(r["name"], r["num_annotations"]) for r in k["module"]] == [("fixture_b.py", 1)]
     assert fv(FILE2) == [("x", 4, 1, 1)]
     assert an(FILE2) == [("x", 4, "x", "variable", "Optional[int]", 2)]
 

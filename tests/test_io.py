@@ -45,7 +45,7 @@ def test_commit_log_study_document(spark, tmp):
            "func_var_commits": [[3, "pkg/a.py", "f", 1, 2, 2], [3, "pkg/a.py", "x", 4, 1, 0]],
            "annotation_commits": [[3, "pkg/a.py", "f", 1, "a", "argument", "int", "int", 1],
                                   [3, "pkg/a.py", "f", 1, "", "return", "None", "None", 0]]}
-    _write(f"{tmp}/log/db_query_2019.json", doc)
+    _write(f"{tmp}/log/commit_2019.json", doc)
     fv = IO.read_commit_log(spark, f"{tmp}/log", "func_var")
     assert rows(fv) == [(3, "pkg/a.py", "f", 1, 2, 2), (3, "pkg/a.py", "x", 4, 1, 0)]
     an = IO.read_commit_log(spark, f"{tmp}/log", "annotation")
@@ -65,9 +65,9 @@ def test_findings_file_both_shapes(spark, tmp):
 
 
 def test_json_maps(spark, tmp):
-    _write(f"{tmp}/counts/unannot.json", {"self": 10, "x": 3})
+    _write(f"{tmp}/counts/names.json", {"self": 10, "x": 3})
     assert rows(IO.read_count_map(spark, f"{tmp}/counts")) == [("self", 10), ("x", 3)]
-    _write(f"{tmp}/verdicts/mypy_progress.json", {"7066": True, "12": False})
+    _write(f"{tmp}/verdicts/verdicts.json", {"7066": True, "12": False})
     assert rows(IO.read_verdict_map(spark, f"{tmp}/verdicts")) == [(12, False), (7066, True)]
     v = spark.createDataFrame([(1, True), (2, False)], "repo_id int, clean boolean")
     IO.write_verdict_map(v, f"{tmp}/v2")

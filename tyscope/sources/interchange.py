@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tyscope.operators.joins import sized_broadcast
 from tyscope.schemas import ANNOTATION, FUNC_VAR, MODULE
 
 COMMIT_KEYS = {
@@ -134,7 +135,8 @@ def load_fact_table(spark: SparkSession, new_rows: DataFrame, path: str, key: li
     row per key wins (``order``), like inserts that skip duplicate keys.
 
     The batch dedupe is a keyed window; the existing-key check is an anti join
-    on the key columns only.
+    on the key columns only, against the stored keys of the batch's
+    repositories (a broadcast semi join narrows them first).
     """
     batch = new_rows
     if order:
@@ -144,6 +146,10 @@ def load_fact_table(spark: SparkSession, new_rows: DataFrame, path: str, key: li
         batch = batch.dropDuplicates(key)
     try:
         existing = spark.read.parquet(path).select(*key)
+        if "repo_id" in key:
+            # only stored rows of the batch's repositories can collide
+            repos = sized_broadcast(batch.select("repo_id").distinct())
+            existing = existing.join(repos, "repo_id", "left_semi")
         batch = batch.join(existing, key, "left_anti")
     except Exception as e:  # noqa: BLE001 - first load: no table yet
         if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
