@@ -104,3 +104,16 @@ def test_checkpoint_dir_from_session(spark):
     from tyscope.session import checkpoint_dir
     d = checkpoint_dir(spark)
     assert d and spark.conf.get("spark.checkpoint.dir") == d
+
+
+def test_sql_views_match_operators(spark):
+    from tyscope.plans.views import register_views
+    r = standins.Relational(spark, SF_SMALL)
+    register_views(spark, r.repository, r.module, r.func_var, r.annotation)
+    a = spark.sql("SELECT base_type, count(*) AS total FROM partial_annotation_complete GROUP BY base_type")
+    b = reports.hist_base_type_partial(r.func_var, r.annotation)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    lo = spark.sql("SELECT sum(num_var) AS s FROM func_var WHERE repo_id >= :lo AND repo_id < :lo + 1000",
+                   args={"lo": 0}).first()[0]
+    assert lo == reports.potential_annotations(r.func_var, 0).first()[0]
+    assert spark.sql("SELECT count(*) FROM full_annot").first()[0] == reports.full_annot(r.func_var, r.annotation).count()
