@@ -150,5 +150,7 @@ def _writer(root: str):
 def write_tree(files: DataFrame, root: str) -> int:
     """Write ``(rel_path, content)`` rows as files below ``root`` from the executors
     (Arrow file systems: local, HDFS, S3, GCS). Returns the number of files."""
+    from tyscope.session import ship_package
+    ship_package(files.sparkSession)
     out = files.select("rel_path", "content").mapInArrow(_writer(root), "rel_path string, bytes long")
     return out.count()
