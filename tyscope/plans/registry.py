@@ -43,7 +43,7 @@ _BUILT: dict = {}
 
 
 def _once(spark, key, build):
-    k = (spark.sparkContext.applicationId, key)
+    k = (spark.sparkContext.applicationId, id(spark), key)
     if k not in _BUILT:
         _BUILT[k] = build()
     return _BUILT[k]
