@@ -104,6 +104,8 @@ def year_offsets(merged: DataFrame) -> DataFrame:
     """Start id of each year: years are numbered newest first, so year y starts
     after all newer years' repositories. One row per year (a small table)."""
     counts = merged.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    # a running sum over the years: the input has one row per year, so the
+    # single ordered partition holds a handful of rows
     w = Window.orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select("year", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("int").alias("offset"))
 
@@ -113,7 +115,7 @@ def repository_rows(merged: DataFrame) -> DataFrame:
     '/' are left out (see ``rejected_names``)."""
     user, short, valid = split_full_name("name")
     created = format_created_at("created_at")
-    offsets = F.broadcast(year_offsets(merged))  # one row per year
+    offsets = sized_broadcast(year_offsets(merged))  # one row per year
     return (merged.where(valid).join(offsets, "year")
             .select((F.col("offset") + F.col("rank")).cast("int").alias("id"),
                     creation_year(created).alias("year"),

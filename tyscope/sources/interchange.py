@@ -54,7 +54,10 @@ def write_commit_log(rows: DataFrame, table: str, path: str) -> None:
 
 
 def read_commit_log(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of one table from commit-log documents (ours or the study's single-line files)."""
+    """Rows of one table from commit-log documents (ours or the study's single-line files).
+
+    A study document holds a whole year on one line and is parsed by one task
+    (import only); the writer above never produces such documents."""
     key, schema = COMMIT_KEYS[table]
     docs = spark.read.text(path).select(F.parse_json("value").alias("v"))
     rows = docs.select(F.explode(F.try_variant_get("v", f"$.{key}", "array<variant>")).alias("r"))
