@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tyscope.operators import extract as X
 from tyscope.operators import facts, names, reports
 from tyscope.plans import oracle as O
-from tyscope.session import read_table
+from tyscope.session import read_table, scratch_path
 from tyscope.sources import standins
 
 
@@ -60,12 +60,24 @@ def _facts(spark, sf):
 
 
 class _Stored:
+    """Stand-in tables stored once; func_var and annotation bucketed and sorted on
+    the func_var key, so the report joins between them need no shuffle."""
+
     def __init__(self, spark, sf):
+        import uuid
+
         from tyscope.session import materialize
+        from tyscope.sources.interchange import save_bucketed
         r = standins.Relational(spark, sf)
+        tag = uuid.uuid4().hex[:10]
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        key = ["repo_id", "path_rel", "name", "lineno"]
         self.repository = materialize(r.repository, "repository")
-        self.func_var = materialize(r.func_var, "func-var")
-        self.annotation = materialize(standins.annotation(self.func_var), "annotation")
+        self.func_var = save_bucketed(r.func_var, f"tyscope_func_var_{tag}",
+                                      scratch_path(spark, "func-var"), key, n)
+        an = standins.annotation(self.func_var).withColumnRenamed("func_var_name", "name")
+        self.annotation = save_bucketed(an, f"tyscope_annotation_{tag}", scratch_path(spark, "annotation"),
+                                        key, n).withColumnRenamed("name", "func_var_name")
         self.module = materialize(standins.module(self.func_var), "module")
 
 
