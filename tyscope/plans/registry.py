@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tyscope.operators import extract as X
-from tyscope.operators import facts, names, reports
+from tyscope.operators import facts, names, ranking, reports, triage
 from tyscope.plans import oracle as O
-from tyscope.session import read_table, scratch_path
-from tyscope.sources import standins
+from tyscope.schemas import FUNC_VAR, FUNC_VAR_KEY, MODULE, REPOSITORY
+from tyscope.session import materialize, read_table, scratch_path
+from tyscope.sources import files as source_tree
+from tyscope.sources import interchange as IO
+from tyscope.sources import repos_json, standins
 
 
 @dataclass(frozen=True)
@@ -66,17 +68,15 @@ class _Stored:
     def __init__(self, spark, sf):
         import uuid
 
-        from tyscope.session import materialize
-        from tyscope.sources.interchange import save_bucketed
         r = standins.Relational(spark, sf)
         tag = uuid.uuid4().hex[:10]
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         key = ["repo_id", "path_rel", "name", "lineno"]
         self.repository = materialize(r.repository, "repository")
-        self.func_var = save_bucketed(r.func_var, f"tyscope_func_var_{tag}",
+        self.func_var = IO.save_bucketed(r.func_var, f"tyscope_func_var_{tag}",
                                       scratch_path(spark, "func-var"), key, n)
         an = standins.annotation(self.func_var).withColumnRenamed("func_var_name", "name")
-        self.annotation = save_bucketed(an, f"tyscope_annotation_{tag}", scratch_path(spark, "annotation"),
+        self.annotation = IO.save_bucketed(an, f"tyscope_annotation_{tag}", scratch_path(spark, "annotation"),
                                         key, n).withColumnRenamed("name", "func_var_name")
         self.module = materialize(standins.module(self.func_var), "module")
 
@@ -317,13 +317,9 @@ def q_lookup_module(spark, sf):
 
 
 # ====================================================================== ranking (L1)
-from tyscope.operators import ranking  # noqa: E402
-from tyscope.session import scratch_path  # noqa: E402
-from tyscope.sources import repos_json  # noqa: E402
 
 
 def _snap(spark, sf):
-    from tyscope.session import materialize
     return _once(spark, ("snapshots", sf), lambda: materialize(standins.snapshots(spark, sf), "snapshots"))
 
 
@@ -366,7 +362,6 @@ def q_order_errors(spark, sf):
 def q_order_errors_sorted(spark, sf):
     d = ranking.dedupe_snapshot(_snap(spark, sf))
     # positions after the star-descending rewrite: rank inside each snapshot file
-    from pyspark.sql import Window
     w = Window.partitionBy("year", "iteration").orderBy(F.desc("stars"), "pos")
     return ranking.order_errors(d.withColumn("pos", F.row_number().over(w)))
 
@@ -486,7 +481,6 @@ def q_scan_year_files(spark, sf):
 
 
 # ====================================================================== triage (L3)
-from tyscope.operators import triage  # noqa: E402
 
 
 def _tri_extracted(spark, sf):
@@ -640,7 +634,6 @@ def q_distinct_repo_paths(spark, sf):
 
 
 # ====================================================================== source tree
-from tyscope.sources import files as source_tree  # noqa: E402
 
 
 def _tree_root(spark, sf):
@@ -664,8 +657,6 @@ def q_tree_missing_repos(spark, sf):
 
 
 # ====================================================================== interchange and loading
-from tyscope.schemas import FUNC_VAR, MODULE  # noqa: E402
-from tyscope.sources import interchange as IO  # noqa: E402
 
 
 @register("count_map_roundtrip",
@@ -718,7 +709,6 @@ def q_commit_log_annotation(spark, sf):
 @register("load_fact_table", O.with_extracted("SELECT * FROM x_func_var_t"))
 def q_load_fact_table(spark, sf):
     """First load: files of even parts; second load: every file twice (all keys repeat)."""
-    from tyscope.schemas import FUNC_VAR_KEY
     path = scratch_path(spark, "func-var-table")
     fv = _facts(spark, sf).func_var
     first = fv.where(F.regexp_extract("path_rel", r"p(\d+)\.py$", 1).cast("int") % 2 == 0)
@@ -738,7 +728,6 @@ def q_clear_table(spark, sf):
 
 @register("load_repository_table", O.with_ranking("SELECT * FROM repo_ranked_t"))
 def q_load_repository_table(spark, sf):
-    from tyscope.schemas import REPOSITORY
     path = scratch_path(spark, "repository-table")
     IO.stage_rows(ranking.repository_rows(_merged(spark, sf)), REPOSITORY).write.mode("append").parquet(path)
     return spark.read.parquet(path)
@@ -752,7 +741,6 @@ def q_load_repository_table(spark, sf):
     "WHERE f.num_var_annotated > 1 AND f.num_var = f.num_var_annotated "
     "GROUP BY f.repo_id, f.path_rel, f.name"))
 def q_full_annot_materialized(spark, sf):
-    from tyscope.session import materialize
     r = _rel(spark, sf)
     return materialize(reports.full_annot(r.func_var, r.annotation), "full-annot")
 
