@@ -227,3 +227,13 @@ def test_walk_equivalence_and_reconcile_on_stdlib():
         assert sum(r[_IDX["num_var_annotated"]] for r in b.func_vars) == len(b.annotations)
         n += 1
     assert n > 100
+
+
+def test_unexpected_error_becomes_reject(monkeypatch):
+    import tyscope.operators.extract as X
+
+    def boom(self, node):
+        raise KeyError("odd")
+    monkeypatch.setattr(X._FileWalk, "walk", boom)
+    out = X.extract_file(1, "m.py", b"x = 1\n")
+    assert out[0][_IDX["kind"]] == "reject" and out[0][_IDX["status"]] == "unexpected:KeyError"
