@@ -50,14 +50,22 @@ STATUS_CHECKABLE = "checkable"
 
 
 # ---------------------------------------------------------------- definitions
-def function_definitions(extracted: DataFrame) -> DataFrame:
-    """The first ``def`` of each name in each file (pre-order), with its probe inputs."""
+def function_definitions(extracted: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The first ``def`` of each name in each file (pre-order), with its probe inputs.
+
+    ``wanted`` (``repo_id, path_rel, name``): only these functions are needed; the
+    definition rows are filtered against a size-checked broadcast of the keys
+    before the shuffle, so unneeded definitions never leave their task.
+    """
     defs = (extracted.where((F.col("kind") == "func_var") & F.col("is_function"))
             .select("repo_id",
                     F.substring("path_rel", 1, MAX_PATH).alias("path_rel"),
                     F.substring("name", 1, MAX_NAME).alias("name"),
                     F.col("path_rel").alias("path_full"),
                     "seq", "lineno", "probe_args", "probe_return", "n_required_other"))
+    if wanted is not None:
+        keys = sized_broadcast(wanted.select("repo_id", "path_rel", "name").distinct())
+        defs = defs.join(keys, ["repo_id", "path_rel", "name"], "left_semi")
     first = F.min_by(F.struct("lineno", "probe_args", "probe_return", "n_required_other"),
                      F.struct("path_full", "seq"))
     return (defs.groupBy("repo_id", "path_rel", "name").agg(first.alias("d"))

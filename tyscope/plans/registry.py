@@ -537,7 +537,8 @@ def q_full_annot_triage(spark, sf):
     "AND f.path_rel = d.path_rel AND f.name = d.name"))
 def q_attach_function_definition(spark, sf):
     ext = _tri_extracted_once(spark, sf)
-    att = triage.attach_function_definition(_tri_full(spark, sf, ext), triage.function_definitions(ext))
+    full = _tri_full(spark, sf, ext)
+    att = triage.attach_function_definition(full, triage.function_definitions(ext, wanted=full))
     return att.select("repo_id", "path_rel", "name", "sum_num_var", "sum_num_var_annotated", "lineno")
 
 
@@ -599,7 +600,7 @@ def q_triage_candidates(spark, sf):
     ext = _tri_extracted_once(spark, sf)
     full = triage.exclude_repos(_tri_full(spark, sf, ext))
     full = triage.clean_repo_functions(full, _tri_verdicts(spark, sf, ext))
-    att = triage.attach_function_definition(full, triage.function_definitions(ext))
+    att = triage.attach_function_definition(full, triage.function_definitions(ext, wanted=full))
     return (triage.probe_status(triage.probe_arguments(att))
             .select("repo_id", "path_rel", "name", "lineno", "probe_call", "status"))
 
