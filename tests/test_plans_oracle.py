@@ -117,3 +117,21 @@ def test_sql_views_match_operators(spark):
                    args={"lo": 0}).first()[0]
     assert lo == reports.potential_annotations(r.func_var, 0).first()[0]
     assert spark.sql("SELECT count(*) FROM full_annot").first()[0] == reports.full_annot(r.func_var, r.annotation).count()
+
+
+def test_hot_repository_is_not_shuffled_by_key(spark):
+    from pyspark.sql import functions as F
+    from tyscope.operators import triage
+    n = 30000
+    funcs = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise((F.col("id") % 500).cast("int")).alias("repo_id"),
+        F.concat(F.lit("p"), (F.col("id") % 97).cast("string"), F.lit(".py")).alias("path_rel"),
+        F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"))
+    verdicts = spark.range(500).select(F.col("id").cast("int").alias("repo_id"),
+                                       (F.col("id") % 2 == 1).alias("clean"))
+    deny = spark.createDataFrame([(3,), (5,)], "repo_id int")
+    out = triage.exclude_repos(triage.clean_repo_functions(funcs, verdicts), deny)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(repo_id" not in plan, plan
+    assert plan.count("BroadcastHashJoin") == 2
+    assert out.count() == funcs.where("repo_id % 2 = 1 AND repo_id NOT IN (3, 5)").count()
