@@ -488,19 +488,17 @@ def _tri_extracted(spark, sf):
                  lambda: facts.extract_tables(standins.triage_files(spark, sf), "triage-extracted")[0])
 
 
-_tri_extracted_once = _tri_extracted
-
 
 def _tri_facts(spark, sf):
     return _once(spark, ("triage-facts", sf), lambda: facts.fact_tables(_tri_extracted(spark, sf)))
 
 
-def _tri_full(spark, sf, ext=None):
+def _tri_full(spark, sf):
     t = _tri_facts(spark, sf)
     return reports.full_annot(t.func_var, t.annotation)
 
 
-def _tri_verdicts(spark, sf, ext=None):
+def _tri_verdicts(spark, sf):
     return triage.repo_verdict(_tri_facts(spark, sf).module, standins.diagnostics(spark, sf))
 
 
@@ -536,8 +534,8 @@ def q_full_annot_triage(spark, sf):
     "SELECT f.*, d.lineno FROM tri_full_t f JOIN tri_defs_t d ON f.repo_id = d.repo_id "
     "AND f.path_rel = d.path_rel AND f.name = d.name"))
 def q_attach_function_definition(spark, sf):
-    ext = _tri_extracted_once(spark, sf)
-    full = _tri_full(spark, sf, ext)
+    ext = _tri_extracted(spark, sf)
+    full = _tri_full(spark, sf)
     att = triage.attach_function_definition(full, triage.function_definitions(ext, wanted=full))
     return att.select("repo_id", "path_rel", "name", "sum_num_var", "sum_num_var_annotated", "lineno")
 
@@ -550,8 +548,7 @@ def q_repo_verdict(spark, sf):
 @register("clean_repo_functions", O.with_triage(
     "SELECT * FROM tri_full_t f WHERE f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
 def q_clean_repo_functions(spark, sf):
-    ext = _tri_extracted_once(spark, sf)
-    return triage.clean_repo_functions(_tri_full(spark, sf, ext), _tri_verdicts(spark, sf, ext))
+    return triage.clean_repo_functions(_tri_full(spark, sf), _tri_verdicts(spark, sf))
 
 
 @register("exclude_repos", O.with_triage(
@@ -586,9 +583,8 @@ def q_focus_function(spark, sf):
 @register("resume_after", O.with_triage(
     "SELECT * FROM tri_full_t WHERE repo_id > 25 AND repo_id NOT IN (SELECT repo_id FROM verdict_t WHERE NOT clean)"))
 def q_resume_after(spark, sf):
-    ext = _tri_extracted_once(spark, sf)
-    done = _tri_verdicts(spark, sf, ext).where(~F.col("clean"))
-    return triage.resume_after(_tri_full(spark, sf, ext), last_done=25, done=done)
+    done = _tri_verdicts(spark, sf).where(~F.col("clean"))
+    return triage.resume_after(_tri_full(spark, sf), last_done=25, done=done)
 
 
 @register("triage_candidates", O.with_triage(
@@ -597,9 +593,9 @@ def q_resume_after(spark, sf):
     "WHERE f.repo_id NOT IN (" + ", ".join(str(i) for i in triage.DENYLIST) + ") "
     "AND f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
 def q_triage_candidates(spark, sf):
-    ext = _tri_extracted_once(spark, sf)
-    full = triage.exclude_repos(_tri_full(spark, sf, ext))
-    full = triage.clean_repo_functions(full, _tri_verdicts(spark, sf, ext))
+    ext = _tri_extracted(spark, sf)
+    full = triage.exclude_repos(_tri_full(spark, sf))
+    full = triage.clean_repo_functions(full, _tri_verdicts(spark, sf))
     att = triage.attach_function_definition(full, triage.function_definitions(ext, wanted=full))
     return (triage.probe_status(triage.probe_arguments(att))
             .select("repo_id", "path_rel", "name", "lineno", "probe_call", "status"))
