@@ -135,3 +135,12 @@ def test_hot_repository_is_not_shuffled_by_key(spark):
     assert "hashpartitioning(repo_id" not in plan, plan
     assert plan.count("BroadcastHashJoin") == 2
     assert out.count() == funcs.where("repo_id % 2 = 1 AND repo_id NOT IN (3, 5)").count()
+
+
+def test_save_fact_tables_round_trip(spark, tmp):
+    from tyscope.operators import facts
+    from tyscope.plans.registry import _facts
+    t = _facts(spark, SF_SMALL)
+    stored = facts.save_fact_tables(t, "tst_facts", tmp + "/facts", 4)
+    for a, b in zip(t, stored):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))

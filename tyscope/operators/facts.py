@@ -144,3 +144,19 @@ def reconcile_module(extracted: DataFrame) -> DataFrame:
     per_file = per_file.withColumn("func_var_annotated", F.coalesce("func_var_annotated", F.lit(0)))
     return per_file.where((F.col("total_annotations") != F.col("annotation_rows"))
                           | (F.col("func_var_annotated") != F.col("annotation_rows")))
+
+
+def save_fact_tables(tables: Facts, prefix: str, location: str, buckets: int) -> Facts:
+    """Store the fact tables for the report workload: func_var and annotation bucketed
+    and sorted on the func_var key (their joins then need no shuffle), module and
+    rejects as plain parquet. ``location`` is a folder in the shared storage."""
+    from tyscope.sources.interchange import save_bucketed
+
+    spark = tables.module.sparkSession
+    key = ["repo_id", "path_rel", "name", "lineno"]
+    fv = save_bucketed(tables.func_var, f"{prefix}_func_var", f"{location}/func_var", key, buckets)
+    an = save_bucketed(tables.annotation.withColumnRenamed("func_var_name", "name"), f"{prefix}_annotation",
+                       f"{location}/annotation", key, buckets).withColumnRenamed("name", "func_var_name")
+    tables.module.write.mode("overwrite").parquet(f"{location}/module")
+    tables.rejects.write.mode("overwrite").parquet(f"{location}/rejects")
+    return Facts(spark.read.parquet(f"{location}/module"), fv, an, spark.read.parquet(f"{location}/rejects"))
