@@ -168,8 +168,12 @@ def clear_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
-    """Write a fact table bucketed and sorted by its join key, so joins of two tables
-    bucketed the same way on the same key run without a shuffle."""
-    (df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    """Write a fact table bucketed by its join key, so joins of two tables bucketed the
+    same way on the same key run without a shuffle.
+
+    Rows are first hash-partitioned on the key into ``buckets`` tasks (the same hash
+    the bucketing uses), so each bucket is one file rather than one file per writing
+    task. No ``sortBy``: bucket sort order is not used by joins by default."""
+    (df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys)
      .option("path", path).saveAsTable(table))
     return df.sparkSession.table(table)
