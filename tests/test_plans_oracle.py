@@ -144,3 +144,22 @@ def test_save_fact_tables_round_trip(spark, tmp):
     stored = facts.save_fact_tables(t, "tst_facts", tmp + "/facts", 4)
     for a, b in zip(t, stored):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+
+
+def test_broadcast_fallback_gives_same_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tyscope.operators import joins, triage
+    funcs = spark.range(3000).select((F.col("id") % 50).cast("int").alias("repo_id"),
+                                     F.lit("p.py").alias("path_rel"), F.col("id").cast("string").alias("name"))
+    verdicts = spark.range(50).select(F.col("id").cast("int").alias("repo_id"), (F.col("id") % 3 == 0).alias("clean"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = sorted(map(tuple, triage.clean_repo_functions(funcs, verdicts).collect()))
+        monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
+        monkeypatch.setattr(joins.sized_broadcast, "__defaults__", (1,))
+        out = triage.clean_repo_functions(funcs, verdicts)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+        assert sorted(map(tuple, out.collect())) == big
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
