@@ -131,8 +131,10 @@ def rejected_names(merged: DataFrame) -> DataFrame:
 
 
 def lookup_repo_id(repository: DataFrame, probes: DataFrame) -> DataFrame:
-    """C7 (join form): id for each (year, user_name, name) probe, -1 when absent."""
-    r = sized_broadcast(repository.select("year", "user_name", "name", "id"))
+    """C7 (join form): id for each (year, user_name, name) probe, -1 when absent; when
+    several repositories share the triple (same name, other creation date), the first
+    (lowest id) answers, like a single-row lookup."""
+    r = sized_broadcast(repository.groupBy("year", "user_name", "name").agg(F.min("id").alias("id")))
     return (probes.join(r, ["year", "user_name", "name"], "left")
             .withColumn("id", F.coalesce("id", F.lit(-1))))
 

@@ -415,7 +415,8 @@ def q_rejected_names(spark, sf):
     "SELECT p.year, p.user_name, p.name, coalesce(r.id, -1) AS id FROM "
     "(SELECT DISTINCT CAST(2013 + c_custkey % 10 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) "
     "AS year, concat('u', CAST(c_nationkey AS VARCHAR)) AS user_name, c_name AS name FROM customer) p "
-    "LEFT JOIN repo_ranked_t r ON p.year = r.year AND p.user_name = r.user_name AND p.name = r.name"))
+    "LEFT JOIN (SELECT year, user_name, name, min(id) AS id FROM repo_ranked_t GROUP BY year, user_name, name) r "
+    "ON p.year = r.year AND p.user_name = r.user_name AND p.name = r.name"))
 def q_lookup_repo_id(spark, sf):
     c = read_table(spark, sf, "customer")
     ck = F.col("c_custkey")

@@ -92,7 +92,8 @@ def keep_stubs_with_twin(stubs: DataFrame, py_paths: DataFrame) -> DataFrame:
 def attach_repo_id(files: DataFrame, repository: DataFrame) -> DataFrame:
     """H4: repository id of each file's (year, user, repo) folder (inner: unknown folders drop
     out; ``missing_repos`` lists them)."""
-    r = repository.select("year", "user_name", F.col("name").alias("repo"), F.col("id").alias("repo_id"))
+    r = (repository.groupBy("year", "user_name", F.col("name").alias("repo"))
+         .agg(F.min("id").alias("repo_id")))  # one id per folder: the first repository row
     return files.join(sized_broadcast(r), ["year", "user_name", "repo"], "inner")
 
 
