@@ -82,3 +82,24 @@ def test_load_fact_table_skips_existing_keys(spark, tmp):
     out = IO.load_fact_table(spark, b, path, ["repo_id", "path_rel"])
     assert rows(out) == [(1, "k", 1), (2, "k", 5)]
     assert IO.clear_table(spark, path, out.schema).count() == 0
+
+
+def test_snapshot_paths_and_fact_log(spark, tmp):
+    out, snaps = repos_json.snapshot_paths(tmp, 2017)
+    assert out.endswith("github_data_2017.json") and [s[-20:] for s in snaps][0] == "github_data_2017_0.json"[-20:]
+    for i, p in enumerate(snaps):
+        _write(p, [{"name": f"u/r{i}", "url": "x", "stars": 10 - i, "created_at": "2017-01-01T00:00:00Z"}])
+    df = repos_json.read_snapshot_arrays(spark, snaps)
+    assert rows(df, "iteration", "name") == [(i, f"u/r{i}") for i in range(5)]
+    mod = spark.createDataFrame([(5, "a.py", "a.py", 1), (1500, "b.py", "b.py", 0)],
+                                "repo_id int, path_rel string, name string, num_annotations int")
+    fv = spark.createDataFrame([(5, "a.py", "x", 1, 1, 1)],
+                               "repo_id int, path_rel string, name string, lineno int, num_var int, "
+                               "num_var_annotated int")
+    an = spark.createDataFrame([(5, "a.py", "x", 1, "x", "variable", "int", "int", 1)],
+                               "repo_id int, path_rel string, func_var_name string, lineno int, annot_name string, "
+                               "func_var_type string, base_type string, entire_annotation string, type_count int")
+    IO.save_fact_log(mod, fv, an, f"{tmp}/log")
+    back = spark.read.parquet(f"{tmp}/log/module")
+    assert rows(back, "repo_id", "year") == [(5, 2022), (1500, 2021)]
+    assert spark.read.parquet(f"{tmp}/log/annotation").where("year = 2022").count() == 1
