@@ -237,3 +237,30 @@ def test_unexpected_error_becomes_reject(monkeypatch):
     monkeypatch.setattr(X._FileWalk, "walk", boom)
     out = X.extract_file(1, "m.py", b"x = 1\n")
     assert out[0][_IDX["kind"]] == "reject" and out[0][_IDX["status"]] == "unexpected:KeyError"
+
+
+def test_counts_match_plain_ast_walk_on_stdlib():
+    """Independent cross-check: per file, rows by kind equal node counts from ast.walk."""
+    files = sorted(glob.glob(ast.__file__.rsplit("/", 1)[0] + "/**/*.py", recursive=True))[:300]
+    checked = 0
+    for path in files:
+        try:
+            data = open(path, "rb").read()
+            tree = ast.parse(data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"))
+        except (SyntaxError, UnicodeDecodeError, ValueError):
+            continue
+        defs = [n for n in ast.walk(tree) if type(n) is ast.FunctionDef]
+        ann_assigns = [n for n in ast.walk(tree) if type(n) is ast.AnnAssign]
+        targets = sum(len(t.elts) if isinstance(t, ast.Tuple) else 1
+                      for n in ast.walk(tree) if type(n) is ast.Assign for t in n.targets)
+        arg_ann = sum(1 for d in defs for a in d.args.args if a.annotation is not None)
+        ret_ann = sum(1 for d in defs if d.returns is not None)
+        rows = extract_file(1, "x.py", data)
+        fv = [r for r in rows if r[_IDX["kind"]] == "func_var"]
+        an = [r for r in rows if r[_IDX["kind"]] == "annotation"]
+        assert sum(bool(r[_IDX["is_function"]]) for r in fv) == len(defs), path
+        assert len(fv) == len(defs) + len(ann_assigns) + targets, path
+        by_kind = {k: sum(r[_IDX["func_var_type"]] == k for r in an) for k in ("argument", "return", "variable")}
+        assert by_kind == {"argument": arg_ann, "return": ret_ann, "variable": len(ann_assigns)}, path
+        checked += 1
+    assert checked > 250
