@@ -69,3 +69,14 @@ def test_ids_and_lookups(spark):
     assert tuple(empty) == (0, 0, "")
     pages = ranking.paginate(merged.withColumn("rank", F.col("rank") * 600))
     assert rows(pages, "rank", "page") == [(0, 1), (0, 1), (600, 7), (600, 7)]
+
+
+def test_top_k_split_equals_plain_top_k(spark):
+    from tyscope.operators.windows import top_k_per_group
+    df = spark.range(20000).select((F.col("id") % 3).alias("g"), F.col("id"),
+                                   ((F.col("id") * 7919) % 1000).alias("v"))
+    order = [F.desc("v"), F.col("id")]
+    a = top_k_per_group(df, ["g"], order, 50, split_cols=["id"], buckets=16)
+    w = Window.partitionBy("g").orderBy(*order)
+    b = df.withColumn("_rn", F.row_number().over(w)).where("_rn <= 50")
+    assert rows(a, "g", "id", "_rn") == rows(b, "g", "id", "_rn")

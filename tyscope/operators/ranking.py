@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tyscope.functions.columns import creation_year, format_created_at, split_full_name
 from tyscope.operators.joins import sized_broadcast
-from tyscope.operators.windows import first_by, previous_in_order
+from tyscope.operators.windows import first_by, previous_in_order, top_k_per_group
 
 TOP_PER_YEAR = 1000
 PAGE_SIZE = 100
@@ -66,16 +66,16 @@ def merge_snapshots(snap: DataFrame, top: int = TOP_PER_YEAR) -> DataFrame:
     (most stars; ties: earlier snapshot, earlier position), the ``top`` most starred
     per year with their rank 0..top-1.
 
-    ``row_number() <= top`` lets Spark insert a per-task group limit before the
-    shuffle, so at most ``top`` rows per task and year are exchanged.
+    A year may hold a large share of all rows: the top ``top`` are taken per
+    (year, hash bucket) first and then per year over at most 64 * ``top`` rows;
+    both steps also get Spark's per-task group limit before their shuffle.
     """
     best = first_by(snap, ["year", "name", "created_at"],
                     [F.col("stars"), -F.col("iteration"), -F.col("pos")])
-    w = Window.partitionBy("year").orderBy(F.desc("stars"), "iteration", "pos")
-    # the filter must be on row_number() itself for the group limit to be inserted
-    return (best.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= top)
-            .select("year", (F.col("_rn") - 1).cast("int").alias("rank"), "name", "url", "stars", "created_at"))
+    ranked = top_k_per_group(best, ["year"], [F.desc("stars"), F.col("iteration"), F.col("pos")], top,
+                             split_cols=["name", "created_at"])
+    return ranked.select("year", (F.col("_rn") - 1).cast("int").alias("rank"), "name", "url", "stars",
+                         "created_at")
 
 
 def snapshot_match(snap: DataFrame, merged: DataFrame) -> DataFrame:

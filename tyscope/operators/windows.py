@@ -40,3 +40,25 @@ def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     cols = [c for c in df.columns if c not in key]
     best = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*order)).alias("_best")
     return df.groupBy(*key).agg(best).select(*key, *[F.col(f"_best.{c}").alias(c) for c in cols])
+
+
+def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
+                    rank_col: str = "_rn", split_cols: list[str] | None = None,
+                    buckets: int = 64) -> DataFrame:
+    """The first ``k`` rows per group under ``order`` (a total order), with their
+    1-based position in ``rank_col``.
+
+    A group may hold a large share of all rows, so it is split first: top ``k``
+    per (group, hash bucket of ``split_cols``), then top ``k`` per group over at
+    most ``buckets * k`` rows. Each step filters on ``row_number()`` directly, so
+    Spark also applies the limit per task before each shuffle.
+    """
+    if split_cols:
+        bucket = F.pmod(F.hash(*[F.col(c) for c in split_cols]), F.lit(buckets))
+        w1 = Window.partitionBy(*group_cols, "_bucket").orderBy(*order)
+        df = (df.withColumn("_bucket", bucket)
+              .withColumn("_rn1", F.row_number().over(w1))
+              .where(F.col("_rn1") <= k)
+              .drop("_bucket", "_rn1"))
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
