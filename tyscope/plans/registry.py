@@ -495,12 +495,18 @@ def _tri_facts(spark, sf):
 
 
 def _tri_full(spark, sf):
-    t = _tri_facts(spark, sf)
-    return reports.full_annot(t.func_var, t.annotation)
+    """The fully annotated functions, stored once (the study also materializes this table)."""
+    def build():
+        t = _tri_facts(spark, sf)
+        return materialize(reports.full_annot(t.func_var, t.annotation), "triage-full-annot")
+    return _once(spark, ("triage-full", sf), build)
 
 
 def _tri_verdicts(spark, sf):
-    return triage.repo_verdict(_tri_facts(spark, sf).module, standins.diagnostics(spark, sf))
+    """One verdict per repository, stored once."""
+    return _once(spark, ("triage-verdicts", sf),
+                 lambda: materialize(triage.repo_verdict(_tri_facts(spark, sf).module,
+                                                         standins.diagnostics(spark, sf)), "verdicts"))
 
 
 @register("probe_status", O.with_triage("SELECT repo_id, path_rel, name, lineno, probe_call, status FROM tri_defs_t"))
