@@ -62,22 +62,15 @@ def _facts(spark, sf):
 
 
 class _Stored:
-    """Stand-in tables stored once; func_var and annotation bucketed and sorted on
-    the func_var key, so the report joins between them need no shuffle."""
+    """Stand-in tables stored once in the shared folder. (The production layout stores
+    func_var and annotation bucketed on the join key, ``facts.save_fact_tables``; that
+    path is the registered ``partial_annotation_complete_bucketed``.)"""
 
     def __init__(self, spark, sf):
-        import uuid
-
         r = standins.Relational(spark, sf)
-        tag = uuid.uuid4().hex[:10]
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        key = ["repo_id", "path_rel", "name", "lineno"]
         self.repository = materialize(r.repository, "repository")
-        self.func_var = IO.save_bucketed(r.func_var, f"tyscope_func_var_{tag}",
-                                      scratch_path(spark, "func-var"), key, n)
-        an = standins.annotation(self.func_var).withColumnRenamed("func_var_name", "name")
-        self.annotation = IO.save_bucketed(an, f"tyscope_annotation_{tag}", scratch_path(spark, "annotation"),
-                                        key, n).withColumnRenamed("name", "func_var_name")
+        self.func_var = materialize(r.func_var, "func-var")
+        self.annotation = materialize(standins.annotation(self.func_var), "annotation")
         self.module = materialize(standins.module(self.func_var), "module")
 
 
