@@ -113,7 +113,11 @@ def fact_tables(extracted: DataFrame, long_paths: bool | None = None) -> Facts:
 
 def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:
     """Run the extraction job once, write its tagged stream to the shared folder, and
-    return the stream plus the fact tables read from it."""
+    return the stream plus the fact tables read from it.
+
+    The stream is not partitioned by ``kind``: a partitioned write sorts every
+    task's rows by kind, which cost more than it saved here (readers prune
+    columns, and the columns of other kinds are mostly null)."""
     from tyscope.operators.extract import extract
     from tyscope.session import materialize
     stream = materialize(extract(files), name)

@@ -73,15 +73,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tyscope/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet to the shared folder and reading it back.
 
     Survives executor loss (unlike caching or local checkpoints) and lets later
-    stages start from a compact columnar copy.
+    stages start from a compact columnar copy. ``partition_by`` folders let
+    readers that filter on those columns skip the other folders entirely.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
     return spark.read.parquet(path)
 
 
