@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tyscope.operators import facts, ranking
 from tyscope.operators.extract import _IDX, extract_file
-from tyscope.plans.registry import REGISTRY, _extracted
+from tyscope.plans.registry import _extracted
 from tyscope.sources import standins
 from conftest import SF_SMALL
 

@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__ as E
 from tyscope.operators import reports
 from tyscope.plans.registry import REGISTRY
-from tyscope.session import get_session
 from tyscope.sources import interchange as IO
 from tyscope.sources import standins
 from conftest import SF_SMALL

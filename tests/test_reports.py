@@ -1,6 +1,5 @@
 """Report operators on hand-made tables, including the defined quirks."""
 
-from pyspark.sql import functions as F
 
 from tyscope.operators import reports
 from tyscope.schemas import ANNOTATION, FUNC_VAR, MODULE

@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from tyscope.operators import facts
 from tyscope.sources import files as tree
 from tyscope.streaming.incremental import incremental_extraction
