@@ -152,7 +152,7 @@ def reconcile_module(extracted: DataFrame) -> DataFrame:
 
 def save_fact_tables(tables: Facts, prefix: str, location: str, buckets: int) -> Facts:
     """Store the fact tables for the report workload: func_var and annotation bucketed
-    and sorted on the func_var key (their joins then need no shuffle), module and
+    on the func_var key (their joins then need no shuffle), module and
     rejects as plain parquet. ``location`` is a folder in the shared storage."""
     from tyscope.sources.interchange import save_bucketed
 

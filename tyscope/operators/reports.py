@@ -3,7 +3,7 @@
 The study's SQL joins in "comma style" (``JOIN`` without ``ON``, keys in
 ``WHERE``); here every join is an explicit inner equi-join on the func_var key,
 which Catalyst plans as one shuffle per side (none when both tables are
-bucketed the same way, see ``sources.tables``). Aggregates get partial
+bucketed the same way, see ``facts.save_fact_tables``). Aggregates get partial
 (map-side) aggregation, so a repository holding a third of all rows still
 sends one row per map task into the shuffle.
 """

@@ -8,7 +8,9 @@ Plan shape (no shuffle of file contents):
   filter (a path predicate) -> repository id by a broadcast join with the
   repository table (its size is checked first) -> extraction.
 * ``.pyi`` stubs (few): kept only when the ``.py`` twin exists in the same
-  folder: a semi join against a paths-only listing (no content is read for it).
+  folder: the wanted twin paths are broadcast (size-checked) and the paths-only
+  module listing streams through them (no content is read for it).
+* The tree is listed once; content and path-only uses share that listing.
 """
 
 from __future__ import annotations
