@@ -79,3 +79,20 @@ def test_incremental_stream_is_idempotent(spark, tmp):
         (7, "a.py", "f", 2, 2), (7, "a.py", "x", 1, 1), (7, "a.pyi", "x", 1, 1), (8, "m.py", "g", 2, 0)]
     assert spark.read.parquet(out + "/annotation").count() == 4
     assert rows(spark.read.parquet(out + "/module"), "path_rel") == [("a.py",), ("a.pyi",), ("m.py",)]
+
+
+def test_api_workflow(spark, tmp):
+    from tyscope import api
+    from tyscope.sources import standins
+    from conftest import SF_SMALL
+    repo = api.rank_repositories(standins.snapshots(spark, SF_SMALL))
+    assert repo.count() > 0 and repo.select("id").distinct().count() == repo.count()
+    root = os.path.join(tmp, "repos")
+    _tree(root)
+    stream, t = api.extract_tree(spark, root, _repo(spark), "api-test")
+    out = api.report_queries(_repo(spark), t)
+    assert len(out) == 16 and all(df.columns for df in out.values())
+    assert rows(out["hist_func_var_type"]) == [("argument", 1), ("variable", 2)]  # a.py, a.pyi; sub/mypy.py
+    assert api.unannotated_names(stream).count() == 0
+    diag = spark.createDataFrame([(8, "m.py", 1, "error")], "repo_id int, path string, line int, code string")
+    assert api.triage_functions(stream, t, diag).count() == 0
