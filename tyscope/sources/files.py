@@ -88,7 +88,8 @@ def keep_stubs_with_twin(stubs: DataFrame, py_paths: DataFrame) -> DataFrame:
     wanted = stubs.select(twin.alias("_twin")).distinct()
     found = (py_paths.select(F.col("path").alias("_twin"))
              .join(sized_broadcast(wanted), "_twin", "inner"))
-    return stubs.withColumn("_twin", twin).join(found, "_twin", "left_semi").drop("_twin")
+    # at most one row per stub: broadcast it too (planner estimates follow the listing size)
+    return stubs.withColumn("_twin", twin).join(sized_broadcast(found), "_twin", "left_semi").drop("_twin")
 
 
 def attach_repo_id(files: DataFrame, repository: DataFrame) -> DataFrame:
