@@ -72,11 +72,12 @@ def test_same_result_for_1_and_8_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         r = REGISTRY["merge_snapshots"].build(spark, SF_SMALL)
         res.append(sorted(tuple(x) for x in r.collect()))
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")  # the session fixture's value
     assert res[0] == res[1]
 
 
 def test_bucketed_join_needs_no_shuffle(spark, tmp):
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -89,8 +90,8 @@ def test_bucketed_join_needs_no_shuffle(spark, tmp):
         assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
         assert df.count() > 0
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        for k, v in saved.items():
+            spark.conf.set(k, v)
 
 
 def test_merge_uses_group_limit_before_shuffle(spark):
@@ -151,6 +152,7 @@ def test_broadcast_fallback_gives_same_rows(spark, monkeypatch):
     funcs = spark.range(3000).select((F.col("id") % 50).cast("int").alias("repo_id"),
                                      F.lit("p.py").alias("path_rel"), F.col("id").cast("string").alias("name"))
     verdicts = spark.range(50).select(F.col("id").cast("int").alias("repo_id"), (F.col("id") % 3 == 0).alias("clean"))
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         big = sorted(map(tuple, triage.clean_repo_functions(funcs, verdicts).collect()))
@@ -161,4 +163,4 @@ def test_broadcast_fallback_gives_same_rows(spark, monkeypatch):
         assert "BroadcastHashJoin" not in plan
         assert sorted(map(tuple, out.collect())) == big
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
