@@ -47,7 +47,9 @@ def test_every_query_has_oracle_and_matching_keys():
 
 SUBSET = ["hist_base_type", "extract_func_var", "partial_annotation_complete", "full_annot",
           "merge_snapshots", "order_errors", "probe_status", "classify_outcome", "repository_rows",
-          "unannotated_name_share", "annotations_per_repo", "key_conflicts"]
+          "unannotated_name_share", "annotations_per_repo", "key_conflicts", "scan_api_pages",
+          "commit_log_annotation", "findings_roundtrip", "scan_source_tree", "lookup_repo_id",
+          "validate_duplicates", "load_fact_table"]
 
 
 @pytest.mark.parametrize("name", SUBSET)
