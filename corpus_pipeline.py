@@ -9,16 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tyscope.llm import mixing
+from tyscope.llm import mixing, simhash
 from tyscope.session import materialize, read_table
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash near-duplicate group (4-word shingles, 4 bits)."""
+    return simhash.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a row is emitted once per copy."""
     return mixing.emit(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [("drop_near_copies", drop_near_copies),
+          ("mix_sources", mix_sources)]
 
 #: SQL has no counterpart of the fitted and fuzzy stages; tests compare with brute force.
 ORACLE_SQL = None

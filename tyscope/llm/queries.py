@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tyscope.llm import mixing, url_rules
+from tyscope.llm import mixing, simhash, url_rules
 from tyscope.session import read_table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -20,6 +20,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_mix_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
 
 
+def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES))
@@ -74,5 +80,6 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best
 """
 
-QUERIES = {"op5_mix_sources": op5_mix_sources, "op10_url_rules": op10_url_rules}
+QUERIES = {"op5_mix_sources": op5_mix_sources, "op6_simhash_golay": op6_simhash_golay,
+           "op10_url_rules": op10_url_rules}
 ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op10_url_rules": OP10_SQL}
