@@ -8,8 +8,9 @@ the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tyscope.llm import mixing, simhash
+from tyscope.llm import mixing, simhash, substring
 from tyscope.session import materialize, read_table
 
 
@@ -18,12 +19,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 or more words that an earlier text has are cut out; rows stay."""
+    return substring.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a row is emitted once per copy."""
     return mixing.emit(docs)
 
 
 STAGES = [("drop_near_copies", drop_near_copies),
+          ("drop_repeated_passages", drop_repeated_passages),
           ("mix_sources", mix_sources)]
 
 #: SQL has no counterpart of the fitted and fuzzy stages; tests compare with brute force.

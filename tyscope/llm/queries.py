@@ -6,13 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tyscope.llm import mixing, simhash, url_rules
+from tyscope.llm import mixing, simhash, substring, url_rules
 from tyscope.session import read_table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan_mix(docs).select(
@@ -80,6 +84,6 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best
 """
 
-QUERIES = {"op5_mix_sources": op5_mix_sources, "op6_simhash_golay": op6_simhash_golay,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_mix_sources": op5_mix_sources, "op6_simhash_golay": op6_simhash_golay,
            "op10_url_rules": op10_url_rules}
 ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op10_url_rules": OP10_SQL}
