@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tyscope.llm import mixing, simhash, substring, url_rules
+from tyscope.llm import decontaminate, mixing, quality, simhash, substring, toxicity, url_rules
 from tyscope.session import read_table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -17,6 +17,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                       read_table(spark, sf_dir, "benchmark"))
+
+
+def op4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan_mix(docs).select(
@@ -30,6 +39,14 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("_tox_score").alias("score"),
+        (F.col("_tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES))
@@ -84,6 +101,13 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_mix_sources": op5_mix_sources, "op6_simhash_golay": op6_simhash_golay,
-           "op10_url_rules": op10_url_rules}
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_isolation_forest": op4_isolation_forest,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_simhash_golay": op6_simhash_golay,
+    "op7_toxicity_nnpu": op7_toxicity_nnpu,
+    "op10_url_rules": op10_url_rules,
+}
 ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op10_url_rules": OP10_SQL}
