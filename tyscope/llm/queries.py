@@ -6,7 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tyscope.llm import decontaminate, mixing, quality, simhash, substring, toxicity, url_rules
+from tyscope.llm import (
+    decontaminate,
+    fixity,
+    html_main,
+    mixing,
+    preference,
+    quality,
+    simhash,
+    substring,
+    toxicity,
+    url_rules,
+)
 from tyscope.session import read_table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -17,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
                                        read_table(spark, sf_dir, "benchmark"))
@@ -47,6 +62,24 @@ def op7_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("_tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages' WARC records against a replica in which three in a hundred pages
+    are damaged: one byte changed, cut in half, or lost."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    record = fixity.warc_record()
+    fate = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 4), 16, 10).cast("int") % 100
+    replica = (F.when(fate == 7, F.concat(F.lit("X"), F.substring(record, F.lit(2), F.length(record))))
+               .when(fate == 8, F.substring(record, F.lit(1), F.floor(F.length(record) / 2).cast("int")))
+               .when(fate == 9, F.lit(None).cast("string")).otherwise(record))
+    return fixity.audit(fixity.record_index(pages), fixity.record_index(pages, replica))
+
+
+def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as chosen, with its weakened form as rejected."""
+    turns = preference.positions(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return preference.format_pairs(turns, preference.weakened(turns))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES))
@@ -101,13 +134,74 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best
 """
 
+OP8_SQL = r"""
+WITH r AS (
+  SELECT page_id, url,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+         || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+         || strlen(coalesce(html, ''))::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+         || chr(13) || chr(10) || chr(13) || chr(10) AS record,
+         ('0x' || substr(md5(page_id::VARCHAR), 1, 4))::BIGINT % 100 AS fate,
+         ('0x' || substr(md5(concat_ws('|', page_id::VARCHAR, url)), 1, 8))::BIGINT AS k
+  FROM pages),
+f AS (SELECT *, k % (SELECT greatest(1, (sum(strlen(record)) + 67108863) // 67108864)::BIGINT FROM r) AS warc_file FROM r),
+p AS (
+  SELECT *, strlen(record)::BIGINT AS n_bytes, sha256(record) AS first_digest,
+         coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id NULLS FIRST, sha256(record)
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS warc_offset
+  FROM f)
+SELECT page_id, warc_file, warc_offset, n_bytes, CASE WHEN fate = 9 THEN 'missing' ELSE 'altered' END AS status, first_digest,
+       CASE fate WHEN 7 THEN sha256('X' || substr(record, 2)) WHEN 8 THEN sha256(left(record, length(record) // 2)) END
+         AS second_digest
+FROM p WHERE fate IN (7, 8, 9)
+"""
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS pair_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST)::INTEGER - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT *, max(pos) FILTER (role = 'assistant') OVER (PARTITION BY pair_id) AS last FROM t),
+w AS (
+  SELECT pair_id, pos, role, CASE WHEN pos = last THEN left(text, length(text) // 2) ELSE text END AS text
+  FROM l WHERE last IS NULL OR pos <= last),
+d AS (
+  SELECT t.pair_id, coalesce(min(t.pos) FILTER (w.pos IS NULL OR w.text <> t.text), max(t.pos) + 1)::INTEGER AS prompt_turns
+  FROM t LEFT JOIN w ON t.pair_id = w.pair_id AND t.pos = w.pos GROUP BY ALL),
+parts AS (
+  SELECT pair_id, prompt_turns, CASE WHEN pos < prompt_turns THEN 'prompt' ELSE 'chosen' END AS part, pos, role, text
+  FROM t JOIN d USING (pair_id)
+  UNION ALL
+  SELECT pair_id, prompt_turns, 'rejected', pos, role, text FROM w JOIN d USING (pair_id) WHERE pos >= prompt_turns),
+shown AS (SELECT *, '<|im_start|>' || role || chr(10) AS head, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s
+          FROM parts),
+placed AS (
+  SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, part ORDER BY pos
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM shown),
+m AS (SELECT *, CASE WHEN role = 'assistant' THEN (begins + length(head))::VARCHAR || ':' || (begins + length(s))::VARCHAR END AS mask
+      FROM placed)
+SELECT pair_id, prompt_turns,
+       coalesce(string_agg(s, '' ORDER BY pos) FILTER (part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(s, '' ORDER BY pos) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(s, '' ORDER BY pos) FILTER (part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(mask, ',' ORDER BY pos) FILTER (part = 'chosen' AND mask IS NOT NULL), '') AS chosen_mask,
+       coalesce(string_agg(mask, ',' ORDER BY pos) FILTER (part = 'rejected' AND mask IS NOT NULL), '') AS rejected_mask
+FROM m GROUP BY pair_id, prompt_turns
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_main_text": op2_html_main_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_isolation_forest": op4_isolation_forest,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_toxicity_nnpu": op7_toxicity_nnpu,
+    "op8_merkle_audit": op8_merkle_audit,
+    "op9_preference_pairs": op9_preference_pairs,
     "op10_url_rules": op10_url_rules,
 }
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op10_url_rules": OP10_SQL}
+ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op8_merkle_audit": OP8_SQL, "op9_preference_pairs": OP9_SQL,
+              "op10_url_rules": OP10_SQL}
