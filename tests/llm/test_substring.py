@@ -91,7 +91,9 @@ def test_large_shards_are_dealt_out(spark):
         rows.append((d, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     prof = S.profile(df)
-    assert rows_of(S.repeated_spans(df, prof, shard_anchors=50)) == rows_of(S.repeated_spans(df, prof))
+    want = rows_of(S.repeated_spans(df, prof))
+    assert rows_of(S.repeated_spans(df, prof, shard_anchors=50)) == want
+    assert rows_of(S.repeated_spans(df, prof, shard_anchors=7)) == want  # anchors of their own dealt out by window
     check(spark, rows)
 
 

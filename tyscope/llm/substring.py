@@ -17,8 +17,9 @@ earlier text, so its shards must not meet every document. They are routed:
 * anchors are counted in Spark; windows whose anchor occurs once cannot repeat;
 * an anchor that occurs twice or more belongs to the shard of the smallest document
   key that holds it, so near copies of one text meet in one shard; a shard with more
-  anchors than ``SHARD_ANCHORS`` is dealt out further by anchor. A stretch of windows
-  of one shard travels there as one segment, equal segments of a batch only once;
+  anchors than ``SHARD_ANCHORS`` is dealt out further by anchor, and an anchor that by
+  itself has more is dealt out by the hash of its windows. A stretch of windows of one
+  shard travels there as one segment, equal segments of a batch only once;
 * a shard's segments stream through its automaton in document order. Extending the
   automaton by a word gives the longest suffix seen before, that is the matching
   statistic against all earlier text of the shard; windows with 20 or more go.
@@ -46,7 +47,7 @@ from tyscope.session import materialize, ship_package
 
 WINDOW = 20
 GRAM = 4
-SHARD_ANCHORS = 20_000
+SHARD_ANCHORS = 4_000
 SHARD_WORDS = 200_000
 LAST_ID = 2 ** 63 - 1
 
@@ -177,6 +178,15 @@ def _profile_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
                 [*rest, "n_words", "sha", "anchors"])
 
 
+def _window_shard(hashes: np.ndarray, at: np.ndarray, shard: np.ndarray, split: np.ndarray, window: int) -> np.ndarray:
+    """The part of a split shard that a window goes to, by the hash of its words."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(window):
+        h = h * _ODD[0] + hashes[at + j]
+    part = mix64(h) % split.astype(np.uint64)
+    return mix64(shard.view(np.uint64) + (part + np.uint64(1)) * _ODD[1]).view(np.int64)
+
+
 def _segment_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated anchors -> segments (shard, id, th, start, n, words); of
     equal segments of a run only the first has words, the others are known repeats."""
@@ -186,6 +196,7 @@ def _segment_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
         flat = hits.flatten()
         known, first = np.unique(flat.field("h").to_numpy(zero_copy_only=False), return_index=True)
         shard_of = flat.field("shard").to_numpy(zero_copy_only=False)[first]
+        split_of = flat.field("split").to_numpy(zero_copy_only=False)[first]
         for i, j, buf, off in text_runs(b.column("text")):
             words = Words(buf, off)
             anchor, inside, _ = window_anchors(words, window)
@@ -198,7 +209,11 @@ def _segment_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
                 continue
             shard = shard_of[at[use]]
             row = np.searchsorted(words.first, use, "right") - 1
-            cut = np.flatnonzero((np.diff(use) != 1) | (np.diff(shard) != 0) | (np.diff(row) != 0)) + 1
+            split = split_of[at[use]]
+            hot = split > 1
+            if hot.any():
+                shard[hot] = _window_shard(words.hashes(), use[hot], shard[hot], split[hot], window)
+            cut = np.flatnonzero((np.diff(use) != 1) | (np.diff(shard) != 0) | (np.diff(row) != 0) | hot[1:] | hot[:-1]) + 1
             a, z = use[np.concatenate([[0], cut])], use[np.concatenate([cut - 1, [len(use) - 1]])] + window
             shard, row = shard[np.concatenate([[0], cut])], row[np.concatenate([[0], cut])]
             data = buf.tobytes()
@@ -263,12 +278,13 @@ def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW,
                 .agg(F.min("rid").alias("f"), F.max("rid").alias("g"), F.max("own").alias("own"), F.count(one).alias("n"))
                 .where("f < g or own = 1").select("h", "f", "n"))
     repeated = materialize(repeated, "repeated-anchors")
-    large = (repeated.groupBy("f").agg(F.sum("n").alias("total")).where(F.col("total") > shard_anchors)
+    large = (repeated.where(F.col("n") <= shard_anchors).groupBy("f").agg(F.sum("n").alias("total")).where(F.col("total") > shard_anchors)
              .select("f", F.ceil(F.col("total") / shard_anchors).alias("parts")))
     shards = (repeated.join(large, "f", "left")
-              .select("h", F.xxhash64("f", F.pmod(F.shiftright("h", 1), F.coalesce("parts", F.lit(1)))).alias("shard")))
+              .select("h", F.xxhash64("f", F.pmod(F.shiftright("h", 1), F.coalesce("parts", F.lit(1)))).alias("shard"),
+                      F.ceil(F.col("n") / shard_anchors).alias("split")))
     hits = (anchors.join(shards, "h").groupBy("_sub_id", "_sub_th")
-            .agg(F.collect_list(F.struct("h", "shard")).alias("hits")))
+            .agg(F.collect_list(F.struct("h", "shard", "split")).alias("hits")))
     segments = materialize(
         keyed(docs.select("doc_id", "text")).join(hits, ["_sub_id", "_sub_th"]).select("_sub_id", "_sub_th", "text", "hits")
         .mapInArrow(lambda it: _segment_batches(it, window),
