@@ -111,7 +111,12 @@ class Words:
         return out
 
 
-def pieces(offsets: np.ndarray, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+#: Bytes of text that a task looks at in one go. The arrays made from them take some tens of
+#: bytes per word, and a Python worker keeps part of its peak between tasks.
+RUN_BYTES = 2 << 20
+
+
+def pieces(offsets: np.ndarray, max_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``max_bytes`` bytes (at least one row each)."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -121,7 +126,7 @@ def pieces(offsets: np.ndarray, max_bytes: int = 4 << 20) -> Iterator[tuple[int,
         i = j
 
 
-def text_runs(col: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_runs(col: pa.Array, max_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for bounded runs of a string column."""
     buf, off = text_buffer(col)
     for i, j in pieces(off, max_bytes):

@@ -38,7 +38,7 @@ from tyscope.session import ship_package
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 
 
 class Block(NamedTuple):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tyscope.llm.common import text_buffer
+from tyscope.llm.common import text_runs
 from tyscope.session import materialize, ship_package
 
 SHINGLE = 4
@@ -73,11 +73,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        buf, off = text_buffer(b.column("text"))
-        data = buf.tobytes()
-        fps = np.fromiter((fingerprint(data[off[i]:off[i + 1]], shingle) for i in range(b.num_rows)), np.uint64, b.num_rows)
         rest = [c for c in b.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(fps.view(np.int64))], [*rest, "fp"])
+        for i, j, buf, off in text_runs(b.column("text")):
+            fps = np.fromiter((fingerprint(buf[x:y].tobytes(), shingle) for x, y in zip(off[:-1], off[1:])), np.uint64, j - i)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in rest), pa.array(fps.view(np.int64))],
+                                             [*rest, "fp"])
 
 
 def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:

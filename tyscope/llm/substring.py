@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tyscope.llm.common import Words, mix64, sliding_min, text_buffer, text_runs
+from tyscope.llm.common import Words, mix64, sliding_min, text_runs
 from tyscope.session import materialize, ship_package
 
 WINDOW = 20
@@ -318,15 +318,15 @@ def _cut(text: bytes, spans: list[dict]) -> tuple[bytes, list[bytes], int]:
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        buf, off = text_buffer(b.column("text"))
-        data = buf.tobytes()
-        removed, sha = [], []
-        for i, spans in enumerate(b.column("spans").to_pylist()):
-            _, words, n = _cut(data[off[i]:off[i + 1]], spans)
-            removed.append(n)
-            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("_sub_id"), b.column("_sub_th"), pa.array(removed, pa.int64()),
-                                          pa.array(sha, pa.string())], ["_sub_id", "_sub_th", "n_removed", "kept"])
+        for i, j, buf, off in text_runs(b.column("text")):
+            removed, sha = [], []
+            for x, y, spans in zip(off[:-1], off[1:], b.column("spans").slice(i, j - i).to_pylist()):
+                _, words, n = _cut(buf[x:y].tobytes(), spans)
+                removed.append(n)
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_sub_id").slice(i, j - i), b.column("_sub_th").slice(i, j - i), pa.array(removed, pa.int64()),
+                 pa.array(sha, pa.string())], ["_sub_id", "_sub_th", "n_removed", "kept"])
 
 
 def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -343,13 +343,15 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.schema.get_field_index("text")
-        texts = b.column(at).to_pylist()
-        for i, spans in enumerate(b.column("_sub_spans").to_pylist()):
-            if spans:
-                texts[i] = _cut(texts[i].encode(), spans)[0].decode()
-        cols = [pa.array(texts, b.column(at).type) if k == at else b.column(k) for k in range(b.num_columns)]
         keep = [k for k, c in enumerate(b.schema.names) if c != "_sub_spans"]
-        yield pa.RecordBatch.from_arrays([cols[k] for k in keep], [b.schema.names[k] for k in keep])
+        for i, j, _, _ in text_runs(b.column(at)):
+            part = b.slice(i, j - i)
+            texts = part.column(at).to_pylist()
+            for k, spans in enumerate(part.column("_sub_spans").to_pylist()):
+                if spans:
+                    texts[k] = _cut(texts[k].encode(), spans)[0].decode()
+            cols = [pa.array(texts, part.column(at).type) if k == at else part.column(k) for k in keep]
+            yield pa.RecordBatch.from_arrays(cols, [b.schema.names[k] for k in keep])
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
