@@ -93,7 +93,7 @@ def test_large_shards_are_dealt_out(spark):
     prof = S.profile(df)
     want = rows_of(S.repeated_spans(df, prof))
     assert rows_of(S.repeated_spans(df, prof, shard_anchors=50)) == want
-    assert rows_of(S.repeated_spans(df, prof, shard_anchors=7)) == want  # anchors of their own dealt out by window
+    assert rows_of(S.repeated_spans(df, prof, hot_anchor=7)) == want  # hot anchors dealt out by window
     check(spark, rows)
 
 

@@ -17,9 +17,9 @@ earlier text, so its shards must not meet every document. They are routed:
 * anchors are counted in Spark; windows whose anchor occurs once cannot repeat;
 * an anchor that occurs twice or more belongs to the shard of the smallest document
   key that holds it, so near copies of one text meet in one shard; a shard with more
-  anchors than ``SHARD_ANCHORS`` is dealt out further by anchor, and an anchor that by
-  itself has more is dealt out by the hash of its windows. A stretch of windows of one
-  shard travels there as one segment, equal segments of a batch only once;
+  anchors than ``SHARD_ANCHORS`` is dealt out further by anchor, and an anchor that more
+  than ``HOT_ANCHOR`` documents hold is dealt out by the hash of its windows. A stretch of
+  windows of one shard travels there as one segment, equal segments of a batch only once;
 * a shard's segments stream through its automaton in document order. Extending the
   automaton by a word gives the longest suffix seen before, that is the matching
   statistic against all earlier text of the shard; windows with 20 or more go.
@@ -48,6 +48,7 @@ from tyscope.session import materialize, ship_package
 WINDOW = 20
 GRAM = 4
 SHARD_ANCHORS = 4_000
+HOT_ANCHOR = 1_000
 SHARD_WORDS = 200_000
 LAST_ID = 2 ** 63 - 1
 
@@ -266,7 +267,7 @@ def profile(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW,
-                   shard_anchors: int = SHARD_ANCHORS) -> DataFrame:
+                   shard_anchors: int = SHARD_ANCHORS, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """Per document with a repeat: _sub_id, _sub_th, spans (array of start, n in words;
     they may overlap). ``profiles`` is ``profile(docs)``."""
     one = F.lit(1).cast("bigint")
@@ -278,11 +279,12 @@ def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW,
                 .agg(F.min("rid").alias("f"), F.max("rid").alias("g"), F.max("own").alias("own"), F.count(one).alias("n"))
                 .where("f < g or own = 1").select("h", "f", "n"))
     repeated = materialize(repeated, "repeated-anchors")
-    large = (repeated.where(F.col("n") <= shard_anchors).groupBy("f").agg(F.sum("n").alias("total")).where(F.col("total") > shard_anchors)
+    large = (repeated.where(F.col("n") <= hot_anchor).groupBy("f").agg(F.sum("n").alias("total")).where(F.col("total") > shard_anchors)
              .select("f", F.ceil(F.col("total") / shard_anchors).alias("parts")))
     shards = (repeated.join(large, "f", "left")
               .select("h", F.xxhash64("f", F.pmod(F.shiftright("h", 1), F.coalesce("parts", F.lit(1)))).alias("shard"),
-                      F.ceil(F.col("n") / shard_anchors).alias("split")))
+                      F.when(F.col("n") > hot_anchor, F.ceil(F.col("n") * (window - GRAM + 1) / hot_anchor))
+                      .otherwise(F.lit(1)).cast("bigint").alias("split")))
     hits = (anchors.join(shards, "h").groupBy("_sub_id", "_sub_th")
             .agg(F.collect_list(F.struct("h", "shard", "split")).alias("hits")))
     segments = materialize(
