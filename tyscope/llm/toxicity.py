@@ -17,7 +17,8 @@ Rows whose crc32(doc_id as text) mod 4 is 2 are held out: neither labels nor tex
 theirs are learned from. lang, source, doc_id and labels are no inputs of a score.
 
 Cases: null and empty texts have no features and score the bias alone; a null doc_id is
-not held out and not learned from; a doc_id labelled both ways counts as toxic; without
+not held out and not learned from; a doc_id labelled both ways counts as toxic, and one
+with several texts lends one of them to the fit; without
 positives every score is 0; an empty table gives an empty result; other columns are
 kept, and helper columns carry the prefix ``_tox_``.
 """
@@ -127,8 +128,9 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             feature, row = feature[keep], row[keep]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)),
                                              pa.array(feature.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("_tox_p").slice(i, j - i), b.column("_tox_u").slice(i, j - i), lists],
-                                             ["p", "u", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).slice(i, j - i) for c in ("doc_id", "_tox_p", "_tox_u")), lists],
+                ["doc_id", "p", "u", "features"])
 
 
 def _below(key: Column, share: float) -> Column:
@@ -151,9 +153,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
               .withColumn("_tox_p", F.lit(True)))
     sample = (open_docs.select("doc_id", "text", _below(F.col("doc_id"), unlabelled / max(1, n_docs)).alias("_tox_u"))
               .join(F.broadcast(chosen), "doc_id", "left").withColumn("_tox_p", F.coalesce("_tox_p", F.lit(False)))
-              .where("_tox_u or _tox_p").limit(2 * (positives + unlabelled)))
-    rows = materialize(sample.select("_tox_p", "_tox_u", "text").mapInArrow(
-        _feature_batches, "p boolean, u boolean, features array<bigint>"), "toxicity-sample")
+              .where("_tox_u or _tox_p"))
+    # one text per doc_id, so that the sample is bounded even if one doc_id holds many rows
+    rows = sample.select("doc_id", "_tox_p", "_tox_u", "text").mapInArrow(
+        _feature_batches, "doc_id bigint, p boolean, u boolean, features array<bigint>")
+    first = F.min_by(F.struct("p", "u", "features"), F.xxhash64("features"))
+    rows = materialize(rows.groupBy("doc_id").agg(first.alias("r")).select("r.*"), "toxicity-sample")
     np_, nu = rows.agg(F.count_if("p"), F.count_if("u")).first()
     if not np_ or not nu:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -math.inf)
