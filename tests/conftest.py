@@ -15,6 +15,8 @@ def spark():
     from tyscope.session import get_session
     s = get_session("local[4]", app="tyscope-tests", shuffle_partitions=4)
     yield s
+    from tyscope.session import release_scratch
+    release_scratch(s)
     s.stop()
 
 

@@ -13,7 +13,8 @@ from tyscope.operators.extract import (
     probe_of,
     type_count,
 )
-from tyscope.sources.standins import TEMPLATE_ANNOTATIONS, TRIAGE_CASES
+from tyscope.plans.oracle import TEMPLATE_ANNOTATIONS, TRIAGE_CASES
+from tyscope.sources import standins
 
 
 def run(src: str, path="m.py"):
@@ -33,23 +34,64 @@ def an(src):
             for r in run(src).get("annotation", [])]
 
 
-# ---- golden fixtures (two small modules with hand-derived rows, FIXTURES.md §2)
-FILE1 = "def func1() -> int:\n    return 0\n\ndef func2() -> None:\n    pass\n\ndef func3():\n    pass\n\ndef func4():\n    return 0\n"
-FILE2 = "from typing import Optional\n\n\nx: Optional[int] = None\n"
+# ---- two whole modules with their rows
+SHAPES = """\
+import math
+from typing import Sequence
 
+UNIT: float = 1.0
+names = ["circle", "square"]
 
-def test_golden_file1():
-    k = run(FILE1, "fixture_a.py")
-    assert [(r["name"], r["num_annotations"]) for r in k["module"]] == [("fixture_a.py", 2)]
-    assert fv(FILE1) == [("func1", 1, 1, 1), ("func2", 4, 1, 1), ("func3", 7, 0, 0), ("func4", 10, 1, 0)]
-    assert an(FILE1) == [("func1", 1, "", "return", "int", 1), ("func2", 4, "", "return", "None", 1)]
 
+class Shape:
+    sides: int
 
-def test_golden_file2():
-    k = run(FILE2, "sub/fixture_b.py")
-    assert [(r["name"], r["num_annotations"]) for r in k["module"]] == [("fixture_b.py", 1)]
-    assert fv(FILE2) == [("x", 4, 1, 1)]
-    assert an(FILE2) == [("x", 4, "x", "variable", "Optional[int]", 2)]
+    def __init__(self, sides: int, label=None) -> None:
+        self.sides = sides
+
+    def area(self, scale: float = UNIT) -> float:
+        def half(x):
+            return x / 2
+        return half(scale) * self.sides
+
+
+def largest(shapes: Sequence[Shape], key):
+    best = max(shapes, key=key)
+    return best
+
+
+def announce():
+    print(names)
+"""
+
+STATES = """\
+async def poll(url: str):
+    status, body = await fetch(url)
+    return status
+"""
+
+
+def test_module_of_shapes():
+    assert [(r["name"], r["num_annotations"]) for r in run(SHAPES, "geo/shapes.py")["module"]] == [("shapes.py", 7)]
+    assert fv(SHAPES) == [
+        ("UNIT", 4, 1, 1), ("names", 5, 1, 0), ("sides", 9, 1, 1), ("__init__", 11, 4, 2), ("sides", 12, 1, 0),
+        ("area", 14, 3, 2), ("half", 15, 2, 0), ("largest", 20, 3, 1), ("best", 21, 1, 0), ("announce", 25, 0, 0)]
+    assert an(SHAPES) == [
+        ("UNIT", 4, "UNIT", "variable", "float", 1), ("sides", 9, "sides", "variable", "int", 1),
+        ("__init__", 11, "sides", "argument", "int", 1), ("__init__", 11, "", "return", "None", 1),
+        ("area", 14, "scale", "argument", "float", 1), ("area", 14, "", "return", "float", 1),
+        ("largest", 20, "shapes", "argument", "Sequence[Shape]", 2)]
+
+
+def test_module_of_states():
+    assert [(r["name"], r["num_annotations"]) for r in run(STATES, "io/states.pyi")["module"]] == [("states.pyi", 0)]
+    assert fv(STATES) == [("status", 2, 1, 0), ("body", 2, 1, 0)]
+    assert an(STATES) == []
+
+
+def test_standins_use_the_written_out_cases():
+    assert standins.TEMPLATE_ANNOTATIONS == [t[0] for t in TEMPLATE_ANNOTATIONS]
+    assert standins.TRIAGE_CASES == [t[0] for t in TRIAGE_CASES]
 
 
 # ---- U1: what counts as a slot
@@ -229,14 +271,62 @@ def test_walk_equivalence_and_reconcile_on_stdlib():
     assert n > 100
 
 
-def test_unexpected_error_becomes_reject(monkeypatch):
+def test_a_bug_in_the_walk_fails_the_task(monkeypatch):
     import tyscope.operators.extract as X
 
-    def boom(self, node):
+    def boom(self, tree):
         raise KeyError("odd")
     monkeypatch.setattr(X._FileWalk, "walk", boom)
-    out = X.extract_file(1, "m.py", b"x = 1\n")
-    assert out[0][_IDX["kind"]] == "reject" and out[0][_IDX["status"]] == "unexpected:KeyError"
+    with pytest.raises(KeyError):
+        X.extract_file(1, "m.py", b"x = 1\n")
+
+
+def test_memory_error_is_no_reject_but_the_parser_stack_is(monkeypatch):
+    import tyscope.operators.extract as X
+
+    def parse(message):
+        def fail(text):
+            raise MemoryError(message)
+        return fail
+    monkeypatch.setattr(X.ast, "parse", parse("Parser stack overflowed - Python source too complex to parse"))
+    assert X.extract_file(1, "m.py", b"x = 1\n")[0][_IDX["status"]] == X.PARSER_STACK
+    monkeypatch.setattr(X.ast, "parse", parse(""))
+    with pytest.raises(MemoryError):
+        X.extract_file(1, "m.py", b"x = 1\n")
+
+
+def test_long_expressions_do_not_depend_on_the_stack():
+    k = run("x = " + " + ".join(["a"] * 2000) + "\ny: " + " | ".join(["int"] * 1500) + " = 1\n")
+    assert [r["num_annotations"] for r in k["module"]] == [1]
+    assert k["annotation"][0]["type_count"] == 1500
+    assert k["annotation"][0]["entire_annotation"] == " | ".join(["int"] * 1500)
+
+
+def test_lone_surrogates_reach_arrow():
+    import tyscope.operators.extract as X
+    rows = extract_file(1, "m.py", b'def f(a: "\\ud800", b: Literal["\\udc01"]) -> "x\\udfff": pass\n')
+    batch = X._to_batch(rows)
+    assert batch.num_rows == len(rows) == 5
+    probes = [p["probe"]["value"] for r in rows for p in (r[_IDX["probe_args"]] or [])]
+    assert probes == ["\\ud800", "\\udc01"]
+
+
+def test_version_and_first_definitions():
+    import platform
+    k = run("def f(): pass\ndef g(): pass\nclass C:\n    def f(self): pass\nf = 1\n")
+    assert k["module"][0]["python_version"] == platform.python_version()
+    assert run("def (")["reject"][0]["python_version"] == platform.python_version()
+    assert [(r["name"], r["first_def"]) for r in k["func_var"]] == [("f", True), ("g", True), ("f", False), ("f", None)]
+
+
+def test_output_leaves_in_bounded_batches():
+    import pyarrow as pa
+
+    import tyscope.operators.extract as X
+    n = 300
+    batch = pa.RecordBatch.from_pydict({"repo_id": list(range(n)), "path_rel": ["m.py"] * n, "content": ["a = b = c = 1\n" * 20] * n})
+    sizes = [b.num_rows for b in X._extract_batches(iter([batch]))]
+    assert sum(sizes) == n * 61 and max(sizes) < X.FLUSH_ROWS + 61 and len(sizes) > 3
 
 
 def test_counts_match_plain_ast_walk_on_stdlib():

@@ -50,8 +50,21 @@ def test_commit_log_study_document(spark, tmp):
     assert rows(fv) == [(3, "pkg/a.py", "f", 1, 2, 2), (3, "pkg/a.py", "x", 4, 1, 0)]
     an = IO.read_commit_log(spark, f"{tmp}/log", "annotation")
     assert an.count() == 2 and an.schema["type_count"].dataType.simpleString() == "int"
-    IO.write_commit_log(fv, "func_var", f"{tmp}/ours")
-    assert rows(IO.read_commit_log(spark, f"{tmp}/ours", "func_var")) == rows(fv)
+    repository = spark.createDataFrame([(3, 2019), (4, 2013)], "id int, year int")
+    IO.write_commit_log(fv, "func_var", f"{tmp}/ours", repository)
+    back = IO.read_commit_log(spark, f"{tmp}/ours", "func_var")
+    assert rows(back.drop("year")) == rows(fv) and {r.year for r in back.collect()} == {2019}
+
+
+def test_commit_log_keeps_texts_and_unknown_years(spark, tmp):
+    an = spark.createDataFrame([(8, 'a "b"\\c.py', "f\n", 1, "é", "argument", "user_defined", "[1, 'x']", 1),
+                                (9, "p.py", "g", 2, None, "return", "", "", 0)],
+                               "repo_id int, path_rel string, func_var_name string, lineno int, annot_name string, "
+                               "func_var_type string, base_type string, entire_annotation string, type_count int")
+    repository = spark.createDataFrame([(8, 2014)], "id int, year int")
+    IO.write_commit_log(an, "annotation", f"{tmp}/log", repository)
+    back = IO.read_commit_log(spark, f"{tmp}/log", "annotation")
+    assert sorted(map(tuple, back.collect())) == sorted((*r, {8: 2014}.get(r.repo_id)) for r in an.collect())
 
 
 def test_findings_file_both_shapes(spark, tmp):
@@ -76,14 +89,26 @@ def test_json_maps(spark, tmp):
 
 def test_load_fact_table_skips_existing_keys(spark, tmp):
     path = f"{tmp}/t"
-    a = spark.createDataFrame([(1, "k", 1), (1, "k", 2)], "repo_id int, path_rel string, v int")
-    IO.load_fact_table(spark, a, path, ["repo_id", "path_rel"], order=[F.col("v")])
+    a = spark.createDataFrame([(1, "k", 4, 2), (1, "k", 7, 1)], "repo_id int, path_rel string, v int, visit int")
+    IO.load_fact_table(spark, a, path, ["repo_id", "path_rel"], ["visit"])
     b = spark.createDataFrame([(1, "k", 9), (2, "k", 5)], "repo_id int, path_rel string, v int")
-    out = IO.load_fact_table(spark, b, path, ["repo_id", "path_rel"])
-    assert rows(out) == [(1, "k", 1), (2, "k", 5)]
+    out = IO.load_fact_table(spark, b, path, ["repo_id", "path_rel"], [])
+    assert out.columns == ["repo_id", "path_rel", "v"]
+    assert rows(out) == [(1, "k", 7), (2, "k", 5)]
+    plan = spark.read.parquet(path).where("_part in (3)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan
     assert IO.clear_table(spark, path, out.schema).count() == 0
 
 
+def test_api_pages_hold_only_what_the_api_returns(spark, tmp):
+    for page, names in ((1, ["u/a", "u/b"]), (2, ["u/c"])):
+        items = [{"full_name": n, "clone_url": "x", "stargazers_count": 5, "created_at": "2015-01-01T00:00:00Z", "id": 9}
+                 for n in names]
+        _write(f"{tmp}/pages/year=2015/iteration=0/p{page}.json", {"page": page, "total_count": 3, "items": items})
+    df = repos_json.read_api_pages(spark, f"{tmp}/pages")
+    assert rows(df, "pos", "name") == [(0, "u/a"), (1, "u/b"), (100, "u/c")]
+
+
 def test_snapshot_paths_and_fact_log(spark, tmp):
     out, snaps = repos_json.snapshot_paths(tmp, 2017)
     assert out.endswith("github_data_2017.json") and [s[-20:] for s in snaps][0] == "github_data_2017_0.json"[-20:]
@@ -99,7 +124,8 @@ def test_snapshot_paths_and_fact_log(spark, tmp):
     an = spark.createDataFrame([(5, "a.py", "x", 1, "x", "variable", "int", "int", 1)],
                                "repo_id int, path_rel string, func_var_name string, lineno int, annot_name string, "
                                "func_var_type string, base_type string, entire_annotation string, type_count int")
-    IO.save_fact_log(mod, fv, an, f"{tmp}/log")
+    repository = spark.createDataFrame([(5, 2022), (1500, 2016)], "id int, year int")
+    IO.save_fact_log(mod, fv, an, repository, f"{tmp}/log")
     back = spark.read.parquet(f"{tmp}/log/module")
-    assert rows(back, "repo_id", "year") == [(5, 2022), (1500, 2021)]
+    assert rows(back, "repo_id", "year") == [(5, 2022), (1500, 2016)]
     assert spark.read.parquet(f"{tmp}/log/annotation").where("year = 2022").count() == 1

@@ -41,15 +41,40 @@ def duck():
 
 
 def test_every_query_has_oracle_and_matching_keys():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 70
+    assert all(q.sql for q in REGISTRY.values())
+    assert set(REGISTRY) <= set(E.queries()) and set(REGISTRY) <= set(E.oracle_sql())
+    assert len(REGISTRY) >= 79
+
+
+def test_building_a_stored_query_starts_no_job(spark):
+    """Once the shared inputs are stored, building a query plans it and runs nothing."""
+    tracker = spark.sparkContext.statusTracker()
+    # (the two lookups read the schema of one more table, which Spark does in a job)
+    quiet = ["repository_rows", "snapshot_match", "longest_repo_name", "full_annot", "hist_fvt_full",
+             "clean_repo_functions", "resume_after", "exclude_repos", "extract_func_var", "odd_annotation"]
+    from tyscope.operators import ranking
+    from tyscope.plans.registry import _repository
+    probes = spark.createDataFrame([(2020, "u", "r")], "year int, user_name string, name string")
+    for name in quiet:
+        REGISTRY[name].build(spark, SF_SMALL)
+    spark.sparkContext.setJobGroup("build-only", "build-only")
+    try:
+        for name in quiet:
+            REGISTRY[name].build(spark, SF_SMALL)
+        ranking.lookup_repo_id(_repository(spark, SF_SMALL), probes)
+        ranking.lookup_repo_by_name(_repository(spark, SF_SMALL), probes)
+        assert list(tracker.getJobIdsForGroup("build-only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 SUBSET = ["hist_base_type", "extract_func_var", "partial_annotation_complete", "full_annot",
           "merge_snapshots", "order_errors", "probe_status", "classify_outcome", "repository_rows",
           "unannotated_name_share", "annotations_per_repo", "key_conflicts", "scan_api_pages",
           "commit_log_annotation", "findings_roundtrip", "scan_source_tree", "lookup_repo_id",
-          "validate_duplicates", "load_fact_table"]
+          "validate_duplicates", "load_fact_table", "odd_rejects", "odd_module", "odd_func_var", "odd_annotation",
+          "reconcile_module", "scan_packed_tree", "scan_tree_without_repositories", "scan_snapshot_arrays",
+          "scan_year_arrays", "filter_search", "order_errors_chunked", "lookup_default", "exclude_repos", "repo_verdict"]
 
 
 @pytest.mark.parametrize("name", SUBSET)
@@ -96,6 +121,60 @@ def test_bucketed_join_needs_no_shuffle(spark, tmp):
             spark.conf.set(k, v)
 
 
+def test_stored_reports_count_before_the_join_and_do_not_shuffle(spark):
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("full_annot", "hist_fvt_full", "hist_base_type_partial"):
+            plan = REGISTRY[name].build(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+            below = plan[plan.index("SortMergeJoin"):]
+            assert "Exchange" not in below, plan
+            assert "HashAggregate" in below, plan
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
+def test_names_are_numbered_without_gaps(spark):
+    from tyscope.operators.windows import numbered
+    df = spark.range(500).selectExpr("id % 211 AS a", "cast(id % 3 AS string) AS b").union(
+        spark.createDataFrame([(None, "x")], "a bigint, b string"))
+    got = numbered(df, ["a", "b"], "n", buckets=16).collect()
+    assert sorted(r.n for r in got) == list(range(df.distinct().count()))
+    again = numbered(df.repartition(9), ["a", "b"], "n", buckets=16).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    from tyscope.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
+
+
+def test_scratch_is_released(spark):
+    from tyscope.session import delete_path, materialize, path_exists, scratch_path
+    p = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(p)
+    assert path_exists(spark, p)
+    delete_path(spark, p)
+    assert not path_exists(spark, p)
+    assert materialize(spark.range(3), "kept").count() == 3
+
+
 def test_merge_uses_group_limit_before_shuffle(spark):
     df = REGISTRY["merge_snapshots"].build(spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -131,7 +210,7 @@ def test_hot_repository_is_not_shuffled_by_key(spark):
         F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"))
     verdicts = spark.range(500).select(F.col("id").cast("int").alias("repo_id"),
                                        (F.col("id") % 2 == 1).alias("clean"))
-    deny = spark.createDataFrame([(3,), (5,)], "repo_id int")
+    deny = spark.range(3, 7, 2).select(F.col("id").cast("int").alias("repo_id"))
     out = triage.exclude_repos(triage.clean_repo_functions(funcs, verdicts), deny)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(repo_id" not in plan, plan
@@ -146,23 +225,3 @@ def test_save_fact_tables_round_trip(spark, tmp):
     stored = facts.save_fact_tables(t, "tst_facts", tmp + "/facts", 4)
     for a, b in zip(t, stored):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
-
-
-def test_broadcast_fallback_gives_same_rows(spark, monkeypatch):
-    from pyspark.sql import functions as F
-    from tyscope.operators import joins, triage
-    funcs = spark.range(3000).select((F.col("id") % 50).cast("int").alias("repo_id"),
-                                     F.lit("p.py").alias("path_rel"), F.col("id").cast("string").alias("name"))
-    verdicts = spark.range(50).select(F.col("id").cast("int").alias("repo_id"), (F.col("id") % 3 == 0).alias("clean"))
-    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        big = sorted(map(tuple, triage.clean_repo_functions(funcs, verdicts).collect()))
-        monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 1)
-        monkeypatch.setattr(joins.sized_broadcast, "__defaults__", (1,))
-        out = triage.clean_repo_functions(funcs, verdicts)
-        plan = out._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in plan
-        assert sorted(map(tuple, out.collect())) == big
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)

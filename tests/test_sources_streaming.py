@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from tyscope.operators import facts
 from tyscope.sources import files as tree
 from tyscope.streaming.incremental import incremental_extraction
@@ -49,15 +51,74 @@ def test_content_is_not_shuffled(spark, tmp):
     root = os.path.join(tmp, "repos")
     _tree(root)
     plan = tree.source_files(spark, root, _repo(spark))._jdf.queryExecution().executedPlan().toString()
-    # joins with the content side broadcast the small side; file contents never shuffle.
-    # Shuffles allowed: the distinct set of stub twin paths, and the one-id-per-folder
-    # aggregate over the repository table (keyed by its ``name``; the files side uses ``repo``).
+    # the planner broadcasts the small sides by their size: only the one-id-per-folder aggregate
+    # over the repository table is shuffled
     assert "BroadcastHashJoin" in plan
-    exchanges = [line.strip().lstrip("+-: ") for line in plan.splitlines() if "Exchange" in line]
-    shuffles = [e for e in exchanges if not e.startswith("BroadcastExchange")]
-    allowed = ("Exchange hashpartitioning(_twin", "Exchange hashpartitioning(year")
-    assert exchanges and all(e.startswith(allowed) for e in shuffles), shuffles
-    assert not any("repo#" in e for e in shuffles), shuffles
+    shuffles = [line.strip().lstrip("+-: ") for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and all(e.startswith("Exchange hashpartitioning(year") and "name#" in e for e in shuffles), shuffles
+
+
+def test_all_forms_of_a_root_give_the_same_rows(spark, tmp):
+    root = os.path.join(tmp, "re pos+(1)")
+    _tree(root)
+    want = rows(tree.source_files(spark, root, _repo(spark)), "repo_id", "path_rel")
+    assert len(want) == 5
+    for form in (root + "/", "file:" + root, "file://" + root, "file://" + root + "/"):
+        assert rows(tree.source_files(spark, form, _repo(spark)), "repo_id", "path_rel") == want
+
+
+def test_paths_outside_the_root_fail(spark, tmp):
+    root = os.path.join(tmp, "repos")
+    _tree(root)
+    listed = tree._binary(spark, root, "*.py").select("path")
+    with pytest.raises(Exception, match="not below"):
+        tree.with_layout(listed, "hdfs://elsewhere/repos").collect()
+
+
+def test_packed_table_equals_the_tree(spark, tmp):
+    root = os.path.join(tmp, "repos")
+    _tree(root)
+    files = []
+    for folder, _, names in os.walk(root):
+        for n in names:
+            full = os.path.join(folder, n)
+            files.append((os.path.relpath(full, root), open(full, "rb").read()))
+    packed = spark.createDataFrame(files, "path string, content binary")
+    cols = ("repo_id", "path_rel", "content")
+    assert rows(tree.packed_source_files(packed, _repo(spark)), *cols) == rows(tree.source_files(spark, root, _repo(spark)), *cols)
+
+
+def test_repositories_stay_apart_without_a_table(spark, tmp):
+    root = os.path.join(tmp, "repos")
+    for repo in ("a", "b", "c"):
+        _put(root, f"2020/u/{repo}/setup.py", "def f(x: int) -> int: return x\n")
+    _, t = facts.extract_tables(tree.source_files(spark, root), "test-no-repository")
+    assert rows(t.func_var, "repo_id", "name") == [(0, "f"), (1, "f"), (2, "f")]
+    from tyscope.operators import reports
+    assert reports.partial_annotation_complete(t.func_var, t.annotation).count() == 6
+    assert rows(reports.full_annot(t.func_var, t.annotation), "sum_num_var") == [(4,), (4,), (4,)]
+
+
+def test_stub_waits_for_a_late_twin(spark, tmp):
+    root, out, ckpt = (os.path.join(tmp, d) for d in ("repos", "tables", "ckpt"))
+    _put(root, "2020/alice/proj/m.pyi", "x: int\n")
+    _put(root, "2020/alice/proj/z.py", "z = 1\n")
+    incremental_extraction(spark, root, out, ckpt, repository=_repo(spark)).awaitTermination()
+    assert rows(spark.read.parquet(out + "/module"), "path_rel") == [("z.py",)]
+    _put(root, "2020/alice/proj/y.py", "y = 1\n")
+    incremental_extraction(spark, root, out, ckpt, repository=_repo(spark)).awaitTermination()
+    _put(root, "2020/alice/proj/m.py", "x = 1\n")
+    incremental_extraction(spark, root, out, ckpt, repository=_repo(spark)).awaitTermination()
+    assert rows(spark.read.parquet(out + "/module"), "path_rel") == [("m.py",), ("m.pyi",), ("y.py",), ("z.py",)]
+
+
+def test_stream_without_repository_table_keeps_ids(spark, tmp):
+    root, out, ckpt = (os.path.join(tmp, d) for d in ("repos", "tables", "ckpt"))
+    for step, repo in enumerate(("b", "a", "b", "c")):
+        _put(root, f"2020/u/{repo}/m{step}.py", "x = 1\n")
+        incremental_extraction(spark, root, out, ckpt).awaitTermination()
+    got = {r.path_rel: r.repo_id for r in spark.read.parquet(out + "/module").collect()}
+    assert got == {"m0.py": 0, "m1.py": 1, "m2.py": 0, "m3.py": 2}
 
 
 def test_incremental_stream_is_idempotent(spark, tmp):

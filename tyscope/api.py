@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tyscope.operators import facts, names, ranking, reports, triage
+from tyscope.session import materialize
 from tyscope.sources import files
 
 
 def rank_repositories(snapshots: DataFrame, top: int = ranking.TOP_PER_YEAR) -> DataFrame:
     """Snapshot records (year, iteration, pos, name, url, stars, created_at) -> repository rows."""
-    return ranking.repository_rows(ranking.merge_snapshots(snapshots, top))
+    return ranking.repository_rows(materialize(ranking.merge_snapshots(snapshots, top), "merged"))
 
 
 def extract_tree(spark: SparkSession, root: str, repository: DataFrame | None = None,

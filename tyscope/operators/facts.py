@@ -1,10 +1,10 @@
 """Split the tagged extraction stream into the four fact tables.
 
-Dedupe on load (first row per key wins) is done without a shuffle for almost
-every row: keys can only collide inside one file unless the relative path is
-at least ``MAX_PATH`` characters long (then truncation can merge two files).
-The extractor flags in-file repeats (``dup``); only the long-path rows go
-through a keyed window.
+Dedupe on load (first row per key wins, in the order of path and emission) is done
+without a shuffle for almost every row: a key repeats inside one file, which the
+extractor flags (``dup``), or across files that share their repository id and stored
+path. Such files (long paths that truncation merges, or one path delivered twice) are
+found from one row per file; only their rows go through a keyed window.
 """
 
 from __future__ import annotations
@@ -34,49 +34,55 @@ class Facts(NamedTuple):
     rejects: DataFrame
 
 
-def _keep_first(rows: DataFrame, key: list[str], long_paths: bool = True) -> DataFrame:
-    """First row per key, ordering by full path then emission order.
+FILE_KEY = ["repo_id", "path_rel"]
+
+
+def colliding_files(extracted: DataFrame) -> DataFrame:
+    """(repo_id, stored path) shared by more than one accepted file."""
+    return (extracted.where(F.col("kind") == "module")
+            .groupBy("repo_id", truncate("path_rel", MAX_PATH).alias("path_rel"))
+            .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*FILE_KEY))
+
+
+def _keep_first(rows: DataFrame, key: list[str], colliding: DataFrame) -> DataFrame:
+    """First row per key, ordered by full path, then emission order, then content."""
+    rows = rows.where(~F.col("dup"))
+    alone = rows.join(colliding, FILE_KEY, "left_anti")
+    rest = [c for c in rows.columns if c not in (*key, "path_full", "seq", "dup")]
+    w = Window.partitionBy(*key).orderBy("path_full", "seq", *rest)
+    first = (rows.join(colliding, FILE_KEY, "left_semi").withColumn("_rn", F.row_number().over(w))
+             .where(F.col("_rn") == 1).drop("_rn"))
+    return alone.unionByName(first)
 
-    ``long_paths=False`` (no path reaches the truncation length, checked by the
-    caller) leaves only the shuffle-free in-file filter.
-    """
-    short = rows.where((F.length("path_full") < MAX_PATH) & ~F.col("dup"))
-    if not long_paths:
-        return short
-    long_ = rows.where(F.length("path_full") >= MAX_PATH)
-    w = Window.partitionBy(*key).orderBy("path_full", "seq")
-    long_first = (long_.withColumn("_rn", F.row_number().over(w))
-                  .where(F.col("_rn") == 1).drop("_rn"))
-    return short.unionByName(long_first)
 
+def _table(rows: DataFrame, key: list[str], colliding: DataFrame | None) -> DataFrame:
+    if colliding is not None:
+        rows = _keep_first(rows, key, colliding)
+    return rows.drop("path_full", "seq", "dup")
 
-def module_rows(extracted: DataFrame, dedupe: bool = True, long_paths: bool = True) -> DataFrame:
+
+def module_rows(extracted: DataFrame, colliding: DataFrame | None) -> DataFrame:
+    """``colliding`` None: the rows before dedupe (the other tables likewise)."""
     m = (extracted.where(F.col("kind") == "module")
          .select(F.col("repo_id"),
                  truncate("path_rel", MAX_PATH).alias("path_rel"),
                  F.col("name"),
                  F.col("num_annotations"),
                  F.col("path_rel").alias("path_full"), "seq", "dup"))
-    if dedupe:
-        m = _keep_first(m, MODULE_KEY, long_paths)
-    return m.drop("path_full", "seq", "dup")
+    return _table(m, MODULE_KEY, colliding)
 
 
-def func_var_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str] = (),
-                  long_paths: bool = True) -> DataFrame:
+def func_var_rows(extracted: DataFrame, colliding: DataFrame | None) -> DataFrame:
     fv = (extracted.where(F.col("kind") == "func_var")
           .select(F.col("repo_id"),
                   truncate("path_rel", MAX_PATH).alias("path_rel"),
                   truncate("name", MAX_NAME).alias("name"),
-                  "lineno", "num_var", "num_var_annotated", *extra,
+                  "lineno", "num_var", "num_var_annotated",
                   F.col("path_rel").alias("path_full"), "seq", "dup"))
-    if dedupe:
-        fv = _keep_first(fv, FUNC_VAR_KEY, long_paths)
-    return fv.drop("path_full", "seq", "dup")
+    return _table(fv, FUNC_VAR_KEY, colliding)
 
 
-def annotation_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str] = (),
-                    long_paths: bool = True) -> DataFrame:
+def annotation_rows(extracted: DataFrame, colliding: DataFrame | None) -> DataFrame:
     an = (extracted.where(F.col("kind") == "annotation")
           .select(F.col("repo_id"),
                   truncate("path_rel", MAX_PATH).alias("path_rel"),
@@ -86,29 +92,22 @@ def annotation_rows(extracted: DataFrame, dedupe: bool = True, extra: list[str]
                   truncate("func_var_type", MAX_FVT).alias("func_var_type"),
                   truncate(base_type("entire_annotation"), MAX_BASE_TYPE).alias("base_type"),
                   truncate("entire_annotation", MAX_ANNOTATION).alias("entire_annotation"),
-                  "type_count", *extra,
+                  "type_count",
                   F.col("path_rel").alias("path_full"), "seq", "dup"))
-    if dedupe:
-        an = _keep_first(an, ANNOTATION_KEY, long_paths)
-    return an.drop("path_full", "seq", "dup")
+    return _table(an, ANNOTATION_KEY, colliding)
 
 
 def reject_rows(extracted: DataFrame) -> DataFrame:
     return extracted.where(F.col("kind") == "reject").select("repo_id", "path_rel", "status")
 
 
-def has_long_paths(extracted: DataFrame) -> bool:
-    """Whether any relative path reaches the truncation length (reads one column)."""
-    return extracted.where(F.length("path_rel") >= MAX_PATH).limit(1).count() > 0
-
-
-def fact_tables(extracted: DataFrame, long_paths: bool | None = None) -> Facts:
-    """The four tables of a (stored) extraction stream."""
-    if long_paths is None:
-        long_paths = has_long_paths(extracted)
-    return Facts(module_rows(extracted, long_paths=long_paths),
-                 func_var_rows(extracted, long_paths=long_paths),
-                 annotation_rows(extracted, long_paths=long_paths), reject_rows(extracted))
+def fact_tables(extracted: DataFrame) -> Facts:
+    """The four tables of a (stored) extraction stream. The list of colliding files is
+    stored too (one row per such file, normally none), so that the planner knows its size."""
+    from tyscope.session import materialize
+    colliding = materialize(colliding_files(extracted), "colliding-files")
+    return Facts(module_rows(extracted, colliding), func_var_rows(extracted, colliding),
+                 annotation_rows(extracted, colliding), reject_rows(extracted))
 
 
 def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:

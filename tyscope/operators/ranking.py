@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import creation_year, format_created_at, split_full_name
-from tyscope.operators.joins import sized_broadcast
-from tyscope.operators.windows import first_by, previous_in_order, top_k_per_group
+from tyscope.operators.windows import DEFAULT_CHUNK, first_by, previous_in_order, top_k_per_group
 
 TOP_PER_YEAR = 1000
 PAGE_SIZE = 100
@@ -42,9 +41,9 @@ def validate_duplicates(snap: DataFrame) -> DataFrame:
             .withColumn("n_duplicates", F.col("n_rows") - F.col("n_valid")))
 
 
-def order_errors(snap: DataFrame) -> DataFrame:
+def order_errors(snap: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Per snapshot file, records with more stars than the record before them."""
-    x = previous_in_order(snap, FILE_KEY, "pos", "stars", "prev_stars")
+    x = previous_in_order(snap, FILE_KEY, "pos", "stars", "prev_stars", chunk)
     bad = F.col("stars") > F.coalesce(F.col("prev_stars"), F.lit(ORDER_START))
     return (x.groupBy(*FILE_KEY)
             .agg(F.sum(F.when(bad, 1).otherwise(0)).cast("bigint").alias("n_order_errors")))
@@ -80,7 +79,7 @@ def merge_snapshots(snap: DataFrame, top: int = TOP_PER_YEAR) -> DataFrame:
 
 def snapshot_match(snap: DataFrame, merged: DataFrame) -> DataFrame:
     """H6: snapshot records whose repository (name, created_at) is in the merged list."""
-    keys = sized_broadcast(merged.select("year", "name", "created_at"))  # <= top per year
+    keys = merged.select("year", "name", "created_at")
     return snap.join(keys, ["year", "name", "created_at"], "left_semi")
 
 
@@ -92,9 +91,10 @@ def paginate(merged: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX
 
 def filter_search(records: DataFrame, year: int, min_stars: int = 10,
                   language: str | None = "python") -> DataFrame:
-    """The search predicate: language, more than ``min_stars`` stars, created in ``year``."""
+    """The search predicate: language, more than ``min_stars`` stars, created in ``year``.
+    Records without a ``language`` column (already searched by language) need ``language=None``."""
     cond = (F.col("stars") > min_stars) & (F.substring("created_at", 1, 4) == str(year))
-    if language is not None and "language" in records.columns:
+    if language is not None:
         cond = cond & (F.lower("language") == language)
     return records.where(cond)
 
@@ -112,10 +112,10 @@ def year_offsets(merged: DataFrame) -> DataFrame:
 
 def repository_rows(merged: DataFrame) -> DataFrame:
     """Repository table from the merged ranking; names without exactly one
-    '/' are left out (see ``rejected_names``)."""
+    '/' are left out (see ``rejected_names``). ``merged`` is read twice: pass it stored."""
     user, short, valid = split_full_name("name")
     created = format_created_at("created_at")
-    offsets = sized_broadcast(year_offsets(merged))  # one row per year
+    offsets = F.broadcast(year_offsets(merged))  # one row per year, by construction
     return (merged.where(valid).join(offsets, "year")
             .select((F.col("offset") + F.col("rank")).cast("int").alias("id"),
                     creation_year(created).alias("year"),
@@ -134,7 +134,7 @@ def lookup_repo_id(repository: DataFrame, probes: DataFrame) -> DataFrame:
     """C7 (join form): id for each (year, user_name, name) probe, -1 when absent; when
     several repositories share the triple (same name, other creation date), the first
     (lowest id) answers, like a single-row lookup."""
-    r = sized_broadcast(repository.groupBy("year", "user_name", "name").agg(F.min("id").alias("id")))
+    r = repository.groupBy("year", "user_name", "name").agg(F.min("id").alias("id"))
     return (probes.join(r, ["year", "user_name", "name"], "left")
             .withColumn("id", F.coalesce("id", F.lit(-1))))
 

@@ -22,6 +22,14 @@ def _fv_annotation_join(func_var: DataFrame, annotation: DataFrame, fv_filter) -
     return fv.join(an, FV_JOIN, "inner")
 
 
+def _counted(func_var: DataFrame, annotation: DataFrame, fv_filter, *by: str) -> DataFrame:
+    """The join with the annotation rows counted per key (and ``by``) first: ``n`` rows of
+    the fan-out stand in one row, and the count is taken before anything is shuffled."""
+    an = (annotation.withColumnRenamed("func_var_name", "name").groupBy(*FV_JOIN, *by)
+          .agg(F.count(F.lit(1)).alias("n")))
+    return func_var.where(fv_filter).join(an, FV_JOIN, "inner")
+
+
 # ---------------------------------------------------------------- C6, H1, D8b
 def partial_annotations(func_var: DataFrame) -> DataFrame:
     """Functions with more than one slot and at least one annotated slot."""
@@ -38,8 +46,8 @@ def partial_annotation_complete(func_var: DataFrame, annotation: DataFrame) -> D
 
 def hist_base_type_partial(func_var: DataFrame, annotation: DataFrame) -> DataFrame:
     """Annotation count per base type over H1."""
-    return (partial_annotation_complete(func_var, annotation)
-            .groupBy("base_type").agg(F.count(F.lit(1)).alias("total")))
+    j = _counted(func_var, annotation, (F.col("num_var") > 1) & (F.col("num_var_annotated") > 0), "base_type")
+    return j.groupBy("base_type").agg(F.sum("n").alias("total"))
 
 
 # ---------------------------------------------------------------- H2 / D9, H3 / D10
@@ -50,12 +58,11 @@ def full_annot(func_var: DataFrame, annotation: DataFrame) -> DataFrame:
     counts, and the group key has no line number (same-named functions of a
     file merge).
     """
-    j = _fv_annotation_join(func_var, annotation,
-                            (F.col("num_var_annotated") > 1)
-                            & (F.col("num_var") == F.col("num_var_annotated")))
+    j = _counted(func_var, annotation,
+                 (F.col("num_var_annotated") > 1) & (F.col("num_var") == F.col("num_var_annotated")))
     return (j.groupBy("repo_id", "path_rel", "name")
-            .agg(F.sum("num_var").cast("bigint").alias("sum_num_var"),
-                 F.sum("num_var_annotated").cast("bigint").alias("sum_num_var_annotated")))
+            .agg(F.sum(F.col("num_var") * F.col("n")).cast("bigint").alias("sum_num_var"),
+                 F.sum(F.col("num_var_annotated") * F.col("n")).cast("bigint").alias("sum_num_var_annotated")))
 
 
 def full_annot_exact(func_var: DataFrame, annotation: DataFrame) -> DataFrame:
@@ -68,10 +75,10 @@ def full_annot_exact(func_var: DataFrame, annotation: DataFrame) -> DataFrame:
 
 def hist_fvt_full(func_var: DataFrame, annotation: DataFrame) -> DataFrame:
     """H3 + D10: annotation rows of fully annotated functions per func_var_type."""
-    j = _fv_annotation_join(func_var, annotation,
-                            (F.col("num_var") > 1) & (F.col("num_var_annotated") > 0)
-                            & (F.col("num_var") == F.col("num_var_annotated")))
-    return j.groupBy("func_var_type").agg(F.count(F.lit(1)).alias("total"))
+    j = _counted(func_var, annotation,
+                 (F.col("num_var") > 1) & (F.col("num_var_annotated") > 0)
+                 & (F.col("num_var") == F.col("num_var_annotated")), "func_var_type")
+    return j.groupBy("func_var_type").agg(F.sum("n").alias("total"))
 
 
 # ---------------------------------------------------------------- repository level

@@ -10,12 +10,13 @@ No function body is compiled or executed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import repo_root
-from tyscope.operators.joins import sized_broadcast
+from tyscope.operators.facts import FILE_KEY, colliding_files
 from tyscope.schemas import MAX_NAME, MAX_PATH
+from tyscope.session import materialize
 
 # The value each probe type name is instantiated with (as repr).
 PROBE_VALUES = {
@@ -53,23 +54,25 @@ STATUS_CHECKABLE = "checkable"
 def function_definitions(extracted: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """The first ``def`` of each name in each file (pre-order), with its probe inputs.
 
-    ``wanted`` (``repo_id, path_rel, name``): only these functions are needed; the
-    definition rows are filtered against a size-checked broadcast of the keys
-    before the shuffle, so unneeded definitions never leave their task.
+    The extractor flags it, so this is a filter; only files that share a stored path
+    (normally none) need a step keyed by name. ``wanted`` (``repo_id, path_rel, name``)
+    keeps those functions only.
     """
-    defs = (extracted.where((F.col("kind") == "func_var") & F.col("is_function"))
+    defs = (extracted.where((F.col("kind") == "func_var") & F.col("first_def"))
             .select("repo_id",
                     F.substring("path_rel", 1, MAX_PATH).alias("path_rel"),
                     F.substring("name", 1, MAX_NAME).alias("name"),
                     F.col("path_rel").alias("path_full"),
                     "seq", "lineno", "probe_args", "probe_return", "n_required_other"))
     if wanted is not None:
-        keys = sized_broadcast(wanted.select("repo_id", "path_rel", "name").distinct())
-        defs = defs.join(keys, ["repo_id", "path_rel", "name"], "left_semi")
-    first = F.min_by(F.struct("lineno", "probe_args", "probe_return", "n_required_other"),
-                     F.struct("path_full", "seq"))
-    return (defs.groupBy("repo_id", "path_rel", "name").agg(first.alias("d"))
-            .select("repo_id", "path_rel", "name", "d.*"))
+        defs = defs.join(wanted.select("repo_id", "path_rel", "name").distinct(), ["repo_id", "path_rel", "name"], "left_semi")
+    colliding = materialize(colliding_files(extracted), "colliding-files")
+    kept = ["repo_id", "path_rel", "name", "lineno", "probe_args", "probe_return", "n_required_other"]
+    alone = defs.join(colliding, FILE_KEY, "left_anti").select(*kept)
+    w = Window.partitionBy("repo_id", "path_rel", "name").orderBy("path_full", "seq", "lineno")
+    first = (defs.join(colliding, FILE_KEY, "left_semi").withColumn("_rn", F.row_number().over(w))
+             .where(F.col("_rn") == 1).select(*kept))
+    return alone.unionByName(first)
 
 
 def attach_function_definition(functions: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -121,22 +124,22 @@ def repo_verdict(repos: DataFrame, diagnostics: DataFrame) -> DataFrame:
 def clean_repo_functions(functions: DataFrame, verdicts: DataFrame) -> DataFrame:
     """H8: functions of repositories with a clean verdict (no verdict = not clean).
 
-    One verdict per repository: broadcast after a size check, so a repository
-    with a third of all functions is not funnelled into one task."""
+    One verdict per repository. The planner broadcasts that side by its size; beyond the
+    threshold it is a shuffle join, whose skewed partitions AQE splits."""
     clean = verdicts.where(F.col("clean")).select("repo_id")
-    return functions.join(sized_broadcast(clean), "repo_id", "left_semi")
+    return functions.join(clean, "repo_id", "left_semi")
 
 
 def exclude_repos(functions: DataFrame, deny: list[int] | DataFrame = DENYLIST) -> DataFrame:
     """C11: drop denied repositories (a list, or a table of ``repo_id``)."""
     if isinstance(deny, DataFrame):
-        return functions.join(sized_broadcast(deny.select("repo_id")), "repo_id", "left_anti")
+        return functions.join(deny.select("repo_id"), "repo_id", "left_anti")
     return functions.where(~F.col("repo_id").isin(list(deny)))
 
 
 def focus_functions(functions: DataFrame, keys: DataFrame) -> DataFrame:
     """Only the (repo_id, name) pairs in ``keys``."""
-    return functions.join(sized_broadcast(keys.select("repo_id", "name")), ["repo_id", "name"], "left_semi")
+    return functions.join(keys.select("repo_id", "name"), ["repo_id", "name"], "left_semi")
 
 
 def resume_after(functions: DataFrame, last_done: int | None = None,
@@ -147,7 +150,7 @@ def resume_after(functions: DataFrame, last_done: int | None = None,
     if last_done is not None:
         out = out.where(F.col("repo_id") > last_done)
     if done is not None:
-        out = out.join(sized_broadcast(done.select("repo_id")), "repo_id", "left_anti")
+        out = out.join(done.select("repo_id"), "repo_id", "left_anti")
     return out
 
 
@@ -167,7 +170,8 @@ def classify_outcome(outcomes: DataFrame) -> DataFrame:
     """Label recorded probe outcomes.
 
     ``outcomes``: ``exc_type`` (NULL when the call returned), ``message``,
-    ``return_error`` (the return annotation has no probe type), ``matched``.
+    ``return_error`` (the return annotation has no probe type), ``matched`` (NULL when the
+    result was not compared: its own label, which no filter keeps).
     """
     exc = F.col("exc_type")
     label = (F.when((exc == "TypeError") & F.col("message").contains("missing"), F.lit("Missing"))
@@ -175,6 +179,7 @@ def classify_outcome(outcomes: DataFrame) -> DataFrame:
              .when(exc.isin(BAD_ERRORS + BAD_ERROR_SUBCLASSES), F.lit("BadError!"))
              .when(exc.isNotNull(), F.lit("Unhandled"))
              .when(F.col("return_error"), F.lit("ERROR!"))
+             .when(F.col("matched").isNull(), F.lit("Unchecked"))
              .when(F.col("matched"), F.lit("True"))
              .otherwise(F.lit("False")))
     return outcomes.withColumn("label", label)

@@ -32,10 +32,11 @@ def previous_in_order(df: DataFrame, part_cols: list[str], order_col: str, value
 
 
 def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row per key under ``order`` (W3), as a hash aggregate.
+    """Keep the first row per key under ``order`` (W3), as an aggregate.
 
-    ``max_by`` over a struct with partial aggregation: each map task sends at
-    most one row per key into the shuffle, so a hot key costs one row per task.
+    ``max_by`` over a struct with partial aggregation (Spark sorts for it on both sides, as
+    the buffer is a struct): each map task sends at most one row per key into the shuffle,
+    so a hot key costs one row per task.
     """
     cols = [c for c in df.columns if c not in key]
     best = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*order)).alias("_best")
@@ -62,3 +63,16 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
               .drop("_bucket", "_rn1"))
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def numbered(df: DataFrame, cols: list[str], out_col: str, buckets: int = 256) -> DataFrame:
+    """The distinct values of ``cols`` with a number from 0 without gaps, the same for the
+    same set of values. Numbers run through hash buckets; only one row per bucket is
+    ordered as a whole."""
+    x = df.select(*cols).distinct().withColumn("_bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
+    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = (x.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first")))
+    inside = Window.partitionBy("_bucket").orderBy(*cols)
+    return (x.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(first), "_bucket")
+            .select(*cols, (F.col("_first") + F.col("_rn") - 1).alias(out_col)))

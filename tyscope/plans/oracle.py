@@ -7,8 +7,95 @@ follow from ``p_size`` alone.
 
 from __future__ import annotations
 
-from tyscope.functions.columns import BASE_TYPES
-from tyscope.sources.standins import BROKEN_EVERY, TEMPLATE_ANNOTATIONS
+# Everything expected is written out here; nothing is taken from the code under test.
+
+# The names counted as built-in base types.
+BASE_TYPES = [
+    "None", "bool", "int", "float", "complex", "str", "bytes", "bytearray", "memoryview", "range", "tuple",
+    "list", "set", "frozenset", "dict", "ellipsis", "...", "type", "object", "NoneType", "Any", "Union",
+    "Optional", "Callable", "TypeVar", "Generic", "ClassVar", "Final", "Literal", "Annotated", "TypedDict",
+    "Protocol", "runtime_checkable", "AbstractSet",
+]
+
+# Templated module: annotation, canonical text, type count; by p_size % 13.
+TEMPLATE_ANNOTATIONS = [
+    ('int', 'int', 1),
+    ('Optional[Union[str, int]]', 'Optional[Union[str, int]]', 4),
+    ('typing.Optional[int]', 'typing.Optional[int]', 2),
+    ('Callable[[int], str]', 'Callable[[int], str]', 3),
+    ('"Foo"', "'Foo'", 1),
+    ('str | None', 'str | None', 2),
+    ('Tuple[int, ...]', 'Tuple[int, ...]', 3),
+    ('Literal["a", "b"]', "Literal['a', 'b']", 3),
+    ('...', '...', 1),
+    ('Dict[str, Any]', 'Dict[str, Any]', 3),
+    ('-1', '-1', 1),
+    ('None', 'None', 1),
+    ('list[int]', 'list[int]', 2),
+]
+
+# Files with p_size % 17 = 0 end in a syntax error; folders with p_size % 11 = 0 have no repository.
+BROKEN_EVERY = 17
+TREE_UNKNOWN_EVERY = 11
+
+# Triage module: annotation, canonical text, probe (tag, value), shape class, shape issue,
+# whether it is a constant, type count; argument a takes case pk % 29, b (pk * 7 + 3) % 29,
+# the return (pk * 5 + 1) % 29, and pk % 5 = 0 has one more required argument.
+TRIAGE_CASES = [
+    ('int', 'int', 'str', 'int', 'accepted', None, False, 1),
+    ('float', 'float', 'str', 'float', 'accepted', None, False, 1),
+    ('Optional[str]', 'Optional[str]', 'str', 'str', 'accepted', None, False, 2),
+    ('Union[int, str]', 'Union[int, str]', 'str', 'int', 'accepted', None, False, 3),
+    ('Union[List[int], bool]', 'Union[List[int], bool]', 'str', 'bool', 'accepted', None, False, 4),
+    ('Union[List[int], Dict[str, int]]', 'Union[List[int], Dict[str, int]]', 'none', None, 'accepted', None, False, 6),
+    ('Literal[3]', 'Literal[3]', 'int', '3', 'accepted', None, False, 2),
+    ('Literal["int"]', "Literal['int']", 'str', 'int', 'accepted', None, False, 2),
+    ('"dict[str, int]"', "'dict[str, int]'", 'error', None, 'accepted', None, True, 1),
+    ('"str"', "'str'", 'str', 'str', 'accepted', None, True, 1),
+    ('typing.Optional[int]', 'typing.Optional[int]', 'error', None, 'accepted', None, False, 2),
+    ('int | None', 'int | None', 'error', None, 'accepted', None, False, 2),
+    ('List[int]', 'List[int]', 'error', None, 'accepted', None, False, 2),
+    ('None', 'None', 'none', None, 'accepted', None, True, 1),
+    ('0', '0', 'int', '0', 'accepted', None, True, 1),
+    ('3j', '3j', 'error', None, 'accepted', 'constant:complex', True, 1),
+    ('-1', '-1', 'error', None, 'accepted', None, True, 1),
+    ('not int', 'not int', 'error', None, 'accepted', 'unary:Not', False, 1),
+    ('int or str', 'int or str', 'error', None, 'incorrect', None, False, 0),
+    ('{str: int}', '{str: int}', 'error', None, 'incorrect', None, False, 0),
+    ('[x for x in y]', '[x for x in y]', 'error', None, 'unexpected', 'unexpected:ListComp', False, 0),
+    ('complex', 'complex', 'str', 'complex', 'accepted', None, False, 1),
+    ('bool', 'bool', 'str', 'bool', 'accepted', None, False, 1),
+    ('Literal[True]', 'Literal[True]', 'bool', 'True', 'accepted', None, False, 2),
+    ('Literal[b"x"]', "Literal[b'x']", 'bytes', "b'x'", 'accepted', None, False, 2),
+    ('"ERROR"', "'ERROR'", 'error', None, 'accepted', None, True, 1),
+    ('""', "''", 'str', '', 'accepted', None, True, 1),
+    ('int if x else str', 'int if x else str', 'error', None, 'incorrect', None, False, 0),
+    ('"None"', "'None'", 'str', 'None', 'accepted', None, True, 1),
+]
+TRIAGE_A, TRIAGE_B, TRIAGE_R, TRIAGE_EXTRA_EVERY = (1, 0), (7, 3), (5, 1), 5
+
+# What each probe type name is instantiated with.
+PROBE_VALUES = {'int': '10', 'float': '2.0', 'complex': '1j', 'str': "'something'", 'bool': 'True', 'None': 'None'}
+
+# Relational stand-in: annotation texts and their type counts.
+STANDIN_ANNOTATIONS = [
+    ("None", 1), ("bool", 1), ("int", 1), ("float", 1), ("complex", 1), ("str", 1), ("bytes", 1),
+    ("bytearray", 1), ("memoryview", 1), ("range", 1), ("tuple[int]", 2), ("list", 1), ("set[str]", 2),
+    ("frozenset", 1), ("dict[str, int]", 3), ("ellipsis", 1), ("...", 1), ("type", 1), ("object", 1),
+    ("NoneType", 1), ("Any", 1), ("Union[int, str]", 3), ("Optional[str]", 2), ("Callable", 1),
+    ("TypeVar", 1), ("Generic", 1), ("ClassVar[int]", 2), ("Final", 1), ("Literal[1]", 2),
+    ("Annotated[int, x]", 3), ("TypedDict", 1), ("Protocol", 1), ("runtime_checkable", 1), ("AbstractSet", 1),
+    ("List[int]", 2), ("str | None", 2), ("np.ndarray", 1), ("Foo", 1),
+]
+
+# Exception classes that count as bad errors, with their built-in subclasses.
+BAD_CLASSES = [
+    "NameError", "NotImplementedError", "ImportError", "AttributeError", "ValueError", "RuntimeError", "UnboundLocalError",
+    "SyntaxError", "FileNotFoundError", "IndexError", "KeyError", "ZeroDivisionError", "AssertionError",
+    "ModuleNotFoundError", "RecursionError", "UnicodeError", "UnicodeDecodeError", "UnicodeEncodeError",
+    "UnicodeTranslateError", "IndentationError", "TabError", "PythonFinalizationError",
+]
+OUTCOME_CLASSES = ["TypeError", *BAD_CLASSES, "OSError", "KeyboardInterrupt", "StopIteration", "MemoryError", "CustomError"]
 
 
 def _q(s: str) -> str:
@@ -45,16 +132,17 @@ FUNC_VAR = """func_var_t AS (
         FROM lineitem GROUP BY l_orderkey, l_linenumber) li
   JOIN orders o ON li.l_orderkey = o.o_orderkey)"""
 
-_TEXTS = "['int', 'Optional[str]', 'List[int]', 'str | None']"
-_COUNTS = "[1, 2, 2, 2]"
+_TEXTS = "[" + ", ".join(_q(t) for t, _ in STANDIN_ANNOTATIONS) + "]"
+_COUNTS = "[" + ", ".join(str(n) for _, n in STANDIN_ANNOTATIONS) + "]"
+_AT = f"CAST((CAST(substr(name, 2) AS BIGINT) + lineno + k) % {len(STANDIN_ANNOTATIONS)} AS INTEGER) + 1"
 
 ANNOTATION = f"""annotation_t AS (
   SELECT repo_id, path_rel, name AS func_var_name, lineno,
          CASE WHEN k = num_var THEN '' ELSE concat('a', CAST(k AS VARCHAR)) END AS annot_name,
          CASE WHEN k = num_var THEN 'return' ELSE 'argument' END AS func_var_type,
-         {base_type_sql(f"{_TEXTS}[CAST((lineno + k) % 4 AS INTEGER) + 1]")} AS base_type,
-         {_TEXTS}[CAST((lineno + k) % 4 AS INTEGER) + 1] AS entire_annotation,
-         {_COUNTS}[CAST((lineno + k) % 4 AS INTEGER) + 1] AS type_count
+         {base_type_sql(f"{_TEXTS}[{_AT}]")} AS base_type,
+         {_TEXTS}[{_AT}] AS entire_annotation,
+         {_COUNTS}[{_AT}] AS type_count
   FROM (SELECT *, unnest(generate_series(1, num_var_annotated)) AS k
         FROM func_var_t WHERE num_var_annotated > 0) s)"""
 
@@ -197,12 +285,6 @@ def with_ranking(body: str) -> str:
 
 
 # ------------------------------------------------------------------ triage module (expected rows)
-from tyscope.sources.standins import (  # noqa: E402
-    TRIAGE_A, TRIAGE_B, TRIAGE_CASES, TRIAGE_EXTRA_EVERY, TRIAGE_R,
-)
-from tyscope.operators.triage import PROBE_VALUES  # noqa: E402
-
-
 def _lit(v):
     if v is None:
         return "NULL"
@@ -257,35 +339,37 @@ TRI_FULL = """tri_full_t AS (
   FROM tri_src_t WHERE NOT extra)"""
 
 DIAG = """diag_t AS (
-  SELECT CAST(user_id AS INTEGER) AS repo_id, concat('tri/t', CAST(event_id % 97 AS VARCHAR), '.py') AS path,
+  SELECT CAST(user_id * 3 AS INTEGER) AS repo_id, concat('tri/t', CAST(event_id % 97 AS VARCHAR), '.py') AS path,
          CAST(floor(value) AS INTEGER) AS line, event_type AS code
-  FROM events WHERE event_type = 'error' AND user_id % 3 = 0)"""
+  FROM events WHERE event_type = 'error')"""
 
 VERDICT = """verdict_t AS (
   SELECT r.repo_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_diagnostics, coalesce(d.n, 0) = 0 AS clean
   FROM (SELECT DISTINCT repo_id FROM tri_src_t) r
   LEFT JOIN (SELECT repo_id, count(*) AS n FROM diag_t GROUP BY repo_id) d ON r.repo_id = d.repo_id)"""
 
-OUTCOME = """outcome_t AS (
+_CLASSES = "[" + ", ".join(_q(c) for c in OUTCOME_CLASSES) + "]"
+_MISSING_TEXT = _q("t() missing 1 required positional argument: 'c'")
+
+OUTCOME = f"""outcome_t AS (
   SELECT event_id, CAST(user_id AS INTEGER) AS repo_id,
          concat('/srv/repos/u', CAST(user_id AS VARCHAR), '/r', CAST(user_id AS VARCHAR), '/tri/t',
                 CAST(event_id % 97 AS VARCHAR), '.py') AS file_path,
          concat('t', CAST(event_id % 97 AS VARCHAR)) AS name,
-         CASE WHEN event_type = 'error' THEN 'TypeError' WHEN event_type = 'click' THEN 'KeyError'
-              WHEN event_type = 'signup' THEN 'RecursionError'
-              WHEN event_type = 'purchase' AND value > 30 THEN 'OSError' END AS exc_type,
-         CASE WHEN value > 25 THEN 't() missing 1 required positional argument: ''c''' ELSE
-              'unsupported operand type(s)' END AS message,
+         CASE WHEN event_id % 2 = 0
+              THEN {_CLASSES}[CAST(CAST(floor(event_id / 2) AS BIGINT) % {len(OUTCOME_CLASSES)} AS INTEGER) + 1] END AS exc_type,
+         CASE WHEN value > 25 THEN {_MISSING_TEXT} ELSE 'unsupported operand type(s)' END AS message,
          event_type = 'view' AND value < 10 AS return_error,
-         value > 10 AS matched
+         CASE WHEN event_id % 9 <> 1 THEN value > 10 END AS matched
   FROM events)"""
 
-LABELLED = """labelled_t AS (
+LABELLED = f"""labelled_t AS (
   SELECT *, CASE WHEN exc_type = 'TypeError' AND contains(message, 'missing') THEN 'Missing'
                  WHEN exc_type = 'TypeError' THEN 'MeinTypeError!'
-                 WHEN exc_type IN ('KeyError', 'RecursionError', 'ZeroDivisionError') THEN 'BadError!'
+                 WHEN exc_type IN ({", ".join(_q(c) for c in BAD_CLASSES)}) THEN 'BadError!'
                  WHEN exc_type IS NOT NULL THEN 'Unhandled'
                  WHEN return_error THEN 'ERROR!'
+                 WHEN matched IS NULL THEN 'Unchecked'
                  WHEN matched THEN 'True' ELSE 'False' END AS label
   FROM outcome_t)"""
 
@@ -297,8 +381,6 @@ def with_triage(body: str) -> str:
 
 
 # ------------------------------------------------------------------ source tree (expected rows)
-from tyscope.sources.standins import TREE_UNKNOWN_EVERY  # noqa: E402
-
 TREE_MODULE = f"""tree_module_t AS (
   SELECT CAST(p_size * 100 AS INTEGER) AS repo_id, rel AS path_rel, regexp_extract(rel, '[^/]*$', 0) AS name,
          CAST(5 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END
@@ -310,6 +392,18 @@ TREE_MODULE = f"""tree_module_t AS (
           ELSE CAST([] AS VARCHAR[]) END) AS rel
         FROM part WHERE p_size % {BROKEN_EVERY} <> 0 AND p_size % {TREE_UNKNOWN_EVERY} <> 0) t)"""
 
+TREE_FOLDER = f"""tree_folder_t AS (
+  SELECT CAST(2013 + p_size % 10 AS INTEGER) AS year, concat('u', CAST(p_size % 7 AS VARCHAR)) AS user_name,
+         concat('r', CAST(p_size AS VARCHAR)) AS repo, rel AS path_rel,
+         CAST(5 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END
+              AS INTEGER) AS num_annotations
+  FROM (SELECT p_size, unnest(CASE p_partkey % 6
+          WHEN 0 THEN [concat('pkg/p', CAST(p_partkey AS VARCHAR), '.py')]
+          WHEN 3 THEN [concat('pkg/p', CAST(p_partkey AS VARCHAR), '.py'), concat('pkg/p', CAST(p_partkey AS VARCHAR), '.pyi')]
+          WHEN 5 THEN [concat('pkg/p', CAST(p_partkey AS VARCHAR), '/mypy.py')]
+          ELSE CAST([] AS VARCHAR[]) END) AS rel
+        FROM part WHERE p_size % {BROKEN_EVERY} <> 0) t)"""
+
 TREE_MISSING = f"""tree_missing_t AS (
   SELECT DISTINCT CAST(2013 + p_size % 10 AS INTEGER) AS year, concat('u', CAST(p_size % 7 AS VARCHAR)) AS user_name,
          concat('r', CAST(p_size AS VARCHAR)) AS repo
@@ -317,4 +411,60 @@ TREE_MISSING = f"""tree_missing_t AS (
 
 
 def with_tree(body: str) -> str:
-    return f"WITH {TREE_MODULE},\n{TREE_MISSING}\n{body}"
+    return f"WITH {TREE_MODULE},\n{TREE_FOLDER},\n{TREE_MISSING}\n{body}"
+
+
+# ------------------------------------------------------------------ odd files (expected rows)
+_ODD_PATH = "concat('odd/o', CAST(p_partkey AS VARCHAR), '.py')"
+_LONG_PATH = "concat('odd/', repeat('p', 265))"  # 269 characters
+
+
+def _odd(kind: int, cols: str) -> str:
+    return f"SELECT CAST(p_partkey AS INTEGER) AS repo_id, {cols} FROM part WHERE p_partkey % 10 = {kind}"
+
+
+ODD_REJECTS = " UNION ALL ".join(
+    _odd(k, f"{_ODD_PATH} AS path_rel, '{status}' AS status")
+    for k, status in ((1, "UnicodeDecodeError"), (2, "SyntaxError"), (8, "SyntaxError")))
+
+# kind, path, name, number of annotations
+ODD_MODULE = " UNION ALL ".join(
+    _odd(k, f"{path} AS path_rel, {name} AS name, {n} AS num_annotations")
+    for k, path, name, n in (
+        [(k, _ODD_PATH, "concat('o', CAST(p_partkey AS VARCHAR), '.py')", n) for k, n in
+         ((0, 3), (3, 1), (4, 2), (5, 0), (7, 1), (9, 1))]
+        + [(6, _LONG_PATH, "concat(repeat('p', 270), 'a.py')", 0)]))
+
+_LONG_N, _LONG_Q, _LONG_T = (f"left(repeat('{c}', CAST(p_partkey % 7 AS INTEGER) + {more}), {cap})"
+                             for c, more, cap in (("n", 130, 134), ("q", 131, 134), ("T", 536, 539)))
+
+# kind, path, name, line, slots, annotated slots
+ODD_FUNC_VAR = " UNION ALL ".join(
+    _odd(k, f"{path} AS path_rel, {name} AS name, {line} AS lineno, {nv} AS num_var, {na} AS num_var_annotated")
+    for k, path, name, line, nv, na in (
+        (0, _ODD_PATH, "'f'", 1, 3, 3),
+        (3, _ODD_PATH, "'x'", 1, 1, 0), (3, _ODD_PATH, "'y'", 2, 1, 1),
+        (4, _ODD_PATH, "'a'", 1, 1, 0), (4, _ODD_PATH, "'b'", 2, 1, 1), (4, _ODD_PATH, "'g'", 3, 0, 0),
+        (4, _ODD_PATH, "'g'", 4, 1, 0),
+        (5, _ODD_PATH, "'v'", 1, 1, 0), (5, _ODD_PATH, "'w'", 2, 1, 0),
+        (6, _LONG_PATH, "'k'", 1, 1, 0), (6, _LONG_PATH, "'only_in_a'", 2, 1, 0),
+        (7, _ODD_PATH, _LONG_N, 1, 1, 1),
+        (9, _ODD_PATH, "'x'", 1, 1, 0), (9, _ODD_PATH, "'h'", 2, 3, 1)))
+
+_SURROGATE_A = "concat(chr(39), chr(92), 'ud800', chr(39))"
+_SURROGATE_B = "concat('Literal[', chr(39), chr(92), 'ud801x', chr(39), ']')"
+
+# kind, path, name, line, annotation name, kind of slot, base type, text, type count
+ODD_ANNOTATION = " UNION ALL ".join(
+    _odd(k, f"{path} AS path_rel, {name} AS func_var_name, {line} AS lineno, {an} AS annot_name, '{fvt}' AS func_var_type, "
+            f"{bt} AS base_type, {text} AS entire_annotation, {n} AS type_count")
+    for k, path, name, line, an, fvt, bt, text, n in (
+        (0, _ODD_PATH, "'f'", 1, "'a'", "argument", "'user_defined'", _SURROGATE_A, 1),
+        (0, _ODD_PATH, "'f'", 1, "'b'", "argument", "'Literal'", _SURROGATE_B, 2),
+        (0, _ODD_PATH, "'f'", 1, "''", "return", "'int'", "'int'", 1),
+        (3, _ODD_PATH, "'y'", 2, "'y'", "variable", "'int'", "left(concat('int', repeat(' | int', 299)), 539)", 300),
+        (4, _ODD_PATH, "'b'", 2, "'b'", "variable", "'int'", "'int'", 1),
+        (5, _ODD_PATH, "'v'", 1, "'v'", "variable", "'int'", "'int'", 1),
+        (6, _LONG_PATH, "'k'", 1, "'k'", "variable", "'int'", "'int'", 1),
+        (7, _ODD_PATH, _LONG_N, 1, _LONG_Q, "argument", "'user_defined'", _LONG_T, 1),
+        (9, _ODD_PATH, "'h'", 2, "'b'", "argument", "'int'", "'int'", 1)))

@@ -7,12 +7,14 @@ the data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tyscope.functions.columns import lookup_default
 from tyscope.operators import facts, names, ranking, reports, triage
 from tyscope.plans import oracle as O
 from tyscope.schemas import FUNC_VAR, FUNC_VAR_KEY, MODULE, REPOSITORY
@@ -61,17 +63,23 @@ def _facts(spark, sf):
     return _once(spark, ("facts", sf), lambda: facts.fact_tables(_extracted(spark, sf)))
 
 
+# Buckets of the stored stand-in tables; a production layout takes thousands.
+STORE_BUCKETS = 16
+
+
 class _Stored:
-    """Stand-in tables stored once in the shared folder. (The production layout stores
-    func_var and annotation bucketed on the join key, ``facts.save_fact_tables``; that
-    path is the registered ``partial_annotation_complete_bucketed``.)"""
+    """Stand-in tables in the production layout: func_var and annotation bucketed on the
+    join key (``facts.save_fact_tables``), once per session."""
 
     def __init__(self, spark, sf):
         r = standins.Relational(spark, sf)
         self.repository = materialize(r.repository, "repository")
-        self.func_var = materialize(r.func_var, "func-var")
-        self.annotation = materialize(standins.annotation(self.func_var), "annotation")
-        self.module = materialize(standins.module(self.func_var), "module")
+        func_var = materialize(r.func_var, "func-var")
+        t = facts.save_fact_tables(
+            facts.Facts(standins.module(func_var), func_var, standins.annotation(func_var),
+                        spark.createDataFrame([], "repo_id int, path_rel string, status string")),
+            f"standin_{uuid.uuid4().hex[:8]}", scratch_path(spark, "stored"), STORE_BUCKETS)
+        self.func_var, self.annotation, self.module = t.func_var, t.annotation, t.module
 
 
 def _rel(spark, sf):
@@ -96,7 +104,7 @@ def q_extract_annotation(spark, sf):
 
 @register("extract_rejects",
           f"SELECT CAST(p_size AS INTEGER) AS repo_id, concat('pkg/p', CAST(p_partkey AS VARCHAR), '.py') "
-          f"AS path_rel, 'SyntaxError' AS status FROM part WHERE p_size % {standins.BROKEN_EVERY} = 0")
+          f"AS path_rel, 'SyntaxError' AS status FROM part WHERE p_size % {O.BROKEN_EVERY} = 0")
 def q_extract_rejects(spark, sf):
     return _facts(spark, sf).rejects
 
@@ -131,13 +139,45 @@ def q_annotations_per_module(spark, sf):
     return facts.annotations_per_module(t.module, t.annotation)
 
 
-@register("reconcile_module",
-          "SELECT CAST(NULL AS INTEGER) AS repo_id, CAST(NULL AS VARCHAR) AS path_rel, "
-          "CAST(NULL AS BIGINT) AS total_annotations, CAST(NULL AS BIGINT) AS annotation_rows, "
-          "CAST(NULL AS BIGINT) AS func_var_annotated FROM part WHERE false",
-          note="invariant: expected empty")
+@register("reconcile_module", O.with_extracted(
+    "SELECT repo_id, path_rel, CAST(5 + pann + ret + CASE WHEN repo_id % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) "
+    "AS total_annotations, CAST(5 + pann + ret - CASE WHEN repo_id % 7 = 5 THEN 1 ELSE 0 END AS BIGINT) AS annotation_rows, "
+    "CAST(5 + pann + ret + CASE WHEN repo_id % 7 = 6 THEN 2 ELSE 0 END AS BIGINT) AS func_var_annotated "
+    "FROM src_t WHERE repo_id % 7 IN (3, 5, 6)"),
+    note="the stream with planted mismatches; the unaltered stream gives no row (tested)")
 def q_reconcile_module(spark, sf):
-    return facts.reconcile_module(_extracted(spark, sf))
+    x = _extracted(spark, sf)
+    part, kind = F.col("repo_id") % 7, F.col("kind")
+    planted = (x.where(~((part == 5) & (kind == "annotation") & (F.col("name") == "z")))
+               .withColumn("num_annotations", F.when(part == 3, F.col("num_annotations") + 1).otherwise(F.col("num_annotations")))
+               .withColumn("num_var_annotated", F.when((part == 6) & (F.col("name") == "z"), F.col("num_var_annotated") + 2)
+                           .otherwise(F.col("num_var_annotated"))))
+    return facts.reconcile_module(planted)
+
+
+# ====================================================================== odd files
+def _odd(spark, sf):
+    return _once(spark, ("odd", sf), lambda: facts.extract_tables(standins.odd_files(spark, sf), "odd-files")[1])
+
+
+@register("odd_rejects", O.ODD_REJECTS)
+def q_odd_rejects(spark, sf):
+    return _odd(spark, sf).rejects
+
+
+@register("odd_module", O.ODD_MODULE)
+def q_odd_module(spark, sf):
+    return _odd(spark, sf).module
+
+
+@register("odd_func_var", O.ODD_FUNC_VAR)
+def q_odd_func_var(spark, sf):
+    return _odd(spark, sf).func_var
+
+
+@register("odd_annotation", O.ODD_ANNOTATION)
+def q_odd_annotation(spark, sf):
+    return _odd(spark, sf).annotation
 
 
 # ====================================================================== names
@@ -317,7 +357,13 @@ def _snap(spark, sf):
 
 
 def _merged(spark, sf):
-    return ranking.merge_snapshots(_snap(spark, sf))
+    """The ranked lists, stored once per session (the study writes them to files, too)."""
+    return _once(spark, ("merged", sf), lambda: materialize(ranking.merge_snapshots(_snap(spark, sf)), "merged"))
+
+
+def _repository(spark, sf):
+    return _once(spark, ("repository", sf),
+                 lambda: materialize(ranking.repository_rows(_merged(spark, sf)), "repository-rows"))
 
 
 @register("dedupe_snapshot", O.with_ranking("SELECT * FROM snap_dedup_t"))
@@ -346,6 +392,14 @@ def q_order_errors(spark, sf):
     return ranking.order_errors(_snap(spark, sf))
 
 
+@register("order_errors_chunked", O.with_ranking(
+    "SELECT year, iteration, CAST(sum(CASE WHEN stars > coalesce(prev, 1000000) THEN 1 ELSE 0 END) AS BIGINT) "
+    "AS n_order_errors FROM (SELECT *, lag(stars) OVER (PARTITION BY year, iteration ORDER BY pos) AS prev "
+    "FROM snap_t) s GROUP BY year, iteration"), note="chunks of 64 positions, so that the carry is used")
+def q_order_errors_chunked(spark, sf):
+    return ranking.order_errors(_snap(spark, sf), chunk=64)
+
+
 @register("order_errors_sorted", O.with_ranking(
     "SELECT year, iteration, CAST(sum(CASE WHEN stars > coalesce(prev, 1000000) THEN 1 ELSE 0 END) AS BIGINT) "
     "AS n_order_errors FROM (SELECT *, lag(stars) OVER (PARTITION BY year, iteration ORDER BY p2) AS prev "
@@ -370,7 +424,7 @@ def q_key_conflicts(spark, sf):
 
 @register("merge_snapshots", O.with_ranking("SELECT * FROM merged_t"))
 def q_merge_snapshots(spark, sf):
-    return _merged(spark, sf)
+    return ranking.merge_snapshots(_snap(spark, sf))
 
 
 @register("snapshot_match", O.with_ranking(
@@ -388,9 +442,12 @@ def q_paginate(spark, sf):
 
 
 @register("filter_search", O.with_ranking(
-    "SELECT * FROM snap_t WHERE stars > 10 AND substr(created_at, 1, 4) = '2016'"))
+    "SELECT *, CASE pos % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'python' WHEN 2 THEN 'Java' END AS language FROM snap_t "
+    "WHERE stars > 10 AND substr(created_at, 1, 4) = '2016' AND pos % 4 < 2"))
 def q_filter_search(spark, sf):
-    return ranking.filter_search(_snap(spark, sf), 2016)
+    pos = F.col("pos") % 4
+    language = F.when(pos == 0, "Python").when(pos == 1, "python").when(pos == 2, "Java")
+    return ranking.filter_search(_snap(spark, sf).withColumn("language", language), 2016)
 
 
 @register("repository_rows", O.with_ranking("SELECT * FROM repo_ranked_t"))
@@ -417,7 +474,7 @@ def q_lookup_repo_id(spark, sf):
     probes = c.select((F.lit(2013) + ck % 10 + F.when(ck % 5 == 0, 1).otherwise(0)).cast("int").alias("year"),
                       F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("user_name"),
                       F.col("c_name").alias("name")).distinct()
-    return ranking.lookup_repo_id(ranking.repository_rows(_merged(spark, sf)), probes)
+    return ranking.lookup_repo_id(_repository(spark, sf), probes)
 
 
 @register("lookup_repo_by_name", O.with_ranking(
@@ -427,7 +484,7 @@ def q_lookup_repo_id(spark, sf):
     "WHERE k = 1) r ON n.name = r.name"))
 def q_lookup_repo_by_name(spark, sf):
     names_df = read_table(spark, sf, "customer").select(F.col("c_name").alias("name")).distinct()
-    return ranking.lookup_repo_by_name(ranking.repository_rows(_merged(spark, sf)), names_df)
+    return ranking.lookup_repo_by_name(_repository(spark, sf), names_df)
 
 
 @register("longest_repo_name", O.with_ranking(
@@ -435,7 +492,7 @@ def q_lookup_repo_by_name(spark, sf):
     "AS value FROM (SELECT year, length(name) AS length, name AS value FROM repo_ranked_t "
     "ORDER BY length(name) DESC, id LIMIT 1) t"))
 def q_longest_repo_name(spark, sf):
-    return ranking.longest_repo_name(ranking.repository_rows(_merged(spark, sf)))
+    return ranking.longest_repo_name(_repository(spark, sf))
 
 
 @register("longest_clone_url", O.with_ranking(
@@ -443,7 +500,7 @@ def q_longest_repo_name(spark, sf):
     "AS value FROM (SELECT year, length(clone_url) AS length, clone_url AS value FROM repo_ranked_t "
     "ORDER BY length(clone_url) DESC, id LIMIT 1) t"))
 def q_longest_clone_url(spark, sf):
-    return ranking.longest_clone_url(ranking.repository_rows(_merged(spark, sf)))
+    return ranking.longest_clone_url(_repository(spark, sf))
 
 
 @register("clone_plan", O.with_ranking(
@@ -460,13 +517,34 @@ def q_scan_snapshots(spark, sf):
     return repos_json.read_snapshots(spark, path)
 
 
-@register("scan_api_pages", O.with_ranking("SELECT * FROM snap_t"))
+_STUDY_SNAP = ("SELECT year, iteration, pos, name, url, stars, created_at FROM (SELECT year, iteration, "
+               "row_number() OVER (PARTITION BY year, iteration ORDER BY pos) - 1 AS pos, name, url, stars, created_at "
+               "FROM snap_t) s")
+
+
+@register("scan_api_pages", O.with_ranking(_STUDY_SNAP))
 def q_scan_api_pages(spark, sf):
     path = scratch_path(spark, "api-pages")
     repos_json.write_api_pages(_snap(spark, sf), path)
     return repos_json.read_api_pages(spark, path)
 
 
+@register("scan_snapshot_arrays", O.with_ranking(f"{_STUDY_SNAP} WHERE pos < {repos_json.API_LIMIT}"))
+def q_scan_snapshot_arrays(spark, sf):
+    """The study's snapshot files: one JSON array each, year and iteration in the file name."""
+    path = scratch_path(spark, "snapshot-arrays")
+    repos_json.write_snapshot_arrays(standins.study_snapshots(_snap(spark, sf), repos_json.API_LIMIT), path)
+    return repos_json.read_snapshot_arrays(spark, path)
+
+
+@register("scan_year_arrays", O.with_ranking("SELECT * FROM merged_t"))
+def q_scan_year_arrays(spark, sf):
+    """The study's ranked files: one JSON array per year, the rank being the place in it."""
+    path = scratch_path(spark, "year-arrays")
+    repos_json.write_year_arrays(_merged(spark, sf), path)
+    return repos_json.read_year_arrays(spark, path)
+
+
 @register("scan_year_files", O.with_ranking("SELECT * FROM merged_t"))
 def q_scan_year_files(spark, sf):
     path = scratch_path(spark, "ranked")
@@ -551,10 +629,10 @@ def q_clean_repo_functions(spark, sf):
     return triage.clean_repo_functions(_tri_full(spark, sf), _tri_verdicts(spark, sf))
 
 
-@register("exclude_repos", O.with_triage(
-    "SELECT * FROM tri_full_t WHERE repo_id NOT IN (" + ", ".join(str(i) for i in triage.DENYLIST) + ")"))
+@register("exclude_repos", O.with_relational(
+    "SELECT * FROM func_var_t WHERE repo_id NOT IN (191, 2158, 2023, 5075, 5312)"))
 def q_exclude_repos(spark, sf):
-    return triage.exclude_repos(_tri_full(spark, sf))
+    return triage.exclude_repos(_rel(spark, sf).func_var)
 
 
 _DENY_SQL = "SELECT DISTINCT CAST(user_id AS INTEGER) AS repo_id FROM events WHERE event_type = 'signup' AND value > 200"
@@ -590,7 +668,7 @@ def q_resume_after(spark, sf):
 @register("triage_candidates", O.with_triage(
     "SELECT d.repo_id, d.path_rel, d.name, d.lineno, d.probe_call, d.status FROM tri_full_t f "
     "JOIN tri_defs_t d ON f.repo_id = d.repo_id AND f.path_rel = d.path_rel AND f.name = d.name "
-    "WHERE f.repo_id NOT IN (" + ", ".join(str(i) for i in triage.DENYLIST) + ") "
+    "WHERE f.repo_id NOT IN (191, 2158, 2023, 5075, 5312) "
     "AND f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
 def q_triage_candidates(spark, sf):
     ext = _tri_extracted(spark, sf)
@@ -647,6 +725,29 @@ def q_scan_source_tree(spark, sf):
     return tables.module
 
 
+def _packed_tree(spark, sf):
+    packed = standins.source_tree_files(spark, sf).withColumnRenamed("rel_path", "path")
+    return materialize(packed.withColumn("content", F.encode("content", "utf-8")), "packed-tree")
+
+
+@register("scan_packed_tree", O.with_tree("SELECT * FROM tree_module_t"))
+def q_scan_packed_tree(spark, sf):
+    """The same files as a packed (path, content) table."""
+    files = source_tree.packed_source_files(_packed_tree(spark, sf), standins.tree_repository(spark, sf))
+    return facts.extract_tables(files, "packed-extracted")[1].module
+
+
+@register("scan_tree_without_repositories", O.with_tree(
+    "SELECT year, user_name, repo, path_rel, num_annotations FROM tree_folder_t"))
+def q_scan_tree_without_repositories(spark, sf):
+    """No repository table: each folder has an id of its own, by which its rows are named again."""
+    packed = _packed_tree(spark, sf)
+    ids = source_tree.folder_ids(source_tree.with_layout(packed).where(source_tree.python_file() & source_tree.not_ignored()))
+    module = facts.extract_tables(source_tree.packed_source_files(packed), "folder-extracted")[1].module
+    return (module.drop("name").join(ids.withColumnRenamed("id", "repo_id").withColumnRenamed("name", "repo"), "repo_id")
+            .select("year", "user_name", "repo", "path_rel", "num_annotations"))
+
+
 @register("tree_missing_repos", O.with_tree("SELECT * FROM tree_missing_t"))
 def q_tree_missing_repos(spark, sf):
     root = _tree_root(spark, sf)
@@ -682,36 +783,64 @@ def q_findings_roundtrip(spark, sf):
                     F.element_at("messages", 1).alias("message"), F.size("messages").alias("n_messages"))
 
 
+_YEARS = ("(SELECT DISTINCT CAST(p_size AS INTEGER) AS id, CAST(2013 + p_size * 7 % 10 AS INTEGER) AS year "
+          "FROM part WHERE p_size % 9 <> 4)")
+
+
+def _commit_sql(table):
+    return O.with_extracted(f"SELECT x.*, y.year FROM {table} x LEFT JOIN {_YEARS} y ON x.repo_id = y.id")
+
+
 def _commit_roundtrip(spark, sf, table, rows):
     path = scratch_path(spark, f"commit-{table}")
-    IO.write_commit_log(rows, table, path)
+    IO.write_commit_log(rows, table, path, standins.folder_years(spark, sf))
     return IO.read_commit_log(spark, path, table)
 
 
-@register("commit_log_module", O.with_extracted("SELECT * FROM x_module_t"))
+@register("commit_log_module", _commit_sql("x_module_t"))
 def q_commit_log_module(spark, sf):
     return _commit_roundtrip(spark, sf, "module", _facts(spark, sf).module)
 
 
-@register("commit_log_func_var", O.with_extracted("SELECT * FROM x_func_var_t"))
+@register("commit_log_func_var", _commit_sql("x_func_var_t"))
 def q_commit_log_func_var(spark, sf):
     return _commit_roundtrip(spark, sf, "func_var", _facts(spark, sf).func_var)
 
 
-@register("commit_log_annotation", O.with_extracted("SELECT * FROM x_annotation_t"))
+@register("commit_log_annotation", _commit_sql("x_annotation_t"))
 def q_commit_log_annotation(spark, sf):
     return _commit_roundtrip(spark, sf, "annotation", _facts(spark, sf).annotation)
 
 
-@register("load_fact_table", O.with_extracted("SELECT * FROM x_func_var_t"))
+@register("load_fact_table", O.with_extracted(
+    "SELECT * REPLACE (CASE WHEN CAST(regexp_extract(path_rel, 'p([0-9]+)', 1) AS BIGINT) % 2 = 0 THEN num_var "
+    "ELSE num_var + 1 END AS num_var) FROM x_func_var_t"))
 def q_load_fact_table(spark, sf):
-    """First load: files of even parts; second load: every file twice (all keys repeat)."""
+    """First load: files of even parts. Second load: every file three times with other counts;
+    of a key that is new, the row visited first counts, of a stored one none."""
     path = scratch_path(spark, "func-var-table")
     fv = _facts(spark, sf).func_var
-    first = fv.where(F.regexp_extract("path_rel", r"p(\d+)\.py$", 1).cast("int") % 2 == 0)
-    IO.load_fact_table(spark, IO.stage_rows(first, FUNC_VAR), path, FUNC_VAR_KEY)
-    again = IO.stage_rows(fv.unionByName(fv), FUNC_VAR)
-    return IO.load_fact_table(spark, again, path, FUNC_VAR_KEY)
+    even = F.regexp_extract("path_rel", r"p(\d+)\.py$", 1).cast("int") % 2 == 0
+    staged = IO.stage_rows(fv, FUNC_VAR)
+    IO.load_fact_table(spark, staged.where(even).withColumn("visit", F.lit(0)), path, FUNC_VAR_KEY, ["visit"])
+    again = (staged.withColumn("visit", F.explode(F.array(*[F.lit(v) for v in (3, 1, 2)])))
+             .withColumn("num_var", F.col("num_var") + F.col("visit")))
+    return IO.load_fact_table(spark, again, path, FUNC_VAR_KEY, ["visit"])
+
+
+@register("lookup_default",
+          "SELECT c_custkey, CAST(count(o_orderkey) FILTER (o_orderstatus = 'O') AS BIGINT) AS n_open, "
+          "CAST(coalesce(nullif(count(o_orderkey) FILTER (o_orderstatus = 'P'), 0), -1) AS BIGINT) AS n_partial "
+          "FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def q_lookup_default(spark, sf):
+    """F10 on a map per customer: orders by status (three keys at most), with a default."""
+    o = read_table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    counts = o.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("by_status"))
+    c = read_table(spark, sf, "customer").select("c_custkey").join(
+        counts.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
+    m = F.coalesce("by_status", F.create_map().cast("map<string,bigint>"))
+    return c.select("c_custkey", lookup_default(m, F.lit("O"), 0).cast("bigint").alias("n_open"),
+                    lookup_default(m, F.lit("P"), -1).cast("bigint").alias("n_partial"))
 
 
 @register("clear_table",
@@ -726,7 +855,7 @@ def q_clear_table(spark, sf):
 @register("load_repository_table", O.with_ranking("SELECT * FROM repo_ranked_t"))
 def q_load_repository_table(spark, sf):
     path = scratch_path(spark, "repository-table")
-    IO.stage_rows(ranking.repository_rows(_merged(spark, sf)), REPOSITORY).write.mode("append").parquet(path)
+    IO.stage_rows(_repository(spark, sf), REPOSITORY).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -744,13 +873,6 @@ def q_full_annot_materialized(spark, sf):
 
 @register("partial_annotation_complete_bucketed", O.with_relational(_PAC))
 def q_partial_annotation_complete_bucketed(spark, sf):
-    """H1 over func_var / annotation written bucketed by the join key (no shuffle at join time)."""
-    import uuid
+    """H1 over the tables stored bucketed by the join key (no shuffle at join time)."""
     r = _rel(spark, sf)
-    tag = uuid.uuid4().hex[:8]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fv = IO.save_bucketed(r.func_var, f"fv_{tag}", scratch_path(spark, "fv-bucketed"),
-                          ["repo_id", "path_rel", "name", "lineno"], n)
-    an = IO.save_bucketed(r.annotation.withColumnRenamed("func_var_name", "name"), f"an_{tag}",
-                          scratch_path(spark, "an-bucketed"), ["repo_id", "path_rel", "name", "lineno"], n)
-    return reports.partial_annotation_complete(fv, an.withColumnRenamed("name", "func_var_name"))
+    return reports.partial_annotation_complete(r.func_var, r.annotation)

@@ -115,5 +115,7 @@ EXTRACTED = T.StructType([
     T.StructField("probe_return", PROBE),
     T.StructField("n_required_other", T.IntegerType()),
     T.StructField("dup", T.BooleanType()),           # same truncated key seen earlier in this file
+    T.StructField("first_def", T.BooleanType()),     # first ``def`` of its (truncated) name in this file
     T.StructField("status", T.StringType()),
+    T.StructField("python_version", T.StringType()),  # interpreter whose grammar accepted or refused the file
 ])

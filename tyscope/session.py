@@ -2,7 +2,7 @@
 
 The cluster names its shared checkpoint folder in ``spark.checkpoint.dir``;
 we read it from the session and only fall back to a scratch folder of our
-own when it is unset (local tests).
+own when it is unset and the master is local (tests).
 """
 
 from __future__ import annotations
@@ -55,22 +55,55 @@ def get_session(master: str | None = None, app: str = "tyscope",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, else what the application set
+    with ``setCheckpointDir``. A local master gets a scratch folder of its own; on a cluster
+    an unset folder is an error, since executors would write to their own disks."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        d = sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tyscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local on a cluster)."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tyscope/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/tyscope/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """A path as the file system lists it, with scheme and host, without a final slash."""
+    fs, p = _file_system(spark, path)
+    return fs.makeQualified(p).toString().rstrip("/")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Results that are still to be
+    read must have been read or written elsewhere before."""
+    base = checkpoint_dir(spark).rstrip("/")
+    delete_path(spark, f"{base}/tyscope/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

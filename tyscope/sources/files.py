@@ -1,21 +1,21 @@
-"""Source tree scan.
+"""Source files (A4, B6, C2-C4, H4, H5): a loose tree or a packed table.
 
-Layout: ``<root>/<year>/<user>/<repo>/**/*.py|*.pyi``.
+Layout of the paths: ``<year>/<user>/<repo>/**/*.py|*.pyi``, below a root folder, or as
+the ``path`` column of a packed table (``path, content``). A tree is listed by the driver
+(one entry per file), so a corpus of very many files comes packed.
 
-Plan shape (no shuffle of file contents):
+Plan shape:
 
-* ``.py`` files: binaryFile scan with content -> path columns -> ignored-folder
-  filter (a path predicate) -> repository id by a broadcast join with the
-  repository table (its size is checked first) -> extraction.
-* ``.pyi`` stubs (few): kept only when the ``.py`` twin exists in the same
-  folder: the wanted twin paths are broadcast (size-checked) and the paths-only
-  module listing streams through them (no content is read for it).
+* ``.py`` files: path columns -> ignored-folder filter (a path predicate) -> repository id
+  by a join with the repository table (the planner broadcasts it by its size) ->
+  extraction. File contents move only if that table is beyond the broadcast threshold.
+* ``.pyi`` stubs (few): kept only when the ``.py`` twin exists in the same folder, by a
+  semi join with the module paths (no content is read for that side).
 * The tree is listed once; content and path-only uses share that listing.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +23,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tyscope.operators.joins import sized_broadcast
+from tyscope.operators.windows import numbered
+from tyscope.session import qualified_path
 
 # Folders skipped at any depth below a repository root.
 IGNORED_DIRS = ["mypy", "python2.6"]
@@ -38,29 +39,22 @@ def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
             .load(root))
 
 
-def _strip_scheme(p: str) -> str:
-    for prefix in ("file://", "file:"):
-        if p.startswith(prefix):
-            return p[len(prefix):]
-    return p
+def with_layout(files: DataFrame, root: str | None = None) -> DataFrame:
+    """B6 + path split: year, user_name, repo, path_rel, file, dirs (folders below the repo).
 
-
-def _regex_quote(s: str) -> str:
-    return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in s)
-
-
-def with_layout(files: DataFrame, root: str) -> DataFrame:
-    """B6 + path split: year, user_name, repo, path_rel, file, dirs (folders below the repo)."""
-    root_rx = _regex_quote(_strip_scheme(root).rstrip("/"))
-    rel = F.regexp_extract("path", f"{root_rx}/(.*)$", 1)
-    parts = F.split(rel, "/")
-    n = F.size(parts)
+    ``root``: the folder as the file system lists it (``qualified_path``); a path that is
+    not below it fails the job. None: the paths are relative already (packed tables)."""
+    rel = F.col("path")
+    if root is not None:
+        rel = (F.when(F.startswith("path", F.lit(root + "/")), F.substring("path", F.lit(len(root) + 2), F.length("path")))
+               .otherwise(F.raise_error(F.concat(F.lit(f"not below {root}: "), F.col("path")))))
+    n = F.size("_parts")
     return (files
-            .withColumn("_parts", parts)
+            .withColumn("_parts", F.split(rel, "/"))
             .withColumn("year", F.element_at("_parts", 1).try_cast("int"))
-            .withColumn("user_name", F.element_at("_parts", 2))
-            .withColumn("repo", F.element_at("_parts", 3))
-            .withColumn("path_rel", F.array_join(F.slice("_parts", 4, n - 3), "/"))
+            .withColumn("user_name", F.get("_parts", F.lit(1)))
+            .withColumn("repo", F.get("_parts", F.lit(2)))
+            .withColumn("path_rel", F.array_join(F.slice("_parts", 4, F.greatest(n - 3, F.lit(0))), "/"))
             .withColumn("file", F.element_at("_parts", -1))
             .withColumn("dirs", F.slice("_parts", 4, F.greatest(n - 4, F.lit(0))))
             .where(n >= 4)
@@ -77,19 +71,15 @@ def not_ignored(dirs_col: str = "dirs"):
     return ~F.arrays_overlap(F.col(dirs_col), F.array(*[F.lit(d) for d in IGNORED_DIRS]))
 
 
-def keep_stubs_with_twin(stubs: DataFrame, py_paths: DataFrame) -> DataFrame:
-    """H5: a ``.pyi`` stays only if ``<stem>.py`` exists in the same folder.
-
-    Stubs are few and module paths are many: the (size-checked) set of wanted
-    twin paths is broadcast and the module path list streams through it, so the
-    large side is never shuffled.
-    """
+def keep_stubs_with_twin(stubs: DataFrame, py_paths: DataFrame, kind: str = "left_semi") -> DataFrame:
+    """H5: a ``.pyi`` stays only if ``<stem>.py`` exists in the same folder
+    (``left_anti``: the others)."""
     twin = F.expr("substring(path, 1, length(path) - 1)")
-    wanted = stubs.select(twin.alias("_twin")).distinct()
-    found = (py_paths.select(F.col("path").alias("_twin"))
-             .join(sized_broadcast(wanted), "_twin", "inner"))
-    # at most one row per stub: broadcast it too (planner estimates follow the listing size)
-    return stubs.withColumn("_twin", twin).join(sized_broadcast(found), "_twin", "left_semi").drop("_twin")
+    return (stubs.withColumn("_twin", twin)
+            .join(py_paths.select(F.col("path").alias("_twin")), "_twin", kind).drop("_twin"))
+
+
+FOLDER = ["year", "user_name", "repo"]
 
 
 def attach_repo_id(files: DataFrame, repository: DataFrame) -> DataFrame:
@@ -97,41 +87,54 @@ def attach_repo_id(files: DataFrame, repository: DataFrame) -> DataFrame:
     out; ``missing_repos`` lists them)."""
     r = (repository.groupBy("year", "user_name", F.col("name").alias("repo"))
          .agg(F.min("id").alias("repo_id")))  # one id per folder: the first repository row
-    return files.join(sized_broadcast(r), ["year", "user_name", "repo"], "inner")
+    return files.join(r, FOLDER, "inner")
+
+
+def folder_ids(files: DataFrame) -> DataFrame:
+    """A repository table for files that have none: ids from 0 over their folders."""
+    ids = numbered(files.select(*FOLDER), FOLDER, "id")
+    return ids.select(F.col("id").cast("int").alias("id"), "year", "user_name", F.col("repo").alias("name"))
 
 
 def missing_repos(files: DataFrame, repository: DataFrame) -> DataFrame:
     """H4 report: repository folders with no repository row (the study aborts on these)."""
     r = repository.select("year", "user_name", F.col("name").alias("repo"))
-    return (files.select("year", "user_name", "repo").distinct()
-            .join(sized_broadcast(r), ["year", "user_name", "repo"], "left_anti"))
+    return files.select(*FOLDER).distinct().join(r, FOLDER, "left_anti")
 
 
-def source_files(spark: SparkSession, root: str, repository: DataFrame | None = None) -> DataFrame:
-    """A4: ``(repo_id, path_rel, content)`` for every accepted file under ``root``.
-
-    Without a repository table the id is -1 (the study's "no database" mode).
-    """
-    # one listing of the tree; the path-only use below reads no content
-    raw = with_layout(_binary(spark, root, "*.{py,pyi}"), root).where(python_file() & not_ignored())
+def select_sources(raw: DataFrame, repository: DataFrame | None = None) -> DataFrame:
+    """``(repo_id, path_rel, content)`` of the accepted files among ``with_layout`` rows."""
+    raw = raw.where(python_file() & not_ignored())
     py = raw.where(F.col("file").endswith(".py"))
-    py_paths = py.select("path")
-    stubs = keep_stubs_with_twin(raw.where(F.col("file").endswith(".pyi")), py_paths)
-    cols = ["year", "user_name", "repo", "path_rel", "content"]
+    stubs = keep_stubs_with_twin(raw.where(F.col("file").endswith(".pyi")), py.select("path"))
+    cols = [*FOLDER, "path_rel", "content"]
     files = py.select(*cols).unionByName(stubs.select(*cols))
     if repository is None:
-        return files.select(F.lit(-1).alias("repo_id"), "path_rel", "content")
+        repository = folder_ids(raw)
     return attach_repo_id(files, repository).select("repo_id", "path_rel", "content")
 
 
+def source_files(spark: SparkSession, root: str, repository: DataFrame | None = None) -> DataFrame:
+    """A4: ``(repo_id, path_rel, content)`` for every accepted file under ``root``.
+
+    Without a repository table each (year, user, repo) folder gets an id of its own.
+    """
+    return select_sources(with_layout(_binary(spark, root, "*.{py,pyi}"), qualified_path(spark, root)), repository)
+
+
+def packed_source_files(packed: DataFrame, repository: DataFrame | None = None) -> DataFrame:
+    """A4 over a packed table: ``path`` (relative to the root) and ``content``."""
+    return select_sources(with_layout(packed.select("path", "content")), repository)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Paths and sizes only (file status; no content is read)."""
-    return with_layout(_binary(spark, root, "*.{py,pyi}").select("path", "length"), root)
+    return with_layout(_binary(spark, root, "*.{py,pyi}").select("path", "length"), qualified_path(spark, root))
 
 
 # ------------------------------------------------------------------ writing a tree (test data)
 def _writer(root: str):
-    uri = root if "://" in root else "file://" + os.path.abspath(_strip_scheme(root))
+    uri = root if "://" in root else root.replace("file:/", "file:///", 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(uri)
@@ -156,5 +159,6 @@ def write_tree(files: DataFrame, root: str) -> int:
     (Arrow file systems: local, HDFS, S3, GCS). Returns the number of files."""
     from tyscope.session import ship_package
     ship_package(files.sparkSession)
-    out = files.select("rel_path", "content").mapInArrow(_writer(root), "rel_path string, bytes long")
+    uri = qualified_path(files.sparkSession, root)
+    out = files.select("rel_path", "content").mapInArrow(_writer(uri), "rel_path string, bytes long")
     return out.count()

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tyscope.operators.joins import sized_broadcast
 from tyscope.schemas import ANNOTATION, FUNC_VAR, MODULE
+from tyscope.session import materialize, path_exists
 
 COMMIT_KEYS = {
     "module": ("module_commits", MODULE),
@@ -38,38 +38,39 @@ def _json_array(cols: list[Column]) -> Column:
     return F.concat(*parts)
 
 
-def year_of_repo_id(repo_id: Column | str) -> Column:
-    """Year owning a repository id under the newest-first numbering (1000 per year)."""
-    c = F.col(repo_id) if isinstance(repo_id, str) else repo_id
-    return (F.lit(2022) - F.floor(c / 1000)).cast("int")
+def with_year(rows: DataFrame, repository: DataFrame) -> DataFrame:
+    """``rows`` with the ``year`` of their repository (NULL when it has no repository row)."""
+    years = repository.select(F.col("id").alias("repo_id"), "year").distinct()
+    return rows.join(years, "repo_id", "left")
 
 
 # ------------------------------------------------------------------ commit log
-def write_commit_log(rows: DataFrame, table: str, path: str) -> None:
-    """One commit-log document per row, JSON Lines, partitioned by year."""
+def write_commit_log(rows: DataFrame, table: str, path: str, repository: DataFrame) -> None:
+    """One commit-log document per row, JSON Lines, partitioned by the repository's year."""
     key, schema = COMMIT_KEYS[table]
     doc = F.concat(F.lit('{"' + key + '": ['), _json_array([F.col(f.name) for f in schema.fields]), F.lit("]}"))
-    (rows.select(year_of_repo_id("repo_id").alias("year"), doc.alias("value"))
+    (with_year(rows, repository).select("year", doc.alias("value"))
      .write.mode("overwrite").partitionBy("year").text(path))
 
 
 def read_commit_log(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of one table from commit-log documents (ours or the study's single-line files).
+    """Rows of one table from commit-log documents (ours or the study's single-line files),
+    with ``year`` if the files lie in year folders.
 
-    A study document holds a whole year on one line and is parsed by one task
-    (import only); the writer above never produces such documents."""
+    A study document holds a whole year on one line and is parsed by one task (import
+    only; the writer above never produces such documents). Its rows are read as arrays of
+    texts and cast, which sets no limit to a document's size but the task's memory."""
     key, schema = COMMIT_KEYS[table]
-    docs = spark.read.text(path).select(F.parse_json("value").alias("v"))
-    rows = docs.select(F.explode(F.try_variant_get("v", f"$.{key}", "array<variant>")).alias("r"))
-    return rows.select(*[F.variant_get("r", f"$[{i}]", f.dataType.simpleString()).alias(f.name)
-                         for i, f in enumerate(schema.fields)])
+    docs = spark.read.text(path)
+    rows = docs.select("*", F.explode(F.from_json("value", f"{key} array<array<string>>")[key]).alias("r"))
+    year = [F.col("year")] if "year" in docs.columns else []
+    return rows.select(*[F.get("r", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)], *year)
 
 
-def save_fact_log(module: DataFrame, func_var: DataFrame, annotation: DataFrame, path: str) -> None:
+def save_fact_log(module: DataFrame, func_var: DataFrame, annotation: DataFrame, repository: DataFrame, path: str) -> None:
     """Three parquet datasets partitioned by year (the Spark-native commit log)."""
     for name, df in (("module", module), ("func_var", func_var), ("annotation", annotation)):
-        (df.withColumn("year", year_of_repo_id("repo_id"))
-         .write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}"))
+        with_year(df, repository).write.mode("overwrite").partitionBy("year").parquet(f"{path}/{name}")
 
 
 # ------------------------------------------------------------------ JSON maps
@@ -132,33 +133,30 @@ def stage_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+LOAD_PARTS = 64
+
+
 def load_fact_table(spark: SparkSession, new_rows: DataFrame, path: str, key: list[str],
-                    order: list[Column] | None = None, dedupe_batch: bool = True) -> DataFrame:
+                    order: list[str]) -> DataFrame:
     """Append rows whose key is not in the table yet; inside the batch the first
-    row per key wins (``order``), like inserts that skip duplicate keys.
+    row per key wins, like inserts that skip duplicate keys.
 
-    The batch dedupe is a keyed window; the existing-key check is an anti join
-    on the key columns only, against the stored keys of the batch's
-    repositories (a broadcast semi join narrows them first).
+    ``order`` names the columns that tell which row was visited first; they are not stored.
+    An empty list states that the batch has each key once. The table lies in ``LOAD_PARTS``
+    folders by the hash of the key's first column, and only those the batch touches are read.
     """
     batch = new_rows
     if order:
         w = Window.partitionBy(*key).orderBy(*order)
-        batch = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    elif dedupe_batch:
-        batch = batch.dropDuplicates(key)
-    try:
-        existing = spark.read.parquet(path).select(*key)
-        if "repo_id" in key:
-            # only stored rows of the batch's repositories can collide
-            repos = sized_broadcast(batch.select("repo_id").distinct())
-            existing = existing.join(repos, "repo_id", "left_semi")
-        batch = batch.join(existing, key, "left_anti")
-    except Exception as e:  # noqa: BLE001 - first load: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-    batch.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        batch = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", *order)
+    batch = materialize(batch.withColumn("_part", F.pmod(F.hash(key[0]), F.lit(LOAD_PARTS))), "load-batch")
+    table = spark.read.schema(batch.schema)
+    if path_exists(spark, path):
+        touched = [r[0] for r in batch.select("_part").distinct().collect()]  # LOAD_PARTS values at most
+        existing = table.parquet(path).where(F.col("_part").isin(touched)).select("_part", *key)
+        batch = batch.join(existing, ["_part", *key], "left_anti")
+    batch.repartition("_part").write.mode("append").partitionBy("_part").parquet(path)
+    return table.parquet(path).select(*[c for c in new_rows.columns if c not in order])
 
 
 def clear_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

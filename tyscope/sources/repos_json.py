@@ -6,7 +6,8 @@ Two layouts are read:
   ``github_data_<year>_<i>.json`` (snapshot) or ``github_data_<year>.json``
   (merged list). A JSON array cannot be split, so each file is parsed by one
   task; the search API caps a snapshot at 10 pages x 100 records, which bounds
-  such a file.
+  such a file. Search pages hold ``items`` as the API returns them; a record's position
+  follows from the page number and its place on the page.
 * our layout: JSON Lines written by Spark, partitioned by ``year=`` /
   ``iteration=`` folders (any size, split across tasks). Positions are stored
   in the record (``pos``), because a line's position is not visible to a
@@ -15,15 +16,17 @@ Two layouts are read:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tyscope.schemas import API_PAGE, SNAPSHOT_RECORD
+from tyscope.sources.files import write_tree
 
 SNAPSHOT_FILE = r"github_data_(\d{4})_(\d+)\.json$"
 YEAR_FILE = r"github_data_(\d{4})\.json$"
-
+API_PAGE_SIZE = 100  # records per search page
+API_LIMIT = 1000     # records a search returns at most
 
 
 def _line_schema() -> T.StructType:
@@ -72,28 +75,47 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return df.select("year", "iteration", "pos", "name", "url", "stars", "created_at")
 
 
-def write_api_pages(snap: DataFrame, path: str, page_size: int = 100) -> None:
+def _record_array(pos: str) -> Column:
+    rec = F.struct("name", "url", "stars", "created_at")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), rec.alias("r"))))
+    return F.to_json(F.transform(rows, lambda x: x["r"]))
+
+
+def write_snapshot_arrays(snap: DataFrame, root: str) -> None:
+    """Snapshots in the study's layout: one JSON array per (year, iteration) file, in the order
+    of ``pos``. A file is one record, so it is for snapshots within the API's limit."""
+    name = F.format_string("github_data_%d_%d.json", "year", "iteration")
+    write_tree(snap.groupBy("year", "iteration").agg(_record_array("pos").alias("content"))
+               .select(name.alias("rel_path"), "content"), root)
+
+
+def write_year_arrays(merged: DataFrame, root: str) -> None:
+    """Ranked lists in the study's layout: one JSON array per year (1000 records at most)."""
+    write_tree(merged.groupBy("year").agg(_record_array("rank").alias("content"))
+               .select(F.format_string("github_data_%d.json", "year").alias("rel_path"), "content"), root)
+
+
+def write_api_pages(snap: DataFrame, path: str, page_size: int = API_PAGE_SIZE) -> None:
     """Store snapshot records the way the search API returns them: pages of at most
-    ``page_size`` items (a bounded group per page)."""
-    page = F.floor(F.col("pos") / page_size).cast("int")
+    ``page_size`` items (a bounded group per page), which hold no positions."""
+    nth = F.row_number().over(Window.partitionBy("year", "iteration").orderBy("pos")) - 1
     item = F.struct(F.col("name").alias("full_name"), F.col("url").alias("clone_url"),
-                    F.col("stars").alias("stargazers_count"), "created_at", "pos")
-    pages = (snap.withColumn("page", page + 1)
+                    F.col("stars").alias("stargazers_count"), "created_at")
+    pages = (snap.withColumn("_nth", nth).withColumn("page", F.floor(F.col("_nth") / page_size).cast("int") + 1)
              .groupBy("year", "iteration", "page")
-             .agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("it")))).alias("items")))
+             .agg(F.sort_array(F.collect_list(F.struct("_nth", item.alias("it")))).alias("items")))
     (pages.select("year", "iteration", "page", F.col("items.it").alias("items"))
      .write.mode("overwrite").partitionBy("year", "iteration").json(path))
 
 
-def read_api_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A5/O3: flatten pages -> year, iteration, pos, name, url, stars, created_at."""
-    item = T.StructType(list(API_PAGE["items"].dataType.elementType.fields)
-                        + [T.StructField("pos", T.LongType())])
-    schema = (T.StructType().add("page", T.IntegerType()).add("items", T.ArrayType(item))
+def read_api_pages(spark: SparkSession, path: str, page_size: int = API_PAGE_SIZE) -> DataFrame:
+    """A5/O3: flatten pages -> year, iteration, pos, name, url, stars, created_at; the position
+    is the page's first position plus the place on the page."""
+    schema = (T.StructType().add("page", T.IntegerType()).add("items", API_PAGE["items"].dataType)
               .add("year", T.IntegerType()).add("iteration", T.IntegerType()))
     pages = spark.read.schema(schema).json(path)
-    flat = pages.select("year", "iteration", F.explode("items").alias("i"))
-    return flat.select("year", "iteration", F.col("i.pos").alias("pos"),
+    flat = pages.select("year", "iteration", "page", F.posexplode("items").alias("nth", "i"))
+    return flat.select("year", "iteration", ((F.col("page").cast("bigint") - 1) * page_size + F.col("nth")).alias("pos"),
                        F.col("i.full_name").alias("name"), F.col("i.clone_url").alias("url"),
                        F.col("i.stargazers_count").alias("stars"), F.col("i.created_at").alias("created_at"))
 

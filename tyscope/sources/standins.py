@@ -9,28 +9,28 @@ independently.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import base_type, basename
 from tyscope.session import read_table
 
-# Fixed values for the templated module: annotation source text, its
-# canonical (unparsed) text and its type count, chosen by p_size % 13.
+# Annotations of the templated module, chosen by p_size (their expected rows are written
+# out in ``tyscope.plans.oracle``).
 TEMPLATE_ANNOTATIONS = [
-    ("int", "int", 1),
-    ("Optional[Union[str, int]]", "Optional[Union[str, int]]", 4),
-    ("typing.Optional[int]", "typing.Optional[int]", 2),
-    ("Callable[[int], str]", "Callable[[int], str]", 3),
-    ('"Foo"', "'Foo'", 1),
-    ("str | None", "str | None", 2),
-    ("Tuple[int, ...]", "Tuple[int, ...]", 3),
-    ('Literal["a", "b"]', "Literal['a', 'b']", 3),
-    ("...", "...", 1),
-    ("Dict[str, Any]", "Dict[str, Any]", 3),
-    ("-1", "-1", 1),
-    ("None", "None", 1),
-    ("list[int]", "list[int]", 2),
+    'int',
+    'Optional[Union[str, int]]',
+    'typing.Optional[int]',
+    'Callable[[int], str]',
+    '"Foo"',
+    'str | None',
+    'Tuple[int, ...]',
+    'Literal["a", "b"]',
+    '...',
+    'Dict[str, Any]',
+    '-1',
+    'None',
+    'list[int]',
 ]
 
 # Files with p_size % BROKEN_EVERY == 0 end in a syntax error (whole file rejected).
@@ -78,14 +78,21 @@ def func_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STANDIN_TEXTS = ["int", "Optional[str]", "List[int]", "str | None"]
-_STANDIN_COUNTS = [1, 2, 2, 2]
+# One annotation per built-in base type, and some that are none; with their type counts.
+_STANDIN_TEXTS = [
+    "None", "bool", "int", "float", "complex", "str", "bytes", "bytearray", "memoryview", "range", "tuple[int]", "list",
+    "set[str]", "frozenset", "dict[str, int]", "ellipsis", "...", "type", "object", "NoneType", "Any", "Union[int, str]",
+    "Optional[str]", "Callable", "TypeVar", "Generic", "ClassVar[int]", "Final", "Literal[1]", "Annotated[int, x]",
+    "TypedDict", "Protocol", "runtime_checkable", "AbstractSet", "List[int]", "str | None", "np.ndarray", "Foo",
+]
+_STANDIN_COUNTS = [t.count("[") + t.count(",") + t.count("|") + 1 for t in _STANDIN_TEXTS]
 
 
 def annotation(func_var_df: DataFrame) -> DataFrame:
     """Exactly ``num_var_annotated`` rows per func_var (the last is the return when full)."""
     k = F.col("k")
-    idx = ((F.col("lineno") + k) % 4).cast("int") + 1
+    order = F.substring("name", 2, 20).cast("bigint")
+    idx = ((order + F.col("lineno") + k) % len(_STANDIN_TEXTS)).cast("int") + 1
     text = F.element_at(F.array(*[F.lit(t) for t in _STANDIN_TEXTS]), idx)
     cnt = F.element_at(F.array(*[F.lit(n) for n in _STANDIN_COUNTS]), idx)
     rows = (func_var_df.where(F.col("num_var_annotated") > 0)
@@ -121,7 +128,7 @@ class Relational:
 def template_content(pk: F.Column, sz: F.Column) -> F.Column:
     """Text of the templated module for one part (see ``source_files``)."""
     pks = _s(pk)
-    ann = F.element_at(F.array(*[F.lit(src) for src, _, _ in TEMPLATE_ANNOTATIONS]),
+    ann = F.element_at(F.array(*[F.lit(src) for src in TEMPLATE_ANNOTATIONS]),
                        (sz % len(TEMPLATE_ANNOTATIONS)).cast("int") + 1)
     p_ann = F.when(sz % 2 == 0, F.lit(": str")).otherwise(F.lit(""))
     ret = F.when(sz % 3 == 0, F.lit(" -> int")).otherwise(F.lit(""))
@@ -151,7 +158,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``(repo_id int, path_rel string, content string)``
     """
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = _spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     pk, sz = F.col("p_partkey"), F.col("p_size")
     return p.select(sz.cast("int").alias("repo_id"),
                     F.concat(F.lit("pkg/p"), _s(pk), F.lit(".py")).alias("path_rel"),
@@ -168,6 +175,55 @@ def _tree_folder(sz: F.Column) -> tuple[F.Column, F.Column, F.Column]:
             F.concat(F.lit("r"), _s(sz)))
 
 
+def _spread(narrow: DataFrame) -> DataFrame:
+    """The narrow rows the texts are made from, over four tasks per core (the texts
+    themselves are never moved)."""
+    return narrow.repartition(4 * narrow.sparkSession.sparkContext.defaultParallelism)
+
+
+# Kinds of odd files, by p_partkey % ODD_KINDS (see ``odd_files``).
+ODD_KINDS = 10
+
+
+def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules that real corpora have and templates lack, one or two per part:
+
+    0 a lone surrogate in an annotation; 1 a byte that is no UTF-8; 2 too deep nesting; 3 an
+    expression of 900 terms and a union of 300 types; 4 keys repeated inside the file; 5 one
+    path delivered twice; 6 two paths equal in their first 269 characters; 7 names and
+    annotations beyond every length limit; 8 a null byte; 9 old line ends.
+    ``(repo_id int, path_rel string, content binary)``
+    """
+    p = _spread(read_table(spark, sf_dir, "part").select("p_partkey"))
+    pk = F.col("p_partkey")
+    kind = pk % ODD_KINDS
+    path = F.concat(F.lit("odd/o"), _s(pk), F.lit(".py"))
+    long_path = F.concat(F.lit("odd/"), F.repeat(F.lit("p"), 270))
+
+    def text(*parts) -> F.Column:
+        return F.encode(F.concat(*[x if isinstance(x, F.Column) else F.lit(x) for x in parts]), "utf-8")
+
+    def one(content: F.Column, at: F.Column = path) -> F.Column:
+        return F.struct(at.alias("path_rel"), content.alias("content"))
+
+    def n(letter: str, more: int) -> F.Column:
+        return F.repeat(F.lit(letter), (pk % 7 + more).cast("int"))
+
+    files = (F.when(kind == 0, F.array(one(text('def f(a: "\\ud800", b: Literal["\\ud801x"]) -> int:\n    return 1\n'))))
+             .when(kind == 1, F.array(one(F.concat(text("x = 1  # "), F.unhex(F.lit("FF")), text("\n")))))
+             .when(kind == 2, F.array(one(text("x = ", F.repeat(F.lit("("), 300), "1", F.repeat(F.lit(")"), 300), "\n"))))
+             .when(kind == 3, F.array(one(text("x = a", F.repeat(F.lit(" + a"), 899), "\ny: int",
+                                               F.repeat(F.lit(" | int"), 299), " = 1\n"))))
+             .when(kind == 4, F.array(one(text("a, a = 1, 2\nb: int = 1; b: str = 2\ndef g(): pass\ndef g(x): pass\n"))))
+             .when(kind == 5, F.array(one(text("v: int = 1\n")), one(text("v = 1\nw = 2\n"))))
+             .when(kind == 6, F.array(one(text("k: int = 1\n"), F.concat(long_path, F.lit("b.py"))),
+                                      one(text("k = 1\nonly_in_a = 2\n"), F.concat(long_path, F.lit("a.py")))))
+             .when(kind == 7, F.array(one(text("def ", n("n", 130), "(", n("q", 131), ": ", n("T", 536), "): pass\n"))))
+             .when(kind == 8, F.array(one(F.concat(text("x = 1"), F.unhex(F.lit("00")), text("\n")))))
+             .otherwise(F.array(one(text("x = 1\rdef h(a, b: int):\r\n    return a\n")))))
+    return p.select(pk.cast("int").alias("repo_id"), F.explode(files).alias("f")).select("repo_id", "f.*")
+
+
 def source_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a source tree ``<year>/<user>/<repo>/...`` built from part rows.
 
@@ -204,7 +260,20 @@ def tree_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
                     repo.alias("name")))
 
 
+def folder_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository rows (id, year) of the templated modules; some ids have none."""
+    sz = F.col("p_size")
+    return (read_table(spark, sf_dir, "part").select("p_size").distinct().where(sz % 9 != 4)
+            .select(sz.cast("int").alias("id"), (F.lit(2013) + sz * 7 % 10).cast("int").alias("year")))
+
+
 # ------------------------------------------------------------------ search snapshots
+def study_snapshots(snap: DataFrame, limit: int) -> DataFrame:
+    """Snapshots as the search returns them: the first ``limit`` records, counted from 0."""
+    w = Window.partitionBy("year", "iteration").orderBy("pos")
+    return (snap.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).where(F.col("pos") < limit))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five overlapping snapshots per year with slightly moving stars.
 
@@ -236,40 +305,38 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ triage module (one shape per rule)
-# Annotation text, its canonical text, the probe (tag, value) it
-# resolves to, its shape class, its shape issue, whether it is a constant and
-# its type count. Arguments a, b and the return take cases by p_partkey.
+# Annotations of the triage module: arguments a, b and the return take cases by p_partkey
+# (their expected probes and shapes are written out in ``tyscope.plans.oracle``).
 TRIAGE_CASES = [
-    ("int", "int", "str", "int", "accepted", None, False, 1),
-    ("float", "float", "str", "float", "accepted", None, False, 1),
-    ("Optional[str]", "Optional[str]", "str", "str", "accepted", None, False, 2),
-    ("Union[int, str]", "Union[int, str]", "str", "int", "accepted", None, False, 3),
-    ("Union[List[int], bool]", "Union[List[int], bool]", "str", "bool", "accepted", None, False, 4),
-    ("Union[List[int], Dict[str, int]]", "Union[List[int], Dict[str, int]]", "none", None, "accepted", None,
-     False, 6),
-    ("Literal[3]", "Literal[3]", "int", "3", "accepted", None, False, 2),
-    ('Literal["int"]', "Literal['int']", "str", "int", "accepted", None, False, 2),
-    ('"dict[str, int]"', "'dict[str, int]'", "error", None, "accepted", None, True, 1),
-    ('"str"', "'str'", "str", "str", "accepted", None, True, 1),
-    ("typing.Optional[int]", "typing.Optional[int]", "error", None, "accepted", None, False, 2),
-    ("int | None", "int | None", "error", None, "accepted", None, False, 2),
-    ("List[int]", "List[int]", "error", None, "accepted", None, False, 2),
-    ("None", "None", "none", None, "accepted", None, True, 1),
-    ("0", "0", "int", "0", "accepted", None, True, 1),
-    ("3j", "3j", "error", None, "accepted", "constant:complex", True, 1),
-    ("-1", "-1", "error", None, "accepted", None, True, 1),
-    ("not int", "not int", "error", None, "accepted", "unary:Not", False, 1),
-    ("int or str", "int or str", "error", None, "incorrect", None, False, 0),
-    ("{str: int}", "{str: int}", "error", None, "incorrect", None, False, 0),
-    ("[x for x in y]", "[x for x in y]", "error", None, "unexpected", "unexpected:ListComp", False, 0),
-    ("complex", "complex", "str", "complex", "accepted", None, False, 1),
-    ("bool", "bool", "str", "bool", "accepted", None, False, 1),
-    ("Literal[True]", "Literal[True]", "bool", "True", "accepted", None, False, 2),
-    ('Literal[b"x"]', "Literal[b'x']", "bytes", "b'x'", "accepted", None, False, 2),
-    ('"ERROR"', "'ERROR'", "error", None, "accepted", None, True, 1),
-    ('""', "''", "str", "", "accepted", None, True, 1),
-    ("int if x else str", "int if x else str", "error", None, "incorrect", None, False, 0),
-    ('"None"', "'None'", "str", "None", "accepted", None, True, 1),
+    'int',
+    'float',
+    'Optional[str]',
+    'Union[int, str]',
+    'Union[List[int], bool]',
+    'Union[List[int], Dict[str, int]]',
+    'Literal[3]',
+    'Literal["int"]',
+    '"dict[str, int]"',
+    '"str"',
+    'typing.Optional[int]',
+    'int | None',
+    'List[int]',
+    'None',
+    '0',
+    '3j',
+    '-1',
+    'not int',
+    'int or str',
+    '{str: int}',
+    '[x for x in y]',
+    'complex',
+    'bool',
+    'Literal[True]',
+    'Literal[b"x"]',
+    '"ERROR"',
+    '""',
+    'int if x else str',
+    '"None"',
 ]
 
 # case index of each slot, as a function of p_partkey
@@ -286,7 +353,7 @@ def triage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
     pk = F.col("p_partkey")
     n = len(TRIAGE_CASES)
-    texts = F.array(*[F.lit(c[0]) for c in TRIAGE_CASES])
+    texts = F.array(*[F.lit(c) for c in TRIAGE_CASES])
 
     def pick(mul_add):
         mul, add = mul_add
@@ -307,23 +374,32 @@ def triage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checker findings: error events of every third user, the user being the repository."""
+    """Checker findings: all error events; a user's repository is three times the user id, so
+    the repositories between are clean."""
     e = read_table(spark, sf_dir, "events")
-    return (e.where((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0))
-            .select(F.col("user_id").cast("int").alias("repo_id"),
+    return (e.where(F.col("event_type") == "error")
+            .select((F.col("user_id") * 3).cast("int").alias("repo_id"),
                     F.concat(F.lit("tri/t"), _s(F.col("event_id") % 97), F.lit(".py")).alias("path"),
                     F.floor("value").cast("int").alias("line"),
                     F.col("event_type").alias("code")))
 
 
+OUTCOME_CLASSES = [
+    "TypeError", "NameError", "NotImplementedError", "ImportError", "AttributeError", "ValueError", "RuntimeError",
+    "UnboundLocalError", "SyntaxError", "FileNotFoundError", "IndexError", "KeyError", "ZeroDivisionError", "AssertionError",
+    "ModuleNotFoundError", "RecursionError", "UnicodeError", "UnicodeDecodeError", "UnicodeEncodeError",
+    "UnicodeTranslateError", "IndentationError", "TabError", "PythonFinalizationError", "OSError", "KeyboardInterrupt",
+    "StopIteration", "MemoryError", "CustomError",
+]
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded probe outcomes, one per event."""
+    """Recorded probe outcomes, one per event: every second one raised, by event_id one of
+    the classes below; some that returned were not compared."""
     e = read_table(spark, sf_dir, "events")
-    et, v = F.col("event_type"), F.col("value")
-    exc = (F.when(et == "error", F.lit("TypeError"))
-           .when(et == "click", F.lit("KeyError"))
-           .when(et == "signup", F.lit("RecursionError"))
-           .when((et == "purchase") & (v > 30), F.lit("OSError")))
+    et, v, ev = F.col("event_type"), F.col("value"), F.col("event_id")
+    classes = F.array(*[F.lit(c) for c in OUTCOME_CLASSES])
+    exc = F.when(ev % 2 == 0, F.element_at(classes, ((ev / 2).cast("bigint") % len(OUTCOME_CLASSES)).cast("int") + 1))
     msg = F.when(v > 25, F.lit("t() missing 1 required positional argument: 'c'")) \
         .otherwise(F.lit("unsupported operand type(s)"))
     return e.select(
@@ -334,4 +410,4 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("t"), _s(F.col("event_id") % 97)).alias("name"),
         exc.alias("exc_type"), msg.alias("message"),
         ((et == "view") & (v < 10)).alias("return_error"),
-        (v > 10).alias("matched"))
+        F.when(ev % 9 != 1, v > 10).alias("matched"))

@@ -5,7 +5,8 @@ already stored, and resumes after the last handled repository. Here a file
 stream over the tree does the same: every micro-batch extracts only files not
 seen before (the stream checkpoint records which), writes the extraction once,
 and appends fact rows whose key is not in the tables yet. A retried batch
-therefore adds nothing twice.
+therefore adds nothing twice. A stub that comes before its module waits in a
+pending table and is looked at again in each batch.
 """
 
 from __future__ import annotations
@@ -17,36 +18,61 @@ from pyspark.sql.streaming import StreamingQuery
 from tyscope.operators.facts import extract_tables
 from tyscope.schemas import ANNOTATION, ANNOTATION_KEY, FUNC_VAR, FUNC_VAR_KEY, MODULE, MODULE_KEY
 from tyscope.sources import files as F_
+from tyscope.session import delete_path, materialize, path_exists, qualified_path
 from tyscope.sources.interchange import load_fact_table, stage_rows
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _previous(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
+    """What the batch before wrote below ``folder`` (a retried batch sees the same)."""
+    path = f"{folder}/epoch={epoch - 1}"
+    return spark.read.parquet(path) if epoch and path_exists(spark, path) else None
+
+
+def _repositories(files: DataFrame, table_root: str, epoch: int) -> DataFrame:
+    """Ids of all folders seen so far: known ones keep theirs, new ones follow."""
+    spark, folder = files.sparkSession, f"{table_root}/_repositories"
+    known = _previous(spark, folder, epoch)
+    new = files.select(*F_.FOLDER).distinct()
+    if known is not None:
+        new = new.join(known.withColumnRenamed("name", "repo"), F_.FOLDER, "left_anti")
+    last = None if known is None else known.agg(F.max("id")).first()[0]
+    first = 0 if last is None else last + 1
+    table = F_.folder_ids(new).withColumn("id", (F.col("id") + first).cast("int"))
+    if known is not None:
+        table = known.unionByName(table)
+    table.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+    return spark.read.parquet(f"{folder}/epoch={epoch}")
+
+
 def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
-    def handle(batch: DataFrame, epoch_id: int) -> None:
+    def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        files = F_.with_layout(batch, root).where(F_.python_file() & F_.not_ignored())
-        py = files.where(F.col("file").endswith(".py"))
-        stubs = files.where(F.col("file").endswith(".pyi"))
-        # a twin may have arrived in an earlier batch: list the stubs' own folders only
-        # (their number is bounded by the files per trigger)
-        stub_dirs = [r[0] for r in stubs.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-                     .distinct().collect()]
-        if stub_dirs:
-            listed = (spark.read.format("binaryFile").option("pathGlobFilter", "*.py")
-                      .option("ignoreMissingFiles", "true").load(stub_dirs).select("path"))
-            stubs = F_.keep_stubs_with_twin(stubs, listed)
-        cols = ["year", "user_name", "repo", "path_rel", "content"]
-        chosen = py.select(*cols).unionByName(stubs.select(*cols))
-        if repository is None:
-            chosen = chosen.select(F.lit(-1).alias("repo_id"), "path_rel", "content")
-        else:
-            chosen = F_.attach_repo_id(chosen, repository).select("repo_id", "path_rel", "content")
-        _, t = extract_tables(chosen, f"stream-batch-{epoch_id}")
+        files = F_.with_layout(batch, qualified_path(spark, root)).where(F_.python_file() & F_.not_ignored())
+        cols = ["path", *F_.FOLDER, "path_rel", "content"]
+        files = materialize(files.select(*cols, "file"), f"stream-files-{epoch}")
+        py = files.where(F.col("file").endswith(".py")).select(*cols)
+        # module paths of all batches; a retried batch overwrites its own folder
+        py.select("path").write.mode("overwrite").parquet(f"{table_root}/_module_paths/epoch={epoch}")
+        modules = spark.read.parquet(f"{table_root}/_module_paths").select("path")
+        # stubs of this batch and those still waiting for their twin
+        stubs = files.where(F.col("file").endswith(".pyi")).select(*cols)
+        waiting = _previous(spark, f"{table_root}/_pending_stubs", epoch)
+        if waiting is not None:
+            stubs = stubs.unionByName(waiting)
+        F_.keep_stubs_with_twin(stubs, modules, "left_anti").write.mode("overwrite").parquet(
+            f"{table_root}/_pending_stubs/epoch={epoch}")
+        chosen = py.unionByName(F_.keep_stubs_with_twin(stubs, modules))
+        known = repository if repository is not None else _repositories(files, table_root, epoch)
+        chosen = F_.attach_repo_id(chosen, known).select("repo_id", "path_rel", "content")
+        _, t = extract_tables(chosen, f"stream-batch-{epoch}")
         for name, df, schema, key in (("module", t.module, MODULE, MODULE_KEY),
                                       ("func_var", t.func_var, FUNC_VAR, FUNC_VAR_KEY),
                                       ("annotation", t.annotation, ANNOTATION, ANNOTATION_KEY)):
-            load_fact_table(spark, stage_rows(df, schema), f"{table_root}/{name}", key, dedupe_batch=False)
+            load_fact_table(spark, stage_rows(df, schema), f"{table_root}/{name}", key, order=[])
+        for state in ("_pending_stubs", "_repositories"):
+            delete_path(spark, f"{table_root}/{state}/epoch={epoch - 2}")
 
     return handle
 
