@@ -166,12 +166,17 @@ def test_checkpoint_folder_is_required_on_a_cluster():
 
 
 def test_scratch_is_released(spark):
-    from tyscope.session import delete_path, materialize, path_exists, scratch_path
+    from tyscope.session import delete_path, materialize, path_exists, scratch_path, scratch_scope
     p = scratch_path(spark, "gone")
     spark.range(3).write.parquet(p)
     assert path_exists(spark, p)
     delete_path(spark, p)
     assert not path_exists(spark, p)
+    with scratch_scope(spark, "scope"):
+        inside = scratch_path(spark, "inside")
+        assert materialize(spark.range(3), "kept").count() == 3
+        spark.range(3).write.parquet(inside)
+    assert not path_exists(spark, inside)
     assert materialize(spark.range(3), "kept").count() == 3
 
 

@@ -7,8 +7,10 @@ own when it is unset and the master is local (tests).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,10 +74,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCOPE = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local on a cluster)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tyscope/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = getattr(_SCOPE, "folder", None) or f"{checkpoint_dir(spark).rstrip('/')}/tyscope/{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, name: str):
+    """Intermediate tables made inside are deleted at the end; what they were made for must
+    have been written by then."""
+    outer, folder = getattr(_SCOPE, "folder", None), scratch_path(spark, name)
+    _SCOPE.folder = folder
+    try:
+        yield
+    finally:
+        _SCOPE.folder = outer
+        delete_path(spark, folder)
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tyscope.operators.facts import extract_tables
 from tyscope.schemas import ANNOTATION, ANNOTATION_KEY, FUNC_VAR, FUNC_VAR_KEY, MODULE, MODULE_KEY
 from tyscope.sources import files as F_
-from tyscope.session import delete_path, materialize, path_exists, qualified_path
+from tyscope.session import delete_path, materialize, path_exists, qualified_path, scratch_scope
 from tyscope.sources.interchange import load_fact_table, stage_rows
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -48,10 +48,14 @@ def _repositories(files: DataFrame, table_root: str, epoch: int) -> DataFrame:
 
 def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
     def handle(batch: DataFrame, epoch: int) -> None:
+        with scratch_scope(batch.sparkSession, f"stream-batch-{epoch}"):
+            _load(batch, epoch)
+
+    def _load(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         files = F_.with_layout(batch, qualified_path(spark, root)).where(F_.python_file() & F_.not_ignored())
         cols = ["path", *F_.FOLDER, "path_rel", "content"]
-        files = materialize(files.select(*cols, "file"), f"stream-files-{epoch}")
+        files = materialize(files.select(*cols, "file"), "files")
         py = files.where(F.col("file").endswith(".py")).select(*cols)
         # module paths of all batches; a retried batch overwrites its own folder
         py.select("path").write.mode("overwrite").parquet(f"{table_root}/_module_paths/epoch={epoch}")
@@ -66,7 +70,7 @@ def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
         chosen = py.unionByName(F_.keep_stubs_with_twin(stubs, modules))
         known = repository if repository is not None else _repositories(files, table_root, epoch)
         chosen = F_.attach_repo_id(chosen, known).select("repo_id", "path_rel", "content")
-        _, t = extract_tables(chosen, f"stream-batch-{epoch}")
+        _, t = extract_tables(chosen)
         for name, df, schema, key in (("module", t.module, MODULE, MODULE_KEY),
                                       ("func_var", t.func_var, FUNC_VAR, FUNC_VAR_KEY),
                                       ("annotation", t.annotation, ANNOTATION, ANNOTATION_KEY)):
