@@ -42,6 +42,8 @@ def test_what_names_itself():
             "<p>below</p></main><footer>foot</footer></body>")
     assert M.extract(page) == "Title\nText more\nEnd"
     assert M.extract("<div>a</div><main><p>b</p></main>") == "b"
+    assert M.extract("<div class=page-header>a</div><article><div class=post-header><h1>T</h1></div><p>b</p></article>") == "T\nb"
+    assert M.extract("<div class=page-header>a</div><p>b</p>") == "b"
 
 
 def test_site_templates(spark):

@@ -154,8 +154,3 @@ def concat_ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     at = np.cumsum(lens)[:-1]
     step[at] = starts[1:] - (starts[:-1] + lens[:-1] - 1)
     return np.cumsum(step)
-
-
-def arrow_batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)

@@ -49,7 +49,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar sidebars
     nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices
     popup modal overlay newsletter subscribe comment comments disqus respond share sharing social related
-    recommended widget widgets toolbar pagination pager""".split())
+    recommended widget widgets toolbar topbar pagination pager alert gdpr signup login search skip""".split())
+#: names that inside an article may be its own title block
+TITLE_NAMES = frozenset("header masthead banner".split())
 #: an element that opens ends an open one of the listed kinds, unless one of the bounds is between
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -119,8 +121,10 @@ def names_itself(name: str, attributes: str, in_article: bool) -> bool:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and not NAMES.isdisjoint(NAME.findall(value)):
-            return True
+        if key in ("class", "id"):
+            found = NAMES.intersection(NAME.findall(value))
+            if found and not (in_article and found <= TITLE_NAMES):
+                return True
         if key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
