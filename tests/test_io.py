@@ -3,8 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from tyscope.operators import ranking
 from tyscope.sources import interchange as IO
 from tyscope.sources import repos_json
