@@ -1,13 +1,14 @@
 """Preference formatting of chosen and rejected conversations.
 
 A conversation is the turns of one conv_id in the order of turn, and a pair is two
-conversations with one pair id. The turns of both are joined by position; the first
-position at which they differ ends the common prefix, which is rendered once as prompt.
+conversations with one pair id. The turns of both meet by position; the first position
+at which they differ ends the common prefix, which is rendered once as prompt.
 The turns after it are rendered as the two completions, with a mask of the characters
 to learn from: the text and end mark of assistant turns.
 
-The prefix is found by a join and a minimum, so no conversation is held as a list until
-its own output row is put together.
+The texts are shuffled once, by pair. The prefix is found by windows over sorted turns
+(which spill), so no conversation is held as a list until its own output row is put
+together.
 
 Cases: rows without conv_id belong to no conversation; null turns come last, turns with
 one number in the order of role and text, rows that repeat are turns of their own; a
@@ -37,19 +38,21 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """pair_id, prompt_turns, prompt, chosen, rejected, chosen_mask and rejected_mask (spans
     ``start:end`` in characters of the completion, comma-joined) from two tables of
     ``positions`` columns."""
-    sides = [t.select("pair_id", "pos", F.struct("role", "text").alias(name)) for t, name in ((chosen, "c"), (rejected, "r"))]
-    both = sides[0].join(sides[1], ["pair_id", "pos"], "full")
-    differ = ~F.col("c").eqNullSafe(F.col("r"))
-    split = both.groupBy("pair_id").agg(F.coalesce(F.min(F.when(differ, F.col("pos"))), F.max("pos") + 1).alias("prompt_turns"))
-    turns = both.join(split, "pair_id")
-    parts = [turns.where("pos < prompt_turns").select("pair_id", "prompt_turns", F.lit("prompt").alias("part"), "pos", "c.*")]
-    for side, name in (("c", "chosen"), ("r", "rejected")):
-        parts.append(turns.where(F.col("pos") >= F.col("prompt_turns")).where(F.col(side).isNotNull())
-                     .select("pair_id", "prompt_turns", F.lit(name).alias("part"), "pos", f"{side}.*"))
+    rows = [t.select("pair_id", "pos", F.lit(side).alias("side"), "role", "text") for side, t in enumerate((chosen, rejected))]
+    # dealt out by pair once; all that follows groups by the pair and more
+    both = rows[0].union(rows[1]).repartition("pair_id")
+    here, pair = Window.partitionBy("pair_id", "pos"), Window.partitionBy("pair_id")
+    equal = ((F.count(F.lit(1)).over(here) == 2) & (F.min("role").over(here) == F.max("role").over(here))
+             & (F.min("text").over(here) == F.max("text").over(here)))
+    turns = (both.withColumn("equal", equal)
+             .withColumn("prompt_turns", F.coalesce(F.min(F.when(~F.col("equal"), F.col("pos"))).over(pair),
+                                                    F.max("pos").over(pair) + 1))
+             .withColumn("part", F.when(F.col("pos") < F.col("prompt_turns"), "prompt").when(F.col("side") == 0, "chosen")
+                         .otherwise("rejected"))
+             .where((F.col("part") != "prompt") | (F.col("side") == 0)))
     head = F.concat(F.lit(START), "role", F.lit("\n"))
     before = Window.partitionBy("pair_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    shown = (parts[0].union(parts[1]).union(parts[2])
-             .withColumn("shown", F.concat(head, "text", F.lit(END)))
+    shown = (turns.withColumn("shown", F.concat(head, "text", F.lit(END)))
              .withColumn("at", F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0)))
              .withColumn("mask", F.when(F.col("role") == "assistant", F.concat(
                  (F.col("at") + F.length(head)).cast("string"), F.lit(":"), (F.col("at") + F.length("shown")).cast("string")))))
@@ -67,7 +70,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 def weakened(turns: DataFrame) -> DataFrame:
     """A rejected counterpart of each conversation in ``positions`` columns: its last
     assistant turn breaks off after half of its characters, and what followed is gone."""
-    last = (turns.where("role = 'assistant'").groupBy("pair_id").agg(F.max("pos").alias("last")))
+    pair = Window.partitionBy("pair_id")
+    last = F.max(F.when(F.col("role") == "assistant", F.col("pos"))).over(pair)
     half = F.substring("text", F.lit(1), F.expr("length(text) div 2"))
-    return (turns.join(last, "pair_id", "left").where(F.col("last").isNull() | (F.col("pos") <= F.col("last")))
+    return (turns.withColumn("last", last).where(F.col("last").isNull() | (F.col("pos") <= F.col("last")))
             .select("pair_id", "pos", "role", F.when(F.col("pos") == F.col("last"), half).otherwise(F.col("text")).alias("text")))
