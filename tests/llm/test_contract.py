@@ -37,7 +37,7 @@ def test_contract_columns_and_rows(spark, name):
 @pytest.mark.parametrize("name", Q.ORACLE_SQL)
 def test_sql_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = Q.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

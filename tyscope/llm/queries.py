@@ -85,6 +85,56 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES))
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS pos FROM d),
+grams AS (
+  SELECT doc_id, pos, string_agg(word, ' ') OVER f AS g, count(*) OVER f AS n FROM w
+  WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) AS k FROM grams WHERE n = 20) x
+  WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 19)) AS pos FROM later),
+kept AS (
+  SELECT w.doc_id, count(gone.pos)::BIGINT AS n_removed,
+         string_agg(word, ' ' ORDER BY w.pos) FILTER (gone.pos IS NULL) AS text
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.pos = gone.pos GROUP BY w.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_OP3_GRAMS = " UNION ALL ".join(
+    f"""SELECT doc_id, pos, {n} AS n, g FROM (
+    SELECT doc_id, pos, string_agg(word, ' ') OVER f AS g, count(*) OVER f AS have FROM w
+    WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)) x
+  WHERE have = {n} AND EXISTS (SELECT 1 FROM b WHERE n = {n})""" for n in range(1, 11))
+
+OP3_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+b AS (
+  SELECT DISTINCT item, least(10, len(words)) AS n, array_to_string(words[s:s + least(10, len(words)) - 1], ' ') AS g
+  FROM (SELECT item, words, unnest(generate_series(1, greatest(1, len(words) - 9))) AS s FROM items WHERE len(words) > 0) x),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS pos FROM lowered),
+grams AS (
+  """ + _OP3_GRAMS + """),
+hit AS (SELECT grams.doc_id, pos, b.n, item FROM grams JOIN b ON grams.n = b.n AND grams.g = b.g),
+words_hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit
+              FROM (SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS p FROM hit) x GROUP BY doc_id),
+items_hit AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, item FROM hit) x GROUP BY doc_id)
+SELECT l.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered l LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -203,5 +253,11 @@ QUERIES = {
     "op9_preference_pairs": op9_preference_pairs,
     "op10_url_rules": op10_url_rules,
 }
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op8_merkle_audit": OP8_SQL, "op9_preference_pairs": OP9_SQL,
-              "op10_url_rules": OP10_SQL}
+ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
+    "op3_decontaminate": OP3_SQL,
+    "op5_mix_sources": OP5_SQL,
+    "op8_merkle_audit": OP8_SQL,
+    "op9_preference_pairs": OP9_SQL,
+    "op10_url_rules": OP10_SQL,
+}
