@@ -87,3 +87,48 @@ def test_pipeline_stages_against_their_parts(spark):
             continue
         assert docs.columns == columns
         before = after
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and extra columns named like helpers."""
+    extra = "fp bigint, hits string, spans string, size string, copy bigint, score double, features string, component string"
+    same = "the same passage of more than twenty words that stands in several of these documents " * 3
+    rows = [(1, same, "en", "a", 9), (1, same, "en", "a", 9), (2, "before " + same, None, None, None), (3, None, "en", "a", 0),
+            (4, "", None, "b", 0), (None, same + "after", "en", "", 3), (None, None, None, None, None), (5, "x", "en", "b", 1),
+            (6, "long " * 60_000, "en", "c", 300_000), (7, "y" * 100_000, "en", "c", 1), (7, "other text of one id", "en", "c", 1)]
+    return spark.createDataFrame([(*r, *(None,) * 5, 0.5, "f", "c") for r in rows],
+                                 f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}")
+
+
+def test_stages_on_odd_rows_and_on_no_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, sf)
+            if name != "mix_sources":
+                assert out.columns == docs.columns
+            else:
+                assert set(docs.columns) == set(out.columns)
+            n = out.count()
+            assert n == 0 if table is not docs else name == "mix_sources" or 0 < n <= docs.count()
+    from test_simhash import brute_components, brute_fingerprint
+    from test_substring import brute as cut
+    rows = docs.collect()
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf).collect()
+    assert len(kept) == len(set(brute_components([brute_fingerprint(r.text) for r in rows], 4)))
+    assert [r.doc_id for r in kept].count(1) == 1 and [r.doc_id for r in kept].count(7) == 2
+    assert 3 in [r.doc_id for r in kept] and 4 not in [r.doc_id for r in kept]  # neither has words: the smaller id stays
+    out = corpus_pipeline.drop_repeated_passages(spark, docs, sf).collect()
+    left = sorted((str(r.doc_id), len((r.text or "").split())) for r in out)
+    assert left == sorted((str(d), n - gone) for d, n, gone, _ in cut([(r.doc_id, r.text) for r in rows]))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out)
+
+
+@pytest.mark.parametrize("name", [n for n in Q.QUERIES])
+def test_queries_on_empty_tables(spark, name, tmp_path):
+    """Every query on tables that have columns but no rows."""
+    import os
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+        read_table(spark, "/root/testdata/sf0.001", t).limit(0).coalesce(1).write.parquet(os.path.join(str(tmp_path), f"{t}.parquet"))
+    assert Q.QUERIES[name](spark, str(tmp_path)).count() == 0
