@@ -221,12 +221,12 @@ X_ANNOTATION = "x_annotation_t AS (\n" + "\n  UNION ALL ".join(
 X_UNANNOTATED = """x_unannotated_t AS (
   SELECT 'self' AS arg_name FROM src_t WHERE pann + ret > 0
   UNION ALL SELECT 'p' FROM src_t WHERE pann = 0 AND ret = 1
-  UNION ALL SELECT 'v' FROM src_t)"""
+  UNION ALL SELECT concat('v', CAST(sz % 40 AS VARCHAR)) FROM src_t)"""
 
 X_PARTIAL_ARGS = """x_partial_args_t AS (
   SELECT 'self' AS arg_name FROM src_t WHERE pann + ret > 0
   UNION ALL SELECT 'p' FROM src_t WHERE pann + ret > 0
-  UNION ALL SELECT 'v' FROM src_t
+  UNION ALL SELECT concat('v', CAST(sz % 40 AS VARCHAR)) FROM src_t
   UNION ALL SELECT 'w' FROM src_t)"""
 
 EXTRACTED = ",\n".join([SRC, X_MODULE, X_FUNC_VAR, X_ANNOTATION, X_UNANNOTATED, X_PARTIAL_ARGS])

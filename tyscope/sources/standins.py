@@ -145,8 +145,8 @@ def template_content(pk: F.Column, sz: F.Column) -> F.Column:
         F.lit("            pass\n"),
         F.lit("        return p\n"),
         F.lit("async def g"), pks, F.lit("(u: int):\n"),
-        F.lit("    def h(v, w: str):\n"),
-        F.lit("        return v\n"),
+        F.lit("    def h(v"), _s(sz % 40), F.lit(", w: str):\n"),  # many names, of different frequency
+        F.lit("        return v"), _s(sz % 40), F.lit("\n"),
         F.lit("    return u\n"),
         F.lit("[e, f] = g = 0, 1\n"),
         broken,
