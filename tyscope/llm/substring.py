@@ -282,9 +282,11 @@ def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW,
     large = (repeated.where(F.col("n") <= hot_anchor).groupBy("f").agg(F.sum("n").alias("total")).where(F.col("total") > shard_anchors)
              .select("f", F.ceil(F.col("total") / shard_anchors).alias("parts")))
     shards = (repeated.join(large, "f", "left")
-              .select("h", F.xxhash64("f", F.pmod(F.shiftright("h", 1), F.coalesce("parts", F.lit(1)))).alias("shard"),
-                      F.when(F.col("n") > hot_anchor, F.ceil(F.col("n") * (window - GRAM + 1) / hot_anchor))
-                      .otherwise(F.lit(1)).cast("bigint").alias("split")))
+              .withColumn("hot", F.col("n") > hot_anchor)
+              .select("h", F.when(F.col("hot"), F.xxhash64("h"))
+                      .otherwise(F.xxhash64("f", F.pmod(F.shiftright("h", 1), F.coalesce("parts", F.lit(1))))).alias("shard"),
+                      F.when(F.col("hot"), F.ceil(F.col("n") * (window - GRAM + 1) / hot_anchor)).otherwise(F.lit(1))
+                      .cast("bigint").alias("split")))
     hits = (anchors.join(shards, "h").groupBy("_sub_id", "_sub_th")
             .agg(F.collect_list(F.struct("h", "shard", "split")).alias("hits")))
     segments = materialize(
