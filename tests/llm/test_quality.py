@@ -82,6 +82,34 @@ def test_verdict_on_the_table(spark):
     assert sum(bad) <= 0.7 * len(bad)
 
 
+def test_labelled_bad_rows_go_and_good_rows_stay(spark):
+    from tyscope.session import read_table
+    for sf, n_bad in (("/root/testdata/sf0.01", 27), ("/root/testdata/sf0.1", 291)):
+        labels = read_table(spark, sf, "labels")
+        rows = Q.judge(read_table(spark, sf, "documents"), labels).where("not base_failed").join(labels, "doc_id").collect()
+        assert [sum(not r.kept for r in rows if r.quality == q) for q in (0, 1)] == [n_bad, 0]
+        assert sum(r.quality == 0 for r in rows) == n_bad
+        assert all(r.kept == (r.anomaly < 0.5) for r in rows)
+
+
+def test_scale_is_the_forest_of_one_statistic():
+    rng = np.random.default_rng(1)
+    x = rng.gamma(2.0, size=(400, 1))
+    forest = Q.grow(x, x.min(axis=0), x.max(axis=0) + 3, trees=30)
+    probe = np.concatenate([x[:, 0], [-1.0, 99.0], forest.value[forest.feature >= 0][:50]])
+    assert np.array_equal(Q.Scale.of(forest).score(probe), forest.score(probe[:, None]))
+
+
+def test_each_statistic_has_its_own_cut(spark):
+    """Two kinds of bad rows, each above the good rows in one statistic and below them in another."""
+    rows = [(1, [600, 100, 100, 900])] * 90 + [(1, [200, 100, 100, 1000])] * 10
+    rows += [(0, [600, 100, 300, 900])] * 5 + [(0, [650, 100, 100, 100])] * 4 + [(0, [600, 100, 100, 900])]
+    steps = spark.createDataFrame(rows, "quality int, steps array<int>").repartition(3)
+    never = Q.STEPS + 1
+    assert Q.calibrate_all(steps) == [601, never, 101, never]
+    assert Q.calibrate_all(steps.where("quality = 1")) == [never] * 4
+
+
 def test_no_labels_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "word " + " ".join(f"w{i}" for i in range(60))), (2, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(None, 1, 0), (5, None, 1)], "doc_id bigint, quality int, toxic int")

@@ -1,14 +1,20 @@
-"""Quality rules: an isolation forest on rule statistics.
-
-One pass over the texts gives each document a row of counts, which is stored. A forest
-of random splits is grown over a bounded sample of labelled rows (``FIT_ROWS``): the
-sample's range is cut at random, the good rows fill the trees, and a row that few
-splits part from them is anomalous. Cuts are drawn from a node's whole range and not
-from its good rows' own, so that a count which is the same in all good rows (no symbol
-at all) still parts rows that have it. The score is 2^(-mean path length / expected
-path length), and the threshold is calibrated on the scores of all labelled rows that
-pass the base rules: of those that lose at most ``MAX_LOSS`` of the good rows, the one
-with the largest difference between bad and good rows found.
+"""Quality rules: isolation forests on rule statistics, one per statistic.
+
+One pass over the texts gives each document a row of counts, which is stored. For each
+statistic a forest of random splits is grown over a bounded sample of labelled rows
+(``FIT_ROWS``): the sample's range is cut at random, the good rows fill the trees, and a row
+that few splits part from them is anomalous. Cuts are drawn from a node's whole range and
+not from its good rows' own, so that a count which is the same in all good rows (no symbol
+at all) still parts rows that have it. The score is 2^(-mean path length / expected path
+length).
+
+One forest over all statistics would mix them: a good row that is rare in one scores above
+a bad row that is rare in another. So each statistic has a cut of its own, and a row that
+reaches any of them is anomalous. The cuts are calibrated on the scores of all labelled rows
+that pass the base rules, the most telling statistic first: of the cuts with which all so
+far lose at most ``MAX_LOSS`` of the good rows, the one with the largest difference between
+bad and good rows found. A statistic that does not widen that difference gets none. The
+anomaly of a row is its largest score, scaled so that every cut lies at 0.5.
 
 Cases: a null or empty text has zero counts and fails the base rules; a doc_id labelled
 both ways counts as good; without labelled rows nothing is judged anomalous; an empty
@@ -101,11 +107,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("base_failed", failed), "rule-statistics")
 
 
+FEATURES = STATS[1:]
+
+
 def features(cols: dict[str, np.ndarray]) -> np.ndarray:
     """What the forest splits on: the counts per word, on a log scale. The size itself is
     left to the base rules, long texts are not anomalous."""
     n = np.maximum(cols["n_words"].astype(np.float64), 1)
-    return np.stack([np.log1p(cols[s] / n) for s in STATS[1:]], axis=1)
+    return np.stack([np.log1p(cols[s] / n) for s in FEATURES], axis=1)
 
 
 class Forest(NamedTuple):
@@ -169,6 +178,26 @@ def grow(good: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES
     return Forest(*pad, max(expected_path(sample), 1e-9))
 
 
+class Scale(NamedTuple):
+    """The score of a forest over one statistic, constant between its cuts."""
+
+    cuts: np.ndarray
+    scores: np.ndarray
+
+    @classmethod
+    def of(cls, forest: Forest) -> Scale:
+        cuts = np.unique(forest.value[forest.feature >= 0])
+        return cls(cuts, forest.score(np.concatenate([[-np.inf], cuts])[:, None]))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.scores[np.searchsorted(self.cuts, x, side="right")]
+
+
+def scales(good: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[Scale]:
+    """One forest per statistic."""
+    return [Scale.of(grow(good[:, [i]], low[[i]], high[[i]], seed=7 + i)) for i in range(good.shape[1])]
+
+
 def _sample(rows: DataFrame, n: int) -> DataFrame:
     """About ``n`` rows by the hash of doc_id, never more than 2n."""
     total = rows.count()
@@ -176,23 +205,51 @@ def _sample(rows: DataFrame, n: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) < math.ceil(part * 1_000_003)).limit(2 * n)
 
 
-def calibrate(counts: list[tuple[int, int, int]], max_loss: float = MAX_LOSS) -> float:
-    """The cut from (step of the score, good, n) counts: above it a row is anomalous."""
+def _best_cut(counts: list[tuple[int, int, int]], max_loss: float) -> tuple[float, int]:
+    """The largest difference between bad and good found, and the step above which it is had."""
     good = np.zeros(STEPS + 2)
     bad = np.zeros(STEPS + 2)
     for step, label, n in counts:
         (good if label else bad)[step] += n
     if not good.sum() or not bad.sum():
-        return math.inf
-    lost = 1 - np.cumsum(good) / good.sum()
-    found = 1 - np.cumsum(bad) / bad.sum()
+        return 0.0, STEPS
+    lost = (good.sum() - np.cumsum(good)) / good.sum()
+    found = (bad.sum() - np.cumsum(bad)) / bad.sum()
     gain = np.where(lost <= max_loss, found - lost, -1)
     best = int(gain.argmax())
-    return (best + 1) / STEPS if gain[best] > 0 else math.inf
+    return float(gain[best]), best
+
+
+def calibrate(counts: list[tuple[int, int, int]], max_loss: float = MAX_LOSS) -> float:
+    """The cut from (step of the score, good, n) counts: above it a row is anomalous."""
+    gain, best = _best_cut(counts, max_loss)
+    return (best + 1) / STEPS if gain > 0 else math.inf
+
+
+def calibrate_all(steps: DataFrame, max_loss: float = MAX_LOSS) -> list[int]:
+    """Per statistic the step from which on a row is anomalous, ``STEPS + 1`` for never;
+    ``steps`` has quality and, per row, the steps of all scores. Rows that a cut has found
+    count as found and lost under every later one."""
+    cuts = [STEPS + 1] * len(FEATURES)
+    gain = 0.0
+    while True:
+        found = F.lit(False)
+        for i, cut in enumerate(cuts):
+            found = found | (F.col("steps")[i] >= cut)
+        counts: dict[int, list] = {i: [] for i, cut in enumerate(cuts) if cut > STEPS}
+        for r in (steps.select("quality", found.alias("found"), F.posexplode("steps").alias("i", "step"))
+                  .groupBy("i", F.when(F.col("found"), STEPS + 1).otherwise(F.col("step")).alias("step"), "quality")
+                  .agg(F.count(F.lit(1)).alias("n")).collect()):
+            if r.i in counts:
+                counts[r.i].append((r.step, r.quality, r.n))
+        best = max(((*_best_cut(c, max_loss), -i) for i, c in counts.items()), default=(0.0, 0, 0))
+        if best[0] <= gain:
+            return cuts
+        gain, cuts[-best[2]] = best[0], best[1] + 1
 
 
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_loss: float = MAX_LOSS) -> DataFrame:
-    """doc_id, the counts, base_failed, anomaly (score 0 to 1) and kept of every row.
+    """doc_id, the counts, base_failed, anomaly (0 to 1, anomalous from 0.5 on) and kept of every row.
 
     ``labels`` has doc_id and quality (1 good, 0 bad)."""
     spark = docs.sparkSession
@@ -204,19 +261,34 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_loss
     good = x[rows["quality"].to_numpy() == 1]
     if len(good) < 2:
         return stats.select("doc_id", *STATS, "base_failed", F.lit(0.0).alias("anomaly"), (~F.col("base_failed")).alias("kept"))
-    forest = spark.sparkContext.broadcast(grow(good, x.min(axis=0), x.max(axis=0)))
+    grown = spark.sparkContext.broadcast(scales(good, x.min(axis=0), x.max(axis=0)))
+
+    def scores(b):
+        x = features({s: b.column(s).to_numpy(zero_copy_only=False) for s in STATS})
+        found = np.stack([scale.score(x[:, i]) for i, scale in enumerate(grown.value)], axis=1)
+        return found, np.minimum(STEPS, np.floor(found * STEPS)).astype(np.int32)
+
+    def steps_of(batches):
+        for b in batches:
+            _, steps = scores(b)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("quality"), pa.FixedSizeListArray.from_arrays(steps.ravel(), len(FEATURES)).cast(pa.list_(pa.int32()))],
+                ["quality", "steps"])
+
+    kind = dict(labelled.dtypes)["quality"]
+    steps = materialize(labelled.select("quality", *STATS).mapInArrow(steps_of, f"quality {kind}, steps array<int>"), "rule-steps")
+    cuts = np.array(calibrate_all(steps, max_loss))
 
-    def score(batches):
+    def verdict(batches):
+        at = np.minimum(cuts / STEPS, 1)
         for b in batches:
-            x = features({s: b.column(s).to_numpy(zero_copy_only=False) for s in STATS})
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.value.score(x))], [*b.schema.names, "anomaly"])
-
-    def scored(rows):
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(score, f"{kinds}, anomaly double")
-
-    step = F.least(F.lit(STEPS), F.floor(F.col("anomaly") * STEPS)).cast("int")
-    counts = scored(labelled).groupBy(step.alias("step"), "quality").agg(F.count(F.lit(1)).alias("n")).collect()
-    cut = calibrate([(r.step, r.quality, r.n) for r in counts], max_loss)
-    kept = ~F.col("base_failed") & (F.col("anomaly") < F.lit(cut))
-    return scored(stats).select("doc_id", *STATS, "base_failed", "anomaly", kept.alias("kept"))
+            found, steps = scores(b)
+            scaled = np.where(found < at, found / at / 2, 1 - (1 - found) / np.maximum(1 - at, 1e-9) / 2)
+            anomalous = (steps >= cuts).any(axis=1)
+            anomaly = np.where(anomalous, np.maximum(scaled.max(axis=1), 0.5), np.minimum(scaled.max(axis=1), np.nextafter(0.5, 0)))
+            failed = b.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly), pa.array(~failed & ~anomalous)],
+                                             [*b.schema.names, "anomaly", "kept"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
+    return stats.mapInArrow(verdict, f"{kinds}, anomaly double, kept boolean").select("doc_id", *STATS, "base_failed", "anomaly", "kept")
