@@ -46,6 +46,28 @@ def test_what_names_itself():
     assert M.extract("<div class=page-header>a</div><p>b</p>") == "b"
 
 
+def test_names_around_and_inside_articles():
+    x = M.extract
+    page = "<article><h1>T</h1><p>text</p></article>"
+    for wrap in ("<div class='content-sidebar-wrap'>", "<div class='layout no-sidebar'>", "<div id=page class=has-comments>",
+                 "<div class=sidebar>", "<div class='search'><div id=header>", "<form id=form1>", "<span class=widget>",
+                 "<aside hidden>", "<div style='display: none'>"):
+        assert x(f"<body><nav>menu</nav>{wrap}{page}") == "T\ntext", wrap
+    assert x("<article>short</article><div class=menu><main><p>main text &amp;lt;</p><nav>n</nav></main></div>") != ""
+    assert x("<div class=menu><main><p>main text &amp;lt;</p><nav>n</nav></main></div>") == "main text &lt;"
+    for part in ("<h2 id='related-work'>in</h2>", "<h2 id=related>in</h2>", "<section id=search>in</section>", "<p id='notice-period'>in</p>",
+                 "<p id=share>in</p>", "<div class=alert role=alert>in</div>", "<p><a title='the hidden gem'>in</a></p>",
+                 "<section data-title='our hidden work'>in</section>", "<pre><span class='token comment'>in</span></pre>",
+                 "<p data-x=a'b title=hidden>in</p>"):
+        assert x(f"<article><p>a</p>{part}<p>b</p></article>") == "a\nin\nb", part
+    for part in ("<div hidden>", "<div a=1 HIDDEN class=x>", "<div hidden=''>", "<div class='x ads'>", "<div class='share'>"):
+        assert x(f"<article><p>a</p>{part}out</div><p>b</p></article>") == "a\nb", part
+    assert x("<article><p>a <span class=ad>x</span>b</p></article>") == "a b"
+    comments = "<div id=comments><article>first</article><article>2nd</article></div>"
+    assert x(f"<main><article><p>the longer text</p></article>{comments}</main>") == "the longer text"
+    assert x("<div class=ad>" * 20000 + "<article>deep") == "deep"
+
+
 def test_site_templates(spark):
     rnd = random.Random(1)
     rows = []

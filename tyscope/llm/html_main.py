@@ -6,7 +6,10 @@ have; copies of one article count once. A subtree that ``MIN_PAGES`` or more and
 least ``MIN_SHARE`` of a host's pages repeat is template. Pass 2 joins each host's template hashes
 (at most elements per page / ``MIN_SHARE`` of them) to its pages and deletes those
 subtrees, next to what names itself menu, header, footer, sidebar, notice, advert, form,
-script, style or comments.
+script, style or comments. Names are whole class words and ids; inside an article fewer
+of them count, and ids of headings and paragraphs nowhere (they are link targets). An element
+around ``main`` is never dropped for its name, nor one around an ``article``, unless the
+articles and main elements outside of it have as much text (a comment list, teasers).
 
 Only containers are template candidates (divisions, lists, tables and the like); the
 paragraphs and headings of an article are its text even where many articles share them.
@@ -24,9 +27,10 @@ read, so other columns cannot clash.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from hashlib import blake2b
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,8 +54,14 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor
     nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices
     popup modal overlay newsletter subscribe comment comments disqus respond share sharing social related
     recommended widget widgets toolbar topbar pagination pager alert gdpr signup login search skip""".split())
-#: names that inside an article may be its own title block
-TITLE_NAMES = frozenset("header masthead banner".split())
+NAMES |= {f"{whole}-{name}" for whole in ("site", "page") for name in NAMES}
+#: what a class, an id or a role inside an article still says; its sections may be on search or hold alerts
+ARTICLE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo sidebar sidebars
+    nav navbar navigation breadcrumb breadcrumbs cookie cookies consent newsletter subscribe comments disqus respond
+    share sharing related recommended pagination pager gdpr""".split())
+ARTICLE_IDS = frozenset("comments disqus_thread respond".split())
+ARTICLE_ROLES = ROLES - {"alert", "banner"}
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: an element that opens ends an open one of the listed kinds, unless one of the bounds is between
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -59,8 +69,7 @@ P_BOUND = frozenset("article section div main body html td th li aside nav heade
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-NAME = re.compile(r"[a-z0-9]+")
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>][^\s>]*)))?")
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -105,50 +114,90 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Open:
-    __slots__ = ("name", "kind", "skip", "root", "parts", "blocks")
+    __slots__ = ("name", "kind", "held", "root", "parts", "blocks")
 
-    def __init__(self, name, kind, skip, root, blocks):
-        self.name, self.kind, self.skip, self.root, self.parts, self.blocks = name, kind, skip, root, [], blocks
+    def __init__(self, name, kind, held, root, blocks):
+        self.name, self.kind, self.held, self.root, self.parts, self.blocks = name, kind, held, root, [], blocks
+
+
+def attributes_of(source: str) -> Iterator[tuple[str, str]]:
+    """(name, value) pairs, in small letters; the value of a bare name is empty."""
+    for m in ATTRIBUTE.finditer(source):
+        yield m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
 
 
 def names_itself(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element calls itself something else than main text."""
-    if name in RAW or name in DROPPED or name == "header" and not in_article:
+    if name in DROPPED or name == "header" and not in_article:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
+    for key, value in attributes_of(attributes):
+        if key == "role" and value in (ARTICLE_ROLES if in_article else ROLES) or key == "aria-hidden" and value == "true":
+            return True
+        if key == "class" and not (ARTICLE_NAMES if in_article else NAMES).isdisjoint(value.split()):
+            return True
+        if key == "id" and name not in ANCHORS and value.strip() in (ARTICLE_IDS if in_article else NAMES):
             return True
-        if key in ("class", "id"):
-            found = NAMES.intersection(NAME.findall(value))
-            if found and not (in_article and found <= TITLE_NAMES):
-                return True
         if key == "style" and "display:none" in value.replace(" ", ""):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", attributes))
+        if key == "hidden" and value != "until-found":
+            return True
+    return False
+
+
+class _Named:
+    """An element that names itself: the next one around it and the roots inside it."""
+
+    __slots__ = ("up", "roots")
+
+    def __init__(self, up):
+        self.up, self.roots = up, set()
+
+
+class _Block(NamedTuple):
+    text: str
+    held: int               # the innermost named element around it, -1 for none
+    root: int               # 2 in an article, 1 in main, 0 elsewhere
+    pieces: Sequence = ()   # where parts of it lie in named elements: text, innermost named element
+
+
+def _words(pieces: Iterable[str]) -> str:
+    return " ".join(unescape("".join(pieces)).split())
+
+
+def _kept(named: list[_Named], blocks: list[_Block]) -> list[bool]:
+    """Per named element, whether its text stays; the last entry is for none (-1)."""
+    own = [0] * (len(named) + 1)    # text of roots that lies in it and in no named element inside it
+    for o in blocks:
+        if o.root:
+            own[o.held] += len(o.text)
+    whole = own[:]
+    for k in range(len(named) - 1, -1, -1):
+        whole[named[k].up] += whole[k]
+    kept = [True] * len(own)
+    for k, o in enumerate(named):
+        kept[k] = kept[o.up] and ("main" in o.roots or "article" in o.roots and whole[k] > own[o.up])
+    return kept
 
 
 def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None = None) -> str:
     """The main text of a page without the subtrees in ``templates``; ``hashes`` gets the
     candidate subtrees' hashes as keys."""
-    blocks: list[tuple[str, int]] = []      # text, root: 2 in an article, 1 in main, 0 elsewhere
-    stack = [_Open("", "block", False, 0, 0)]
-    now: list[str] = []                     # the running block's text
-    lost: list[str] = []                    # what of it is skipped, for the hashes
-    best = 0
+    blocks: list[_Block] = []
+    stack = [_Open("", "block", -1, 0, 0)]
+    now: list[tuple[str, int]] = []         # the running block's pieces: text, innermost named element
+    named: list[_Named] = []                # the elements that name themselves, outer ones first
+    roots: list[tuple[int, int]] = []       # the roots opened, with the innermost named element
 
     def flush():
         top = next(o for o in reversed(stack) if o.kind != "inline")
-        text = " ".join(unescape("".join(now)).split())
+        text = _words(p for p, _ in now)
         if text:
-            blocks.append((text, top.root))
+            mixed = len({held for _, held in now}) > 1
+            blocks.append(_Block(text, top.held if mixed else now[0][1], top.root, now[:] if mixed else ()))
             top.parts.append(text)
-        if lost:
-            top.parts.append(" ".join(unescape("".join(lost)).split()))
         now.clear()
-        lost.clear()
 
     def close():
         o = stack[-1]
@@ -177,38 +226,51 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
 
     for what, name, attributes in tokens(html):
         if what == "text":
-            (lost if stack[-1].skip else now).append(name)
+            now.append((name, stack[-1].held))
         elif what == "close":
             if name in ("br", "hr"):
-                now.append(" ")
+                now.append((" ", stack[-1].held))
             elif name not in VOID:
                 end({name}, () if name not in INLINE else P_BOUND)
         elif name in ("br", "img", "wbr"):
-            now.append(" " if name == "br" else "")
+            now.append((" " if name == "br" else "", stack[-1].held))
         elif name in VOID:
             flush()
-        else:
-            inline = name in INLINE or name in RAW
+        elif name not in RAW:  # whose text is not among the tokens
+            inline = name in INLINE
             if not inline:
                 end({"p"}, P_BOUND)
                 if name in IMPLIED:
                     end(*IMPLIED[name])
             up = stack[-1]
-            skip = up.skip or names_itself(name, attributes, up.root == 2)
-            root = up.root if skip else 2 if name == "article" else max(up.root, 1) if name == "main" else up.root
-            best = max(best, root)
+            held = up.held
+            if names_itself(name, attributes, up.root == 2):
+                named.append(_Named(held))
+                held = len(named) - 1
+            root = 2 if name == "article" else max(up.root, 1) if name == "main" else up.root
+            if name in ("article", "main"):
+                roots.append((root, held))
+                k = held
+                while k >= 0 and name not in named[k].roots:
+                    named[k].roots.add(name)
+                    k = named[k].up
             if inline:
-                stack.append(_Open(name, "inline", skip, root, 0))
+                stack.append(_Open(name, "inline", held, root, 0))
             else:
                 flush()
                 cls = next((m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class"), "")
-                stack.append(_Open(name, "block " + cls, skip, root, len(blocks)))
-            if attributes.endswith("/") and name in RAW:
-                close()
+                stack.append(_Open(name, "block " + cls, held, root, len(blocks)))
     while len(stack) > 1:
         close()
     flush()
-    return "\n".join(text for text, root in blocks if root == best)
+    kept = _kept(named, blocks)
+    found = []
+    for o in blocks:
+        text = _words(p for p, held in o.pieces if kept[held]) if o.pieces else o.text if kept[o.held] else ""
+        if text:
+            found.append((text, o.root))
+    best = max((root for root, held in roots if kept[held]), default=0)
+    return "\n".join(text for text, root in found if root == best)
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
