@@ -88,3 +88,23 @@ def test_site_templates(spark):
     assert {got[100 + i].text for i in range(30)} == {"copied article"}
     assert (got[200].text, got[201].text, got[202].text, got[None].text) == ("", "", "Site name", "x")
     assert M.main_text(pages.limit(0)).count() == 0
+
+
+def test_articles_may_share_lists_and_boxes(spark):
+    rows = []
+    for i in range(100):
+        shared = "<ul><li>200 g flour</li><li>2 eggs</li></ul><div><p>Mix well.</p></div>" if i % 5 == 0 else ""
+        mine = f"<h1>Recipe {i}</h1><div class=tools>Print this page</div>{shared}<p>Step for {i}</p>"
+        root = "article" if i % 2 else "main"
+        rows.append((i, f"http://a.org/{i}", f"<body><ul><li>{'x y z'[i % 2 * 2]}</li></ul><{root}>{mine}</{root}></body>"))
+    got = {r.page_id: r.text for r in M.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(100):
+        shared = "\n200 g flour\n2 eggs\nMix well." if i % 5 == 0 else ""
+        assert got[i] == f"Recipe {i}{shared}\nStep for {i}"
+
+
+def test_outside_of_articles_the_low_share_holds(spark):
+    box = "<div><p>Read our offers</p></div>"
+    rows = [(i, f"http://a.org/{i}", f"<body><h1>T{i}</h1><p>text {i} of the page</p>{box if i < 10 else ''}</body>") for i in range(100)]
+    got = {r.page_id: r.text for r in M.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\ntext {i} of the page" for i in range(100))

@@ -3,7 +3,8 @@
 Pass 1 parses every page and hashes its element subtrees (name, class, text and child
 hashes). Spark counts, per host, the different main texts that each subtree's pages
 have; copies of one article count once. A subtree that ``MIN_PAGES`` or more and at
-least ``MIN_SHARE`` of a host's pages repeat is template. Pass 2 joins each host's template hashes
+least ``MIN_SHARE`` of a host's pages repeat is template; inside an article or main element,
+where articles may share a list or a table, more than ``ROOT_SHARE`` of them must. Pass 2 joins each host's template hashes
 (at most elements per page / ``MIN_SHARE`` of them) to its pages and deletes those
 subtrees, next to what names itself menu, header, footer, sidebar, notice, advert, form,
 script, style or comments. Names are whole class words and ids; inside an article fewer
@@ -41,6 +42,7 @@ from tyscope.session import materialize, ship_package
 
 MIN_PAGES = 8
 MIN_SHARE = 0.01
+ROOT_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes select svg math object".split())
@@ -183,7 +185,7 @@ def _kept(named: list[_Named], blocks: list[_Block]) -> list[bool]:
 
 def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None = None) -> str:
     """The main text of a page without the subtrees in ``templates``; ``hashes`` gets the
-    candidate subtrees' hashes as keys."""
+    candidate subtrees' hashes as keys, odd ones for subtrees inside an article or main element."""
     blocks: list[_Block] = []
     stack = [_Open("", "block", -1, 0, 0)]
     now: list[tuple[str, int]] = []         # the running block's pieces: text, innermost named element
@@ -209,7 +211,7 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
         h = blake2b("\x00".join([o.name, o.kind, *o.parts]).encode("utf-8", "replace"), digest_size=8).digest()
         stack[-1 - next(k for k, p in enumerate(reversed(stack)) if p.kind != "inline")].parts.append(h.hex())
         if o.name in CONTAINERS and o.parts:
-            h = int.from_bytes(h, "big", signed=True)
+            h = int.from_bytes(h, "big", signed=True) & ~1 | (o.root > 0)
             if hashes is not None:
                 hashes[h] = True
             if h in templates:
@@ -295,7 +297,9 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     counted = (pages.select("host", "html").mapInArrow(_hash_batches, "host string, subtree long, article long")
                .distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
                .where(F.col("pages") >= min_pages))
-    return (counted.join(sizes, "host").where(F.col("pages") >= min_share * F.col("n"))
+    enough = (F.when(F.col("subtree").bitwiseAND(F.lit(1)) == 1, F.col("pages") > ROOT_SHARE * F.col("n"))
+              .otherwise(F.col("pages") >= min_share * F.col("n")))
+    return (counted.join(sizes, "host").where(enough)
             .groupBy("host").agg(F.collect_set("subtree").alias("subtrees")))
 
 
