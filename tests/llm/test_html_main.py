@@ -68,6 +68,22 @@ def test_names_around_and_inside_articles():
     assert x("<div class=ad>" * 20000 + "<article>deep") == "deep"
 
 
+def test_a_card_or_an_empty_article_is_not_the_page():
+    x = M.extract
+    text = "<p>the long text of the page</p><p>and more of it</p>"
+    want = "the long text of the page\nand more of it"
+    assert x(f"<main>{text}</main><article>card</article>") == want
+    assert x(f"<main>{text}<article>quote</article></main>") == want + "\nquote"
+    assert x(f"<div>{text}</div><article>card</article>") == want + "\ncard"
+    assert x(f"<div>{text}</div><article><script>x</script></article>") == want
+    assert x(f"<div>{text}</div><main></main><article></article>") == want
+    assert x(f"<main><article></article></main><div>{text}</div>") == want
+    assert x(f"<div>side</div><main><p>above</p><article>{text}</article></main>") == want
+    assert x(f"<div>side</div><main>ad</main><article>{text}</article>") == want
+    assert x(f"<div>side</div><main>{text}</main>") == want
+    assert x(f"<div>side</div><main>{text}</main><article>a card half as long as that text</article>") == want
+
+
 def test_site_templates(spark):
     rnd = random.Random(1)
     rows = []

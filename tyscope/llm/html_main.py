@@ -14,7 +14,9 @@ articles and main elements outside of it have as much text (a comment list, teas
 
 Only containers are template candidates (divisions, lists, tables and the like); the
 paragraphs and headings of an article are its text even where many articles share them.
-The main text is that of ``article`` elements, else of ``main``, else of the whole body.
+The main text is that of ``main`` where that has text, and at least as much as the articles
+outside of it, else that of the whole body; and of this only what ``article`` elements hold,
+where they hold the larger part (a teaser card or an empty article does not).
 
 A block is the text between two block element tags: character references decoded, white
 space made one space, trimmed. Blocks are joined by a line feed.
@@ -50,6 +52,7 @@ INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em fon
     small span strike strong sub sup time tt u var wbr br img""".split())
 CONTAINERS = frozenset("""div section ul ol dl table aside nav header footer form details menu fieldset center
     dialog hgroup address""".split())
+ROOTS = {"main": 1, "article": 2}
 DROPPED = frozenset("nav footer aside form button dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar sidebars
@@ -160,7 +163,7 @@ class _Named:
 class _Block(NamedTuple):
     text: str
     held: int               # the innermost named element around it, -1 for none
-    root: int               # 2 in an article, 1 in main, 0 elsewhere
+    root: int               # 1 in main, 2 in an article, 3 in both, 0 elsewhere
     pieces: Sequence = ()   # where parts of it lie in named elements: text, innermost named element
 
 
@@ -183,6 +186,21 @@ def _kept(named: list[_Named], blocks: list[_Block]) -> list[bool]:
     return kept
 
 
+def _main_part(found: list[tuple[str, int]]) -> list[str]:
+    """Of the (text, root) blocks the main text's."""
+    size = [0] * 4
+    for text, root in found:
+        size[root] += len(text)
+    whole = size[1] + size[3]
+    if not whole or size[2] > whole:
+        whole, base = sum(size), (0, 1, 2, 3)
+    else:
+        base = (1, 3)
+    if 2 * sum(size[r] for r in base if r > 1) > whole:
+        base = (2, 3)
+    return [text for text, root in found if root in base]
+
+
 def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None = None) -> str:
     """The main text of a page without the subtrees in ``templates``; ``hashes`` gets the
     candidate subtrees' hashes as keys, odd ones for subtrees inside an article or main element."""
@@ -190,7 +208,6 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
     stack = [_Open("", "block", -1, 0, 0)]
     now: list[tuple[str, int]] = []         # the running block's pieces: text, innermost named element
     named: list[_Named] = []                # the elements that name themselves, outer ones first
-    roots: list[tuple[int, int]] = []       # the roots opened, with the innermost named element
 
     def flush():
         top = next(o for o in reversed(stack) if o.kind != "inline")
@@ -246,12 +263,11 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
                     end(*IMPLIED[name])
             up = stack[-1]
             held = up.held
-            if names_itself(name, attributes, up.root == 2):
+            if names_itself(name, attributes, up.root > 1):
                 named.append(_Named(held))
                 held = len(named) - 1
-            root = 2 if name == "article" else max(up.root, 1) if name == "main" else up.root
-            if name in ("article", "main"):
-                roots.append((root, held))
+            root = up.root | ROOTS.get(name, 0)
+            if name in ROOTS:
                 k = held
                 while k >= 0 and name not in named[k].roots:
                     named[k].roots.add(name)
@@ -271,8 +287,7 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
         text = _words(p for p, held in o.pieces if kept[held]) if o.pieces else o.text if kept[o.held] else ""
         if text:
             found.append((text, o.root))
-    best = max((root for root, held in roots if kept[held]), default=0)
-    return "\n".join(text for text, root in found if root == best)
+    return "\n".join(_main_part(found))
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
