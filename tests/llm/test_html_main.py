@@ -84,6 +84,19 @@ def test_a_card_or_an_empty_article_is_not_the_page():
     assert x(f"<div>side</div><main>{text}</main><article>a card half as long as that text</article>") == want
 
 
+def test_formulas_objects_and_unclosed_elements():
+    x = M.extract
+    assert x("<article><p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>x=2</annotation>"
+             "</semantics></math> holds</p></article>") == "so x=2 holds"
+    assert x("<p>see <object data=a.swf><param name=a><b>the text</b> of it</object> here") == "see the text of it here"
+    for name in ("noscript", "iframe", "template", "xmp", "noembed", "noframes", "select", "svg", "annotation", "math", "object"):
+        assert x(f"<p>a</p><{name}><p>b</p><div>c</div>") == "a\nb\nc", name
+    for name in ("script", "style", "textarea", "title"):
+        assert x(f"<p>a</p><{name}><p>b</p><div>c</div>") == "a", name
+    assert x("<p>a<svg><text>t</text></svg>b<select><option>o</select>c<noscript>n</noscript>d") == "abcd"
+    assert x("<select>" * 50000 + "x") == "x"
+
+
 def test_site_templates(spark):
     rnd = random.Random(1)
     rows = []

@@ -47,9 +47,15 @@ MIN_SHARE = 0.01
 ROOT_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes select svg math object".split())
+#: elements whose content is passed over; ``annotation`` is a formula's source beside the formula
+RAW = frozenset("""script style textarea title noscript iframe template xmp noembed noframes select svg annotation
+    annotation-xml""".split())
+#: those that hold the rest of a page where they are not closed; the others' tag is passed over alone
+TO_THE_END = frozenset("script style textarea title".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp
-    small span strike strong sub sup time tt u var wbr br img""".split())
+    small span strike strong sub sup time tt u var wbr br img object math semantics maction merror mfenced mfrac mi
+    mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable
+    mtd mtext mtr munder munderover""".split())
 CONTAINERS = frozenset("""div section ul ol dl table aside nav header footer form details menu fieldset center
     dialog hgroup address""".split())
 ROOTS = {"main": 1, "article": 2}
@@ -80,6 +86,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", name, attributes) and ("close", name, "") in page order."""
     at, n = 0, len(html)
+    unclosed = set()
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -111,11 +118,14 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
             continue
         yield "open", name, m[3]
-        if name in RAW and not m[3].endswith("/"):
+        if name in RAW and name not in unclosed and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
-            if end is None:
+            if end is not None:
+                at = end.start()
+            elif name in TO_THE_END:
                 return
-            at = end.start()
+            else:
+                unclosed.add(name)
 
 
 class _Open:
@@ -251,7 +261,7 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
                 now.append((" ", stack[-1].held))
             elif name not in VOID:
                 end({name}, () if name not in INLINE else P_BOUND)
-        elif name in ("br", "img", "wbr"):
+        elif name in ("br", "img", "wbr", "param"):
             now.append((" " if name == "br" else "", stack[-1].held))
         elif name in VOID:
             flush()
