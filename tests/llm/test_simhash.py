@@ -121,6 +121,44 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept.count() == len(set(comp))
 
 
+def test_copies_of_one_template_are_dealt_out(spark):
+    rnd = np.random.default_rng(4)
+    low = int(rnd.integers(1 << 43))
+    fps = np.unique(rnd.integers(0, 1 << 21, 9000)) << 43 | low  # 43 bits in common
+    distinct = spark.createDataFrame([(int(f),) for f in fps], "fp bigint").repartition(4)
+    assert S.key_rows(distinct).groupBy("key").count().agg(S.F.max("count")).first()[0] < len(fps) / 8
+
+    def comps(edges):
+        root = {int(f): int(f) for f in fps}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(int(a)), find(int(b))
+            root[max(a, b)] = min(a, b)
+        return [find(int(f)) for f in fps]
+
+    links = [tuple(r) for r in S.links(distinct).collect()]
+    assert all(bin((a ^ b) & (2 ** 64 - 1)).count("1") <= 4 for a, b in links)
+    assert comps(links) == comps(np.concatenate(S._forest(fps, 4)))
+
+
+def test_dealt_keys_keep_every_link():
+    rnd = random.Random(2)
+    hot = np.array([5, 7, 9 << 40], np.int64)
+    for _ in range(300):
+        x = rnd.getrandbits(64)
+        y = x
+        for b in rnd.sample(range(64), 4):
+            y ^= 1 << b
+        key, fp = S.dealt_keys(np.array([5, 5, 6, 9 << 40]), np.array([x, y, x, y], np.uint64).view(np.int64), hot)
+        assert len(key) == 16 and set(key[fp.view(np.uint64) == x]) & set(key[fp.view(np.uint64) == y])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert S.near_duplicates(docs).count() == 0

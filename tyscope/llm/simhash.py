@@ -19,6 +19,12 @@ Distinct fingerprints are joined on these keys and verified by bit distance. A k
 group emits no more than links of a spanning forest once it is larger than
 ``SMALL_GROUP``; components over all links follow by alternating star steps.
 
+A key that more than ``LARGE_GROUP`` fingerprints share (many slightly different copies of
+one template) is dealt out further: the 64 bits are dealt to five blocks in turn, so that
+each block has bits of every segment, and a fingerprint takes the key with each block's
+value. At four errors one of the five blocks is equal, so no link is lost. Such keys are
+found in a sample of the fingerprints; one that the sample misses stays whole.
+
 Cases: no words (null or empty text) gives fingerprint zero, linked like any other;
 equal fingerprints are compared once, however many documents share them; a null doc_id
 takes part but is never a component's id unless it has no other; an empty table gives
@@ -35,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tyscope.llm.common import text_runs
+from tyscope.llm.common import mix64, text_runs
 from tyscope.session import materialize, ship_package
 
 SHINGLE = 4
@@ -43,11 +49,14 @@ MAX_BITS = 4
 SEED = 42
 SMALL_GROUP = 32
 LARGE_GROUP = 4096
+SAMPLE = 64
+MAX_HOT = 100_000
 
 #: Generator polynomial of the [23,12] binary Golay code (fixed value).
 GOLAY_POLY = 0b110001110101
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+BLOCKS = [np.uint64(sum(1 << i for i in range(b, 64, 5))) for b in range(5)]
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -151,14 +160,45 @@ def fuzzy_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def dealt_keys(key: np.ndarray, fp: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fp) pairs in which each key of the sorted ``hot`` is replaced by one key per block.
+    Block keys are hashes; should two meet, their fingerprints are compared in vain."""
+    if not len(hot):
+        return key, fp
+    found = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+    if not found.any():
+        return key, fp
+    k, f = key[found].astype(np.uint64), fp[found]
+    parts = [mix64((f.view(np.uint64) & bits) ^ mix64(k * np.uint64(5) + np.uint64(b))).view(np.int64)
+             for b, bits in enumerate(BLOCKS)]
+    return np.concatenate([key[~found], *parts]), np.concatenate([fp[~found], *[f] * 5])
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     golay = Golay()
     for b in batches:
         fps = b.column("fp").to_numpy(zero_copy_only=False)
         for i in range(0, len(fps), 4096):
             part = fps[i:i + 4096]
             key, row = fuzzy_keys(part.view(np.uint64), golay)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
+            key, fp = dealt_keys(key, part[row], hot)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "fp"])
+
+
+def hot_keys(distinct: DataFrame) -> np.ndarray:
+    """The keys of about ``LARGE_GROUP`` fingerprints or more, by a sample; at most ``MAX_HOT``, the largest."""
+    some = distinct.select("fp").where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(SAMPLE)) == 0)
+    keys = some.mapInArrow(lambda it: _key_batches(it, np.empty(0, np.int64)), "key long, fp long")
+    found = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE_GROUP // SAMPLE // 2)
+             .orderBy(F.desc("n"), "key").limit(MAX_HOT).collect())
+    return np.sort(np.array([r.key for r in found], np.int64))
+
+
+def key_rows(distinct: DataFrame) -> DataFrame:
+    """(key, fp): the rows that meet by key, large groups dealt out."""
+    ship_package(distinct.sparkSession)
+    hot = distinct.sparkSession.sparkContext.broadcast(hot_keys(distinct))
+    return distinct.select("fp").mapInArrow(lambda it: _key_batches(it, hot.value), "key long, fp long")
 
 
 def spanning_links(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
@@ -167,8 +207,8 @@ def spanning_links(fps: np.ndarray, max_bits: int) -> list[np.ndarray]:
     if len(fps) > LARGE_GROUP and max_bits < 5:
         # of five blocks one is equal between any linked two: search inside equal blocks
         out = []
-        for at in range(0, 64, 13):
-            block = (fps.view(np.uint64) >> np.uint64(at)) & np.uint64(0x1FFF)
+        for bits in BLOCKS:
+            block = fps.view(np.uint64) & bits
             order = np.argsort(block, kind="stable")
             for part in np.split(fps[order], np.flatnonzero(np.diff(block[order])) + 1):
                 if len(part) > 1:
@@ -243,9 +283,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     small key group, a spanning forest of a larger one."""
     if max_bits > 4:
         raise ValueError("the segment keys cover four differing bits")
-    ship_package(distinct.sparkSession)
-    keys = distinct.select("fp").mapInArrow(_key_batches, "key long, fp long")
-    grouped = keys.repartition("key").sortWithinPartitions("key")
+    grouped = key_rows(distinct).repartition("key").sortWithinPartitions("key")
     return grouped.mapInArrow(lambda it: _link_batches(it, max_bits), "a long, b long").distinct()
 
 
