@@ -115,6 +115,30 @@ def test_texts_keep_other_words_and_white_space(spark):
     assert got == {1: "one\ntwo", 2: "three\n\nfour  five", 3: None}
 
 
+def test_against_a_reference_with_any_window(spark):
+    rnd = random.Random(8)
+    refs = [" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(400)) for _ in range(6)] * 2 + [None, "", "a b"]
+    rows = [(None, None), (1, "")]
+    for i in range(40):
+        w = [rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(150)]
+        at, n = rnd.randrange(300), rnd.choice([2, 3, 19, 20, 60, 100])
+        rows.append((i % 30, " ".join(w[:40] + refs[i % 6].split()[at:at + n] + w[40:])))
+    rows += rows[2:4]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    ref = spark.createDataFrame([(r,) for r in refs], "text string").repartition(3)
+    for window, more in ((2, {}), (3, {}), (20, {}), (50, {"shard_words": 100}), (20, {"shard_words": 100, "hot_anchor": 3})):
+        grams = {tuple(w[i:i + window]) for w in ((r or "").split() for r in refs) for i in range(len(w) - window + 1)}
+        want = []
+        for d, t in rows:
+            w = (t or "").split()
+            gone = {i + k for i in range(len(w) - window + 1) if tuple(w[i:i + window]) in grams for k in range(window)}
+            want.append((d, None if t is None else [x for i, x in enumerate(w) if i not in gone]))
+        got = [(r.doc_id, None if r.text is None else r.text.split()) for r in S.remove_against(df, ref, window, **more).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), window
+    empty = ref.limit(0)
+    assert S.remove_against(df, empty).count() == len(rows)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.dedup_digest(df).count() == 0

@@ -4,10 +4,10 @@ A window is ``window`` (20) consecutive words of one document. A word is removed
 window that covers it has the same words as a window that starts earlier (smaller
 doc_id, or the same document and an earlier start). Windows are judged on the input.
 
-``remove_against`` takes a reference table: it is cut into shards of bounded length, the
-suffix automaton of each shard is broadcast, and the documents are streamed through it
-for their matching statistics (the longest match that ends at each word); maximal spans
-of at least ``window`` matched words go.
+``remove_against`` takes a reference table: stretches of both tables' windows whose anchors
+(see below) occur on both sides meet in shards of bounded length, where the documents' are
+streamed through the suffix automaton of the reference's for their matching statistics (the
+longest match that ends at each word); maximal spans of at least ``window`` matched words go.
 
 ``repeated_spans`` deduplicates a corpus against itself. There the reference is all
 earlier text, so its shards must not meet every document. They are routed:
@@ -139,11 +139,12 @@ def window_anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, n
     if n < window:
         return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
     w = words.hashes()
-    gram = np.zeros(n - GRAM + 1, np.uint64)
-    for j in range(GRAM):
-        gram += w[j:n - GRAM + 1 + j] * _ODD[j]
+    size = min(GRAM, window)
+    gram = np.zeros(n - size + 1, np.uint64)
+    for j in range(size):
+        gram += w[j:n - size + 1 + j] * _ODD[j]
     gram = mix64(gram) & ~np.uint64(1)
-    lowest = sliding_min(gram, window - GRAM + 1)
+    lowest = sliding_min(gram, window - size + 1)
     end = np.repeat(words.first[1:], np.diff(words.first))[:len(lowest)]
     return lowest, np.arange(len(lowest)) + window <= end, gram
 
@@ -370,49 +371,82 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return without_spans(docs, repeated_spans(docs, profile(docs, window), window))
 
 
-def reference_shards(reference: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[list[list[bytes]]]:
-    """The texts of a reference table in shards of about ``shard_words`` words."""
-    shard, size = [], 0
-    for r in reference.select("text").where("text is not null").toLocalIterator():
-        words = r.text.encode().split()
-        for i in range(0, len(words), shard_words):
-            shard.append(words[i:i + shard_words + WINDOW - 1])
-            size += len(shard[-1])
-            if size >= shard_words:
-                yield shard
-                shard, size = [], 0
-    if shard:
-        yield shard
+def _place_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Texts with their shared anchors -> (shard, words, places): a stretch of windows of one
+    shard, which travels once for all its places in a run."""
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32())])))
+    for b in batches:
+        ids, ths, hits = (b.column(c).to_pylist() for c in ("_sub_id", "_sub_th", "hits"))
+        shards = {x["h"]: (x["shard"], x["split"]) for row in hits for x in row}
+        known = np.array(sorted(shards), np.int64)
+        shard_of, split_of = np.array([shards[h] for h in known.tolist()], np.int64).reshape(-1, 2).T
+        for i, j, buf, off in text_runs(b.column("text")):
+            words = Words(buf, off)
+            anchor, inside, _ = window_anchors(words, window)
+            anchor = anchor.view(np.int64)
+            at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+            use = np.flatnonzero(inside & (known[at] == anchor))
+            if not len(use):
+                continue
+            shard, hot = shard_of[at[use]], split_of[at[use]] > 1
+            if hot.any():
+                shard[hot] = _window_shard(words.hashes(), use[hot], shard[hot], split_of[at[use]][hot], window)
+            row = np.searchsorted(words.first, use, "right") - 1
+            cut = np.flatnonzero((np.diff(use) != 1) | (np.diff(shard) != 0) | (np.diff(row) != 0)) + 1
+            first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(use) - 1]])
+            data = buf.tobytes()
+            out: dict[tuple, list] = {}
+            for s, r, x, y in zip(shard[first].tolist(), row[first].tolist(), use[first].tolist(), (use[last] + window).tolist()):
+                text = b" ".join(data[words.starts[x]:words.ends[y - 1]].split())
+                out.setdefault((s, text), []).append({"id": ids[i + r], "th": ths[i + r], "start": x - int(words.first[r])})
+            cols = ([s for s, _ in out], [text for _, text in out], list(out.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "words", "places"])
+
+
+def _against_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Stretches sorted by shard, the reference's (without places) first -> matched spans."""
+    shard, automaton = None, Automaton()
+    for b in batches:
+        found = []
+        for s, text, places in zip(*(b.column(c).to_pylist() for c in ("shard", "words", "places"))):
+            if s != shard:
+                shard, automaton = s, Automaton()
+            if places is None:
+                automaton.add(text.split())
+                continue
+            for a, z in spans_of(automaton.match(text.split()), window):
+                found += [(p["id"], p["th"], p["start"] + a, z - a) for p in places]
+        cols = list(zip(*found)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+            ["_sub_id", "_sub_th", "start", "n"])
 
 
 def remove_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW,
-                   shard_words: int = SHARD_WORDS) -> DataFrame:
+                   shard_words: int = SHARD_WORDS, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """``docs`` without the spans of ``window`` or more words that occur in ``reference``
-    (column text), a table much smaller than ``docs``: its shards are broadcast one by one."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = keyed(docs.select("doc_id", "text"))
-    spans = None
-    for shard in reference_shards(reference, shard_words):
-        held = spark.sparkContext.broadcast(shard)
-
-        def match(batches, held=held):
-            automaton = Automaton()
-            for words in held.value:
-                automaton.add(words)
-            for b in batches:
-                found = []
-                for i, t, text in zip(*(b.column(c).to_pylist() for c in ("_sub_id", "_sub_th", "text"))):
-                    seen = automaton.match((text or "").encode().split())
-                    found += [(i, t, a, z - a) for a, z in spans_of(seen, window)]
-                cols = list(zip(*found)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                    ["_sub_id", "_sub_th", "start", "n"])
-
-        part = materialize(rows.select("_sub_id", "_sub_th", "text").mapInArrow(
-            match, "_sub_id bigint, _sub_th bigint, start int, n int").distinct(), "reference-spans")
-        spans = part if spans is None else spans.union(part)
-    if spans is None:
+    (column text), in shards of about ``shard_words`` reference words."""
+    tables = [docs.select("doc_id", "text"), reference.select(F.lit(None).cast("bigint").alias("doc_id"), "text")]
+    anchors = [profile(t, window).select("_sub_id", "_sub_th", F.explode("anchors").alias("a"))
+               .select("_sub_id", "_sub_th", F.col("a").bitwiseAND(~1).alias("h")) for t in tables]
+    counts = [a.groupBy("h").agg(F.count(F.lit(1)).alias(n)) for a, n in zip(anchors, ("n", "r"))]
+    shared = materialize(counts[0].join(counts[1], "h"), "shared-anchors")
+    total = shared.agg(F.sum("r")).first()[0]
+    if total is None:
         return docs
+    most = F.greatest("n", "r")
+    hot = most > hot_anchor
+    parts = -(-total * window // shard_words)
+    shards = shared.select(
+        "h", F.when(hot, F.xxhash64("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(parts))).alias("shard"),
+        F.when(hot, F.ceil(most * (window - min(GRAM, window) + 1) / hot_anchor) + 1).otherwise(F.lit(1)).cast("bigint").alias("split"))
+    stretches = []
+    for table, a in zip(tables, anchors):
+        hits = (a.join(shards, "h").groupBy("_sub_id", "_sub_th")
+                .agg(F.collect_list(F.struct("h", "shard", "split")).alias("hits")))
+        stretches.append(keyed(table).join(hits, ["_sub_id", "_sub_th"]).select("_sub_id", "_sub_th", "text", "hits").mapInArrow(
+            lambda it: _place_batches(it, window), "shard bigint, words binary, places array<struct<id bigint, th bigint, start int>>"))
+    both = stretches[0].union(stretches[1].withColumn("places", F.lit(None).cast(stretches[1].schema["places"].dataType)))
+    spans = (both.repartition("shard").sortWithinPartitions("shard", F.col("places").isNotNull())
+             .mapInArrow(lambda it: _against_batches(it, window), "_sub_id bigint, _sub_th bigint, start int, n int").distinct())
     return without_spans(docs, spans.groupBy("_sub_id", "_sub_th").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
