@@ -4,7 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tyscope.operators import ranking
-from tyscope.operators.windows import previous_in_order
+from tyscope.operators.windows import numbered_in_order, previous_in_order
+from tyscope.sources import standins
 from conftest import rows
 
 SNAP = "year int, iteration int, pos long, name string, url string, stars int, created_at string"
@@ -80,3 +81,21 @@ def test_top_k_split_equals_plain_top_k(spark):
     w = Window.partitionBy("g").orderBy(*order)
     b = df.withColumn("_rn", F.row_number().over(w)).where("_rn <= 50")
     assert rows(a, "g", "id", "_rn") == rows(b, "g", "id", "_rn")
+
+
+def test_places_in_order_by_chunks(spark):
+    data = [(2013 + i % 2 if i % 5 else None, i % 3, (i * 7919) % 1000 - 300, i) for i in range(400)] + [(2013, 0, None, -1)]
+    df = spark.createDataFrame(data, "year int, iteration int, pos long, x int").repartition(4)
+    w = Window.partitionBy("year", "iteration").orderBy("pos")
+    want = sorted((tuple(r) for r in df.withColumn("nth", F.row_number().over(w) - 1).collect()), key=str)
+    for chunk in (1, 16, 1 << 16):
+        got = numbered_in_order(df, ["year", "iteration"], "pos", "nth", chunk)
+        assert got.columns == ["year", "iteration", "pos", "x", "nth"]
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_study_snapshots_limit_each_task(spark):
+    df = spark.range(3000).selectExpr("2013 AS year", "cast(id % 2 AS int) AS iteration", "3 * id AS pos", "id AS x").repartition(4)
+    got = standins.study_snapshots(df, 100)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.iteration, r.pos, r.x) for r in got.collect()) == sorted((i, k, 2 * k + i) for i in range(2) for k in range(100))

@@ -31,6 +31,24 @@ def previous_in_order(df: DataFrame, part_cols: list[str], order_col: str, value
             .drop("_chunk", "_rn", "_lag", "_carry"))
 
 
+def numbered_in_order(df: DataFrame, part_cols: list[str], order_col: str, out_col: str,
+                      chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """``df`` with each row's place (from 0) by ``order_col`` inside its partition key: the
+    place inside a fixed-width chunk of the order column plus the rows of the chunks before."""
+    x = df.withColumn("_chunk", F.floor(F.col(order_col) / chunk))
+    ahead = Window.partitionBy(*part_cols).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per chunk: small, ordered per partition key
+    first = (x.groupBy(*part_cols, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+             .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part_cols)], F.col("_chunk").alias("_c"),
+                     F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first")))
+    inside = Window.partitionBy(*part_cols, "_chunk").orderBy(order_col)
+    same = F.col("_chunk").eqNullSafe(F.col("_c"))
+    for i, c in enumerate(part_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return (x.withColumn("_rn", F.row_number().over(inside)).join(first, same)
+            .select(*[c for c in df.columns if c != out_col], (F.col("_first") + F.col("_rn") - 1).alias(out_col)))
+
+
 def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row per key under ``order`` (W3), as an aggregate.
 

@@ -16,10 +16,11 @@ Two layouts are read:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tyscope.operators.windows import numbered_in_order
 from tyscope.schemas import API_PAGE, SNAPSHOT_RECORD
 from tyscope.sources.files import write_tree
 
@@ -98,10 +99,9 @@ def write_year_arrays(merged: DataFrame, root: str) -> None:
 def write_api_pages(snap: DataFrame, path: str, page_size: int = API_PAGE_SIZE) -> None:
     """Store snapshot records the way the search API returns them: pages of at most
     ``page_size`` items (a bounded group per page), which hold no positions."""
-    nth = F.row_number().over(Window.partitionBy("year", "iteration").orderBy("pos")) - 1
     item = F.struct(F.col("name").alias("full_name"), F.col("url").alias("clone_url"),
                     F.col("stars").alias("stargazers_count"), "created_at")
-    pages = (snap.withColumn("_nth", nth).withColumn("page", F.floor(F.col("_nth") / page_size).cast("int") + 1)
+    pages = (numbered_in_order(snap, ["year", "iteration"], "pos", "_nth").withColumn("page", F.floor(F.col("_nth") / page_size).cast("int") + 1)
              .groupBy("year", "iteration", "page")
              .agg(F.sort_array(F.collect_list(F.struct("_nth", item.alias("it")))).alias("items")))
     (pages.select("year", "iteration", "page", F.col("items.it").alias("items"))

@@ -271,7 +271,9 @@ def folder_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study_snapshots(snap: DataFrame, limit: int) -> DataFrame:
     """Snapshots as the search returns them: the first ``limit`` records, counted from 0."""
     w = Window.partitionBy("year", "iteration").orderBy("pos")
-    return (snap.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).where(F.col("pos") < limit))
+    # the limit is put on row_number() itself, so that each task keeps no more before the shuffle
+    first = snap.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+    return first.withColumn("pos", F.col("_rn").cast("bigint") - 1).drop("_rn")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
