@@ -16,11 +16,13 @@ COLUMNS = {
     6: ("documents", ["doc_id", "fingerprint", "component_id"]),
     7: ("documents", ["doc_id", "held_out", "score", "predicted"]),
     10: ("pages", ["page_id", "host", "path", "rule", "verdict"]),
+    12: ("documents", ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]),
+    13: ("documents", ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]),
 }
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["drop_toxic", "drop_near_copies", "drop_repeated_passages",
                                                      "drop_contaminated", "mix_sources"]
 

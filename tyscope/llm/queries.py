@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tyscope.llm import (
+    alignment,
+    collocation,
     decontaminate,
     fixity,
     html_main,
     mixing,
     preference,
     quality,
+    sharding,
     simhash,
     substring,
     toxicity,
@@ -85,6 +88,25 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.rule_table(spark, URL_RULES))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the digest columns travel: the texts stay in the scan."""
+    text = F.coalesce("text", F.lit(""))
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.shuffle(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_hg_shard").alias("shard"),
+        F.col("_hg_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 w AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS pos FROM d),
@@ -241,6 +263,39 @@ SELECT pair_id, prompt_turns,
 FROM m GROUP BY pair_id, prompt_turns
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(words[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, k, unnest(generate_series(1, len(words) - k + 1)) AS s
+        FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(words) >= k) x),
+f AS (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+inner_of AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(ws[1:2], ' ') AS phrase FROM cand WHERE k = 3
+    UNION ALL SELECT lang, a, array_to_string(ws[2:3], ' ') FROM cand WHERE k = 3) x GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM cand c LEFT JOIN inner_of i ON c.lang = i.lang AND c.phrase = i.phrase AND c.k = 2
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS p, array_to_string(ws[j + 1:], ' ') AS q
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM kept) x),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, l.a AS l, r.a AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts c JOIN f l ON c.lang = l.lang AND c.p = l.phrase JOIN f r ON c.lang = r.lang AND c.q = r.phrase),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_main_text": op2_html_main_text,
@@ -252,6 +307,9 @@ QUERIES = {
     "op8_merkle_audit": op8_merkle_audit,
     "op9_preference_pairs": op9_preference_pairs,
     "op10_url_rules": op10_url_rules,
+    "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
+    "op13_uniform_shards": op13_uniform_shards,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
@@ -260,4 +318,5 @@ ORACLE_SQL = {
     "op8_merkle_audit": OP8_SQL,
     "op9_preference_pairs": OP9_SQL,
     "op10_url_rules": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
