@@ -137,7 +137,7 @@ def communication_matrix(counts: DataFrame, shards: int = SHARDS, seed: int = SE
         .groupBy("_hg_level", F.shiftright("_hg_child", 1).alias("_hg_node")).agg(F.sum("_hg_n").alias("_hg_left")), "hg-halves")
     sizes = [rows // shards + (j < rows % shards) for j in range(shards)]
     nodes = spark.range(1 if rows else 0).select(
-        F.lit(0).cast("bigint").alias("_hg_node"), F.lit(rows).cast("bigint").alias("_hg_rows"),
+        F.col("id").alias("_hg_node"), F.lit(rows).cast("bigint").alias("_hg_rows"),
         F.array(*[F.lit(s).cast("bigint") for s in sizes]).alias("_hg_sums"))
     for at in range(1, depth + 1):
         split = (nodes.join(halves.where(F.col("_hg_level") == at).select("_hg_node", "_hg_left"), "_hg_node", "left")
