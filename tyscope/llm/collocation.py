@@ -46,12 +46,14 @@ TOP = 2000
 #: Capacity of a summary in units of mass / threshold.
 SPARE = 4
 #: Bytes of text per hash partition.
-PARTITION_BYTES = 16 << 20
-RUN_TEXT = 4 << 20
+PARTITION_BYTES = 8 << 20
+RUN_TEXT = 2 << 20
 #: Word positions that are counted in one go.
 CHUNK_WORDS = 1 << 20
 #: Hashes of surviving n-grams that are broadcast, 8 bytes each.
 BROADCAST_HASHES = 4_000_000
+#: Counters that a summary lets wait at least before it merges them.
+WAITING = 250_000
 SALTS = 8
 
 #: A phrase does not reach across these bytes.
@@ -172,7 +174,7 @@ def pack_counts(low: np.ndarray, count: np.ndarray) -> bytes:
     return planes + (count.astype(np.uint8) if count.max() < 256 else count.astype("<u4")).tobytes()
 
 
-def unpack_counts(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def unpack_counts(body, n: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(body, np.uint8)
     low = np.ascontiguousarray(data[:4 * n].reshape(4, n).T).view("<u4").ravel()
     return low, data[4 * n:].astype(np.int64) if len(data) == 5 * n else data[4 * n:].view("<u4").astype(np.int64)
@@ -192,7 +194,7 @@ class Summary:
         self._counts.append(counts)
         self._waiting += len(items)
         self.taken += taken
-        if self._waiting > self.capacity:
+        if self._waiting > min(self.capacity, max(WAITING, len(self.items))):
             self.settle()
 
     def settle(self) -> None:
@@ -254,7 +256,8 @@ def frequent_hashes(docs: DataFrame, parts: int, max_words: int = MAX_WORDS, min
                  pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys))], names=["part", "mass", "taken", "keys"])
 
         for batch in batches:
-            for p, is_body, m, n, body in zip(*(c.to_pylist() for c in batch.columns)):
+            bodies = batch.column("body")
+            for i, (p, is_body, m, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "is_body", "mass", "n")))):
                 if p != now:
                     if summary is not None:
                         yield finished()
@@ -264,7 +267,7 @@ def frequent_hashes(docs: DataFrame, parts: int, max_words: int = MAX_WORDS, min
                     continue
                 if summary is None:
                     summary = Summary(SPARE * mass // min_count + 1)
-                summary.add(*unpack_counts(body, n))
+                summary.add(*unpack_counts(bodies[i].as_buffer(), n))
         if summary is not None:
             yield finished()
 
