@@ -5,6 +5,7 @@ import os
 
 from tyscope.operators import ranking
 from tyscope.sources import interchange as IO
+from tyscope.sources import keyed_table as KT
 from tyscope.sources import repos_json
 from conftest import rows
 
@@ -93,11 +94,55 @@ def test_load_fact_table_skips_existing_keys(spark, tmp):
     out = IO.load_fact_table(spark, b, path, ["repo_id", "path_rel"], [])
     assert out.columns == ["repo_id", "path_rel", "v"]
     assert rows(out) == [(1, "k", 7), (2, "k", 5)]
-    plan = spark.read.parquet(path).where("_part in (3)")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan
     assert IO.clear_table(spark, path, out.schema).count() == 0
 
 
+def _keys(spark, ids, tag=""):
+    return spark.createDataFrame([(r, f"{tag}p{p}", f"f{n}") for r in ids for p in range(4) for n in range(5)],
+                                 "repo_id int, path_rel string, name string")
+
+
+def test_a_load_reads_only_files_that_can_hold_its_keys(spark, tmp):
+    path, key = f"{tmp}/t", ["repo_id", "path_rel", "name"]
+    stored = KT.load_fact_table(spark, _keys(spark, range(400)), path, key, [], rows_per_file=20)
+    assert stored.count() == 8000
+    files = KT.file_ranges(spark, path).count()
+    assert files >= 400
+    for ids, tag in (([100, 101, 102, 103], ""), ([7, 390], ""), ([5], "q"), ([-3], ""), ([400, 401], ""), ([9], "o")):
+        batch = _keys(spark, ids, tag)
+        got = {(r.gen, r.file) for r in KT.matching_files(batch, KT.file_ranges(spark, path), key).collect()}
+        first, last = (batch.selectExpr(f"{f}(struct(repo_id, path_rel, name)) k").first().k for f in ("min", "max"))
+        keys = [tuple(r) for r in batch.collect()]
+        need = {(r.gen, r.file) for r in KT.file_ranges(spark, path).collect() if any(tuple(r.lo) <= k <= tuple(r.hi) for k in keys)}
+        assert need <= got and len(got) <= files * 0.02, (ids, len(got))
+    # 1 % of the repositories again, half of their rows new
+    again = _keys(spark, range(200, 204)).union(_keys(spark, range(200, 204), "new"))
+    out = KT.load_fact_table(spark, again, path, key, [], rows_per_file=20)
+    assert out.count() == 8080 and out.distinct().count() == 8080
+
+
+def test_loads_of_any_order_equal_one_load(spark, tmp):
+    import random
+    rnd, path, key, want = random.Random(4), f"{tmp}/t", ["repo_id", "path_rel"], {}
+    for step in range(5):
+        rows_ = [(rnd.randrange(30), f"p{rnd.randrange(9)}", step, i) for i in range(60)]
+        for r, p, v, i in rows_:
+            want.setdefault((r, p), (v, i))
+        df = spark.createDataFrame([(r, p, v * 100 + i, i) for r, p, v, i in rows_], "repo_id int, path_rel string, v int, visit int")
+        out = KT.load_fact_table(spark, df, path, key, ["visit"], rows_per_file=7)
+    assert rows(out) == sorted((r, p, v * 100 + i) for (r, p), (v, i) in want.items())
+    schema = out.schema
+    assert not KT.compact_fact_table(spark, path, schema, key)
+    # a load that ended before its version was written leaves the table as it was
+    spark.createDataFrame([(1, "x", 1)], schema).write.parquet(f"{path}/gen=77")
+    assert KT.read_fact_table(spark, path, schema).count() == len(want)
+    assert KT.compact_fact_table(spark, path, schema, key, rows_per_file=7, always=True)
+    assert rows(KT.read_fact_table(spark, path, schema)) == rows(spark.createDataFrame([(r, p, v * 100 + i) for (r, p), (v, i) in want.items()], schema))
+    assert {r.gen for r in KT.file_ranges(spark, path).collect()} == {5}
+    empty = KT.load_fact_table(spark, out.limit(0), f"{tmp}/none", key, [])
+    assert empty.count() == 0 and empty.columns == ["repo_id", "path_rel", "v"]
+
+
 def test_api_pages_hold_only_what_the_api_returns(spark, tmp):
     for page, names in ((1, ["u/a", "u/b"]), (2, ["u/c"])):
         items = [{"full_name": n, "clone_url": "x", "stargazers_count": 5, "created_at": "2015-01-01T00:00:00Z", "id": 9}

@@ -99,3 +99,37 @@ def test_study_snapshots_limit_each_task(spark):
     got = standins.study_snapshots(df, 100)
     assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.iteration, r.pos, r.x) for r in got.collect()) == sorted((i, k, 2 * k + i) for i in range(2) for k in range(100))
+
+
+def test_order_helpers_over_many_range_partitions(spark):
+    """Places, running sums and carried values by any order, against a sort on the driver."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tyscope.operators import windows as W
+    rnd = random.Random(8)
+    data = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice(["x", "é", "", "zz"]), i, rnd.choice([None, i])) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, o string, i int, v int").repartition(5)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        place = {r.i: r.n for r in W.numbered_by(df, ["k"], [F.desc("o"), "i"], "n").collect()}
+        ahead = {r.i: r.s for r in W.running_sum(df, ["o", "i"], "i", "s").collect()}
+        seen = {r.i: r.w for r in W.last_seen(df, ["k"], ["o", "i"], "v", "w").collect()}
+        parts = W.in_order(df, ["o", "i"]).select("_part").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert parts > 1
+    by_o = sorted(data, key=lambda r: (r[1].encode(), r[2]))
+    total, last = 0, {}
+    for k, o, i, v in by_o:
+        assert ahead[i] == total
+        total += i
+        last[k] = v if v is not None else last.get(k)
+        assert seen[i] == last[k]
+    down = sorted(sorted(data, key=lambda r: r[2]), key=lambda r: r[1].encode(), reverse=True)
+    count = {}
+    for k, o, i, v in down:
+        assert place[i] == count.get(k, 0)
+        count[k] = count.get(k, 0) + 1

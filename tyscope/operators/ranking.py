@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import creation_year, format_created_at, split_full_name
-from tyscope.operators.windows import DEFAULT_CHUNK, first_by, previous_in_order, top_k_per_group
+from tyscope.operators.windows import DEFAULT_CHUNK, first_by, numbered_by, previous_in_order, top_k_per_group
 
 TOP_PER_YEAR = 1000
 PAGE_SIZE = 100
@@ -33,6 +33,12 @@ def sort_stars_desc(snap: DataFrame) -> DataFrame:
     return snap.orderBy("year", "iteration", F.desc("stars"), "pos")
 
 
+def star_positions(snap: DataFrame) -> DataFrame:
+    """``pos`` after the star-descending rewrite of each snapshot file, from 0."""
+    new = numbered_by(snap.withColumnRenamed("pos", "_old"), FILE_KEY, [F.desc("stars"), "_old"], "pos")
+    return new.select(*snap.columns)
+
+
 def validate_duplicates(snap: DataFrame) -> DataFrame:
     """D3: per snapshot file, rows, distinct keys (valid entries) and duplicates."""
     return (snap.groupBy(*FILE_KEY)

@@ -5,6 +5,10 @@ order column, inside a partition key) without gathering a whole partition key
 into one task: rows are cut into fixed-width chunks of the order column, the
 lag is taken inside each chunk, and the first row of a chunk takes the last
 value of the nearest earlier non-empty chunk from a small per-chunk summary.
+
+``in_order`` does without an order column of numbers: rows are range partitioned by any
+order and stored with their partition and place, and ``numbered_by``, ``running_sum`` and
+``last_seen`` add what the earlier partitions hold, one summary row per partition and key.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tyscope.session import materialize
+
 DEFAULT_CHUNK = 1 << 16
 
 
@@ -49,6 +55,59 @@ def numbered_in_order(df: DataFrame, part_cols: list[str], order_col: str, out_c
             .select(*[c for c in df.columns if c != out_col], (F.col("_first") + F.col("_rn") - 1).alias(out_col)))
 
 
+def in_order(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``df`` range partitioned and sorted by ``order``, stored, with ``_part`` (partitions in
+    order) and ``_at`` (place in the partition, from 0)."""
+    x = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    x = x.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(2 ** 33 - 1)))
+    return materialize(x, "in-order")
+
+
+def _with_summary(rows: DataFrame, part_cols: list[str], summary: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``value`` of their key and partition (null keys are equal)."""
+    s = summary.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part_cols)], F.col("_part").alias("_p"), value)
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(part_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(s, same, "left").drop("_p", *[f"_k{i}" for i in range(len(part_cols))])
+
+
+def _earlier(part_cols: list[str]):
+    return Window.partitionBy(*part_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def numbered_by(df: DataFrame, part_cols: list[str], order: list[Column | str], out_col: str) -> DataFrame:
+    """``df`` with each row's place (from 0) by ``order`` (a total order of any types) inside its
+    key: the place in its range partition plus the key's rows in the partitions before."""
+    x = in_order(df, [*part_cols, *order])
+    s = x.groupBy(*part_cols, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    s = s.withColumn("_base", F.coalesce(F.sum("_n").over(_earlier(part_cols)), F.lit(0)) - F.col("_first"))
+    return (_with_summary(x, part_cols, s, "_base").withColumn(out_col, F.col("_at") + F.col("_base"))
+            .drop("_base", "_part", "_at"))
+
+
+def running_sum(df: DataFrame, order: list[Column | str], value_col: str, out_col: str) -> DataFrame:
+    """``df`` with the sum of ``value_col`` over the rows before each row in ``order``."""
+    x = in_order(df, order)
+    s = x.groupBy("_part").agg(F.sum(value_col).alias("_sum"))
+    s = s.withColumn("_base", F.coalesce(F.sum("_sum").over(_earlier([])), F.lit(0)))  # one row per partition
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return (_with_summary(x, [], s, "_base")
+            .withColumn(out_col, F.col("_base") + F.coalesce(F.sum(value_col).over(before), F.lit(0)))
+            .drop("_base", "_part", "_at"))
+
+
+def last_seen(df: DataFrame, part_cols: list[str], order: list[Column | str], value_col: str, out_col: str) -> DataFrame:
+    """``df`` with the last non-null ``value_col`` at or before each row in ``order``, inside its key."""
+    x = in_order(df, [*part_cols, *order])
+    s = x.groupBy(*part_cols, "_part").agg(F.max_by(value_col, F.when(F.col(value_col).isNotNull(), F.col("_at"))).alias("_last"))
+    s = s.withColumn("_carry", F.last("_last", ignorenulls=True).over(_earlier(part_cols)))
+    upto = Window.partitionBy(*part_cols, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn(out_col, F.last(value_col, ignorenulls=True).over(upto))
+    return (_with_summary(x, part_cols, s, "_carry").withColumn(out_col, F.coalesce(out_col, "_carry"))
+            .drop("_carry", "_part", "_at"))
+
+
 def first_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row per key under ``order`` (W3), as an aggregate.
 

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import lookup_default
@@ -408,9 +408,8 @@ def q_order_errors_chunked(spark, sf):
     note="W1 on corrected snapshots: expected 0 per file")
 def q_order_errors_sorted(spark, sf):
     d = ranking.dedupe_snapshot(_snap(spark, sf))
-    # positions after the star-descending rewrite: rank inside each snapshot file
-    w = Window.partitionBy("year", "iteration").orderBy(F.desc("stars"), "pos")
-    return ranking.order_errors(d.withColumn("pos", F.row_number().over(w)))
+    # positions after the star-descending rewrite; a whole snapshot never lies in one task
+    return ranking.order_errors(ranking.star_positions(d))
 
 
 @register("key_conflicts", O.with_ranking(

@@ -106,6 +106,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none if it does not exist."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def qualified_path(spark: SparkSession, path: str) -> str:
     """A path as the file system lists it, with scheme and host, without a final slash."""
     fs, p = _file_system(spark, path)

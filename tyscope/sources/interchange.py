@@ -9,12 +9,12 @@ study's format reads them too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tyscope.schemas import ANNOTATION, FUNC_VAR, MODULE
-from tyscope.session import materialize, path_exists
+from tyscope.sources.keyed_table import load_fact_table, read_fact_table  # noqa: F401  (A11)
 
 COMMIT_KEYS = {
     "module": ("module_commits", MODULE),
@@ -133,32 +133,6 @@ def stage_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-LOAD_PARTS = 64
-
-
-def load_fact_table(spark: SparkSession, new_rows: DataFrame, path: str, key: list[str],
-                    order: list[str]) -> DataFrame:
-    """Append rows whose key is not in the table yet; inside the batch the first
-    row per key wins, like inserts that skip duplicate keys.
-
-    ``order`` names the columns that tell which row was visited first; they are not stored.
-    An empty list states that the batch has each key once. The table lies in ``LOAD_PARTS``
-    folders by the hash of the key's first column, and only those the batch touches are read.
-    """
-    batch = new_rows
-    if order:
-        w = Window.partitionBy(*key).orderBy(*order)
-        batch = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", *order)
-    batch = materialize(batch.withColumn("_part", F.pmod(F.hash(key[0]), F.lit(LOAD_PARTS))), "load-batch")
-    table = spark.read.schema(batch.schema)
-    if path_exists(spark, path):
-        touched = [r[0] for r in batch.select("_part").distinct().collect()]  # LOAD_PARTS values at most
-        existing = table.parquet(path).where(F.col("_part").isin(touched)).select("_part", *key)
-        batch = batch.join(existing, ["_part", *key], "left_anti")
-    batch.repartition("_part").write.mode("append").partitionBy("_part").parquet(path)
-    return table.parquet(path).select(*[c for c in new_rows.columns if c not in order])
-
-
 def clear_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Replace the table's content with no rows (schema kept)."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

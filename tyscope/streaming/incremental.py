@@ -19,7 +19,8 @@ from tyscope.operators.facts import extract_tables
 from tyscope.schemas import ANNOTATION, ANNOTATION_KEY, FUNC_VAR, FUNC_VAR_KEY, MODULE, MODULE_KEY
 from tyscope.sources import files as F_
 from tyscope.session import delete_path, materialize, path_exists, qualified_path, scratch_scope
-from tyscope.sources.interchange import load_fact_table, stage_rows
+from tyscope.sources.interchange import stage_rows
+from tyscope.sources.keyed_table import compact_fact_table, load_fact_table
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -75,6 +76,7 @@ def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
                                       ("func_var", t.func_var, FUNC_VAR, FUNC_VAR_KEY),
                                       ("annotation", t.annotation, ANNOTATION, ANNOTATION_KEY)):
             load_fact_table(spark, stage_rows(df, schema), f"{table_root}/{name}", key, order=[])
+            compact_fact_table(spark, f"{table_root}/{name}", schema, key)
         for state in ("_pending_stubs", "_repositories"):
             delete_path(spark, f"{table_root}/{state}/epoch={epoch - 2}")
 
