@@ -66,6 +66,54 @@ def test_commit_log_keeps_texts_and_unknown_years(spark, tmp):
     assert sorted(map(tuple, back.collect())) == sorted((*r, {8: 2014}.get(r.repo_id)) for r in an.collect())
 
 
+TEXTS = ["plain", "", 'a "b" [1, 2]', "], [", '"module_commits": [[', "back\\slash", '\\"', "\\\\", "é 日本 😀", "\n\t", "[" * 9, "{}:,", '": [']
+
+
+def test_commit_documents_are_cut_anywhere(spark, tmp):
+    """Ranges of every small size give the rows of json.load: strings full of brackets, quotes and
+    escapes, several keys, pretty-printed and one-line files, empty arrays."""
+    import random
+    rnd = random.Random(3)
+    ann = [[i, rnd.choice(TEXTS), rnd.choice(TEXTS), i % 50, rnd.choice(TEXTS), "argument", "int", rnd.choice(TEXTS), i % 3]
+           for i in range(60)]
+    mod = [[i, rnd.choice(TEXTS), "m.py", i] for i in range(40)]
+    for name, ascii_, indent in (("2015", True, None), ("2016", False, None), ("2017", False, 2)):
+        os.makedirs(f"{tmp}/d", exist_ok=True)
+        with open(f"{tmp}/d/commit_{name}.json", "w", encoding="utf-8") as f:
+            json.dump({"module_commits": mod, "func_var_commits": [], "annotation_commits": ann}, f, ensure_ascii=ascii_, indent=indent)
+    with open(f"{tmp}/d/commit_2018.json", "w") as f:
+        f.write('{"annotation_commits": []}')
+    for chunk in (1 << 20, 4099, 977):
+        got = IO.read_commit_documents(spark, f"{tmp}/d", "annotation", chunk)
+        assert sorted(map(tuple, got.collect())) == sorted((*r, y) for y in (2015, 2016, 2017) for r in ann)
+        got = IO.read_commit_documents(spark, f"{tmp}/d", "module", chunk)
+        assert sorted(map(tuple, got.collect())) == sorted((*r, y) for y in (2015, 2016, 2017) for r in mod)
+        assert IO.read_commit_documents(spark, f"{tmp}/d", "func_var", chunk).count() == 0
+    parts = IO.read_commit_documents(spark, f"{tmp}/d/commit_2015.json", "annotation", 977).rdd.getNumPartitions()
+    assert parts == -(-os.path.getsize(f"{tmp}/d/commit_2015.json") // 977)
+    os.makedirs(f"{tmp}/none")
+    assert IO.read_commit_documents(spark, f"{tmp}/none", "module").count() == 0
+
+
+def test_ranges_of_a_document_at_every_cut():
+    """Both readings of a document for each place of one cut, without Spark."""
+    from tyscope.sources import json_document as D
+    rows_ = [[1, t, u] for t in TEXTS for u in ("x", '"')]
+    for text in (json.dumps({"a": rows_[:5], "b": rows_}), json.dumps({"a": rows_[:3], "b": rows_}, ensure_ascii=False, indent=1)):
+        raw = text.encode()
+        for cut in range(1, len(raw)):
+            found, inside, key = [], False, None
+            for start, end in ((0, cut), (cut, len(raw))):
+                r = D.Range(raw, start, end, True)
+                at, keys, names = r.openings(inside)
+                ends = r.row_ends(at, inside)
+                owner = [([key, *names])[k] for k in D.np.searchsorted(keys, at)]
+                found += [(o, json.loads(t)) for o, t in zip(owner, r.texts(at, ends).to_pylist())]
+                last = r.last_key(inside)
+                key, inside = last if last is not None else key, inside != r.odd
+            assert found == [("a", x) for x in rows_[:5 if "\n" not in text else 3]] + [("b", x) for x in rows_], cut
+
+
 def test_findings_file_both_shapes(spark, tmp):
     findings = [[3031, "D:\\x\\repos\\2019\\a\\b\\p.py", "prop1", ["MeinTypeError!", ["'classmethod' object"]]],
                 [9250, "/r/2013/c/d/l.py", "f", [False, [1, "int"]]]]

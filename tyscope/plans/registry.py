@@ -811,6 +811,18 @@ def q_commit_log_annotation(spark, sf):
     return _commit_roundtrip(spark, sf, "annotation", _facts(spark, sf).annotation)
 
 
+DOCUMENT_RANGE = 1 << 16
+
+
+@register("scan_commit_documents", _commit_sql("x_annotation_t"),
+          note="one-line study documents, each read by many tasks (64 KB ranges)")
+def q_scan_commit_documents(spark, sf):
+    path = scratch_path(spark, "commit-documents")
+    annotation = _facts(spark, sf).annotation
+    IO.write_commit_documents(annotation, "annotation", path, standins.folder_years(spark, sf), 1 + annotation.count() // 50_000)
+    return IO.read_commit_documents(spark, path, "annotation", DOCUMENT_RANGE)
+
+
 @register("load_fact_table", O.with_extracted(
     "SELECT * REPLACE (CASE WHEN CAST(regexp_extract(path_rel, 'p([0-9]+)', 1) AS BIGINT) % 2 = 0 THEN num_var "
     "ELSE num_var + 1 END AS num_var) FROM x_func_var_t"))

@@ -112,6 +112,18 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and bytes of the files at or below a path, in order of path (a driver listing, for
+    folders of few large files); hidden ones (``_`` or ``.`` first) are left out."""
+    fs, p = _file_system(spark, path)
+    found, walk = [], fs.listFiles(p, True)
+    while walk.hasNext():
+        f = walk.next()
+        if f.getPath().getName()[0] not in "_.":
+            found.append((f.getPath().toString(), f.getLen()))
+    return sorted(found)
+
+
 def qualified_path(spark: SparkSession, path: str) -> str:
     """A path as the file system lists it, with scheme and host, without a final slash."""
     fs, p = _file_system(spark, path)

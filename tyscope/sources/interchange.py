@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tyscope.schemas import ANNOTATION, FUNC_VAR, MODULE
+from tyscope.sources.json_document import CHUNK_BYTES, document_rows, year_of
 from tyscope.sources.keyed_table import load_fact_table, read_fact_table  # noqa: F401  (A11)
 
 COMMIT_KEYS = {
@@ -54,12 +55,11 @@ def write_commit_log(rows: DataFrame, table: str, path: str, repository: DataFra
 
 
 def read_commit_log(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Rows of one table from commit-log documents (ours or the study's single-line files),
+    """Rows of one table from commit-log documents of one line each (ours, one row per line),
     with ``year`` if the files lie in year folders.
 
-    A study document holds a whole year on one line and is parsed by one task (import
-    only; the writer above never produces such documents). Its rows are read as arrays of
-    texts and cast, which sets no limit to a document's size but the task's memory."""
+    A line is parsed by one task; for the study's documents, which hold a whole year on one
+    line, see ``read_commit_documents``. Rows are read as arrays of texts and cast."""
     key, schema = COMMIT_KEYS[table]
     docs = spark.read.text(path)
     rows = docs.select("*", F.explode(F.from_json("value", f"{key} array<array<string>>")[key]).alias("r"))
@@ -67,6 +67,26 @@ def read_commit_log(spark: SparkSession, path: str, table: str) -> DataFrame:
     return rows.select(*[F.get("r", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)], *year)
 
 
+def read_commit_documents(spark: SparkSession, path: str, table: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of one table from the study's documents at ``path``, each cut into ranges of
+    ``chunk_bytes`` that are read by tasks of their own, with the ``year`` of the file's name."""
+    key, schema = COMMIT_KEYS[table]
+    rows = document_rows(spark, path, key, chunk_bytes)
+    rows = rows.select(F.from_json("value", "array<string>").alias("r"), year_of("file").alias("year"))
+    return rows.select(*[F.get("r", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)], "year")
+
+
+def write_commit_documents(rows: DataFrame, table: str, path: str, repository: DataFrame, docs_per_year: int) -> None:
+    """The study's document format: ``docs_per_year`` one-line documents in each year's folder. Each
+    is put together by one task, so their number must fit the rows."""
+    key, schema = COMMIT_KEYS[table]
+    line = _json_array([F.col(f.name) for f in schema.fields])
+    part = F.pmod(F.xxhash64(*[f.name for f in schema.fields]), F.lit(docs_per_year))
+    docs = (with_year(rows, repository).groupBy("year", part.alias("part"))
+            .agg(F.concat(F.lit('{"' + key + '": ['), F.array_join(F.collect_list(line), ", "), F.lit("]}")).alias("value")))
+    docs.repartition("year", "part").select("year", "value").write.mode("overwrite").partitionBy("year").text(path)
+
+
 def save_fact_log(module: DataFrame, func_var: DataFrame, annotation: DataFrame, repository: DataFrame, path: str) -> None:
     """Three parquet datasets partitioned by year (the Spark-native commit log)."""
     for name, df in (("module", module), ("func_var", func_var), ("annotation", annotation)):
