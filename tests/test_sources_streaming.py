@@ -38,10 +38,12 @@ def _tree(root):
 def test_tree_scan(spark, tmp):
     root = os.path.join(tmp, "repos")
     _tree(root)
-    files = tree.source_files(spark, root, _repo(spark))
+    _put(root, "2020/alice/proj/__init__.py", "v: int = 1\n")  # names that Spark's own file sources skip
+    _put(root, "2020/alice/proj/.hidden/_w.py", "w = 1\n")
+    files = tree.source_files(spark, root, _repo(spark), unknown="drop")
     stream, t = facts.extract_tables(files, "test-tree")
     assert rows(t.module, "repo_id", "path_rel", "num_annotations") == [
-        (7, "a.py", 1), (7, "a.pyi", 1), (7, "sub/mypy.py", 1), (8, "m.py", 0)]
+        (7, ".hidden/_w.py", 0), (7, "__init__.py", 1), (7, "a.py", 1), (7, "a.pyi", 1), (7, "sub/mypy.py", 1), (8, "m.py", 0)]
     assert rows(t.rejects) == [(7, "bad.py", "UnicodeDecodeError")]
     missing = tree.missing_repos(tree.listing(spark, root), _repo(spark))
     assert rows(missing) == [(2021, "carol", "gone")]
@@ -50,31 +52,83 @@ def test_tree_scan(spark, tmp):
 def test_content_is_not_shuffled(spark, tmp):
     root = os.path.join(tmp, "repos")
     _tree(root)
-    plan = tree.source_files(spark, root, _repo(spark))._jdf.queryExecution().executedPlan().toString()
-    # the planner broadcasts the small sides by their size: only the one-id-per-folder aggregate
-    # over the repository table is shuffled
-    assert "BroadcastHashJoin" in plan
-    shuffles = [line.strip().lstrip("+-: ") for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert shuffles and all(e.startswith("Exchange hashpartitioning(year") and "name#" in e for e in shuffles), shuffles
+    plan = tree.source_files(spark, root, _repo(spark), unknown="drop")._jdf.queryExecution().optimizedPlan().toString()
+    # contents are read by the last step, after paths and lengths have been dealt out
+    assert plan.startswith("MapInArrow") and "content#" not in plan.split("\n", 1)[1] and "Relation" in plan
 
 
 def test_all_forms_of_a_root_give_the_same_rows(spark, tmp):
-    root = os.path.join(tmp, "re pos+(1)")
+    root = os.path.join(tmp, "re pos+(1)%20é")
     _tree(root)
-    want = rows(tree.source_files(spark, root, _repo(spark)), "repo_id", "path_rel")
+    want = rows(tree.source_files(spark, root, _repo(spark), unknown="drop"), "repo_id", "path_rel")
     assert len(want) == 5
     for form in (root + "/", "file:" + root, "file://" + root, "file://" + root + "/"):
-        assert rows(tree.source_files(spark, form, _repo(spark)), "repo_id", "path_rel") == want
+        assert rows(tree.source_files(spark, form, _repo(spark), unknown="drop"), "repo_id", "path_rel") == want
 
 
 def test_paths_outside_the_root_fail(spark, tmp):
-    root = os.path.join(tmp, "repos")
-    _tree(root)
-    listed = tree._binary(spark, root, "*.py").select("path")
+    listed = spark.createDataFrame([("file:/a/2020/u/r/m.py",)], "path string")
+    assert tree.with_layout(listed, "file:/a").count() == 1
     with pytest.raises(Exception, match="not below"):
         tree.with_layout(listed, "hdfs://elsewhere/repos").collect()
 
 
+def test_listing_equals_a_walk(spark, tmp):
+    """Folders of every depth, empty ones, and many in one level, against os.walk."""
+    import random
+    rnd, root = random.Random(2), os.path.join(tmp, "repos")
+    for i in range(150):
+        deep = "/".join(rnd.choice(["a", "b", "mypy", "python2.6", "_x", ".y"]) for _ in range(rnd.randrange(5)))
+        _put(root, f"{2013 + i % 4}/u{i % 6}/r{i % 9}/{deep}/f{i}.{rnd.choice(['py', 'pyi', 'txt', 'PY'])}".replace("//", "/"), "x" * i)
+    os.makedirs(f"{root}/2019/empty/one")
+    _put(root, "top.py", "")
+    got = {r.path: r.length for r in tree.tree_listing(spark, root).collect()}
+    want = {}
+    for folder, dirs, names in os.walk(root):
+        rel = os.path.relpath(folder, root)
+        if rel.count("/") >= 2:
+            dirs[:] = [d for d in dirs if d not in tree.IGNORED_DIRS]
+        for n in names:
+            if n.endswith((".py", ".pyi")):
+                want[os.path.normpath(f"{rel}/{n}")] = os.path.getsize(f"{folder}/{n}")
+    assert got == want
+    assert tree.tree_listing(spark, f"{tmp}/absent").count() == 0
+
+
+def test_tasks_get_equal_bytes(spark, tmp):
+    """One repository holds half of all bytes: no task gets more than twice the median."""
+    from pyspark.sql import functions as F
+    rows_ = [(f"2020/u/big/m{i}.py", 40_000) for i in range(500)] + [(f"2021/u/r{i // 10}/m{i}.py", 20_000) for i in range(1000)]
+    files = spark.createDataFrame(rows_, "path string, length bigint").repartition(9)
+    for share in (1 << 20, 3 << 20):
+        sizes = [r.b for r in tree.balanced(files, share).groupBy(F.spark_partition_id()).agg(F.sum("length").alias("b")).collect()]
+        assert len(sizes) >= 10 and sum(sizes) == 40_000_000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    assert tree.balanced(files.limit(0)).count() == 0
+
+
+def test_unknown_folders_fail_or_are_listed(spark, tmp):
+    root = os.path.join(tmp, "repos")
+    _tree(root)
+    with pytest.raises(Exception, match="no repository row for folder 2021/carol/gone"):
+        tree.source_files(spark, root, _repo(spark)).count()
+    from tyscope import api
+    with pytest.raises(Exception, match="no repository row"):
+        api.extract_tree(spark, root, _repo(spark), "unknown-test")
+    assert rows(api.unknown_folders(spark, root, _repo(spark))) == [(2021, "carol", "gone")]
+    with pytest.raises(ValueError):
+        tree.attach_repo_id(spark.range(1), _repo(spark), "skip")
+
+
+def test_files_that_cannot_be_read_are_rejects(spark, tmp):
+    root = os.path.join(tmp, "repos")
+    _put(root, "2020/alice/proj/a.py", "x = 1\n")
+    _put(root, "2020/alice/proj/b.py", "y = 1\n")
+    files = tree.source_files(spark, root, _repo(spark))  # listed now, read below
+    os.remove(os.path.join(root, "2020/alice/proj/b.py"))
+    t = facts.extract_tables(files, "gone-test")[1]
+    assert rows(t.module, "path_rel") == [("a.py",)] and rows(t.rejects) == [(7, "b.py", "ContentMissing")]
+
+
 def test_packed_table_equals_the_tree(spark, tmp):
     root = os.path.join(tmp, "repos")
     _tree(root)
@@ -85,7 +139,7 @@ def test_packed_table_equals_the_tree(spark, tmp):
             files.append((os.path.relpath(full, root), open(full, "rb").read()))
     packed = spark.createDataFrame(files, "path string, content binary")
     cols = ("repo_id", "path_rel", "content")
-    assert rows(tree.packed_source_files(packed, _repo(spark)), *cols) == rows(tree.source_files(spark, root, _repo(spark)), *cols)
+    assert rows(tree.packed_source_files(packed, _repo(spark), "drop"), *cols) == rows(tree.source_files(spark, root, _repo(spark), "drop"), *cols)
 
 
 def test_repositories_stay_apart_without_a_table(spark, tmp):
@@ -150,7 +204,7 @@ def test_api_workflow(spark, tmp):
     assert repo.count() > 0 and repo.select("id").distinct().count() == repo.count()
     root = os.path.join(tmp, "repos")
     _tree(root)
-    stream, t = api.extract_tree(spark, root, _repo(spark), "api-test")
+    stream, t = api.extract_tree(spark, root, _repo(spark), "api-test", unknown="drop")
     out = api.report_queries(_repo(spark), t)
     assert len(out) == 16 and all(df.columns for df in out.values())
     assert rows(out["hist_func_var_type"]) == [("argument", 1), ("variable", 2)]  # a.py, a.pyi; sub/mypy.py

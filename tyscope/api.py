@@ -21,9 +21,17 @@ def rank_repositories(snapshots: DataFrame, top: int = ranking.TOP_PER_YEAR) ->
 
 
 def extract_tree(spark: SparkSession, root: str, repository: DataFrame | None = None,
-                 name: str = "extracted") -> tuple[DataFrame, facts.Facts]:
-    """Source tree -> (stored extraction stream, module / func_var / annotation / rejects)."""
-    return facts.extract_tables(files.source_files(spark, root, repository), name)
+                 name: str = "extracted", unknown: str = "fail") -> tuple[DataFrame, facts.Facts]:
+    """Source tree -> (stored extraction stream, module / func_var / annotation / rejects).
+
+    A folder without a repository row fails the job, unless ``unknown="drop"``; ``unknown_folders``
+    lists such folders."""
+    return facts.extract_tables(files.source_files(spark, root, repository, unknown), name)
+
+
+def unknown_folders(spark: SparkSession, root: str, repository: DataFrame) -> DataFrame:
+    """(year, user_name, repo) of the tree's folders that have no repository row."""
+    return files.missing_repos(files.listing(spark, root), repository)
 
 
 def report_queries(repository: DataFrame, t: facts.Facts, year_lo: int = 0,

@@ -425,7 +425,8 @@ def _odd(kind: int, cols: str) -> str:
 
 ODD_REJECTS = " UNION ALL ".join(
     _odd(k, f"{_ODD_PATH} AS path_rel, '{status}' AS status")
-    for k, status in ((1, "UnicodeDecodeError"), (2, "SyntaxError"), (8, "SyntaxError")))
+    for k, status in ((1, "UnicodeDecodeError"), (2, "SyntaxError"), (8, "SyntaxError"))) + " UNION ALL " + _odd(
+    1, f"concat({_ODD_PATH}, 'i') AS path_rel, 'ContentMissing' AS status")
 
 # kind, path, name, number of annotations
 ODD_MODULE = " UNION ALL ".join(

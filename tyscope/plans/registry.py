@@ -719,7 +719,7 @@ def _tree_root(spark, sf):
 @register("scan_source_tree", O.with_tree("SELECT * FROM tree_module_t"))
 def q_scan_source_tree(spark, sf):
     root = _tree_root(spark, sf)
-    files = source_tree.source_files(spark, root, standins.tree_repository(spark, sf))
+    files = source_tree.source_files(spark, root, standins.tree_repository(spark, sf), unknown="drop")
     _, tables = facts.extract_tables(files, "tree-extracted")
     return tables.module
 
@@ -732,7 +732,7 @@ def _packed_tree(spark, sf):
 @register("scan_packed_tree", O.with_tree("SELECT * FROM tree_module_t"))
 def q_scan_packed_tree(spark, sf):
     """The same files as a packed (path, content) table."""
-    files = source_tree.packed_source_files(_packed_tree(spark, sf), standins.tree_repository(spark, sf))
+    files = source_tree.packed_source_files(_packed_tree(spark, sf), standins.tree_repository(spark, sf), unknown="drop")
     return facts.extract_tables(files, "packed-extracted")[1].module
 
 
@@ -753,6 +753,20 @@ def q_tree_missing_repos(spark, sf):
     return source_tree.missing_repos(source_tree.listing(spark, root), standins.tree_repository(spark, sf))
 
 
+@register("tree_facts_and_unknown_folders", O.with_tree(
+    "SELECT 'module' AS part, repo_id, path_rel, num_annotations, CAST(NULL AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS user_name, "
+    "CAST(NULL AS VARCHAR) AS repo FROM (SELECT repo_id, path_rel, num_annotations FROM tree_module_t) m UNION ALL "
+    "SELECT 'unknown', NULL, NULL, NULL, year, user_name, repo FROM tree_missing_t"),
+    note="H4: the facts of known repositories beside the folders that have no repository row")
+def q_tree_facts_and_unknown_folders(spark, sf):
+    packed, repository = _packed_tree(spark, sf), standins.tree_repository(spark, sf)
+    module = facts.extract_tables(source_tree.packed_source_files(packed, repository, unknown="drop"), "known-extracted")[1].module
+    raw = source_tree.with_layout(packed.select("path")).where(source_tree.python_file())
+    unknown = source_tree.missing_repos(raw, repository)
+    return (module.select(F.lit("module").alias("part"), "repo_id", "path_rel", "num_annotations")
+            .unionByName(unknown.select(F.lit("unknown").alias("part"), *source_tree.FOLDER), allowMissingColumns=True))
+
+
 # ====================================================================== interchange and loading
 
 

@@ -1,17 +1,21 @@
 """Source files (A4, B6, C2-C4, H4, H5): a loose tree or a packed table.
 
 Layout of the paths: ``<year>/<user>/<repo>/**/*.py|*.pyi``, below a root folder, or as
-the ``path`` column of a packed table (``path, content``). A tree is listed by the driver
-(one entry per file), so a corpus of very many files comes packed.
+the ``path`` column of a packed table (``path, content``).
 
-Plan shape:
+Plan shape of a tree:
 
-* ``.py`` files: path columns -> ignored-folder filter (a path predicate) -> repository id
-  by a join with the repository table (the planner broadcasts it by its size) ->
-  extraction. File contents move only if that table is beyond the broadcast threshold.
-* ``.pyi`` stubs (few): kept only when the ``.py`` twin exists in the same folder, by a
-  semi join with the module paths (no content is read for that side).
-* The tree is listed once; content and path-only uses share that listing.
+* Folders are listed by tasks, level by level: a level's folders are the next level's
+  input, and only whether there are more is known to the driver. Ignored folders are
+  not entered.
+* Paths and lengths pass the rules: ignored-folder filter, repository id by a join with the
+  repository table, ``.pyi`` stubs by a semi join with the module paths.
+* The files that are left stand in path order and are cut by the running sum of their bytes
+  into tasks of equal size; only then contents are read, by the task that parses them.
+
+Nothing vanishes silently: a file that cannot be read has null content (a reject), and a
+folder without a repository row fails the job unless ``unknown="drop"`` is asked for
+(``missing_repos`` lists those folders).
 """
 
 from __future__ import annotations
@@ -23,20 +27,93 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tyscope.operators.windows import numbered
-from tyscope.session import qualified_path
+from tyscope.operators.windows import numbered, running_sum
+from tyscope.session import materialize, qualified_path, ship_package
+from tyscope.sources.json_document import open_store
 
 # Folders skipped at any depth below a repository root.
 IGNORED_DIRS = ["mypy", "python2.6"]
 
+#: Folders between the root and a repository's own files: year, user, repository.
+REPO_DEPTH = 3
+#: Bytes of source text per extraction task at most, and what opening a file counts for.
+TASK_BYTES = 32 << 20
+OPEN_BYTES = 16 << 10
+#: Bytes of contents in one Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
-def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    return (spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob)
-            .option("ignoreMissingFiles", "true")
-            .load(root))
+# ------------------------------------------------------------------ listing by tasks (A4)
+def _lister(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_store(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                at = f"{base.rstrip('/')}/{folder}" if folder else base
+                found = fs.get_file_info(pafs.FileSelector(at, recursive=False, allow_not_found=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{folder}/{f.base_name}" if folder else f.base_name for f in found], pa.string()),
+                     pa.array([f.type == pafs.FileType.Directory for f in found], pa.bool_()),
+                     pa.array([f.size or 0 for f in found], pa.int64())], names=["path", "is_dir", "length"])
+    return run
+
+
+def tree_listing(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length)`` of the Python files below ``root``, paths relative to it, listed by tasks;
+    hidden files and names that begin with an underscore count like any other."""
+    ship_package(spark)
+    run = _lister(qualified_path(spark, root))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    level, depth, levels = spark.range(1).select(F.lit("").alias("path")), 0, []
+    while True:
+        found = materialize(level.mapInArrow(run, "path string, is_dir boolean, length bigint"), f"tree-level-{depth}")
+        levels.append(found.where(~F.col("is_dir") & (F.col("path").endswith(".py") | F.col("path").endswith(".pyi"))))
+        depth += 1
+        level = found.where("is_dir")
+        if depth > REPO_DEPTH:
+            level = level.where(~F.substring_index("path", "/", -1).isin(IGNORED_DIRS))
+        if level.isEmpty():
+            break
+        # a level comes from few tasks when the one above had few folders: deal it out
+        level = level.select("path").repartition(tasks, "path")
+    listed = levels[0]
+    for found in levels[1:]:
+        listed = listed.unionByName(found)
+    return listed.select("path", "length")
+
+
+def balanced(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``files`` (path, length, ...) dealt out in path order over tasks of about equal bytes: a task
+    begins where the running sum of the lengths passes a multiple of its share."""
+    spark = files.sparkSession
+    weighed = files.withColumn("_bytes", F.col("length") + OPEN_BYTES)
+    placed = running_sum(weighed, ["path"], "_bytes", "_before")
+    total = placed.agg(F.max(F.col("_before") + F.col("_bytes"))).first()[0] or 1
+    share = max(1, min(task_bytes, -(-total // spark.sparkContext.defaultParallelism)))
+    # the middle of a file decides, so that a large file pulls its neighbours neither way
+    task = F.floor((F.col("_before") + F.col("_bytes") / 2) / share).cast("int")
+    return placed.withColumn("_task", task).repartitionById(-(-total // share), "_task").drop("_task", "_before", "_bytes")
+
+
+def _reader(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_store(root)
+        for batch in batches:
+            repo, rel, path = (batch.column(c) for c in ("repo_id", "path_rel", "path"))
+            first, held, contents = 0, 0, []
+            for i, name in enumerate(path.to_pylist()):
+                try:
+                    with fs.open_input_file(f"{base.rstrip('/')}/{name}") as f:
+                        contents.append(f.read())
+                except OSError:  # gone or not readable: a reject
+                    contents.append(None)
+                held += len(contents[-1] or b"")
+                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    n = len(contents)
+                    yield pa.RecordBatch.from_arrays([repo.slice(first, n), rel.slice(first, n), pa.array(contents, pa.binary())],
+                                                     names=["repo_id", "path_rel", "content"])
+                    first, held, contents = first + n, 0, []
+    return run
 
 
 def with_layout(files: DataFrame, root: str | None = None) -> DataFrame:
@@ -82,12 +159,19 @@ def keep_stubs_with_twin(stubs: DataFrame, py_paths: DataFrame, kind: str = "lef
 FOLDER = ["year", "user_name", "repo"]
 
 
-def attach_repo_id(files: DataFrame, repository: DataFrame) -> DataFrame:
-    """H4: repository id of each file's (year, user, repo) folder (inner: unknown folders drop
-    out; ``missing_repos`` lists them)."""
+def attach_repo_id(files: DataFrame, repository: DataFrame, unknown: str = "fail") -> DataFrame:
+    """H4: repository id of each file's (year, user, repo) folder. A folder without a repository
+    row fails the job (``unknown="fail"``) or drops out (``"drop"``)."""
+    if unknown not in ("fail", "drop"):
+        raise ValueError(f"unknown: 'fail' or 'drop', not {unknown!r}")
     r = (repository.groupBy("year", "user_name", F.col("name").alias("repo"))
          .agg(F.min("id").alias("repo_id")))  # one id per folder: the first repository row
-    return files.join(r, FOLDER, "inner")
+    if unknown == "drop":
+        return files.join(r, FOLDER, "inner")
+    folder = F.concat_ws("/", F.col("year").cast("string"), "user_name", "repo")
+    found = F.when(F.col("repo_id").isNotNull(), F.col("repo_id")).otherwise(
+        F.raise_error(F.concat(F.lit("no repository row for folder "), folder)).cast("int"))
+    return files.join(r, FOLDER, "left").withColumn("repo_id", found)
 
 
 def folder_ids(files: DataFrame) -> DataFrame:
@@ -102,42 +186,44 @@ def missing_repos(files: DataFrame, repository: DataFrame) -> DataFrame:
     return files.select(*FOLDER).distinct().join(r, FOLDER, "left_anti")
 
 
-def select_sources(raw: DataFrame, repository: DataFrame | None = None) -> DataFrame:
-    """``(repo_id, path_rel, content)`` of the accepted files among ``with_layout`` rows."""
+def select_sources(raw: DataFrame, repository: DataFrame | None = None, unknown: str = "fail",
+                   carry: tuple[str, ...] = ("content",)) -> DataFrame:
+    """``repo_id``, ``path_rel`` and the ``carry`` columns of the accepted files among ``with_layout`` rows."""
     raw = raw.where(python_file() & not_ignored())
     py = raw.where(F.col("file").endswith(".py"))
     stubs = keep_stubs_with_twin(raw.where(F.col("file").endswith(".pyi")), py.select("path"))
-    cols = [*FOLDER, "path_rel", "content"]
+    cols = [*FOLDER, "path_rel", *carry]
     files = py.select(*cols).unionByName(stubs.select(*cols))
     if repository is None:
         repository = folder_ids(raw)
-    return attach_repo_id(files, repository).select("repo_id", "path_rel", "content")
+    return attach_repo_id(files, repository, unknown).select("repo_id", "path_rel", *carry)
 
 
-def source_files(spark: SparkSession, root: str, repository: DataFrame | None = None) -> DataFrame:
-    """A4: ``(repo_id, path_rel, content)`` for every accepted file under ``root``.
+def source_files(spark: SparkSession, root: str, repository: DataFrame | None = None, unknown: str = "fail",
+                 task_bytes: int = TASK_BYTES) -> DataFrame:
+    """A4: ``(repo_id, path_rel, content)`` for every accepted file under ``root``, in tasks of equal bytes.
 
     Without a repository table each (year, user, repo) folder gets an id of its own.
     """
-    return select_sources(with_layout(_binary(spark, root, "*.{py,pyi}"), qualified_path(spark, root)), repository)
+    chosen = select_sources(with_layout(tree_listing(spark, root)), repository, unknown, ("path", "length"))
+    return balanced(chosen, task_bytes).mapInArrow(_reader(qualified_path(spark, root)),
+                                                   "repo_id int, path_rel string, content binary")
 
 
-def packed_source_files(packed: DataFrame, repository: DataFrame | None = None) -> DataFrame:
+def packed_source_files(packed: DataFrame, repository: DataFrame | None = None, unknown: str = "fail") -> DataFrame:
     """A4 over a packed table: ``path`` (relative to the root) and ``content``."""
-    return select_sources(with_layout(packed.select("path", "content")), repository)
+    return select_sources(with_layout(packed.select("path", "content")), repository, unknown)
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Paths and sizes only (file status; no content is read)."""
-    return with_layout(_binary(spark, root, "*.{py,pyi}").select("path", "length"), qualified_path(spark, root))
+    """Paths and sizes only (no content is read)."""
+    return with_layout(tree_listing(spark, root))
 
 
 # ------------------------------------------------------------------ writing a tree (test data)
 def _writer(root: str):
-    uri = root if "://" in root else root.replace("file:/", "file:///", 1)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(uri)
+        fs, base = open_store(root)
         for batch in batches:
             d = batch.to_pydict()
             sizes = []
@@ -157,7 +243,6 @@ def _writer(root: str):
 def write_tree(files: DataFrame, root: str) -> int:
     """Write ``(rel_path, content)`` rows as files below ``root`` from the executors
     (Arrow file systems: local, HDFS, S3, GCS). Returns the number of files."""
-    from tyscope.session import ship_package
     ship_package(files.sparkSession)
     uri = qualified_path(files.sparkSession, root)
     out = files.select("rel_path", "content").mapInArrow(_writer(uri), "rel_path string, bytes long")

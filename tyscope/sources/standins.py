@@ -188,7 +188,8 @@ ODD_KINDS = 10
 def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules that real corpora have and templates lack, one or two per part:
 
-    0 a lone surrogate in an annotation; 1 a byte that is no UTF-8; 2 too deep nesting; 3 an
+    0 a lone surrogate in an annotation; 1 a byte that is no UTF-8, and a file that was not
+    read (null); 2 too deep nesting; 3 an
     expression of 900 terms and a union of 300 types; 4 keys repeated inside the file; 5 one
     path delivered twice; 6 two paths equal in their first 269 characters; 7 names and
     annotations beyond every length limit; 8 a null byte; 9 old line ends.
@@ -210,7 +211,8 @@ def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.repeat(F.lit(letter), (pk % 7 + more).cast("int"))
 
     files = (F.when(kind == 0, F.array(one(text('def f(a: "\\ud800", b: Literal["\\ud801x"]) -> int:\n    return 1\n'))))
-             .when(kind == 1, F.array(one(F.concat(text("x = 1  # "), F.unhex(F.lit("FF")), text("\n")))))
+             .when(kind == 1, F.array(one(F.concat(text("x = 1  # "), F.unhex(F.lit("FF")), text("\n"))),
+                                      one(F.lit(None).cast("binary"), F.concat(path, F.lit("i")))))
              .when(kind == 2, F.array(one(text("x = ", F.repeat(F.lit("("), 300), "1", F.repeat(F.lit(")"), 300), "\n"))))
              .when(kind == 3, F.array(one(text("x = a", F.repeat(F.lit(" + a"), 899), "\ny: int",
                                                F.repeat(F.lit(" | int"), 299), " = 1\n"))))

@@ -47,7 +47,7 @@ def _repositories(files: DataFrame, table_root: str, epoch: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/epoch={epoch}")
 
 
-def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
+def _batch_handler(root: str, repository: DataFrame | None, table_root: str, unknown: str):
     def handle(batch: DataFrame, epoch: int) -> None:
         with scratch_scope(batch.sparkSession, f"stream-batch-{epoch}"):
             _load(batch, epoch)
@@ -70,7 +70,7 @@ def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
             f"{table_root}/_pending_stubs/epoch={epoch}")
         chosen = py.unionByName(F_.keep_stubs_with_twin(stubs, modules))
         known = repository if repository is not None else _repositories(files, table_root, epoch)
-        chosen = F_.attach_repo_id(chosen, known).select("repo_id", "path_rel", "content")
+        chosen = F_.attach_repo_id(chosen, known, unknown).select("repo_id", "path_rel", "content")
         _, t = extract_tables(chosen)
         for name, df, schema, key in (("module", t.module, MODULE, MODULE_KEY),
                                       ("func_var", t.func_var, FUNC_VAR, FUNC_VAR_KEY),
@@ -85,15 +85,16 @@ def _batch_handler(root: str, repository: DataFrame | None, table_root: str):
 
 def incremental_extraction(spark: SparkSession, root: str, table_root: str, checkpoint: str,
                            repository: DataFrame | None = None, max_files_per_trigger: int = 100_000,
-                           available_now: bool = True) -> StreamingQuery:
-    """Start the stream; with ``available_now`` it handles every new file and stops."""
+                           available_now: bool = True, unknown: str = "fail") -> StreamingQuery:
+    """Start the stream; with ``available_now`` it handles every new file and stops. ``unknown``: what
+    a folder without a repository row does (``files.attach_repo_id``)."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
               .option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.{py,pyi}"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = reader.load(root)
-    writer = (src.writeStream.foreachBatch(_batch_handler(root, repository, table_root))
+    writer = (src.writeStream.foreachBatch(_batch_handler(root, repository, table_root, unknown))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
