@@ -32,6 +32,8 @@ class Facts(NamedTuple):
     func_var: DataFrame
     annotation: DataFrame
     rejects: DataFrame
+    #: (repo_id, stored path) shared by several files, stored (normally no row)
+    colliding: DataFrame | None = None
 
 
 FILE_KEY = ["repo_id", "path_rel"]
@@ -107,7 +109,13 @@ def fact_tables(extracted: DataFrame) -> Facts:
     from tyscope.session import materialize
     colliding = materialize(colliding_files(extracted), "colliding-files")
     return Facts(module_rows(extracted, colliding), func_var_rows(extracted, colliding),
-                 annotation_rows(extracted, colliding), reject_rows(extracted))
+                 annotation_rows(extracted, colliding), reject_rows(extracted), colliding)
+
+
+def stored_tables(t: Facts) -> Facts:
+    """The fact tables written once, deduplicated, so that every report only reads its columns."""
+    from tyscope.session import materialize
+    return Facts(*[materialize(df, f"fact-{name}") for name, df in zip(Facts._fields[:4], t)], t.colliding)
 
 
 def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:

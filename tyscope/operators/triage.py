@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tyscope.functions.columns import repo_root
 from tyscope.operators.facts import FILE_KEY, colliding_files
 from tyscope.schemas import MAX_NAME, MAX_PATH
-from tyscope.session import materialize
 
 # The value each probe type name is instantiated with (as repr).
 PROBE_VALUES = {
@@ -51,12 +50,14 @@ STATUS_CHECKABLE = "checkable"
 
 
 # ---------------------------------------------------------------- definitions
-def function_definitions(extracted: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def function_definitions(extracted: DataFrame, wanted: DataFrame | None = None,
+                         colliding: DataFrame | None = None) -> DataFrame:
     """The first ``def`` of each name in each file (pre-order), with its probe inputs.
 
     The extractor flags it, so this is a filter; only files that share a stored path
     (normally none) need a step keyed by name. ``wanted`` (``repo_id, path_rel, name``)
-    keeps those functions only.
+    keeps those functions only. ``colliding``: the stored list of such files (``Facts.colliding``);
+    without it they are found again when the result is computed.
     """
     defs = (extracted.where((F.col("kind") == "func_var") & F.col("first_def"))
             .select("repo_id",
@@ -66,7 +67,8 @@ def function_definitions(extracted: DataFrame, wanted: DataFrame | None = None)
                     "seq", "lineno", "probe_args", "probe_return", "n_required_other"))
     if wanted is not None:
         defs = defs.join(wanted.select("repo_id", "path_rel", "name").distinct(), ["repo_id", "path_rel", "name"], "left_semi")
-    colliding = materialize(colliding_files(extracted), "colliding-files")
+    if colliding is None:
+        colliding = colliding_files(extracted)
     kept = ["repo_id", "path_rel", "name", "lineno", "probe_args", "probe_return", "n_required_other"]
     alone = defs.join(colliding, FILE_KEY, "left_anti").select(*kept)
     w = Window.partitionBy("repo_id", "path_rel", "name").orderBy("path_full", "seq", "lineno")

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tyscope.functions.columns import lookup_default
-from tyscope.operators import facts, names, ranking, reports, triage
+from tyscope.operators import facts, increments, names, ranking, reports, triage
 from tyscope.plans import oracle as O
-from tyscope.schemas import FUNC_VAR, FUNC_VAR_KEY, MODULE, REPOSITORY
+from tyscope.schemas import ANNOTATION_KEY, FUNC_VAR, FUNC_VAR_KEY, MODULE, REPOSITORY
 from tyscope.session import materialize, read_table, scratch_path
+from tyscope.sources import checkpoint
 from tyscope.sources import files as source_tree
 from tyscope.sources import interchange as IO
 from tyscope.sources import repos_json, standins
@@ -60,7 +61,8 @@ def _extracted(spark, sf):
 
 
 def _facts(spark, sf):
-    return _once(spark, ("facts", sf), lambda: facts.fact_tables(_extracted(spark, sf)))
+    """The fact tables, deduplicated and stored (D11 and the other reports read them)."""
+    return _once(spark, ("facts", sf), lambda: facts.stored_tables(facts.fact_tables(_extracted(spark, sf))))
 
 
 # Buckets of the stored stand-in tables; a production layout takes thousands.
@@ -561,7 +563,11 @@ def _tri_extracted(spark, sf):
 
 
 def _tri_facts(spark, sf):
-    return _once(spark, ("triage-facts", sf), lambda: facts.fact_tables(_tri_extracted(spark, sf)))
+    return _once(spark, ("triage-facts", sf), lambda: facts.stored_tables(facts.fact_tables(_tri_extracted(spark, sf))))
+
+
+def _tri_definitions(spark, sf, wanted=None):
+    return triage.function_definitions(_tri_extracted(spark, sf), wanted, _tri_facts(spark, sf).colliding)
 
 
 def _tri_full(spark, sf):
@@ -581,8 +587,7 @@ def _tri_verdicts(spark, sf):
 
 @register("probe_status", O.with_triage("SELECT repo_id, path_rel, name, lineno, probe_call, status FROM tri_defs_t"))
 def q_probe_status(spark, sf):
-    defs = triage.function_definitions(_tri_extracted(spark, sf))
-    return (triage.probe_status(triage.probe_arguments(defs))
+    return (triage.probe_status(triage.probe_arguments(_tri_definitions(spark, sf)))
             .select("repo_id", "path_rel", "name", "lineno", "probe_call", "status"))
 
 
@@ -611,9 +616,8 @@ def q_full_annot_triage(spark, sf):
     "SELECT f.*, d.lineno FROM tri_full_t f JOIN tri_defs_t d ON f.repo_id = d.repo_id "
     "AND f.path_rel = d.path_rel AND f.name = d.name"))
 def q_attach_function_definition(spark, sf):
-    ext = _tri_extracted(spark, sf)
     full = _tri_full(spark, sf)
-    att = triage.attach_function_definition(full, triage.function_definitions(ext, wanted=full))
+    att = triage.attach_function_definition(full, _tri_definitions(spark, sf, wanted=full))
     return att.select("repo_id", "path_rel", "name", "sum_num_var", "sum_num_var_annotated", "lineno")
 
 
@@ -670,10 +674,9 @@ def q_resume_after(spark, sf):
     "WHERE f.repo_id NOT IN (191, 2158, 2023, 5075, 5312) "
     "AND f.repo_id IN (SELECT repo_id FROM verdict_t WHERE clean)"))
 def q_triage_candidates(spark, sf):
-    ext = _tri_extracted(spark, sf)
     full = triage.exclude_repos(_tri_full(spark, sf))
     full = triage.clean_repo_functions(full, _tri_verdicts(spark, sf))
-    att = triage.attach_function_definition(full, triage.function_definitions(ext, wanted=full))
+    att = triage.attach_function_definition(full, _tri_definitions(spark, sf, wanted=full))
     return (triage.probe_status(triage.probe_arguments(att))
             .select("repo_id", "path_rel", "name", "lineno", "probe_call", "status"))
 
@@ -785,6 +788,17 @@ def q_verdict_map_roundtrip(spark, sf):
     return IO.read_verdict_map(spark, path)
 
 
+@register("verdict_checkpoint", O.with_triage("SELECT repo_id, clean FROM verdict_t"),
+          note="A15, C13: a run that ends after half of its checkpoints, and the run that resumes it")
+def q_verdict_checkpoint(spark, sf):
+    path = scratch_path(spark, "verdict-log")
+    repos, diagnostics = _tri_facts(spark, sf).module.select("repo_id"), standins.diagnostics(spark, sf)
+    for checkpoints in (2, None):
+        checkpoint.run_verdicts(spark, repos, lambda some: triage.repo_verdict(some, diagnostics.join(some, "repo_id", "left_semi")),
+                                path, repos_per_checkpoint=13, max_checkpoints=checkpoints)
+    return checkpoint.read_verdicts(spark, path)
+
+
 @register("findings_roundtrip", O.with_triage(
     "SELECT repo_id, file_path, name, label AS status, message, 1 AS n_messages FROM labelled_t "
     "WHERE label = 'False' OR contains(label, 'MeinTypeError!')"))
@@ -896,6 +910,17 @@ def q_full_annot_materialized(spark, sf):
     return materialize(reports.full_annot(r.func_var, r.annotation), "full-annot")
 
 
+@register("full_annot_incremental", REGISTRY["full_annot"].sql,
+          note="A13: loaded in three appends, in which functions come before, with and after their annotations")
+def q_full_annot_incremental(spark, sf):
+    r, root = _rel(spark, sf), scratch_path(spark, "fact-store")
+    for step in range(3):
+        fv = r.func_var.where(F.pmod(F.xxhash64(*FUNC_VAR_KEY), F.lit(3)) == step)
+        an = r.annotation.where(F.pmod(F.xxhash64(*ANNOTATION_KEY), F.lit(3)) == step)
+        table = increments.append_facts(spark, fv, an, root)
+    return table
+
+
 @register("partial_annotation_complete_bucketed", O.with_relational(_PAC))
 def q_partial_annotation_complete_bucketed(spark, sf):
     """H1 over the tables stored bucketed by the join key (no shuffle at join time)."""

@@ -44,9 +44,14 @@ def _generations(ranges: DataFrame | None) -> list[int]:
     return [] if ranges is None else [r[0] for r in ranges.select("gen").distinct().collect()]
 
 
-def read_fact_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of a keyed table."""
-    live = _generations(file_ranges(spark, path))
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the table's loads, in order."""
+    return sorted(_generations(file_ranges(spark, path)))
+
+
+def read_fact_table(spark: SparkSession, path: str, schema: T.StructType, gens: list[int] | None = None) -> DataFrame:
+    """The rows of a keyed table, or of some of its loads."""
+    live = generations(spark, path) if gens is None else list(gens)
     if not live:
         return spark.createDataFrame([], schema)
     stored = T.StructType([*schema.fields, T.StructField("gen", T.IntegerType())])
@@ -82,6 +87,34 @@ def matching_files(batch: DataFrame, ranges: DataFrame, key: list[str]) -> DataF
     return files.join(touched, ["gen", "idx"], "left_semi").drop("idx")
 
 
+def matching_rows(spark: SparkSession, path: str, schema: T.StructType, gens: list[int], batch: DataFrame, key: list[str],
+                  key_width: int) -> DataFrame:
+    """Stored rows of some loads that can share the first columns of the table's key with a row of
+    ``batch``; other files are not read. ``key`` names those columns in ``batch``; ``key_width`` is
+    the table's number of key columns."""
+    if not gens:
+        return spark.createDataFrame([], schema)
+    ranges = file_ranges(spark, path).where(F.col("gen").isin(list(gens)))
+    if len(key) < key_width:  # an interval of whole keys lies inside the interval of their first columns
+        whole = ranges.schema["lo"].dataType.fieldNames()
+
+        def first(c):
+            return F.struct(*[F.col(c)[n].alias(k) for n, k in zip(whole, key)]).alias(c)
+        ranges = ranges.select("gen", "file", first("lo"), first("hi"), "rows")
+    files = [f"{path}/gen={r.gen}/{r.file}" for r in matching_files(batch, ranges, key).select("gen", "file").collect()]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def append_rows(spark: SparkSession, rows: DataFrame, path: str, key: list[str], replace: bool = False) -> int:
+    """Add ``rows`` as a load of their own without looking at stored keys (or in place of all
+    loads); the version that holds them."""
+    ranges = file_ranges(spark, path)
+    gen = max(_generations(ranges), default=-1) + 1
+    added = _write_generation(spark, rows, path, gen, key, None)
+    _commit(spark, path, added if ranges is None or replace else ranges.unionByName(added))
+    return _version(spark, path)
+
+
 def _write_generation(spark: SparkSession, rows: DataFrame, path: str, gen: int, key: list[str], rows_per_file: int | None) -> DataFrame:
     """Write ``rows`` clustered by key; their files' ranges."""
     writer = rows.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite")
