@@ -164,6 +164,36 @@ def test_stub_waits_for_a_late_twin(spark, tmp):
     _put(root, "2020/alice/proj/m.py", "x = 1\n")
     incremental_extraction(spark, root, out, ckpt, repository=_repo(spark)).awaitTermination()
     assert rows(spark.read.parquet(out + "/module"), "path_rel") == [("m.py",), ("m.pyi",), ("y.py",), ("z.py",)]
+    assert not os.path.exists(out + "/_module_paths") and not os.path.exists(out + "/_pending_stubs")  # Spark's state holds them
+
+
+def test_every_order_of_arrival_gives_the_batch_scan(spark, tmp):
+    """Modules and stubs of several keys dealt over batches at random: what the state lets pass is what
+    the scan of the whole tree accepts, each file once."""
+    import random
+
+    from tyscope.streaming import incremental as S
+    names = [f"2020/u/r{k % 3}/{d}m{k}.{e}" for k in range(6) for d in ("", "sub/") for e in ("py", "pyi") if (k, e) not in ((2, "py"), (4, "pyi"))]
+    kept = spark.conf.get(S.PROVIDER, None)
+    spark.conf.set(S.PROVIDER, S.ROCKSDB)
+    try:
+        for seed in range(2):
+            order = random.Random(seed).sample(names, len(names))
+            root, got = os.path.join(tmp, f"in{seed}"), []
+            os.makedirs(root)
+            src = spark.readStream.option("maxFilesPerTrigger", "1").text(root).toDF("path")
+            files = tree.with_layout(src).selectExpr("*", "0L AS length")
+            for i in range(3):
+                with open(f"{root}/{i}.txt", "w") as f:
+                    f.write("\n".join(order[i::3]))
+                os.utime(f"{root}/{i}.txt", (1_600_000_000 + i, 1_600_000_000 + i))
+            S.ship_package(spark)
+            q = (S.paired_files(files).writeStream.option("checkpointLocation", os.path.join(tmp, f"ck{seed}"))
+                 .trigger(availableNow=True).foreachBatch(lambda b, e: got.extend(r.path for r in b.collect())).start())
+            q.awaitTermination()
+            assert sorted(got) == sorted(n for n in names if n.endswith(".py") or n[:-1] in names)
+    finally:
+        spark.conf.unset(S.PROVIDER) if kept is None else spark.conf.set(S.PROVIDER, kept)
 
 
 def test_stream_without_repository_table_keeps_ids(spark, tmp):

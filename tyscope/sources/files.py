@@ -206,8 +206,15 @@ def source_files(spark: SparkSession, root: str, repository: DataFrame | None =
     Without a repository table each (year, user, repo) folder gets an id of its own.
     """
     chosen = select_sources(with_layout(tree_listing(spark, root)), repository, unknown, ("path", "length"))
-    return balanced(chosen, task_bytes).mapInArrow(_reader(qualified_path(spark, root)),
-                                                   "repo_id int, path_rel string, content binary")
+    return with_contents(chosen, root, task_bytes)
+
+
+def with_contents(files: DataFrame, root: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``(repo_id, path_rel, content)`` of files (repo_id, path_rel, path, length), read by tasks of equal bytes."""
+    spark = files.sparkSession
+    ship_package(spark)
+    return balanced(files, task_bytes).mapInArrow(_reader(qualified_path(spark, root)),
+                                                  "repo_id int, path_rel string, content binary")
 
 
 def packed_source_files(packed: DataFrame, repository: DataFrame | None = None, unknown: str = "fail") -> DataFrame:

@@ -5,23 +5,34 @@ already stored, and resumes after the last handled repository. Here a file
 stream over the tree does the same: every micro-batch extracts only files not
 seen before (the stream checkpoint records which), writes the extraction once,
 and appends fact rows whose key is not in the tables yet. A retried batch
-therefore adds nothing twice. A stub that comes before its module waits in a
-pending table and is looked at again in each batch.
+therefore adds nothing twice.
+
+Stubs and modules meet in Spark's own state: paths are keyed by the module's path (folder
+and stem); the state of a key is whether its module has come, and the stubs that wait
+for it. A batch costs what its files cost, however many came before. Only paths and lengths
+go through the stream; contents are read by the extraction tasks.
+
+The file stream does not show names that begin with ``_`` or ``.`` (Spark's file sources hide
+them); ``files.source_files`` does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tyscope.operators.facts import extract_tables
 from tyscope.schemas import ANNOTATION, ANNOTATION_KEY, FUNC_VAR, FUNC_VAR_KEY, MODULE, MODULE_KEY
 from tyscope.sources import files as F_
-from tyscope.session import delete_path, materialize, path_exists, qualified_path, scratch_scope
+from tyscope.session import delete_path, materialize, path_exists, qualified_path, scratch_scope, ship_package
 from tyscope.sources.interchange import stage_rows
 from tyscope.sources.keyed_table import compact_fact_table, load_fact_table
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_FILE = "path string, year int, user_name string, repo string, path_rel string, length bigint"
+_COLUMNS = [c.split()[0] for c in _FILE.split(", ")]
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -47,6 +58,45 @@ def _repositories(files: DataFrame, table_root: str, epoch: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/epoch={epoch}")
 
 
+class StubTwins(StatefulProcessor):
+    """H5 as a state machine per module path: modules pass; stubs pass once their module came."""
+
+    def init(self, handle):
+        self.seen = handle.getValueState("seen", "came boolean")
+        self.waiting = handle.getListState("waiting", _FILE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        stubs, came = [], self.seen.exists()
+        before = came
+        for r in rows:
+            row = Row(**{c: r[c] for c in _COLUMNS})
+            if r["path"] == key[0]:
+                came = True
+                yield row
+            else:
+                stubs.append(row)
+        if not came:
+            if stubs:
+                self.waiting.appendList([tuple(x) for x in stubs])
+            return
+        if not before:
+            self.seen.update((True,))
+            if self.waiting.exists():
+                stubs = [Row(**dict(zip(_COLUMNS, x))) for x in self.waiting.get()] + stubs
+                self.waiting.clear()
+        yield from stubs
+
+    def close(self):
+        pass
+
+
+def paired_files(files: DataFrame) -> DataFrame:
+    """The files of a stream (columns of ``_FILE``) that H5 accepts, each once, when it can be accepted."""
+    module = F.when(F.col("path").endswith(".pyi"), F.expr("substring(path, 1, length(path) - 1)")).otherwise(F.col("path"))
+    return (files.select(*_COLUMNS, module.alias("module")).groupBy("module")
+            .transformWithState(StubTwins(), _FILE, "append", "none"))
+
+
 def _batch_handler(root: str, repository: DataFrame | None, table_root: str, unknown: str):
     def handle(batch: DataFrame, epoch: int) -> None:
         with scratch_scope(batch.sparkSession, f"stream-batch-{epoch}"):
@@ -54,31 +104,16 @@ def _batch_handler(root: str, repository: DataFrame | None, table_root: str, unk
 
     def _load(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        files = F_.with_layout(batch, qualified_path(spark, root)).where(F_.python_file() & F_.not_ignored())
-        cols = ["path", *F_.FOLDER, "path_rel", "content"]
-        files = materialize(files.select(*cols, "file"), "files")
-        py = files.where(F.col("file").endswith(".py")).select(*cols)
-        # module paths of all batches; a retried batch overwrites its own folder
-        py.select("path").write.mode("overwrite").parquet(f"{table_root}/_module_paths/epoch={epoch}")
-        modules = spark.read.parquet(f"{table_root}/_module_paths").select("path")
-        # stubs of this batch and those still waiting for their twin
-        stubs = files.where(F.col("file").endswith(".pyi")).select(*cols)
-        waiting = _previous(spark, f"{table_root}/_pending_stubs", epoch)
-        if waiting is not None:
-            stubs = stubs.unionByName(waiting)
-        F_.keep_stubs_with_twin(stubs, modules, "left_anti").write.mode("overwrite").parquet(
-            f"{table_root}/_pending_stubs/epoch={epoch}")
-        chosen = py.unionByName(F_.keep_stubs_with_twin(stubs, modules))
+        files = materialize(batch, "files")
         known = repository if repository is not None else _repositories(files, table_root, epoch)
-        chosen = F_.attach_repo_id(chosen, known, unknown).select("repo_id", "path_rel", "content")
-        _, t = extract_tables(chosen)
+        chosen = F_.attach_repo_id(files, known, unknown).select("repo_id", "path_rel", "path", "length")
+        _, t = extract_tables(F_.with_contents(chosen, root))
         for name, df, schema, key in (("module", t.module, MODULE, MODULE_KEY),
                                       ("func_var", t.func_var, FUNC_VAR, FUNC_VAR_KEY),
                                       ("annotation", t.annotation, ANNOTATION, ANNOTATION_KEY)):
             load_fact_table(spark, stage_rows(df, schema), f"{table_root}/{name}", key, order=[])
             compact_fact_table(spark, f"{table_root}/{name}", schema, key)
-        for state in ("_pending_stubs", "_repositories"):
-            delete_path(spark, f"{table_root}/{state}/epoch={epoch - 2}")
+        delete_path(spark, f"{table_root}/_repositories/epoch={epoch - 2}")
 
     return handle
 
@@ -93,8 +128,20 @@ def incremental_extraction(spark: SparkSession, root: str, table_root: str, chec
               .option("pathGlobFilter", "*.{py,pyi}"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    src = reader.load(root)
-    writer = (src.writeStream.foreachBatch(_batch_handler(root, repository, table_root, unknown))
+    ship_package(spark)
+    base = qualified_path(spark, root)
+    files = F_.with_layout(reader.load(root).select("path", "length"), base).where(F_.python_file() & F_.not_ignored())
+    files = files.withColumn("path", F.substring("path", F.lit(len(base) + 2), F.length("path")))  # below the root
+    writer = (paired_files(files).writeStream.foreachBatch(_batch_handler(root, repository, table_root, unknown))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    # the state needs this provider; a query keeps the settings it was started with
+    kept = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if kept is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, kept)
