@@ -143,3 +143,25 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert S.dedup_digest(df).count() == 0
     assert S.remove_repeats(df).count() == 0
+
+
+def test_segments_of_a_large_group_grow_in_proportion(spark):
+    """A hot passage in 500 and in 4,000 documents: eight times the rows, and no row per window."""
+    import random
+    rnd = random.Random(9)
+    passage = [f"w{rnd.randrange(900)}" for _ in range(300)]
+    made = {}
+    for n in (500, 4000):
+        rows = []
+        for i in range(n):
+            w = list(passage)
+            w[rnd.randrange(300)] = f"e{i}"
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        made[n] = S.routed_segments(df, S.profile(df), hot_anchor=100).count()
+    assert made[4000] <= 10 * made[500] and made[4000] < 4000 * 30, made
+
+
+def test_merged_places():
+    assert S.merged_places([(1, 2, 30, 5), (1, 2, 0, 20), (1, 2, 20, 9), (1, 3, 29, 4), (1, 2, 3, 4)]) == [
+        (1, 2, 0, 29), (1, 2, 30, 5), (1, 3, 29, 4)]

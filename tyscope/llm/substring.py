@@ -18,8 +18,10 @@ earlier text, so its shards must not meet every document. They are routed:
 * an anchor that occurs twice or more belongs to the shard of the smallest document
   key that holds it, so near copies of one text meet in one shard; a shard with more
   anchors than ``SHARD_ANCHORS`` is dealt out further by anchor, and an anchor that more
-  than ``HOT_ANCHOR`` documents hold is dealt out by the hash of its windows. A stretch of
-  windows of one shard travels there as one segment, equal segments of a batch only once;
+  than ``HOT_ANCHOR`` documents hold is dealt out by a second anchor, the smallest gram in
+  another order. A stretch of windows of one shard travels there as one segment. Of equal
+  segments of a batch only the first does; the others are repeats already, and what
+  touches in one document is one row;
 * a shard's segments stream through its automaton in document order. Extending the
   automaton by a word gives the longest suffix seen before, that is the matching
   statistic against all earlier text of the shard; windows with 20 or more go.
@@ -180,28 +182,38 @@ def _profile_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
                 [*rest, "n_words", "sha", "anchors"])
 
 
-def _window_shard(hashes: np.ndarray, at: np.ndarray, shard: np.ndarray, split: np.ndarray, window: int) -> np.ndarray:
-    """The part of a split shard that a window goes to, by the hash of its words."""
-    h = np.zeros(len(at), np.uint64)
-    for j in range(window):
-        h = h * _ODD[0] + hashes[at + j]
-    part = mix64(h) % split.astype(np.uint64)
-    return mix64(shard.view(np.uint64) + (part + np.uint64(1)) * _ODD[1]).view(np.int64)
+def _hot_shard(gram: np.ndarray, at: np.ndarray, shard: np.ndarray, window: int) -> np.ndarray:
+    """The part of a hot anchor's shard that a window goes to: by a second anchor, the smallest of
+    its grams in another order. Neighbouring windows mostly share it, equal windows always."""
+    second = sliding_min(mix64(gram ^ _ODD[2]), window - min(GRAM, window) + 1)[at]
+    return mix64(shard.view(np.uint64) + mix64(second) * _ODD[1]).view(np.int64)
+
+
+def merged_places(places: list[tuple]) -> list[tuple]:
+    """(id, th, start, n) spans with those of a document that overlap or touch put together."""
+    out: list[tuple] = []
+    for i, t, start, n in sorted(places):
+        if out and out[-1][:2] == (i, t) and start <= out[-1][2] + out[-1][3]:
+            out[-1] = (i, t, out[-1][2], max(out[-1][3], start + n - out[-1][2]))
+        else:
+            out.append((i, t, start, n))
+    return out
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated anchors -> segments (shard, id, th, start, n, words); of
-    equal segments of a run only the first has words, the others are known repeats."""
+    equal segments of a run only the first has words, the others are known repeats, whose
+    neighbours are one row and which go anywhere."""
     for b in batches:
         ids, ths = b.column("_sub_id").to_pylist(), b.column("_sub_th").to_pylist()
         hits = b.column("hits").combine_chunks() if isinstance(b.column("hits"), pa.ChunkedArray) else b.column("hits")
         flat = hits.flatten()
         known, first = np.unique(flat.field("h").to_numpy(zero_copy_only=False), return_index=True)
         shard_of = flat.field("shard").to_numpy(zero_copy_only=False)[first]
-        split_of = flat.field("split").to_numpy(zero_copy_only=False)[first]
+        hot_of = flat.field("hot").to_numpy(zero_copy_only=False)[first]
         for i, j, buf, off in text_runs(b.column("text")):
             words = Words(buf, off)
-            anchor, inside, _ = window_anchors(words, window)
+            anchor, inside, gram = window_anchors(words, window)
             if not inside.any():
                 continue
             anchor = anchor.view(np.int64)
@@ -211,11 +223,10 @@ def _segment_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
                 continue
             shard = shard_of[at[use]]
             row = np.searchsorted(words.first, use, "right") - 1
-            split = split_of[at[use]]
-            hot = split > 1
+            hot = hot_of[at[use]]
             if hot.any():
-                shard[hot] = _window_shard(words.hashes(), use[hot], shard[hot], split[hot], window)
-            cut = np.flatnonzero((np.diff(use) != 1) | (np.diff(shard) != 0) | (np.diff(row) != 0) | hot[1:] | hot[:-1]) + 1
+                shard[hot] = _hot_shard(gram, use[hot], shard[hot], window)
+            cut = np.flatnonzero((np.diff(use) != 1) | (np.diff(shard) != 0) | (np.diff(row) != 0)) + 1
             a, z = use[np.concatenate([[0], cut])], use[np.concatenate([cut - 1, [len(use) - 1]])] + window
             shard, row = shard[np.concatenate([[0], cut])], row[np.concatenate([[0], cut])]
             data = buf.tobytes()
@@ -230,7 +241,8 @@ def _segment_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
                 elif before[:3] != here[:3]:
                     out[s, text] = min(before, here)
                     done.append(max(before, here))
-            rows = [(s, *here, text) for (s, text), here in out.items()] + [(None, *here, None) for here in done]
+            rows = ([(s, *here, text) for (s, text), here in out.items()]
+                    + [(here[0] ^ here[1], *here, None) for here in merged_places(done)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(),
                                                             pa.binary()))], ["shard", "id", "th", "start", "n", "words"])
@@ -241,7 +253,10 @@ def _repeat_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
     shard, automaton, before = None, Automaton(), None
     for b in batches:
         found = []
-        for s, i, t, start, text in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "th", "start", "words"))):
+        for s, i, t, start, n, text in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "th", "start", "n", "words"))):
+            if text is None:  # known already
+                found.append((i, t, start, n))
+                continue
             if s != shard:
                 shard, automaton, before = s, Automaton(), None
             if (i, t, start) == before:
@@ -258,6 +273,10 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64("text").alias("_sub_th"))
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return keyed(docs.select("doc_id", "text")).select("_sub_id", "_sub_th", "text")
+
+
 def profile(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One stored row per document: _sub_id, _sub_th, doc_id, n_words, sha, anchors."""
     ship_package(docs.sparkSession)
@@ -267,10 +286,9 @@ def profile(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc_id bigint, _sub_id bigint, _sub_th bigint, n_words bigint, sha string, anchors array<bigint>"), "anchors")
 
 
-def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW,
-                   shard_anchors: int = SHARD_ANCHORS, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
-    """Per document with a repeat: _sub_id, _sub_th, spans (array of start, n in words;
-    they may overlap). ``profiles`` is ``profile(docs)``."""
+def routed_segments(docs: DataFrame, profiles: DataFrame, window: int = WINDOW,
+                    shard_anchors: int = SHARD_ANCHORS, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
+    """The stretches of windows whose anchor repeats, with the shard they belong to (see ``_segment_batches``)."""
     one = F.lit(1).cast("bigint")
     anchors = (profiles.select("_sub_id", "_sub_th", F.xxhash64("_sub_id", "_sub_th").alias("rid"),
                                F.explode("anchors").alias("a"))
@@ -286,18 +304,20 @@ def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW,
               .withColumn("hot", F.col("n") > hot_anchor)
               .select("h", F.when(F.col("hot"), F.xxhash64("h"))
                       .otherwise(F.xxhash64("f", F.pmod(F.shiftright("h", 1), F.coalesce("parts", F.lit(1))))).alias("shard"),
-                      F.when(F.col("hot"), F.ceil(F.col("n") * (window - GRAM + 1) / hot_anchor)).otherwise(F.lit(1))
-                      .cast("bigint").alias("split")))
+                      "hot"))
     hits = (anchors.join(shards, "h").groupBy("_sub_id", "_sub_th")
-            .agg(F.collect_list(F.struct("h", "shard", "split")).alias("hits")))
-    segments = materialize(
-        keyed(docs.select("doc_id", "text")).join(hits, ["_sub_id", "_sub_th"]).select("_sub_id", "_sub_th", "text", "hits")
-        .mapInArrow(lambda it: _segment_batches(it, window),
-                    "shard bigint, id bigint, th bigint, start int, n int, words binary"), "segments")
-    found = (segments.where("words is not null").repartition("shard")
-             .sortWithinPartitions("shard", "id", "th", "start").select("shard", "id", "th", "start", "words")
+            .agg(F.collect_list(F.struct("h", "shard", "hot")).alias("hits")))
+    # not stored: the caller joins the spans with the same texts, whose shuffle Spark then uses again
+    return (keyed_texts(docs).join(hits, ["_sub_id", "_sub_th"]).select("_sub_id", "_sub_th", "text", "hits")
+            .mapInArrow(lambda it: _segment_batches(it, window),
+                        "shard bigint, id bigint, th bigint, start int, n int, words binary"))
+
+
+def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW, **shards) -> DataFrame:
+    """Per document with a repeat: _sub_id, _sub_th, spans (array of start, n in words;
+    they may overlap). ``profiles`` is ``profile(docs)``."""
+    spans = (routed_segments(docs, profiles, window, **shards).repartition("shard").sortWithinPartitions("shard", "id", "th", "start")
              .mapInArrow(lambda it: _repeat_batches(it, window), "id bigint, th bigint, start int, n int"))
-    spans = found.union(segments.where("words is null").select("id", "th", "start", "n"))
     return (spans.groupBy(F.col("id").alias("_sub_id"), F.col("th").alias("_sub_th"))
             .agg(F.collect_list(F.struct("start", "n")).alias("spans")))
 
@@ -338,7 +358,7 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     profiles = profile(docs, window)
     spans = repeated_spans(docs, profiles, window)
-    cut = (keyed(docs.select("doc_id", "text")).join(spans, ["_sub_id", "_sub_th"]).select("_sub_id", "_sub_th", "text", "spans")
+    cut = (keyed_texts(docs).join(spans, ["_sub_id", "_sub_th"]).select("_sub_id", "_sub_th", "text", "spans")
            .mapInArrow(_digest_batches, "_sub_id bigint, _sub_th bigint, n_removed bigint, kept string").distinct())
     return profiles.drop("anchors").join(cut, ["_sub_id", "_sub_th"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
@@ -377,20 +397,20 @@ def _place_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[p
     kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32())])))
     for b in batches:
         ids, ths, hits = (b.column(c).to_pylist() for c in ("_sub_id", "_sub_th", "hits"))
-        shards = {x["h"]: (x["shard"], x["split"]) for row in hits for x in row}
+        shards = {x["h"]: (x["shard"], x["hot"]) for row in hits for x in row}
         known = np.array(sorted(shards), np.int64)
-        shard_of, split_of = np.array([shards[h] for h in known.tolist()], np.int64).reshape(-1, 2).T
+        shard_of, hot_of = (np.array([shards[h][k] for h in known.tolist()], t) for k, t in ((0, np.int64), (1, bool)))
         for i, j, buf, off in text_runs(b.column("text")):
             words = Words(buf, off)
-            anchor, inside, _ = window_anchors(words, window)
+            anchor, inside, gram = window_anchors(words, window)
             anchor = anchor.view(np.int64)
             at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
             use = np.flatnonzero(inside & (known[at] == anchor))
             if not len(use):
                 continue
-            shard, hot = shard_of[at[use]], split_of[at[use]] > 1
+            shard, hot = shard_of[at[use]], hot_of[at[use]]
             if hot.any():
-                shard[hot] = _window_shard(words.hashes(), use[hot], shard[hot], split_of[at[use]][hot], window)
+                shard[hot] = _hot_shard(gram, use[hot], shard[hot], window)
             row = np.searchsorted(words.first, use, "right") - 1
             cut = np.flatnonzero((np.diff(use) != 1) | (np.diff(shard) != 0) | (np.diff(row) != 0)) + 1
             first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(use) - 1]])
@@ -438,12 +458,11 @@ def remove_against(docs: DataFrame, reference: DataFrame, window: int = WINDOW,
     hot = most > hot_anchor
     parts = -(-total * window // shard_words)
     shards = shared.select(
-        "h", F.when(hot, F.xxhash64("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(parts))).alias("shard"),
-        F.when(hot, F.ceil(most * (window - min(GRAM, window) + 1) / hot_anchor) + 1).otherwise(F.lit(1)).cast("bigint").alias("split"))
+        "h", F.when(hot, F.xxhash64("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(parts))).alias("shard"), hot.alias("hot"))
     stretches = []
     for table, a in zip(tables, anchors):
         hits = (a.join(shards, "h").groupBy("_sub_id", "_sub_th")
-                .agg(F.collect_list(F.struct("h", "shard", "split")).alias("hits")))
+                .agg(F.collect_list(F.struct("h", "shard", "hot")).alias("hits")))
         stretches.append(keyed(table).join(hits, ["_sub_id", "_sub_th"]).select("_sub_id", "_sub_th", "text", "hits").mapInArrow(
             lambda it: _place_batches(it, window), "shard bigint, words binary, places array<struct<id bigint, th bigint, start int>>"))
     both = stretches[0].union(stretches[1].withColumn("places", F.lit(None).cast(stretches[1].schema["places"].dataType)))
