@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents (label 1) are the positives; all other text is unlabelled,
-whatever its label. A linear classifier on the presence of words and word beginnings is
-trained with numpy on the non-negative risk estimate
+whatever its label. A linear classifier on words and word beginnings (present, and present
+more than once: in a long text one of them may be chance) is trained with numpy on the non-negative risk estimate
 
     prior * mean_P loss(g, 1) + max(0, mean_U loss(g, 0) - prior * mean_P loss(g, 0))
 
@@ -41,12 +41,16 @@ from tyscope.session import materialize, ship_package
 POSITIVES = 4_000
 UNLABELLED = 12_000
 FEATURES = 4_096
-MIN_PURITY = 0.8
+MIN_PURITY = 0.65
 RARE = 0.004
-MIN_LLR = 20.0
+MIN_LLR = 8.0
 THRESHOLD = 0.3
 HELD_OUT = 2
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
+
+
+#: The lowest bit of a feature: it occurs more than once in the text.
+TWICE = np.uint64(1)
 
 
 class Model(NamedTuple):
@@ -58,10 +62,16 @@ class Model(NamedTuple):
         """Scores of n texts from their (feature, row) pairs, repeats included."""
         g = np.full(n, self.bias)
         if len(self.features) and len(feature):
-            at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
-            hit = self.features[at] == feature
-            pair = np.unique(row[hit] * len(self.features) + at[hit])
-            g += np.bincount(pair // len(self.features), self.weights[pair % len(self.features)], n)
+            plain = np.unique(self.features & ~TWICE)
+            once, twice = np.zeros(len(plain)), np.zeros(len(plain))
+            for weight, bit in ((once, 0), (twice, 1)):
+                some = (self.features & TWICE) == bit
+                weight[np.searchsorted(plain, self.features[some] & ~TWICE)] = self.weights[some]
+            at = np.minimum(np.searchsorted(plain, feature), len(plain) - 1)
+            hit = plain[at] == feature
+            pair, count = np.unique(row[hit] * len(plain) + at[hit], return_counts=True)
+            which = pair % len(plain)
+            g += np.bincount(pair // len(plain), once[which] + twice[which] * (count > 1), n)
         with np.errstate(over="ignore"):
             return 1 / (1 + np.exp(-g))
 
@@ -78,7 +88,7 @@ def text_features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         longer = lens > n
         found.append(mix64((eight[longer] & np.uint64((1 << 8 * n) - 1)) ^ np.uint64(n << 56)))
         rows.append(row[longer])
-    return np.concatenate(found), np.concatenate(rows)
+    return np.concatenate(found) & ~TWICE, np.concatenate(rows)
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -142,8 +152,11 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             feature, row = text_features(buf, off)
             order = np.lexsort((feature, row))
             feature, row = feature[order], row[order]
-            keep = np.concatenate([[True], (feature[1:] != feature[:-1]) | (row[1:] != row[:-1])]) if len(row) else row > 0
-            feature, row = feature[keep], row[keep]
+            new = np.concatenate([[True], (feature[1:] != feature[:-1]) | (row[1:] != row[:-1])]) if len(row) else row > 0
+            second = np.flatnonzero(new[:-1] & ~new[1:]) + 1 if len(row) else row
+            feature[second] |= TWICE
+            new[second] = True
+            feature, row = feature[new], row[new]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)),
                                              pa.array(feature.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
