@@ -60,10 +60,20 @@ def test_path_lengths_match_a_walk_of_the_trees():
 
 
 def test_calibrated_cut_respects_the_loss():
+    """The middle of the equally good cuts."""
     counts = [(100, 1, 990), (300, 1, 10), (300, 0, 5), (400, 0, 50)]
-    assert Q.calibrate(counts, 0.002) == 301 / Q.STEPS
-    assert Q.calibrate(counts, 0.02) == 101 / Q.STEPS
+    assert Q.calibrate(counts, 0.002) == 351 / Q.STEPS
+    assert Q.calibrate(counts, 0.02) == 201 / Q.STEPS
     assert Q.calibrate([(1, 1, 5)]) == np.inf
+    assert Q.calibrate([(5, 1, 5), (3, 0, 5)], 0.5) == np.inf
+
+
+def test_ranks_of_the_good_rows():
+    good = np.array([[0.0, x] for x in range(1001)])
+    scale = Q.Scaler.of(good)
+    z = scale(np.array([[0, 0], [0, 500], [0, 1000], [0.001, 1245], [-1, -10_000], [9, 490]]))
+    assert np.allclose(z[:, 0], [0.5, 0.5, 0.5, 1.5, -0.5, 1.5])
+    assert np.allclose(z[:, 1], [0, 0.5, 1, 1.5, -1, 0.49])
 
 
 def test_verdict_on_the_table(spark):
@@ -92,22 +102,49 @@ def test_labelled_bad_rows_go_and_good_rows_stay(spark):
         assert all(r.kept == (r.anomaly < 0.5) for r in rows)
 
 
-def test_scale_is_the_forest_of_one_statistic():
-    rng = np.random.default_rng(1)
-    x = rng.gamma(2.0, size=(400, 1))
-    forest = Q.grow(x, x.min(axis=0), x.max(axis=0) + 3, trees=30)
-    probe = np.concatenate([x[:, 0], [-1.0, 99.0], forest.value[forest.feature >= 0][:50]])
-    assert np.array_equal(Q.Scale.of(forest).score(probe), forest.score(probe[:, None]))
-
-
-def test_each_statistic_has_its_own_cut(spark):
-    """Two kinds of bad rows, each above the good rows in one statistic and below them in another."""
-    rows = [(1, [600, 100, 100, 900])] * 90 + [(1, [200, 100, 100, 1000])] * 10
-    rows += [(0, [600, 100, 300, 900])] * 5 + [(0, [650, 100, 100, 100])] * 4 + [(0, [600, 100, 100, 900])]
-    steps = spark.createDataFrame(rows, "quality int, steps array<int>").repartition(3)
-    never = Q.STEPS + 1
-    assert Q.calibrate_all(steps) == [601, never, 101, never]
-    assert Q.calibrate_all(steps.where("quality = 1")) == [never] * 4
+def test_held_out_rows_are_judged_right(spark):
+    """The half of the labelled rows that no tree has seen."""
+    from tyscope.session import read_table
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        labels = read_table(spark, sf, "labels")
+        rows = (Q.judge(read_table(spark, sf, "documents"), labels).where("not base_failed").join(labels, "doc_id")
+                .where(~Q.in_growing_half("doc_id")).collect())
+        bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+        assert len(bad) > 10 and sum(bad) <= 0.05 * len(bad) and len(good) - sum(good) <= 0.01 * len(good)
+
+
+def test_no_single_statistic_separates():
+    """Good rows have two statistics in proportion, bad rows have not; each statistic alone is
+    spread alike. The forest over all of them finds the bad rows among new ones."""
+    for seed in (1, 2):
+        rng = np.random.default_rng(seed)
+
+        def rows(n, bad):
+            a = rng.gamma(2.0, size=20 * n)
+            b = rng.gamma(2.0, size=20 * n) if bad else a * np.exp(rng.normal(0, 0.15, 20 * n))
+            keep = np.flatnonzero(np.abs(np.log(a / b)) > 1.2 if bad else a > 0)[:n]
+            return np.stack([a[keep], b[keep], rng.random(n), rng.random(n)], axis=1)
+
+        good, bad = rows(6400, False), rows(600, True)
+        for i in range(4):
+            cuts = np.quantile(bad[:, i], np.linspace(0, 1, 99))[:, None]
+            assert max(np.abs((bad[:, i] > cuts).mean(axis=1) - (good[:, i] > cuts).mean(axis=1))) < 0.3
+        scale = Q.Scaler.of(good[:4000])
+        z = scale(np.concatenate([good[:4000], bad[:300]]))
+        forest = Q.grow(scale(good[:4000]), z.min(axis=0), z.max(axis=0))
+        good_steps, bad_steps = (np.floor(forest.score(scale(x)) * Q.STEPS) for x in (good[4000:], bad[300:]))
+        cut = Q.calibrate([(int(s), 1, 1) for s in good_steps[:1200]] + [(int(s), 0, 1) for s in bad_steps[:150]], 0.01) * Q.STEPS - 0.5
+        assert (bad_steps[150:] >= cut).mean() >= 0.93 and (good_steps[1200:] >= cut).mean() <= 0.015
+
+
+def test_clashing_columns_long_texts_and_text_ids(spark):
+    rows = [(f"d{i}", " ".join(f"w{i}x{j}" for j in range(60 + i)) + (" # # # # # $ $ $ $ $ $ $" if i % 5 == 0 else ""), 7, "k", True)
+            for i in range(200)] + [("long", "word other " * 200_000, 1, "a", False), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n_words int, anomaly string, kept boolean")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 5 > 0)) for i in range(200)], "doc_id string, quality int")
+    got = {r.doc_id: r for r in Q.judge(docs, labels).collect()}
+    assert len(got) == 202 and got["long"].n_words == 400_000 and got["long"].base_failed and not got[None].kept
+    assert sum(got[f"d{i}"].kept == (i % 5 > 0) for i in range(200)) >= 196
 
 
 def test_no_labels_and_empty_tables(spark):

@@ -1,25 +1,25 @@
-"""Quality rules: isolation forests on rule statistics, one per statistic.
-
-One pass over the texts gives each document a row of counts, which is stored. For each
-statistic a forest of random splits is grown over a bounded sample of labelled rows
-(``FIT_ROWS``): the sample's range is cut at random, the good rows fill the trees, and a row
-that few splits part from them is anomalous. Cuts are drawn from a node's whole range and
-not from its good rows' own, so that a count which is the same in all good rows (no symbol
-at all) still parts rows that have it. The score is 2^(-mean path length / expected path
-length).
-
-One forest over all statistics would mix them: a good row that is rare in one scores above
-a bad row that is rare in another. So each statistic has a cut of its own, and a row that
-reaches any of them is anomalous. The cuts are calibrated on the scores of all labelled rows
-that pass the base rules, the most telling statistic first: of the cuts with which all so
-far lose at most ``MAX_LOSS`` of the good rows, the one with the largest difference between
-bad and good rows found. A statistic that does not widen that difference gets none. The
-anomaly of a row is its largest score, scaled so that every cut lies at 0.5.
+"""Quality rules: an isolation forest on rule statistics.
+
+One pass over the texts gives each document a row of counts, which is stored. A forest of
+random splits over all statistics together is grown from a bounded sample of labelled rows
+(``FIT_ROWS``): a node's box is cut at a random place of a random statistic, the good rows fill
+the trees, and a row that few splits part from them is anomalous. Boxes span bad rows
+too, so that a count which is the same in all good rows still parts rows that have it.
+The anomaly is 2^(-mean path length / expected path length).
+
+Statistics are scaled by the good rows' quantiles first: inside their range a value becomes
+its rank from 0 to 1, so that no good row is rare for being far out on one scale; beyond
+the range it moves away by its distance in units of the good rows' own tail, by 1 at most.
+
+Half of the labelled rows (by a hash of doc_id) grow the forest and the other half, never seen
+by it, calibrate one cut on the anomaly: of the cuts that lose at most ``MAX_LOSS`` of the
+good rows, the one with the largest difference between bad and good rows found. The
+anomaly that is returned is scaled so that the cut lies at 0.5.
 
 Cases: a null or empty text has zero counts and fails the base rules; a doc_id labelled
 both ways counts as good; without labelled rows nothing is judged anomalous; an empty
 table gives an empty result; null ids and repeated rows are judged like any other; only
-doc_id and text are read, so other columns cannot clash.
+doc_id and text are read, so other columns cannot clash. ``doc_id`` may be of any type.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tyscope.llm.common import SPACE_TABLE, Words, mix64, text_runs
@@ -38,8 +38,9 @@ from tyscope.session import materialize, ship_package
 
 SYMBOLS = b"#*$%&|<>"
 FIT_ROWS = 20_000
-TREES = 100
-SAMPLE = 256
+TREES = 300
+SAMPLE = 4096
+KNOTS = 257
 MAX_LOSS = 0.002
 STEPS = 2000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -102,7 +103,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts and base_failed of every row, stored."""
     ship_package(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(
-        _stat_batches, "doc_id bigint, " + ", ".join(f"{s} bigint" for s in STATS))
+        _stat_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{s} bigint" for s in STATS))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return materialize(rows.withColumn("base_failed", failed), "rule-statistics")
 
@@ -117,6 +118,36 @@ def features(cols: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([np.log1p(cols[s] / n) for s in FEATURES], axis=1)
 
 
+class Scaler(NamedTuple):
+    """Ranks among the good rows, per statistic."""
+
+    knots: list[np.ndarray]  # distinct quantiles
+    ranks: list[np.ndarray]
+    tails: np.ndarray  # [statistic, (below, above)]
+
+    @classmethod
+    def of(cls, good: np.ndarray) -> Scaler:
+        knots, ranks, tails = [], [], []
+        level = np.linspace(0, 1, KNOTS)
+        for x in good.T:
+            q = np.quantile(x, level)
+            value, first = np.unique(q, return_index=True)
+            last = np.append(first[1:], len(q)) - 1
+            knots.append(value)
+            ranks.append((level[first] + level[last]) / 2)  # a value that many rows share: its middle rank
+            low, mid, high = np.quantile(x, [0.01, 0.5, 0.99])
+            tails.append([max(mid - low, 1e-9), max(high - mid, 1e-9)])
+        return cls(knots, ranks, np.array(tails))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        for i, (knots, ranks, (below, above)) in enumerate(zip(self.knots, self.ranks, self.tails)):
+            v = x[:, i]
+            out[:, i] = (np.interp(v, knots, ranks) - np.clip((knots[0] - v) / below, 0, 1)
+                         + np.clip((v - knots[-1]) / above, 0, 1))
+        return out
+
+
 class Forest(NamedTuple):
     """Trees as arrays [tree, node]; feature -1 marks a leaf, whose value is its path length."""
 
@@ -178,26 +209,6 @@ def grow(good: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES
     return Forest(*pad, max(expected_path(sample), 1e-9))
 
 
-class Scale(NamedTuple):
-    """The score of a forest over one statistic, constant between its cuts."""
-
-    cuts: np.ndarray
-    scores: np.ndarray
-
-    @classmethod
-    def of(cls, forest: Forest) -> Scale:
-        cuts = np.unique(forest.value[forest.feature >= 0])
-        return cls(cuts, forest.score(np.concatenate([[-np.inf], cuts])[:, None]))
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return self.scores[np.searchsorted(self.cuts, x, side="right")]
-
-
-def scales(good: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[Scale]:
-    """One forest per statistic."""
-    return [Scale.of(grow(good[:, [i]], low[[i]], high[[i]], seed=7 + i)) for i in range(good.shape[1])]
-
-
 def _sample(rows: DataFrame, n: int) -> DataFrame:
     """About ``n`` rows by the hash of doc_id, never more than 2n."""
     total = rows.count()
@@ -205,47 +216,27 @@ def _sample(rows: DataFrame, n: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) < math.ceil(part * 1_000_003)).limit(2 * n)
 
 
-def _best_cut(counts: list[tuple[int, int, int]], max_loss: float) -> tuple[float, int]:
-    """The largest difference between bad and good found, and the step above which it is had."""
+def calibrate(counts: list[tuple[int, int, int]], max_loss: float = MAX_LOSS) -> float:
+    """The cut from (step of the score, good, n) counts: from it on a row is anomalous."""
     good = np.zeros(STEPS + 2)
     bad = np.zeros(STEPS + 2)
     for step, label, n in counts:
         (good if label else bad)[step] += n
     if not good.sum() or not bad.sum():
-        return 0.0, STEPS
+        return math.inf
     lost = (good.sum() - np.cumsum(good)) / good.sum()
     found = (bad.sum() - np.cumsum(bad)) / bad.sum()
     gain = np.where(lost <= max_loss, found - lost, -1)
-    best = int(gain.argmax())
-    return float(gain[best]), best
+    if gain.max() <= 0:
+        return math.inf
+    # the middle of the cuts that are equally good, away from the rows on either side
+    best = np.flatnonzero(gain == gain.max())
+    run = best[:np.argmax(np.append(np.diff(best) != 1, True)) + 1]
+    return (int(run[len(run) // 2]) + 1) / STEPS
 
 
-def calibrate(counts: list[tuple[int, int, int]], max_loss: float = MAX_LOSS) -> float:
-    """The cut from (step of the score, good, n) counts: above it a row is anomalous."""
-    gain, best = _best_cut(counts, max_loss)
-    return (best + 1) / STEPS if gain > 0 else math.inf
-
-
-def calibrate_all(steps: DataFrame, max_loss: float = MAX_LOSS) -> list[int]:
-    """Per statistic the step from which on a row is anomalous, ``STEPS + 1`` for never;
-    ``steps`` has quality and, per row, the steps of all scores. Rows that a cut has found
-    count as found and lost under every later one."""
-    cuts = [STEPS + 1] * len(FEATURES)
-    gain = 0.0
-    while True:
-        found = F.lit(False)
-        for i, cut in enumerate(cuts):
-            found = found | (F.col("steps")[i] >= cut)
-        counts: dict[int, list] = {i: [] for i, cut in enumerate(cuts) if cut > STEPS}
-        for r in (steps.select("quality", found.alias("found"), F.posexplode("steps").alias("i", "step"))
-                  .groupBy("i", F.when(F.col("found"), STEPS + 1).otherwise(F.col("step")).alias("step"), "quality")
-                  .agg(F.count(F.lit(1)).alias("n")).collect()):
-            if r.i in counts:
-                counts[r.i].append((r.step, r.quality, r.n))
-        best = max(((*_best_cut(c, max_loss), -i) for i, c in counts.items()), default=(0.0, 0, 0))
-        if best[0] <= gain:
-            return cuts
-        gain, cuts[-best[2]] = best[0], best[1] + 1
+def in_growing_half(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(23)), F.lit(2)) == 0
 
 
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_loss: float = MAX_LOSS) -> DataFrame:
@@ -256,36 +247,37 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_loss
     stats = statistics(docs)
     labelled = stats.join(labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
                           .agg(F.max("quality").alias("quality")), "doc_id").where("not base_failed")
-    rows = _sample(labelled.select("doc_id", "quality", *STATS), fit_rows).toPandas().sort_values(["doc_id", "quality", *STATS])
+    half = in_growing_half("doc_id")
+    rows = _sample(labelled.where(half).select("doc_id", "quality", *STATS), fit_rows).toPandas().sort_values(["doc_id", "quality", *STATS])
     x = features({s: rows[s].to_numpy() for s in STATS})
     good = x[rows["quality"].to_numpy() == 1]
     if len(good) < 2:
         return stats.select("doc_id", *STATS, "base_failed", F.lit(0.0).alias("anomaly"), (~F.col("base_failed")).alias("kept"))
-    grown = spark.sparkContext.broadcast(scales(good, x.min(axis=0), x.max(axis=0)))
+    scaler = Scaler.of(good)
+    z = scaler(x)
+    grown = spark.sparkContext.broadcast((scaler, grow(scaler(good), z.min(axis=0), z.max(axis=0))))
 
     def scores(b):
-        x = features({s: b.column(s).to_numpy(zero_copy_only=False) for s in STATS})
-        found = np.stack([scale.score(x[:, i]) for i, scale in enumerate(grown.value)], axis=1)
-        return found, np.minimum(STEPS, np.floor(found * STEPS)).astype(np.int32)
+        scale, forest = grown.value
+        return forest.score(scale(features({s: b.column(s).to_numpy(zero_copy_only=False) for s in STATS})))
 
     def steps_of(batches):
         for b in batches:
-            _, steps = scores(b)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("quality"), pa.FixedSizeListArray.from_arrays(steps.ravel(), len(FEATURES)).cast(pa.list_(pa.int32()))],
-                ["quality", "steps"])
+            steps = np.minimum(STEPS, np.floor(scores(b) * STEPS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(steps)], ["quality", "step"])
 
     kind = dict(labelled.dtypes)["quality"]
-    steps = materialize(labelled.select("quality", *STATS).mapInArrow(steps_of, f"quality {kind}, steps array<int>"), "rule-steps")
-    cuts = np.array(calibrate_all(steps, max_loss))
+    counts = (labelled.where(~half).select("quality", *STATS).mapInArrow(steps_of, f"quality {kind}, step int")
+              .groupBy("step", "quality").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 2 x (STEPS + 1) rows
+    cut = calibrate([(r.step, r.quality, r.n) for r in counts], max_loss)
 
     def verdict(batches):
-        at = np.minimum(cuts / STEPS, 1)
+        at = min(cut, 1.0)
         for b in batches:
-            found, steps = scores(b)
-            scaled = np.where(found < at, found / at / 2, 1 - (1 - found) / np.maximum(1 - at, 1e-9) / 2)
-            anomalous = (steps >= cuts).any(axis=1)
-            anomaly = np.where(anomalous, np.maximum(scaled.max(axis=1), 0.5), np.minimum(scaled.max(axis=1), np.nextafter(0.5, 0)))
+            score = scores(b)
+            anomalous = np.floor(score * STEPS) >= cut * STEPS - 0.5
+            scaled = np.where(score < at, score / at / 2, 1 - (1 - score) / max(1 - at, 1e-9) / 2)
+            anomaly = np.where(anomalous, np.maximum(scaled, 0.5), np.minimum(scaled, np.nextafter(0.5, 0)))
             failed = b.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anomaly), pa.array(~failed & ~anomalous)],
                                              [*b.schema.names, "anomaly", "kept"])
