@@ -32,8 +32,6 @@ class Facts(NamedTuple):
     func_var: DataFrame
     annotation: DataFrame
     rejects: DataFrame
-    #: (repo_id, stored path) shared by several files, stored (normally no row)
-    colliding: DataFrame | None = None
 
 
 FILE_KEY = ["repo_id", "path_rel"]
@@ -103,19 +101,26 @@ def reject_rows(extracted: DataFrame) -> DataFrame:
     return extracted.where(F.col("kind") == "reject").select("repo_id", "path_rel", "status")
 
 
-def fact_tables(extracted: DataFrame) -> Facts:
-    """The four tables of a (stored) extraction stream. The list of colliding files is
-    stored too (one row per such file, normally none), so that the planner knows its size."""
+def stored_colliding_files(extracted: DataFrame) -> DataFrame:
+    """The list of colliding files (one row each, normally none), stored, so that the planner
+    knows its size and nobody finds them again."""
     from tyscope.session import materialize
-    colliding = materialize(colliding_files(extracted), "colliding-files")
+    return materialize(colliding_files(extracted), "colliding-files")
+
+
+def fact_tables(extracted: DataFrame, colliding: DataFrame | None = None) -> Facts:
+    """The four tables of a (stored) extraction stream; ``colliding``: ``stored_colliding_files``
+    of it, where the caller has them."""
+    if colliding is None:
+        colliding = stored_colliding_files(extracted)
     return Facts(module_rows(extracted, colliding), func_var_rows(extracted, colliding),
-                 annotation_rows(extracted, colliding), reject_rows(extracted), colliding)
+                 annotation_rows(extracted, colliding), reject_rows(extracted))
 
 
 def stored_tables(t: Facts) -> Facts:
     """The fact tables written once, deduplicated, so that every report only reads its columns."""
     from tyscope.session import materialize
-    return Facts(*[materialize(df, f"fact-{name}") for name, df in zip(Facts._fields[:4], t)], t.colliding)
+    return Facts(*[materialize(df, f"fact-{name}") for name, df in zip(Facts._fields, t)])
 
 
 def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:

@@ -56,7 +56,7 @@ def function_definitions(extracted: DataFrame, wanted: DataFrame | None = None,
 
     The extractor flags it, so this is a filter; only files that share a stored path
     (normally none) need a step keyed by name. ``wanted`` (``repo_id, path_rel, name``)
-    keeps those functions only. ``colliding``: the stored list of such files (``Facts.colliding``);
+    keeps those functions only. ``colliding``: the stored list of such files (``facts.stored_colliding_files``);
     without it they are found again when the result is computed.
     """
     defs = (extracted.where((F.col("kind") == "func_var") & F.col("first_def"))

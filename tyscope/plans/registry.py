@@ -563,11 +563,16 @@ def _tri_extracted(spark, sf):
 
 
 def _tri_facts(spark, sf):
-    return _once(spark, ("triage-facts", sf), lambda: facts.stored_tables(facts.fact_tables(_tri_extracted(spark, sf))))
+    return _once(spark, ("triage-facts", sf),
+                 lambda: facts.stored_tables(facts.fact_tables(_tri_extracted(spark, sf), _tri_colliding(spark, sf))))
+
+
+def _tri_colliding(spark, sf):
+    return _once(spark, ("triage-colliding", sf), lambda: facts.stored_colliding_files(_tri_extracted(spark, sf)))
 
 
 def _tri_definitions(spark, sf, wanted=None):
-    return triage.function_definitions(_tri_extracted(spark, sf), wanted, _tri_facts(spark, sf).colliding)
+    return triage.function_definitions(_tri_extracted(spark, sf), wanted, _tri_colliding(spark, sf))
 
 
 def _tri_full(spark, sf):
