@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tyscope.llm.common import LOWER_TABLE, Words, concat_ranges, mix64, text_runs
+from tyscope.operators.windows import top_k_per_group
 from tyscope.session import materialize, ship_package
 
 MAX_WORDS = 3
@@ -55,6 +56,8 @@ BROADCAST_HASHES = 4_000_000
 #: Counters that a summary lets wait at least before it merges them.
 WAITING = 250_000
 SALTS = 8
+#: Parts of a language whose first phrases are taken before the language's.
+BUCKETS = 8
 
 #: A phrase does not reach across these bytes.
 BREAKS = np.zeros(256, bool)
@@ -369,8 +372,8 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
                  top: int = TOP, **options) -> DataFrame:
     """The ``top`` phrases of every language of ``docs`` (text, lang): lang, rank, phrase, a, l, r, n, score."""
     counts = phrase_counts(docs, max_words, min_count, **options)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = (scored(counts, max_words, cover_share).withColumn("rank", F.row_number().over(order))
-              .where(F.col("rank") <= top))
+    # the first of every language and bucket, then of every language: a bounded number of rows meets
+    ranked = top_k_per_group(scored(counts, max_words, cover_share), ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")],
+                             top, rank_col="rank", split_cols=["phrase"], buckets=BUCKETS)
     sizes = counts.where("n = 0").select("lang", F.col("a").alias("n"))
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -31,7 +31,8 @@ Hashes choose the shard only; words are compared as they are.
 Cases: a null text has no words; a null doc_id sorts last (as the largest number); rows equal
 in doc_id and text count as one document; rows with one doc_id and different texts are
 ordered by a hash of the text; an empty table gives an empty result; other columns are
-kept, and helper columns carry the prefix ``_sub_``.
+kept, and helper columns carry the prefix ``_sub_``. ``doc_id`` is a whole number: the order of
+documents is its order.
 """
 
 from __future__ import annotations

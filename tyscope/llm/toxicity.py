@@ -20,7 +20,7 @@ Cases: null and empty texts have no features and score the bias alone; a null do
 not held out and not learned from; a doc_id labelled both ways counts as toxic, and one
 with several texts lends one of them to the fit; without
 positives every score is 0; an empty table gives an empty result; other columns are
-kept, and helper columns carry the prefix ``_tox_``.
+kept, and helper columns carry the prefix ``_tox_``. ``doc_id`` is a whole number.
 """
 
 from __future__ import annotations
