@@ -47,14 +47,14 @@ TOP = 2000
 #: Capacity of a summary in units of mass / threshold.
 SPARE = 4
 #: Bytes of text per hash partition.
-PARTITION_BYTES = 8 << 20
-RUN_TEXT = 2 << 20
+PARTITION_BYTES = 4 << 20
+RUN_TEXT = 1 << 20
 #: Word positions that are counted in one go.
 CHUNK_WORDS = 1 << 20
 #: Hashes of surviving n-grams that are broadcast, 8 bytes each.
 BROADCAST_HASHES = 4_000_000
 #: Counters that a summary lets wait at least before it merges them.
-WAITING = 250_000
+WAITING = 125_000
 SALTS = 8
 #: Parts of a language whose first phrases are taken before the language's.
 BUCKETS = 8
