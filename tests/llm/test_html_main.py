@@ -74,7 +74,12 @@ def test_a_card_or_an_empty_article_is_not_the_page():
     want = "the long text of the page\nand more of it"
     assert x(f"<main>{text}</main><article>card</article>") == want
     assert x(f"<main>{text}<article>quote</article></main>") == want + "\nquote"
-    assert x(f"<div>{text}</div><article>card</article>") == want + "\ncard"
+    assert x(f"<div>{text}</div><article>card</article>") == want
+    assert x(f"<div>{text}</div><div class=cards><article>one</article><article>two</article></div>") == want
+    assert x("<div><p>the long text of the page</p><article>quote</article><p>and more of it</p></div>") == (
+        "the long text of the page\nquote\nand more of it")
+    assert x(f"<main><article>{text}</article></main><article>a card that is outside</article>") == (
+        "the long text of the page\nand more of it")
     assert x(f"<div>{text}</div><article><script>x</script></article>") == want
     assert x(f"<div>{text}</div><main></main><article></article>") == want
     assert x(f"<main><article></article></main><div>{text}</div>") == want
@@ -137,3 +142,77 @@ def test_outside_of_articles_the_low_share_holds(spark):
     rows = [(i, f"http://a.org/{i}", f"<body><h1>T{i}</h1><p>text {i} of the page</p>{box if i < 10 else ''}</body>") for i in range(100)]
     got = {r.page_id: r.text for r in M.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all(got[i] == f"T{i}\ntext {i} of the page" for i in range(100))
+
+
+def test_a_page_inside_a_form_or_a_named_wrapper():
+    x = M.extract
+    text = "<h1>T</h1><p>the text of the page</p><p>and more of it</p>"
+    want = "T\nthe text of the page\nand more of it"
+    for wrap in ("<form id=aspnet>{}</form>", "<dialog open>{}</dialog>", "<div class=related>{}</div>", "<div class=login>{}</div>",
+                 "<form><div class=search>{}</div></form>", "<div class=content-sidebar-wrap>{}</div>", "<div role=dialog>{}</div>"):
+        assert x(f"<body><nav>menu</nav>{wrap.format(text)}<footer>foot</footer>") == want, wrap
+        assert x(f"<body><div class=ad>buy</div>{wrap.format(text)}") == want, wrap
+    for part in ("<form>name <input> send it</form>", "<div class=login>log in</div>", "<dialog>sure?</dialog>"):
+        assert x(f"<body>{text}{part}") == want, part
+    for never in ("nav", "footer", "aside", "menu"):
+        assert x(f"<{never}>{text}</{never}>") == "", never
+    assert x(f"<p>short</p><div class=comments>{text}</div>") == "short"
+
+
+def test_names_of_several_words():
+    x = M.extract
+    for cls in ("comment-list", "comments-area", "comment", "ad-container", "ad_slot", "main-nav", "cookie-banner",
+                "newsletter-signup", "cookie-notice", "share-bar", "related-links"):
+        part = f"<div class='x {cls}'><p>out</p></div>"
+        assert x(f"<article><p>the text of a page</p>{part}<p>b</p></article>") == "the text of a page\nb", cls
+        assert x(f"<body><div><p>the text of a page</p>{part}<p>b</p></div>") == "the text of a page\nb", cls
+    for cls in ("no-sidebar", "has-comments", "notice-period", "related-work", "post-header", "ad-hoc", "shared-memory", "searching"):
+        assert x(f"<div class={cls}><p>in</p></div><p>b</p>") == "in\nb", cls
+        assert x(f"<article><div class={cls}><p>in</p></div><p>b</p></article>") == "in\nb", cls
+
+
+def test_a_button_does_not_end_a_block():
+    assert M.extract("<p>one <button>click</button>two</p>") == "one two"
+    assert M.extract("<article><p>one</p><button>click <b>me</b></button><p>two</p></article>") == "one\ntwo"
+
+
+def made_site(rnd, host, pages):
+    """Pages without main or article; nothing but recurrence tells the parts of the layout. Yields (html, main text)."""
+    code = {k: f"c{rnd.randrange(16 ** 6):06x}" for k in "top menu body box links".split()}
+    shared = "<div><p>All about us.</p><p>Write to us!</p></div>"
+    word = lambda: "".join(rnd.choice("aeiou") + rnd.choice("bdfgklmnprst") for _ in range(rnd.randrange(1, 5)))
+    for i in range(pages):
+        say = lambda n: " ".join(word() for _ in range(n))
+        links = lambda n: "".join(f"<li><a href='/{word()}'>{say(2)}</a>" for _ in range(n))
+        blocks = [say(4), *(say(rnd.randrange(20, 60)) for _ in range(rnd.randrange(2, 6)))]
+        text = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        html = (f"<html><body><div class={code['top']}>{host}</div><div class={code['menu']}><ul>{links(6)}</ul></div>"
+                f"<div class={code['body']}>{text}<div class='promo-{code['box']}'>{say(6)}</div></div>"
+                f"<div class={code['links']}>See also<ul>{links(rnd.randrange(3, 9))}</ul></div>{shared}</body></html>")
+        yield html, "\n".join(blocks)
+
+
+def test_recurrence_alone_tells_the_layout(spark):
+    rnd = random.Random(7)
+    rows, want = [], {}
+    for host, n in (("a.org", 60), ("b.net", 25), ("c.com", 200)):
+        for html, text in made_site(rnd, host, n):
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://{host}/{len(rows)}", html))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    assert {r.page_id: r.text for r in M.main_text(pages).collect()} == want
+    without = {k: M.extract(html) for k, _, html in rows}
+    assert all(without[k] != want[k] for k in want)
+
+
+def test_slots_spare_the_text(spark):
+    """Link lists recur in one slot, but where they are most of a page they are its text; so are texts in one slot."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(40):
+        links = "".join(f"<li><a href=x>link {rnd.random()}</a>" for _ in range(5))
+        note = f"<div class=note><p>note {rnd.random()}</p></div>"
+        rows.append((i, f"http://a.org/{i}", f"<div class=sponsor-story><p>story {i} of {rnd.random()}</p>{note}</div><div class=l><ul>{links}</ul></div>"))
+    got = {r.page_id: r.text for r in M.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i, _, html in rows:
+        assert got[i] == "\n".join(re.findall(r"<p>(.*?)</p>", html))

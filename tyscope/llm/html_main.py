@@ -14,9 +14,23 @@ articles and main elements outside of it have as much text (a comment list, teas
 
 Only containers are template candidates (divisions, lists, tables and the like); the
 paragraphs and headings of an article are its text even where many articles share them.
+
+Menus and adverts whose text changes recur by their place: a slot is a container's chain of
+names and classes from the root on, without any text. A container outside of articles that
+has half of its text in links, or any container with one word of a class from the lists, is
+template where more than ``ROOT_SHARE`` of its host's pages have such a container in that
+slot and it has less than half of the page's unlinked text.
+
+A class whose words all are such names or say nothing ("comment-list", "ad-container") is a
+name like a whole one. A form, a dialog or what is named by class, id or role stays where it
+has the larger part of the text around it, and the unnamed text beside it is less than
+``BESIDE`` of its own: a page inside a form is not a form. Menus, footers, asides, comments
+and hidden elements never stay for their size.
 The main text is that of ``main`` where that has text, and at least as much as the articles
 outside of it, else that of the whole body; and of this only what ``article`` elements hold,
-where they hold the larger part (a teaser card or an empty article does not).
+where they hold the larger part (a teaser card or an empty article does not). Where they do
+not, articles stay that stand in the flow of the text (a quote between paragraphs of one
+container), and those beside it go (teaser cards).
 
 A block is the text between two block element tags: character references decoded, white
 space made one space, trimmed. Blocks are joined by a line feed.
@@ -45,6 +59,7 @@ from tyscope.session import materialize, ship_package
 MIN_PAGES = 8
 MIN_SHARE = 0.01
 ROOT_SHARE = 0.5
+BESIDE = 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is passed over; ``annotation`` is a formula's source beside the formula
@@ -52,7 +67,7 @@ RAW = frozenset("""script style textarea title noscript iframe template xmp noem
     annotation-xml""".split())
 #: those that hold the rest of a page where they are not closed; the others' tag is passed over alone
 TO_THE_END = frozenset("script style textarea title".split())
-INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp
+INLINE = frozenset("""a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp
     small span strike strong sub sup time tt u var wbr br img object math semantics maction merror mfenced mfrac mi
     mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable
     mtd mtext mtr munder munderover""".split())
@@ -71,8 +86,20 @@ ARTICLE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising
     nav navbar navigation breadcrumb breadcrumbs cookie cookies consent newsletter subscribe comments disqus respond
     share sharing related recommended pagination pager gdpr""".split())
 ARTICLE_IDS = frozenset("comments disqus_thread respond".split())
+#: parts of a class that say nothing about what it holds
+PLAIN_PARTS = frozenset("""area bar bottom box container fixed form inner item items left link links list main mobile outer
+    page panel right site slot sticky top unit wrap wrapper zone""".split())
+COMMENT_NAMES = frozenset("comment comments disqus respond disqus_thread".split())
+#: one of them among other words is a hint; a header may be that of the text
+HINTS = NAMES - {"header"}
+ARTICLE_HINTS = ARTICLE_NAMES | COMMENT_NAMES
+#: never the main text, however long
+NEVER = DROPPED - {"form", "dialog"} | {"header"}
 ARTICLE_ROLES = ROLES - {"alert", "banner"}
-ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORS = HEADINGS | {"p"}
+#: elements in whose flow text and articles stand
+FLOWS = CONTAINERS - {"ul", "ol", "dl", "table"} | {"body", "main", "article", "td", "th", "li", "blockquote"}
 #: an element that opens ends an open one of the listed kinds, unless one of the bounds is between
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -129,10 +156,15 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Open:
-    __slots__ = ("name", "kind", "held", "root", "parts", "blocks")
+    """An open element. ``slot`` is its chain of names and classes, ``flow`` the number of the innermost
+    flow element at or around it, ``card`` that of the flow an article around it stands in, ``text`` and
+    ``linked`` what the page had in letters before it."""
+
+    __slots__ = ("name", "kind", "held", "root", "parts", "blocks", "slot", "hint", "flow", "card", "text", "linked")
 
-    def __init__(self, name, kind, held, root, blocks):
+    def __init__(self, name, kind, held, root, blocks, slot=b"", hint=False, flow=0, card=-1, text=0, linked=0):
         self.name, self.kind, self.held, self.root, self.parts, self.blocks = name, kind, held, root, [], blocks
+        self.slot, self.hint, self.flow, self.card, self.text, self.linked = slot, hint, flow, card, text, linked
 
 
 def attributes_of(source: str) -> Iterator[tuple[str, str]]:
@@ -141,39 +173,70 @@ def attributes_of(source: str) -> Iterator[tuple[str, str]]:
         yield m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
 
 
-def names_itself(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element calls itself something else than main text."""
-    if name in DROPPED or name == "header" and not in_article:
-        return True
+def class_parts(value: str) -> Iterator[list[str]]:
+    """The words of each class: "comment-list" has two."""
+    for one in value.split():
+        yield [w for w in re.split(r"[-_]+", one) if w]
+
+
+def names_itself(name: str, attributes: str, in_article: bool) -> str:
+    """What an element calls itself other than main text: "never" where its size does not
+    matter, "named" where the larger part of a page may stay, "hint" for a class with one
+    such word, else ""."""
+    if name in NEVER and not (name == "header" and in_article):
+        return "never"
+    said = "named" if name in DROPPED else ""
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return said
+    names, roles = (ARTICLE_NAMES, ARTICLE_ROLES) if in_article else (NAMES, ROLES)
     for key, value in attributes_of(attributes):
-        if key == "role" and value in (ARTICLE_ROLES if in_article else ROLES) or key == "aria-hidden" and value == "true":
-            return True
-        if key == "class" and not (ARTICLE_NAMES if in_article else NAMES).isdisjoint(value.split()):
-            return True
-        if key == "id" and name not in ANCHORS and value.strip() in (ARTICLE_IDS if in_article else NAMES):
-            return True
-        if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+        if key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+            return "never"
         if key == "hidden" and value != "until-found":
-            return True
-    return False
+            return "never"
+        if key == "role" and value in roles:
+            said = "named"
+        elif key == "id" and name not in ANCHORS and value.strip() in (ARTICLE_IDS if in_article else NAMES):
+            if value.strip() in COMMENT_NAMES:
+                return "never"
+            said = "named"
+        elif key == "class":
+            block = name not in INLINE  # code has spans of the class comment
+            for one in value.split():
+                if one in names or one == "comment" and block:
+                    if block and one in COMMENT_NAMES:
+                        return "never"
+                    said = "named"
+            for parts in class_parts(value):
+                if len(parts) < 2:
+                    continue
+                some = not (ARTICLE_HINTS if in_article else NAMES).isdisjoint(parts)
+                if some and all(w in NAMES or w in PLAIN_PARTS for w in parts):
+                    if block and not COMMENT_NAMES.isdisjoint(parts):
+                        return "never"
+                    said = "named"
+                elif some and not said and not HINTS.isdisjoint(parts):
+                    said = "hint"
+    return said
 
 
 class _Named:
-    """An element that names itself: the next one around it and the roots inside it."""
+    """An element that names itself: the next one around it, the roots inside it, and whether
+    its size cannot save it."""
 
-    __slots__ = ("up", "roots")
+    __slots__ = ("up", "roots", "never")
 
-    def __init__(self, up):
-        self.up, self.roots = up, set()
+    def __init__(self, up, never):
+        self.up, self.roots, self.never = up, set(), never
 
 
 class _Block(NamedTuple):
     text: str
     held: int               # the innermost named element around it, -1 for none
     root: int               # 1 in main, 2 in an article, 3 in both, 0 elsewhere
+    flow: int               # the flow element it stands in, -1 for a heading
+    card: int               # the flow element that the article around it stands in, -1 for none
+    linked: int             # letters of it in links
     pieces: Sequence = ()   # where parts of it lie in named elements: text, innermost named element
 
 
@@ -181,68 +244,102 @@ def _words(pieces: Iterable[str]) -> str:
     return " ".join(unescape("".join(pieces)).split())
 
 
+def _summed(named: list[_Named], own: list[int]) -> list[int]:
+    """Per named element its own text and that of the named ones inside it."""
+    whole = own[:]
+    for k in range(len(named) - 1, -1, -1):
+        whole[named[k].up] += whole[k]
+    return whole
+
+
 def _kept(named: list[_Named], blocks: list[_Block]) -> list[bool]:
     """Per named element, whether its text stays; the last entry is for none (-1)."""
-    own = [0] * (len(named) + 1)    # text of roots that lies in it and in no named element inside it
+    in_roots = [0] * (len(named) + 1)   # text of roots that lies in it and in no named element inside it
+    unlinked = in_roots[:]              # the same of all text but links
     for o in blocks:
         if o.root:
-            own[o.held] += len(o.text)
-    whole = own[:]
-    for k in range(len(named) - 1, -1, -1):
-        whole[named[k].up] += whole[k]
-    kept = [True] * len(own)
+            in_roots[o.held] += len(o.text)
+        unlinked[o.held] += max(0, len(o.text) - o.linked)
+    whole, prose = _summed(named, in_roots), _summed(named, unlinked)
+    kept = [True] * len(in_roots)
     for k, o in enumerate(named):
-        kept[k] = kept[o.up] and ("main" in o.roots or "article" in o.roots and whole[k] > own[o.up])
+        rooted = ("main" in o.roots or "article" in o.roots) and whole[k] > in_roots[o.up]
+        larger = not (o.never or o.roots or whole[-1]) and 2 * prose[k] > prose[o.up] and BESIDE * prose[k] > unlinked[o.up]
+        kept[k] = kept[o.up] and (rooted or larger)
     return kept
 
 
-def _main_part(found: list[tuple[str, int]]) -> list[str]:
-    """Of the (text, root) blocks the main text's."""
+def _main_part(found: list[tuple[str, _Block]]) -> list[str]:
+    """Of the blocks with their texts the main text's."""
     size = [0] * 4
-    for text, root in found:
-        size[root] += len(text)
+    for text, o in found:
+        size[o.root] += len(text)
     whole = size[1] + size[3]
     if not whole or size[2] > whole:
         whole, base = sum(size), (0, 1, 2, 3)
     else:
         base = (1, 3)
     if 2 * sum(size[r] for r in base if r > 1) > whole:
-        base = (2, 3)
-    return [text for text, root in found if root in base]
+        return [text for text, o in found if o.root > 1 and o.root in base]
+    flows = {o.flow for _, o in found if o.root in base and o.root < 2}
+    return [text for text, o in found if o.root in base and (o.root < 2 or o.card in flows)]
+
+
+def _hash(*parts: bytes) -> bytes:
+    return blake2b(b"\x00".join(parts), digest_size=8).digest()
 
 
 def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None = None) -> str:
-    """The main text of a page without the subtrees in ``templates``; ``hashes`` gets the
-    candidate subtrees' hashes as keys, odd ones for subtrees inside an article or main element."""
+    """The main text of a page without the subtrees and slots in ``templates``; ``hashes`` gets the
+    candidates' hashes as keys, odd ones for slots and for subtrees inside an article or main element."""
     blocks: list[_Block] = []
     stack = [_Open("", "block", -1, 0, 0)]
-    now: list[tuple[str, int]] = []         # the running block's pieces: text, innermost named element
+    now: list[tuple[str, int, bool]] = []   # the running block's pieces: text, innermost named element, in a link
     named: list[_Named] = []                # the elements that name themselves, outer ones first
+    slots: list[tuple[int, int, int]] = []  # blocks from, to, and unlinked letters of the containers in template slots
+    text = linked = links = flows = 0       # letters so far, those in links, links now open, flow elements so far
 
     def flush():
+        nonlocal text, linked
         top = next(o for o in reversed(stack) if o.kind != "inline")
-        text = _words(p for p, _ in now)
-        if text:
-            mixed = len({held for _, held in now}) > 1
-            blocks.append(_Block(text, top.held if mixed else now[0][1], top.root, now[:] if mixed else ()))
-            top.parts.append(text)
+        words = _words(p for p, _, _ in now)
+        if words:
+            in_links = min(len(words), len(_words(p for p, _, link in now if link)))
+            text, linked = text + len(words), linked + in_links
+            mixed = len({held for _, held, _ in now}) > 1
+            blocks.append(_Block(words, top.held if mixed else now[0][1], top.root, -1 if top.name in HEADINGS else top.flow,
+                                 top.card, in_links, now[:] if mixed else ()))
+            top.parts.append(words)
         now.clear()
 
     def close():
+        nonlocal links
         o = stack[-1]
         if o.kind == "inline":
             stack.pop()
+            links -= o.name == "a"
             return
         flush()
         stack.pop()
-        h = blake2b("\x00".join([o.name, o.kind, *o.parts]).encode("utf-8", "replace"), digest_size=8).digest()
+        h = _hash("\x00".join([o.name, o.kind, *o.parts]).encode("utf-8", "replace"))
         stack[-1 - next(k for k, p in enumerate(reversed(stack)) if p.kind != "inline")].parts.append(h.hex())
-        if o.name in CONTAINERS and o.parts:
-            h = int.from_bytes(h, "big", signed=True) & ~1 | (o.root > 0)
+        if o.name not in CONTAINERS or not o.parts:
+            return
+        h = int.from_bytes(h, "big", signed=True) & ~1 | (o.root > 0)
+        if hashes is not None:
+            hashes[h] = True
+        if h in templates:
+            del blocks[o.blocks:]
+            while slots and slots[-1][0] >= o.blocks:
+                slots.pop()
+            return
+        letters, in_links = text - o.text, linked - o.linked
+        if letters and (o.hint or not o.root and 2 * in_links >= letters):
+            h = int.from_bytes(o.slot, "big", signed=True) | 1
             if hashes is not None:
                 hashes[h] = True
             if h in templates:
-                del blocks[o.blocks:]
+                slots.append((o.blocks, len(blocks), letters - in_links))
 
     def end(names, bounds):
         for k in range(len(stack) - 1, 0, -1):
@@ -255,14 +352,14 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
 
     for what, name, attributes in tokens(html):
         if what == "text":
-            now.append((name, stack[-1].held))
+            now.append((name, stack[-1].held, links > 0))
         elif what == "close":
             if name in ("br", "hr"):
-                now.append((" ", stack[-1].held))
+                now.append((" ", stack[-1].held, links > 0))
             elif name not in VOID:
                 end({name}, () if name not in INLINE else P_BOUND)
         elif name in ("br", "img", "wbr", "param"):
-            now.append((" " if name == "br" else "", stack[-1].held))
+            now.append((" " if name == "br" else "", stack[-1].held, links > 0))
         elif name in VOID:
             flush()
         elif name not in RAW:  # whose text is not among the tokens
@@ -273,8 +370,9 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
                     end(*IMPLIED[name])
             up = stack[-1]
             held = up.held
-            if names_itself(name, attributes, up.root > 1):
-                named.append(_Named(held))
+            said = names_itself(name, attributes, up.root > 1)
+            if said and said != "hint":
+                named.append(_Named(held, said == "never"))
                 held = len(named) - 1
             root = up.root | ROOTS.get(name, 0)
             if name in ROOTS:
@@ -282,21 +380,31 @@ def extract(html: str, templates: frozenset = frozenset(), hashes: dict | None =
                 while k >= 0 and name not in named[k].roots:
                     named[k].roots.add(name)
                     k = named[k].up
+            card = up.flow if name == "article" and up.card < 0 else up.card
             if inline:
-                stack.append(_Open(name, "inline", held, root, 0))
+                links += name == "a"
+                stack.append(_Open(name, "inline", held, root, 0, up.slot, False, up.flow, card))
             else:
                 flush()
                 cls = next((m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class"), "")
-                stack.append(_Open(name, "block " + cls, held, root, len(blocks)))
+                flows += 1
+                stack.append(_Open(name, "block " + cls, held, root, len(blocks),
+                                   _hash(up.slot, name.encode("utf-8", "replace"), cls.encode("utf-8", "replace")),
+                                   said == "hint", flows if name in FLOWS else up.flow, card, text, linked))
     while len(stack) > 1:
         close()
     flush()
+    gone = bytearray(len(blocks))
+    for first, last, letters in reversed(slots):  # outer ones before those inside them
+        if first < last <= len(blocks) and not gone[first] and 2 * letters < text - linked:
+            gone[first:last] = b"\x01" * (last - first)
+    blocks = [o for o, x in zip(blocks, gone) if not x]
     kept = _kept(named, blocks)
     found = []
     for o in blocks:
-        text = _words(p for p, held in o.pieces if kept[held]) if o.pieces else o.text if kept[o.held] else ""
-        if text:
-            found.append((text, o.root))
+        words = _words(p for p, held, _ in o.pieces if kept[held]) if o.pieces else o.text if kept[o.held] else ""
+        if words:
+            found.append((words, o))
     return "\n".join(_main_part(found))
 
 
