@@ -119,3 +119,29 @@ def test_empty_tables(spark):
     assert D.contamination(none, bench).count() == 0
     assert [tuple(r)[:4] for r in D.contamination(some, bench).collect()] == [(1, 3, 0, 0)]
     assert D.longest_matches(some, bench).count() == 0
+
+
+def test_one_python_operator_for_any_number_of_blocks(spark):
+    docs, items = cases(random.Random(10))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    bench = spark.createDataFrame(items * 3, "item_id bigint, text string").repartition(4)
+    blocks = D.write_blocks(bench, 100)
+    read = [b for b in map(blocks.read, range(blocks.count)) if b is not None]
+    assert len(read) > 10
+    assert sorted(i for b in read for i in b.ids) == sorted("" if i is None else str(i) for i, _ in set(items))
+    assert blocks.longest == max(len(words(t)) for _, t in items)
+    plan = D.with_hits(df, bench, block_bytes=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0] and "Broadcast" not in plan
+
+
+def test_rounds_keep_the_last_block(spark):
+    bench = spark.createDataFrame([(i, f"w{i} some words") for i in range(40)], "item_id bigint, text string")
+    blocks = D.write_blocks(bench, 200)
+    reads = []
+    real = blocks.read
+    blocks.read = lambda k: reads.append(k) or real(k)
+    rounds = blocks.rounds()
+    for _ in range(3):
+        assert sorted(i for b in next(rounds) for i in b.ids) == sorted(map(str, range(40)))
+    n = blocks.count
+    assert n > 2 and reads == [*range(n), *range(n - 1)[::-1], *range(1, n)]
