@@ -164,3 +164,14 @@ def test_empty_table(spark):
     assert S.near_duplicates(docs).count() == 0
     assert S.keep_one(docs).columns == ["doc_id", "text", "lang"]
     assert S.keep_one(docs).count() == 0
+
+
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 2 else i) for i in range(4000)], "doc_id bigint, fp bigint")
+    sizes = rows.groupBy("fp").agg(S.F.count(S.F.lit(1)).alias("n"))
+    labels = rows.select("fp").distinct().withColumn("name", S.F.col("fp") * 10)
+    joined = S.join_spread(rows, labels, "fp", S.F.col("doc_id"), sizes)
+    assert sorted(map(tuple, joined.select("doc_id", "fp", "name").collect())) == [
+        (i, 7 if i % 2 else i, 70 if i % 2 else 10 * i) for i in range(4000)]
+    empty = S.join_spread(rows.limit(0), labels.limit(0), "fp", S.F.col("doc_id"), sizes.limit(0))
+    assert empty.count() == 0

@@ -25,6 +25,10 @@ each block has bits of every segment, and a fingerprint takes the key with each
 value. At four errors one of the five blocks is equal, so no link is lost. Such keys are
 found in a sample of the fingerprints; one that the sample misses stays whole.
 
+A component's id reaches its fingerprints, and a fingerprint's component its documents, by
+joins in which a key with more than one in ``HOT_PARTS`` of all rows (there are fewer than
+``HOT_PARTS`` of them) is dealt out over ``SALTS`` parts.
+
 Cases: no words (null or empty text) gives fingerprint zero, linked like any other;
 equal fingerprints are compared once, however many documents share them; a null doc_id
 takes part but is never a component's id unless it has no other; an empty table gives
@@ -38,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tyscope.llm.common import mix64, text_runs
@@ -51,6 +55,8 @@ SMALL_GROUP = 32
 LARGE_GROUP = 4096
 SAMPLE = 64
 MAX_HOT = 100_000
+HOT_PARTS = 1000
+SALTS = 128
 
 #: Generator polynomial of the [23,12] binary Golay code (fixed value).
 GOLAY_POLY = 0b110001110101
@@ -312,16 +318,32 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def join_spread(rows: DataFrame, labels: DataFrame, key: str, place: Column, sizes: DataFrame) -> DataFrame:
+    """``rows`` joined by ``key`` with ``labels``, which has one row per key. ``sizes`` (key, n) counts
+    the rows of a key: keys with more than one in ``HOT_PARTS`` of them are spread by ``place``, a
+    number that tells their rows apart, and their label travels to each part."""
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in sizes.where(F.col("n") * HOT_PARTS > total).select(key).collect()]  # fewer than HOT_PARTS
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(place, F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = labels.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Every document row as (doc_id, th, fp, component, component_id): th is a hash of the
     text, component the group's root fingerprint, component_id its smallest doc_id."""
     rows = materialize(fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), shingle), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")),
+                           "distinct-fingerprints")
     roots = components(links(distinct, max_bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp"))
-    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = named.select("fp", "component").join(ids, "component")
-    return rows.join(labels, "fp").select("doc_id", "th", "fp", "component", "component_id")
+    named = materialize(distinct.select("fp", "first_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                        .select("fp", "first_id", F.coalesce("root", "fp").alias("component")), "named-fingerprints")
+    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    labels = join_spread(named.select("fp", "component"), ids.drop("n"), "component", F.xxhash64("fp"), ids)
+    # the stored rows are read by the same tasks again, so that a row's number is the same in every attempt
+    found = join_spread(rows, labels, "fp", F.monotonically_increasing_id(), distinct)
+    return found.select("doc_id", "th", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
