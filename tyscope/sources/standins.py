@@ -176,9 +176,10 @@ def _tree_folder(sz: F.Column) -> tuple[F.Column, F.Column, F.Column]:
 
 
 def _spread(narrow: DataFrame) -> DataFrame:
-    """The narrow rows the texts are made from, over four tasks per core (the texts
-    themselves are never moved)."""
-    return narrow.repartition(4 * narrow.sparkSession.sparkContext.defaultParallelism)
+    """The narrow rows the texts are made from, over four tasks per core, or as many as a
+    shuffle has (the texts themselves are never moved)."""
+    spark = narrow.sparkSession
+    return narrow.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
 # Kinds of odd files, by p_partkey % ODD_KINDS (see ``odd_files``).
@@ -234,7 +235,7 @@ def source_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     orphan stub; a module named ``mypy.py`` in an ordinary folder.
     ``(rel_path string, content string)``
     """
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = _spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     pk, sz = F.col("p_partkey"), F.col("p_size")
     pks = _s(pk)
     year, user, repo = _tree_folder(sz)
@@ -287,7 +288,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     name (two slashes).
     ``year, iteration, pos, name, url, stars, created_at``
     """
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal")
+    c = _spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_acctbal"))
     ck = F.col("c_custkey")
     x = (c.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(4))))
          .where((ck + F.col("iteration")) % 7 != 0)
@@ -354,7 +355,7 @@ def triage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One module per part with a fully annotated function whose annotations cycle
     through ``TRIAGE_CASES``; a method of the same name follows it.
     ``(repo_id int, path_rel string, content string)``"""
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = _spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     pk = F.col("p_partkey")
     n = len(TRIAGE_CASES)
     texts = F.array(*[F.lit(c) for c in TRIAGE_CASES])
