@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tyscope.operators import reports
 from tyscope.schemas import ANNOTATION, ANNOTATION_KEY, FUNC_VAR, FUNC_VAR_KEY
-from tyscope.session import materialize
 from tyscope.sources import keyed_table as KT
 from tyscope.sources.interchange import stage_rows
 
@@ -59,8 +58,8 @@ def update_full_annot(spark: SparkSession, root: str) -> DataFrame:
         old = set(), set()
     if now == list(old):
         return read_full_annot(spark, root)
-    fv_new = materialize(KT.read_fact_table(spark, fv_path, FUNC_VAR, sorted(now[0] - old[0])), "new-func-var")
-    an_new = materialize(KT.read_fact_table(spark, an_path, ANNOTATION, sorted(now[1] - old[1])), "new-annotation")
+    fv_new = KT.read_fact_table(spark, fv_path, FUNC_VAR, sorted(now[0] - old[0]))
+    an_new = KT.read_fact_table(spark, an_path, ANNOTATION, sorted(now[1] - old[1]))
     full = fv_new.where((F.col("num_var_annotated") > 1) & (F.col("num_var") == F.col("num_var_annotated")))
     an_old = KT.matching_rows(spark, an_path, ANNOTATION, sorted(old[1]), full.select(*FUNC_VAR_KEY), FUNC_VAR_KEY, len(ANNOTATION_KEY))
     fv_old = KT.matching_rows(spark, fv_path, FUNC_VAR, sorted(old[0]),

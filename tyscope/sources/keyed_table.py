@@ -121,10 +121,12 @@ def _write_generation(spark: SparkSession, rows: DataFrame, path: str, gen: int,
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(f"{path}/gen={gen}")
-    whole = F.struct(*[F.col(c) for c in key])
-    return (spark.read.schema(rows.schema).parquet(f"{path}/gen={gen}")
-            .groupBy(F.col("_metadata.file_name").alias("file"))
-            .agg(F.min(whole).alias("lo"), F.max(whole).alias("hi"), F.count(F.lit(1)).alias("rows"))
+    # a file stands in order of the key, so its first and last row are its range
+    stored = (spark.read.schema(rows.schema).parquet(f"{path}/gen={gen}")
+              .select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), F.struct(*key).alias("key")))
+    counts = stored.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    ends = stored.join(F.broadcast(counts), "file").where((F.col("at") == 0) | (F.col("at") == F.col("rows") - 1))
+    return (ends.groupBy("file").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("rows").alias("rows"))
             .select(F.lit(gen).alias("gen"), "file", "lo", "hi", "rows"))
 
 
@@ -151,7 +153,9 @@ def load_fact_table(spark: SparkSession, new_rows: DataFrame, path: str, key: li
     if ranges is not None:
         files = [f"{path}/gen={r.gen}/{r.file}" for r in matching_files(batch, ranges, key).select("gen", "file").collect()]
         if files:
-            batch = batch.join(spark.read.schema(batch.schema).parquet(*files).select(*key), key, "left_anti")
+            # sorted files are small for their rows, so by its size the planner would broadcast a large side
+            stored = spark.read.schema(batch.schema).parquet(*files).select(*key).hint("merge")
+            batch = batch.join(stored, key, "left_anti")
     added = _write_generation(spark, batch, path, gen, key, rows_per_file)
     _commit(spark, path, added if ranges is None else ranges.unionByName(added))
     return read_fact_table(spark, path, batch.schema)
