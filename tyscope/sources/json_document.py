@@ -137,8 +137,9 @@ class _Part(InputPartition):
 
 
 class JsonRows(DataSource):
-    """Options: ``files`` (JSON, [[uri, bytes], ...]), ``chunk`` (bytes of a range), and for the second
-    reading ``begins`` (JSON, per file and range: inside a string, last key) and ``key``."""
+    """Options: ``files`` (JSON, [[uri, bytes], ...]), ``chunk`` (bytes of a range), ``task`` (bytes of
+    a task's ranges), and for the second reading ``begins`` (JSON, per file and range: inside a
+    string, last key) and ``key``."""
 
     @classmethod
     def name(cls):
@@ -157,33 +158,37 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.files = json.loads(options["files"])
         self.chunk = int(options["chunk"])
+        self.task = int(options["task"])
         self.begins = json.loads(options["begins"]) if "begins" in options else None
         self.key = options.get("key")
 
     def partitions(self):
-        """One task per range; ranges of small files are put together up to the same size."""
+        """Tasks of about equal bytes: a task takes ranges in order, of one file or several. It gets
+        with each range what it needs, so that no list of all files or ranges goes to the tasks."""
         parts, now, held = [], [], 0
-        for i, (_, size) in enumerate(self.files):
+        for i, (uri, size) in enumerate(self.files):
             for c, start in enumerate(range(0, size, self.chunk)):
                 end = min(size, start + self.chunk)
-                if now and held + end - start > self.chunk:
+                if now and held + end - start > self.task:
                     parts.append(_Part(now))
                     now, held = [], 0
-                now.append((i, c, start, end))
+                now.append((i, c, start, end, uri, size, self.begins and self.begins[i][c]))
                 held += end - start
         return parts + [_Part(now)]
 
+    def __getstate__(self):
+        return {"key": self.key}
+
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        for i, c, start, end in partition.ranges:
-            uri, size = self.files[i]
-            if self.begins is None:
+        for i, c, start, end, uri, size, begin in partition.ranges:
+            if begin is None:
                 r = read_range(uri, size, start, end, 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i], pa.int32()), pa.array([c], pa.int32()), pa.array([r.odd]),
                      pa.array([r.last_key(False)], pa.string()), pa.array([r.last_key(True)], pa.string())],
                     names=["file", "chunk", "odd", "key_if_outside", "key_if_inside"])
                 continue
-            inside, key = self.begins[i][c]
+            inside, key = begin
             tail = TAIL
             while True:
                 r = read_range(uri, size, start, end, tail)
@@ -207,7 +212,11 @@ def document_rows(spark: SparkSession, path: str, key: str, chunk_bytes: int = C
     files = [f for f in list_files(spark, path) if f[1]]
     if not files:
         return spark.createDataFrame([], "file string, value string")
-    reader = spark.read.format("json_document_rows").option("files", json.dumps(files)).option("chunk", str(chunk_bytes))
+    # small ranges are put together, but never so many that cores are left without
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    task_bytes = max(chunk_bytes, min(CHUNK_BYTES, -(-sum(size for _, size in files) // tasks)))
+    reader = (spark.read.format("json_document_rows").option("files", json.dumps(files)).option("chunk", str(chunk_bytes))
+              .option("task", str(task_bytes)))
     begins = [[None] * -(-size // chunk_bytes) for _, size in files]
     inside, key_now, last = False, None, -1
     # one short row per range
