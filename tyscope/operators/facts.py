@@ -119,20 +119,29 @@ def fact_tables(extracted: DataFrame, colliding: DataFrame | None = None) -> Fac
 
 def stored_tables(t: Facts) -> Facts:
     """The fact tables written once, deduplicated, so that every report only reads its columns."""
+    return Facts(*[stored_table(t, name) for name in Facts._fields])
+
+
+def stored_table(t: Facts, name: str) -> DataFrame:
+    """One of the fact tables written once, for those who read no other."""
     from tyscope.session import materialize
-    return Facts(*[materialize(df, f"fact-{name}") for name, df in zip(Facts._fields, t)])
+    return materialize(getattr(t, name), f"fact-{name}")
 
 
-def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:
-    """Run the extraction job once, write its tagged stream to the shared folder, and
-    return the stream plus the fact tables read from it.
+def extracted_stream(files: DataFrame, name: str = "extracted") -> DataFrame:
+    """Run the extraction job once and write its tagged stream to the shared folder.
 
     The stream is not partitioned by ``kind``: a partitioned write sorts every
     task's rows by kind, which cost more than it saved here (readers prune
     columns, and the columns of other kinds are mostly null)."""
     from tyscope.operators.extract import extract
     from tyscope.session import materialize
-    stream = materialize(extract(files), name)
+    return materialize(extract(files), name)
+
+
+def extract_tables(files: DataFrame, name: str = "extracted") -> tuple[DataFrame, Facts]:
+    """The stored stream (``extracted_stream``) plus the fact tables read from it."""
+    stream = extracted_stream(files, name)
     return stream, fact_tables(stream)
 
 
