@@ -189,13 +189,13 @@ def missing_repos(files: DataFrame, repository: DataFrame) -> DataFrame:
 def select_sources(raw: DataFrame, repository: DataFrame | None = None, unknown: str = "fail",
                    carry: tuple[str, ...] = ("content",)) -> DataFrame:
     """``repo_id``, ``path_rel`` and the ``carry`` columns of the accepted files among ``with_layout`` rows."""
-    raw = raw.where(python_file() & not_ignored())
-    py = raw.where(F.col("file").endswith(".py"))
-    stubs = keep_stubs_with_twin(raw.where(F.col("file").endswith(".pyi")), py.select("path"))
+    # the suffix is asked of the path, so that other rows go before their path is split
+    py = raw.where(F.col("path").endswith(".py")).where(not_ignored())
+    stubs = keep_stubs_with_twin(raw.where(F.col("path").endswith(".pyi")).where(not_ignored()), py.select("path"))
     cols = [*FOLDER, "path_rel", *carry]
     files = py.select(*cols).unionByName(stubs.select(*cols))
     if repository is None:
-        repository = folder_ids(raw)
+        repository = folder_ids(raw.where(python_file("path")).where(not_ignored()))
     return attach_repo_id(files, repository, unknown).select("repo_id", "path_rel", *carry)
 
 
@@ -218,8 +218,14 @@ def with_contents(files: DataFrame, root: str, task_bytes: int = TASK_BYTES) ->
 
 
 def packed_source_files(packed: DataFrame, repository: DataFrame | None = None, unknown: str = "fail") -> DataFrame:
-    """A4 over a packed table: ``path`` (relative to the root) and ``content``."""
-    return select_sources(with_layout(packed.select("path", "content")), repository, unknown)
+    """A4 over a packed table: ``path`` (relative to the root) and ``content``.
+
+    The accepted files are dealt out over four tasks per core, or as many as a shuffle has: texts
+    compress well, so a split of the table, and what the stubs' join leaves in a partition, would be
+    few tasks of long parses."""
+    spark = packed.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return select_sources(with_layout(packed.select("path", "content")), repository, unknown).repartition(tasks, "repo_id", "path_rel")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
