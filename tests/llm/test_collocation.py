@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tyscope.llm import collocation as C
+from tyscope.session import shuffle_files_let_go
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,3 +110,97 @@ def test_stretches_lose_no_phrase(monkeypatch):
                     got[p] += n
         whole = whole or got
         assert got == whole and got["a b"] == 19 and got["c d e"] == 9 and "c d" in got and "h i" not in got
+
+
+def shuffled_bytes(df):
+    """What the exchanges of a query write, run once."""
+    df.collect()
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if "QueryStage" in name:
+            return walk(plan.plan())
+        own = plan.metrics().get("shuffleBytesWritten").get().value() if name == "Exchange" else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("hashes", [100, C.FILTER_BYTES // 8])
+def test_rare_phrases_do_not_travel(spark, monkeypatch, tmp, hashes):
+    """Above the number of hashes that is broadcast as well as below, the second pass sends the
+    n-grams that survived, not all n-grams of the texts."""
+    rnd, real, sent = random.Random(3), C.materialize, {}
+    often = [" ".join(f"w{rnd.randrange(60)}" for _ in range(12)) for _ in range(30)]
+    rows = [(f"{often[i % 30]}. " + " ".join(f"r{rnd.randrange(10 ** 12)}" for _ in range(60)), "en") for i in range(600)]
+
+    def measured(df, name):
+        sent[name] = shuffled_bytes(df)
+        return real(df, name)
+    monkeypatch.setattr(C, "materialize", measured)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for tables that are too large for it
+    spark.createDataFrame(rows, "text string, lang string").repartition(2).write.parquet(f"{tmp}/docs")
+    df = spark.read.parquet(f"{tmp}/docs")
+    try:
+        got = sorted(tuple(r) for r in C.collocations(df, broadcast_hashes=hashes).select(*COLUMNS).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute(rows) and len(got) > 100
+    assert 0 < sent["phrase-counts"] < sum(len(t) for t, _ in rows) / 10
+
+
+def test_shuffle_files_are_let_go(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with shuffle_files_let_go(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
+
+
+def test_filter_holds_every_survivor():
+    rnd = np.random.default_rng(2)
+    parts = 5
+    keys = np.unique(rnd.integers(0, parts, 20_000) << 32 | rnd.integers(0, 2 ** 32, 20_000))
+    others = np.setdiff1d(rnd.integers(0, parts, 20_000) << 32 | rnd.integers(0, 2 ** 32, 20_000), keys)
+    for max_bytes, most in ((1 << 20, 0.01), (10_000, 0.4), (-8, 1)):
+        f = C.Filter(parts, len(keys), max_bytes)
+        f.table = np.frombuffer(b"".join(f.segment(keys[keys >> 32 == p]) for p in range(parts)), np.uint8)
+        assert len(f.table) <= max(max_bytes, 8 * parts)
+        assert np.array_equal(f.positions(keys), np.arange(len(keys))) and len(f.positions(others)) <= most * len(others)
+    empty = C.Filter(parts, 0, 1 << 20)
+    empty.table = np.frombuffer(b"".join(empty.segment(keys[:0]) for _ in range(parts)), np.uint8)
+    assert len(empty.positions(keys)) == 0
+
+
+def test_grams_pack():
+    for counts in ([3, 1, 255], [3, 10 ** 12, 1]):
+        phrases = pa.array(["été x", "", "w" * 300])
+        groups, back, a = C.unpack_grams(*C.pack_grams([("en", 2, 1), ("ü\"", 0, 2)], phrases, np.array(counts))[::-1])
+        assert groups == [["en", 2, 1], ["ü\"", 0, 2]] and back.equals(phrases) and a.tolist() == counts
+    groups, back, a = C.unpack_grams(*C.pack_grams([("", 0, 1)], pa.array(["", "a"])[:1], np.array([0]))[::-1])
+    assert back.to_pylist() == [""] and a.tolist() == [0]
+
+
+def test_tally_adds_up_by_words(spark):
+    t = C.Tally("group")
+    for words in (["a b", "c"], ["c", "a b", "d"]):
+        t.add(pa.array(words), np.arange(len(words)) + 1, group=np.array([t.group("en", len(w.split())) for w in words]))
+    t.settle()
+    t.add(pa.array(["c"]), np.array([5]), group=np.array([t.group("fr", 1)]))
+    names, whole = list(t.groups), t.take().to_pylist()
+    assert {(names[r["group"]], r["phrase"]): r["a"] for r in whole} == {(("en", 2), "a b"): 3, (("en", 1), "c"): 3, (("en", 1), "d"): 3, (("fr", 1), "c"): 5}
+    assert len(whole) == 4 and not t.rows
+
+
+@pytest.mark.parametrize("grams", [1, 5000])
+def test_small_sendings_and_heavy_parts(spark, monkeypatch, grams):
+    """Blocks of a few n-grams, and parts that are copied for each salt or for none, give the same phrases."""
+    rows = texts(5, 150)
+    monkeypatch.setattr(C, "SEND_GRAMS", grams)
+    for one_in in (1, 10 ** 9):
+        monkeypatch.setattr(C, "HEAVY_ONE_IN", one_in)
+        df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+        assert sorted(tuple(r) for r in C.collocations(df).select(*COLUMNS).collect()) == brute(rows)

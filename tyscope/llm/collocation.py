@@ -9,11 +9,13 @@ with the text, so that each has a bounded mass (number of occurrences).
    them. With a capacity of ``SPARE`` times mass / threshold, less than threshold / SPARE is
    ever taken off a counter, so every n-gram that occurs ``min_count`` times survives; counters
    that cannot have reached it, what was taken off included, are let go.
-2. The n-grams of the texts that survived are counted exactly, as words, by a Spark
-   aggregation. Hashes that collide can only let more n-grams through to it.
+2. The n-grams of the texts that survived are counted exactly, as words: tasks count runs of
+   text and send every hash partition its n-grams with counts, as compressed blocks, which the
+   partition adds up. Hashes that collide can only let more n-grams through to it.
 
-The survivors' hashes are broadcast up to ``BROADCAST_HASHES`` of them; beyond that n-grams
-meet them in a semi join on the hash instead, with the same result.
+Tasks know the survivors by a Bloom filter of bounded size, 16 bits for a survivor up to
+``FILTER_BYTES``; the more survivors share those, the more other n-grams travel as well, with
+the same result. The shuffle files of a pass are let go when its result is stored.
 
 Scores take place on phrases with their exact counts, in DataFrame functions: decimals of
 38 digits for the products, one join with the counts of the parts (salted, since a frequent
@@ -29,6 +31,7 @@ of a cut looked at again, so no phrase is lost.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tyscope.llm.common import LOWER_TABLE, Words, concat_ranges, mix64, text_runs
+from tyscope.llm.common import LOWER_TABLE, Words, concat_ranges, mix64, text_buffer, text_runs
 from tyscope.operators.windows import top_k_per_group
-from tyscope.session import materialize, ship_package
+from tyscope.session import materialize, ship_package, shuffle_files_let_go
 
 MAX_WORDS = 3
 MIN_COUNT = 10
@@ -51,10 +54,17 @@ PARTITION_BYTES = 4 << 20
 RUN_TEXT = 1 << 20
 #: Word positions that are counted in one go.
 CHUNK_WORDS = 1 << 20
-#: Hashes of surviving n-grams that are broadcast, 8 bytes each.
-BROADCAST_HASHES = 4_000_000
+#: Bytes of the filter of survivors that is broadcast, at most.
+FILTER_BYTES = 32 << 20
+#: N-grams, and bytes of them as words, that a task gathers before it sends them.
+SEND_GRAMS = 1 << 19
+SEND_BYTES = 4 << 20
+#: Hash partitions of the first pass that are one of the second.
+TOGETHER = 2
 #: Counters that a summary lets wait at least before it merges them.
 WAITING = 125_000
+#: A part that is one in so many of the words, or more, is dealt out by salt.
+HEAVY_ONE_IN = 20_000
 SALTS = 8
 #: Parts of a language whose first phrases are taken before the language's.
 BUCKETS = 8
@@ -171,6 +181,14 @@ def _address(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, each with the sum of its counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def pack_counts(low: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted 32-bit numbers and their counts as byte planes, which Spark's compression shrinks."""
     planes = low.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -221,27 +239,36 @@ def frequent_hashes(docs: DataFrame, parts: int, max_words: int = MAX_WORDS, min
     n-grams that can have ``min_count`` occurrences."""
     ship_package(docs.sparkSession)
 
+    def sent_rows(keys, counts, mass):
+        key, count = _summed(np.concatenate(keys), np.concatenate(counts))
+        part = (key >> np.uint64(32)).astype(np.int64)
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+        rows = [(int(part[i]), int(count[i:j].sum()), j - i, pack_counts(key[i:j].astype(np.uint32), count[i:j]))
+                for i, j in zip(cuts, cuts[1:])]
+        for p, m, _, _ in rows:
+            mass[p] = mass.get(p, 0) + m
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()),
+             pa.array([0] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
+             pa.array([r[3] for r in rows], pa.binary())], names=names)
+
+    names = ["part", "is_body", "mass", "n", "body"]
+
     def count_runs(batches):
-        names = ["part", "is_body", "mass", "n", "body"]
         mass: dict = {}
+        keys, counts, size = [], [], 0
         for batch in batches:
             for lang, texts in by_language(batch):
                 for stretch in stretches(texts, max_words):
-                    grams = list(stretch.grams(lang, max_words))
-                    key = np.concatenate([_address(g.hash, parts) for g in grams])
-                    count = np.concatenate([g.count for g in grams])
-                    order = np.argsort(key)
-                    key, count = key[order], count[order]
-                    part = (key >> np.uint64(32)).astype(np.int64)
-                    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
-                    rows = [(int(part[i]), int(count[i:j].sum()), j - i, pack_counts(key[i:j].astype(np.uint32), count[i:j]))
-                            for i, j in zip(cuts, cuts[1:])]
-                    for p, m, _, _ in rows:
-                        mass[p] = mass.get(p, 0) + m
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()),
-                         pa.array([0] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                         pa.array([r[3] for r in rows], pa.binary())], names=names)
+                    for g in stretch.grams(lang, max_words):
+                        keys.append(_address(g.hash, parts))
+                        counts.append(g.count)
+                        size += len(g.count)
+                    if size >= SEND_GRAMS:
+                        yield sent_rows(keys, counts, mass)
+                        keys, counts, size = [], [], 0
+        if size:
+            yield sent_rows(keys, counts, mass)
         if mass:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(mass), pa.int64()), pa.array([0] * len(mass), pa.int32()), pa.array(list(mass.values()), pa.int64()),
@@ -277,49 +304,187 @@ def frequent_hashes(docs: DataFrame, parts: int, max_words: int = MAX_WORDS, min
     sent = docs.select("text", "lang").mapInArrow(count_runs, "part bigint, is_body int, mass bigint, n bigint, body binary")
     merged = sent.repartition(parts, "part").sortWithinPartitions("part", "is_body").mapInArrow(
         merge, "part bigint, mass bigint, taken bigint, keys array<bigint>")
-    return materialize(merged, "phrase-survivors")
+    with shuffle_files_let_go(docs.sparkSession):
+        return materialize(merged, "phrase-survivors")
+
+
+class Filter:
+    """A Bloom filter of addresses, with bits of its own for every hash partition."""
+
+    def __init__(self, parts: int, total: int, max_bytes: int):
+        self.width = max(8, min(2 * total, max_bytes) // parts)  # bytes of a partition
+        self.probes = max(1, min(4, 8 * self.width * parts * 2 // (3 * max(1, total))))
+        self.table = np.zeros(0, np.uint8)
+
+    def _bits(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        h = mix64(keys.astype(np.uint64))
+        step = h >> np.uint64(32) | np.uint64(1)
+        return (((h & np.uint64(0xFFFFFFFF)) + step * np.uint64(probe)) % np.uint64(8 * self.width)).astype(np.int64)
+
+    def segment(self, keys: np.ndarray) -> bytes:
+        """The bits of one partition's addresses."""
+        bits = np.zeros(8 * self.width, bool)
+        for probe in range(self.probes):
+            bits[self._bits(keys, probe)] = True
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    def positions(self, keys: np.ndarray) -> np.ndarray:
+        """Where ``keys`` has addresses that the filter holds."""
+        found = np.arange(len(keys))
+        first = (keys.astype(np.uint64) >> np.uint64(32)).astype(np.int64) * self.width
+        for probe in range(self.probes):
+            at = self._bits(keys[found], probe)
+            found = found[self.table[first[found] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1 == 1]
+        return found
+
+
+def survivor_filter(survivors: DataFrame, parts: int, max_bytes: int = FILTER_BYTES) -> Filter:
+    """The survivors of all partitions as one filter. Tasks make the bits; the driver puts them together."""
+    known = Filter(parts, survivors.agg(F.sum(F.size("keys"))).first()[0] or 0, max_bytes)
+
+    def segments(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("part"), pa.array([known.segment(np.asarray(keys.values, np.int64)) for keys in batch.column("keys")], pa.binary())],
+                names=["part", "bits"])
+
+    table = np.zeros(parts * known.width, np.uint8)
+    for r in survivors.select("part", "keys").mapInArrow(segments, "part bigint, bits binary").collect():
+        table[r["part"] * known.width:(r["part"] + 1) * known.width] = np.frombuffer(r["bits"], np.uint8)
+    known.table = table
+    return known
+
+
+def _plane(v: np.ndarray) -> bytes:
+    kind = np.uint8 if not len(v) or v.max() < 1 << 8 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + v.astype(kind).tobytes()
+
+
+def pack_grams(groups: list[tuple[str, int, int]], phrases: pa.Array, counts: np.ndarray) -> tuple[int, bytes]:
+    """Phrases with counts as a compressed block, and its size before; ``groups`` has language,
+    words of a phrase and number of phrases, one group after the other."""
+    buf, off = text_buffer(phrases)
+    head = json.dumps(groups).encode()
+    body = b"".join([len(head).to_bytes(4, "little"), head, _plane(np.diff(off)), _plane(counts), buf.tobytes()])
+    return len(body), pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack_grams(body, size: int) -> tuple[list, pa.Array, np.ndarray]:
+    data = np.frombuffer(pa.decompress(body, size, "zstd"), np.uint8)
+    at = 4 + int.from_bytes(data[:4].tobytes(), "little")
+    groups = json.loads(data[4:at].tobytes())
+    m, planes = sum(g[2] for g in groups), []
+    for _ in range(2):
+        kind = np.dtype(np.uint8 if data[at] == 1 else np.int64)
+        end = at + 1 + m * kind.itemsize
+        planes.append(np.frombuffer(data[at + 1:end].tobytes(), kind).astype(np.int64))
+        at = end
+    offsets = np.concatenate([[0], np.cumsum(planes[0])]).astype(np.int32)
+    return groups, pa.Array.from_buffers(pa.string(), m, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at:].tobytes())]), planes[1]
+
+
+class Tally:
+    """Counts of phrases by words, added up exactly; a row has the group (language and number of
+    words) by number."""
+
+    def __init__(self, *keys: str):
+        self.keys, self.groups = keys, {}
+        self._new()
+
+    def _new(self):
+        self.rows, self.bytes, self.settled, self._tables = 0, 0, 0, []
+
+    def group(self, lang: str, n: int) -> int:
+        return self.groups.setdefault((lang, n), len(self.groups))
+
+    def add(self, phrase: pa.Array, a: np.ndarray, **keys: np.ndarray) -> None:
+        self._tables.append(pa.table({k: pa.array(keys[k], pa.int64()) for k in self.keys} | {"phrase": phrase, "a": pa.array(a, pa.int64())}))
+        self.rows += len(phrase)
+        self.bytes += phrase.nbytes
+
+    def settle(self) -> pa.Table:
+        whole = pa.concat_tables(self._tables).group_by([*self.keys, "phrase"], use_threads=False).aggregate([("a", "sum")])
+        whole = whole.select([*self.keys, "phrase", "a_sum"]).rename_columns([*self.keys, "phrase", "a"])
+        self._tables, self.rows, self.settled = [whole], len(whole), len(whole)
+        return whole
+
+    def take(self) -> pa.Table:
+        whole = self.settle()
+        self._new()
+        pa.default_memory_pool().release_unused()
+        return whole
 
 
 def exact_counts(docs: DataFrame, survivors: DataFrame, parts: int, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
-                 broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+                 filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Second pass: (lang, n, phrase, a) of all n-grams with ``min_count`` occurrences, and a row
     with n = 0 for each language's number of words."""
     spark = docs.sparkSession
-    total = survivors.agg(F.sum(F.size("keys"))).first()[0] or 0
-    known = None
-    if total <= broadcast_hashes:
-        found = [np.asarray(r["keys"], np.int64) for r in survivors.select("keys").toLocalIterator()]
-        known = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *found])))
+    known = spark.sparkContext.broadcast(survivor_filter(survivors, parts, filter_bytes))
+
+    def sent_rows(tally):
+        whole = tally.take()
+        part, group = whole["part"].to_numpy(), whole["group"].to_numpy()
+        order = np.lexsort([group, part])
+        part, group, count = part[order], group[order], whole["a"].to_numpy()[order]
+        phrase, names = whole["phrase"].combine_chunks().take(pa.array(order)), list(tally.groups)
+        cuts, out = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)], []
+        for i, j in zip(cuts, cuts[1:]):
+            numbers, sizes = np.unique(group[i:j], return_counts=True)
+            out.append(pack_grams([(*names[g], m) for g, m in zip(numbers.tolist(), sizes.tolist())], phrase[i:j], count[i:j]))
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array([x[0] for x in out], pa.int64()),
+                                           pa.array([x[1] for x in out], pa.binary())], names=["part", "size", "body"])
 
     def count_runs(batches):
-        names = ["lang", "n", "key", "phrase", "a"]
+        tally = Tally("part", "group")
         for batch in batches:
             for lang, texts in by_language(batch):
                 words = 0
                 for stretch in stretches(texts, max_words):
                     words += stretch.own
                     for g in stretch.grams(lang, max_words):
-                        key, at, count = _address(g.hash, parts).astype(np.int64), g.at, g.count
-                        if known is not None:
-                            have = known.value
-                            where = np.searchsorted(have, key)
-                            keep = np.flatnonzero(have[np.minimum(where, len(have) - 1)] == key) if len(have) else where[:0]
-                            key, at, count = key[keep], at[keep], count[keep]
-                        m = len(at)
-                        if m:
-                            yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(np.full(m, g.n, np.int32)), pa.array(key),
-                                                              stretch.phrases(at, g.n), pa.array(count.astype(np.int64))], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([-1], pa.int64()), pa.array([""]),
-                                                  pa.array([words], pa.int64())], names=names)
-
-    counted = docs.select("text", "lang").mapInArrow(count_runs, "lang string, n int, key bigint, phrase string, a bigint")
-    if known is None:
-        some = survivors.select(F.explode("keys").alias("key"))
-        some = some.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("key")))
-        # copies of a key are summed before they meet, so that a frequent word is a few rows
-        counted = counted.groupBy("lang", "n", "key", "phrase").agg(F.sum("a").alias("a")).join(some, "key", "left_semi")
-    counts = counted.groupBy("lang", "n", "phrase").agg(F.sum("a").alias("a")).where((F.col("n") == 0) | (F.col("a") >= min_count))
-    return materialize(counts, "phrase-counts")
+                        key = _address(g.hash, parts)
+                        keep = known.value.positions(key)
+                        if len(keep):
+                            tally.add(stretch.phrases(g.at[keep], g.n), g.count[keep], part=(key[keep] >> np.uint64(32)).astype(np.int64) // TOGETHER,
+                                      group=np.full(len(keep), tally.group(lang, g.n)))
+                    if tally.rows >= SEND_GRAMS or tally.bytes >= SEND_BYTES:
+                        yield sent_rows(tally)
+                tally.add(pa.array([""]), np.array([words]), part=np.zeros(1, np.int64), group=np.full(1, tally.group(lang, 0)))
+        if tally.rows:
+            yield sent_rows(tally)
+
+    def finished(tally):
+        whole = tally.take()
+        group, count = whole["group"].to_numpy(), whole["a"].to_numpy()
+        names = list(tally.groups)
+        n = np.array([x[1] for x in names], np.int32)[group]
+        keep = pa.array(np.flatnonzero((n == 0) | (count >= min_count)))
+        lang = pa.DictionaryArray.from_arrays(pa.array(group.astype(np.int32)), pa.array([x[0] for x in names])).cast(pa.string())
+        found = pa.table({"lang": lang, "n": pa.array(n), "phrase": whole["phrase"], "a": pa.array(count)}).take(keep)
+        return found.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    def add_up(batches):
+        now, tally = None, None
+        for batch in batches:
+            bodies = batch.column("body")
+            for i, (p, size) in enumerate(zip(batch.column("part").to_pylist(), batch.column("size").to_pylist())):
+                if p != now:
+                    if tally is not None:
+                        yield from finished(tally)
+                    now, tally = p, Tally("group")
+                groups, phrase, count = unpack_grams(bodies[i].as_buffer(), size)
+                tally.add(phrase, count, group=np.repeat([tally.group(lang, n) for lang, n, _ in groups], [m for _, _, m in groups]))
+                if tally.rows - tally.settled > max(WAITING, tally.settled):
+                    tally.settle()
+        if tally is not None:
+            yield from finished(tally)
+
+    sent = docs.select("text", "lang").mapInArrow(count_runs, "part bigint, size bigint, body binary")
+    counts = sent.repartition(-(-parts // TOGETHER), "part").sortWithinPartitions("part").mapInArrow(
+        add_up, "lang string, n int, phrase string, a bigint")
+    with shuffle_files_let_go(spark):
+        return materialize(counts, "phrase-counts")
 
 
 def _slice(words, start, length):
@@ -338,12 +503,17 @@ def scored(counts: DataFrame, max_words: int = MAX_WORDS, cover_share: int = COV
     cand = (cand.join(inner, ["lang", "phrase"], "left")
             .where(F.col("longer").isNull() | (100 * F.col("longer") < cover_share * F.col("a"))).drop("longer"))
     cut = cand.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
-    sides = cut.select("lang", "phrase", "a", "k", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt"), F.inline(F.array(
+    sides = cut.select("lang", "phrase", "a", "k", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), _slice("w", F.lit(1), F.col("k")).alias("part")),
         F.struct(F.lit(1).alias("side"), _slice("w", F.col("k") + 1, F.col("n") - F.col("k")).alias("part")))))
-    parts = (counts.where((F.col("n") >= 1) & (F.col("n") < max_words))
-             .select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"),
-                     F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")))
+    # a part of many phrases has a copy for each salt; there are (max_words - 1) * HEAVY_ONE_IN of them at most
+    heavy = F.col("f") >= (counts.where("n = 0").agg(F.sum("a")).first()[0] or 0) // HEAVY_ONE_IN + 1
+    parts = counts.where((F.col("n") >= 1) & (F.col("n") < max_words)).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
+    dealt = parts.where(heavy).select("lang", "part", F.lit(True).alias("heavy"))
+    sides = (sides.join(F.broadcast(dealt), ["lang", "part"], "left")
+             .withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))))
+    last = F.when(heavy, F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("bigint")
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     found = (sides.join(parts, ["lang", "part", "salt"])
              .groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.collect_list(F.struct("k", "side", "f")).alias("f")))
 
@@ -361,11 +531,12 @@ def scored(counts: DataFrame, max_words: int = MAX_WORDS, cover_share: int = COV
 
 
 def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
-                  broadcast_hashes: int = BROADCAST_HASHES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Exact counts of the n-grams with ``min_count`` occurrences, per language (see ``exact_counts``)."""
+                  broadcast_hashes: int = FILTER_BYTES // 8, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Exact counts of the n-grams with ``min_count`` occurrences, per language (see ``exact_counts``).
+    The filter of survivors takes no more than ``broadcast_hashes`` times 8 bytes, and 8 for each partition at least."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // partition_bytes))
-    return exact_counts(docs, frequent_hashes(docs, parts, max_words, min_count), parts, max_words, min_count, broadcast_hashes)
+    return exact_counts(docs, frequent_hashes(docs, parts, max_words, min_count), parts, max_words, min_count, 8 * broadcast_hashes)
 
 
 def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, cover_share: int = COVER_SHARE,
